@@ -202,22 +202,34 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, head: int = 400_
 
 
 class IdCache:
-    """Little-endian 32-bit ids of chunks; at most ``limit`` chunks are kept."""
+    """Little-endian 32-bit ids of chunks and of pre-tokens; both caches start anew when full.
 
-    def __init__(self, path: str, limit: int = 250_000):
-        self.cut, self.limit, self.known = pre_tokens(path), limit, {}
+    The library sees a pre-token once as long as it stays cached, whatever marks stand around the word.
+    """
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def __init__(self, path: str, chunks: int = 300_000, tokens: int = 1_000_000):
+        self.cut, self.most_chunks, self.most_tokens = pre_tokens(path), chunks, tokens
+        self.known: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+
+    def _learn(self, chunks: list[str]) -> None:
         from array import array
 
+        pieces = list(map(self.cut.pieces, chunks))
+        if len(self.tokens) > self.most_tokens:
+            self.tokens.clear()
+        new = list(set(itertools.chain.from_iterable(pieces)) - self.tokens.keys())
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            self.tokens.update(zip(some, (array("I", ids).tobytes() for ids in self.cut.encode(some)), strict=True))
+        ids = self.tokens.__getitem__
+        self.known.update(zip(chunks, (ids(p[0]) if len(p) == 1 else b"".join(map(ids, p)) for p in pieces), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut.chunks(t) for t in texts]
-        missing = list(set(itertools.chain.from_iterable(cut)) - self.known.keys())
-        if missing and len(self.known) + len(missing) > self.limit:
+        if len(self.known) > self.most_chunks:
             self.known.clear()
-            missing = list(set(itertools.chain.from_iterable(cut)))
-        for at in range(0, len(missing), 2000):
-            some = missing[at : at + 2000]
-            self.known.update(zip(some, (array("I", ids).tobytes() for ids in self.cut.encode(some)), strict=True))
+        self._learn(list(set(itertools.chain.from_iterable(cut)) - self.known.keys()))
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
 
