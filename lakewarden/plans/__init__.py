@@ -1 +1,9 @@
+"""Queries of the library's own operators over the driver's tables, and their SQL."""
 
+from __future__ import annotations
+
+from . import deps, findings, text
+
+_MODULES = (findings, text, deps)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
