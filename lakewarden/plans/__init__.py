@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import deps, findings, text
+from . import code, deps, findings, text
 
-_MODULES = (findings, text, deps)
+_MODULES = (findings, text, deps, code)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

@@ -1,0 +1,192 @@
+"""Data flow inside Python functions: which inputs reach which dangerous calls.
+
+Variables hold sets of origins with the contexts they were made safe for. Statements are followed in
+order; the branches of an ``if`` are merged by union, loop bodies run twice. A call of a function of the
+same file carries argument origins to its parameters, whose own sinks were found beforehand. A flow is
+reported unless its value was made safe for that sink's context.
+"""
+
+from __future__ import annotations
+
+import ast
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .python_facts import LIMIT, Facts, _rows, dotted
+
+#: Fixed values.
+SOURCES = {
+    "request.args": "HTTP_REQUEST", "request.form": "HTTP_REQUEST", "request.json": "HTTP_REQUEST", "request.data": "HTTP_REQUEST", "request.cookies": "HTTP_REQUEST", "request.headers": "HTTP_REQUEST",
+    "request.values": "HTTP_REQUEST", "request.GET": "HTTP_REQUEST", "request.POST": "HTTP_REQUEST", "request.query_params": "HTTP_REQUEST", "sys.argv": "CLI_ARGUMENT", "input": "CLI_ARGUMENT",
+    "argparse": "CLI_ARGUMENT", "click": "CLI_ARGUMENT", "typer": "CLI_ARGUMENT", "os.environ": "ENVIRONMENT_VARIABLE", "os.getenv": "ENVIRONMENT_VARIABLE", "open": "FILE_READ", "read_text": "FILE_READ",
+    "read_bytes": "FILE_READ", "file.read": "FILE_READ", "cursor.fetchone": "DATABASE_DATA", "cursor.fetchall": "DATABASE_DATA",
+}
+SINKS = {
+    "SQL_INJECTION": ("cursor.execute", "cursor.executemany", "connection.execute", "db.execute"),
+    "COMMAND_INJECTION": ("os.system", "os.popen", "subprocess.run", "subprocess.Popen", "subprocess.call", "subprocess.check_output"),
+    "CODE_EXECUTION": ("eval", "exec", "compile"),
+    "PATH_TRAVERSAL": ("open", "Path", "os.remove", "os.unlink", "os.listdir"),
+    "SSRF": ("requests.get", "requests.post", "requests.request", "httpx.get", "httpx.post", "urllib.request.urlopen"),
+    "TEMPLATE_INJECTION": ("jinja2.Template", "Template", "render_template_string"),
+}
+SANITIZERS = {
+    "shlex.quote": "SHELL_SAFE", "html.escape": "HTML_SAFE", "escape": "HTML_SAFE", "markupsafe.escape": "HTML_SAFE", "werkzeug.security.safe_str_cmp": "GENERAL_SAFE", "int": "GENERAL_SAFE",
+    "float": "GENERAL_SAFE", "bool": "GENERAL_SAFE", "os.path.basename": "PATH_SAFE",
+}
+NEEDS = {"SQL_INJECTION": "SQL_SAFE", "COMMAND_INJECTION": "SHELL_SAFE", "PATH_TRAVERSAL": "PATH_SAFE", "SSRF": "SSRF_SAFE"}
+RULES = {"SQL_INJECTION": "TAINT-SQL", "COMMAND_INJECTION": "TAINT-CMD", "CODE_EXECUTION": "TAINT-CODE", "PATH_TRAVERSAL": "TAINT-PATH", "SSRF": "TAINT-SSRF", "TEMPLATE_INJECTION": "TAINT-TEMPLATE"}
+_SINK_OF = {name: kind for kind, names in SINKS.items() for name in names}
+
+Origin = tuple[str, str, int, frozenset]  # name, category, line, safe contexts
+Values = frozenset
+
+
+def sink_kind(name: str) -> str | None:
+    """Exact, or by a dotted tail (``self.cursor.execute``)."""
+    return _SINK_OF.get(name) or next((k for n, k in _SINK_OF.items() if "." in n and name.endswith(f".{n}")), None)
+
+
+def source_kind(name: str, call: bool) -> str | None:
+    for s, kind in SOURCES.items():
+        if name == s or name.startswith(f"{s}.") or (not call and f".{s}" in f".{name}" and "." in s):
+            return kind
+    return None
+
+
+class Flow:
+    def __init__(self, path: str, tree: ast.Module):
+        self.path, self.tree, self.found, self.order = path, tree, {}, []
+        names = Facts(path)
+        for n in ast.walk(tree):
+            if isinstance(n, (ast.Import, ast.ImportFrom)):
+                names.visit(n)
+        self.resolve = names.resolved
+        self.functions = {n.name: n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))}
+        self.reach: dict[str, list[tuple[int, str, str, int, frozenset]]] = {}  # fn -> (param, sink, kind, line, safe)
+
+    def run(self) -> list[tuple]:
+        for _ in range(min(3, len(self.functions))):  # parameters reach sinks through helpers of helpers
+            before = {k: len(v) for k, v in self.reach.items()}
+            for name, fn in self.functions.items():
+                args = [a.arg for a in (*fn.args.posonlyargs, *fn.args.args)]
+                env = {a: Values([(f"<param {i}>", "PARAMETER", fn.lineno, frozenset())]) for i, a in enumerate(args)}
+                got: list = []
+                self.block(fn.body, env, name, got)
+                self.reach[name] = sorted({(int(o[0][7:-1]), sink, kind, line, o[3]) for o, sink, kind, line in got if o[1] == "PARAMETER"}, key=str)
+            if before == {k: len(v) for k, v in self.reach.items()}:
+                break
+        out = {}
+        for name, body in [("<module>", [s for s in self.tree.body if not isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]), *((n, f.body) for n, f in self.functions.items())]:
+            got = []
+            self.block(body, {}, name, got)
+            for o, sink, kind, line in got:
+                out.setdefault((name, o[0], o[2], sink, line), (self.path, name, RULES[kind], o[0], o[1], o[2], sink, kind, line))
+        return list(out.values())
+
+    def block(self, body, env, fn, got) -> None:
+        for s in body:
+            self.statement(s, env, fn, got)
+
+    def statement(self, s, env, fn, got) -> None:
+        if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            return
+        if isinstance(s, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
+            v = self.value(s.value, env, got) if s.value is not None else Values()
+            for t in s.targets if isinstance(s, ast.Assign) else [s.target]:
+                for name in (n for n in ast.walk(t) if isinstance(n, ast.Name)):
+                    env[name.id] = v | env.get(name.id, Values()) if isinstance(s, ast.AugAssign) or not isinstance(t, (ast.Name, ast.Tuple, ast.List)) else v
+        elif isinstance(s, ast.If):
+            self.value(s.test, env, got)
+            other = dict(env)
+            self.block(s.body, env, fn, got)
+            self.block(s.orelse, other, fn, got)
+            for k in env.keys() | other.keys():
+                env[k] = env.get(k, Values()) | other.get(k, Values())
+        elif isinstance(s, (ast.For, ast.AsyncFor, ast.While)):
+            for _ in range(2):
+                if isinstance(s, ast.While):
+                    self.value(s.test, env, got)
+                else:
+                    v = self.value(s.iter, env, got)
+                    for name in (n for n in ast.walk(s.target) if isinstance(n, ast.Name)):
+                        env[name.id] = v
+                self.block(s.body, env, fn, got)
+            self.block(s.orelse, env, fn, got)
+        elif isinstance(s, (ast.With, ast.AsyncWith)):
+            for i in s.items:
+                v = self.value(i.context_expr, env, got)
+                if isinstance(i.optional_vars, ast.Name):
+                    env[i.optional_vars.id] = v
+            self.block(s.body, env, fn, got)
+        elif isinstance(s, ast.Try):
+            for b in (s.body, *(h.body for h in s.handlers), s.orelse, s.finalbody):
+                self.block(b, env, fn, got)
+        else:
+            for x in ast.iter_child_nodes(s):
+                if isinstance(x, ast.expr):
+                    self.value(x, env, got)
+
+    def value(self, e, env, got) -> Values:
+        if isinstance(e, ast.Name):
+            kind = source_kind(self.resolve(e.id), False) if e.id not in env and "." in self.resolve(e.id) else None
+            return env.get(e.id, Values()) | (Values([(self.resolve(e.id), kind, e.lineno, frozenset())]) if kind else Values())
+        if isinstance(e, (ast.Attribute, ast.Subscript)):
+            name = self.resolve(dotted(e))
+            kind = source_kind(name, False)
+            own = Values([(name, kind, e.lineno, frozenset())]) if kind and "." in name else Values()
+            return own or self.value(e.value, env, got) | (self.value(e.slice, env, got) if isinstance(e, ast.Subscript) else Values())
+        if isinstance(e, ast.Call):
+            return self.call(e, env, got)
+        out = Values()
+        for x in ast.iter_child_nodes(e):
+            if isinstance(x, (ast.expr, ast.comprehension)):
+                out |= self.value(x, env, got)
+        return out
+
+    def call(self, e, env, got) -> Values:
+        name = self.resolve(dotted(e.func))
+        args = [self.value(a, env, got) for a in e.args]
+        named = [self.value(k.value, env, got) for k in e.keywords]
+        every = Values().union(*args, *named)
+        kind = sink_kind(name)
+        if kind and args and not self._harmless(kind, e):
+            for o in args[0] if kind == "SQL_INJECTION" else every:
+                if NEEDS.get(kind, "GENERAL_SAFE") not in o[3] and "GENERAL_SAFE" not in o[3]:
+                    got.append((o, name, kind, e.lineno))
+        for i, sink, k, line, safe in self.reach.get(name, ()):
+            for o in args[i] if i < len(args) else ():
+                if NEEDS.get(k, "GENERAL_SAFE") not in o[3] | safe and "GENERAL_SAFE" not in o[3] | safe:
+                    got.append((o, sink, k, line))
+        if safe := SANITIZERS.get(name):
+            return Values((o[0], o[1], o[2], o[3] | {safe}) for o in every)
+        if source := source_kind(name, True):
+            return Values([(name, source, e.lineno, frozenset())])
+        return every | self.value(e.func, env, got)
+
+    @staticmethod
+    def _harmless(kind: str, e: ast.Call) -> bool:
+        """Parameterised SQL, and argument lists that no shell sees."""
+        if kind == "SQL_INJECTION":
+            return len(e.args) >= 2 and isinstance(e.args[0], ast.Constant)
+        if kind == "COMMAND_INJECTION" and isinstance(e.args[0], (ast.List, ast.Tuple)):
+            return not any(k.arg == "shell" and not (isinstance(k.value, ast.Constant) and not k.value.value) for k in e.keywords)
+        return False
+
+
+def flows_of(path: str, content: str | None) -> list[tuple]:
+    if content is None or len(content) > LIMIT:
+        return []
+    try:
+        return Flow(path, ast.parse(content)).run()
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []  # the facts have an error row for it
+
+
+_S, _I = pa.string(), pa.int32()
+_FLOWS = pa.schema([("path", _S), ("fn", _S), ("rule_id", _S), ("source", _S), ("source_kind", _S), ("source_line", _I), ("sink", _S), ("sink_kind", _S), ("sink_line", _I)])
+
+
+def taint_flows(files: DataFrame) -> DataFrame:
+    """Flows of ``files(path, content)``."""
+    return _rows(files, flows_of, "path string, fn string, rule_id string, source string, source_kind string, source_line int, sink string, sink_kind string, sink_line int", _FLOWS)
