@@ -1,11 +1,11 @@
 """Toxicity: boosted trees over dense features with isotonic calibration.
 
-From a bounded sample of labelled rows one half gives the lexicon: words and stems (first four to six
-letters) whose odds are much higher in toxic texts. The other half trains the trees on dense features of
-whole texts: lexicon densities (words, stems, obfuscated spellings), closeness of lexicon words to words
-of the second person, capitals, punctuation and obfuscation rates. Keeping the halves apart stops a word
-that met toxic texts by chance from looking certain. Margins of trees that didn't see a row give an
-isotonic calibration.
+A bounded sample of labelled rows gives the lexicon: words and stems (first four to six letters) whose
+odds are much higher in toxic texts. Trees are trained on dense features of whole texts: lexicon densities
+(words, stems, obfuscated spellings), closeness of lexicon words to words of the second person, capitals,
+punctuation and obfuscation rates. For training, each half of the sample gets its features from the other
+half's lexicon, which stops a word that met toxic texts by chance from looking certain. Margins of trees
+that didn't see a row give an isotonic calibration.
 
 Defined results: null and empty texts have all features zero and are scored like others; a null id is
 never learned from; every row gives a row; without labelled rows of both kinds the score is the share of
@@ -116,8 +116,11 @@ class ToxicModel:
         return np.clip(0.98 * np.interp(z, *self.steps) + 0.02 * p, 0, 1) if self.steps else p
 
 
-def learn_lexicon(rows: DataFrame, entries: int = 4000, least: int = 6) -> dict[str, float]:
-    """Words and stems with their log odds; ``rows`` (text, y) is bounded, and so is what is collected."""
+def learn_lexicon(rows: DataFrame, entries: int = 4000, share: float = 0.01) -> dict[str, float]:
+    """Words and stems with their log odds; ``rows`` (text, y) is bounded, and so is what is collected.
+
+    An entry is in that share of the toxic texts, and in three to eight of them at least.
+    """
 
     def own(batches):
         pos, neg = Counter(), Counter()
@@ -129,15 +132,17 @@ def learn_lexicon(rows: DataFrame, entries: int = 4000, least: int = 6) -> dict[
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([neg[k] for k in keys], pa.int64())], ["w", "p", "n"])
 
     total = rows.select("text", "y").mapInArrow(own, "w string, p long, n long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    total = total.where(F.col("p") >= least).persist()
+    total = total.where("p >= 3 or w = '\\0'").persist()
+    kept = total
     try:
         top = total.where("w = '\\0'").first()
-        if top is None:
+        if top is None or not top.p:
             return {}
+        total = total.where(F.col("p") >= min(8, max(3, math.ceil(share * top.p))))
         odds = F.log((F.col("p") + 0.5) / (top.p + 1)) - F.log((F.col("n") + 0.5) / (top.n + 1))
         found = total.where("length(w) > 2").select("w", odds.alias("odds")).where("odds > 3").orderBy(F.desc("odds"), "w").limit(entries).collect()
     finally:
-        total.unpersist()
+        kept.unpersist()
     return {r.w: r.odds for r in found}
 
 
@@ -161,8 +166,12 @@ def _packed(docs: DataFrame, text_col: str) -> DataFrame:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 24_000, seed: int = 9, mod: int = 5, rest: int = 0, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     rows = labelled_sample(docs, labels, label, sample, seed, mod, rest, id_col, text_col)
-    lexicon = learn_lexicon(rows.where("fold = 0"))
-    got = featured(_packed(rows.where("fold = 1").select("text", "y", "u"), "text"), lexicon).select("doc.y", "doc.u", "x").limit(2 * sample).collect()
+    got = []
+    for k in (0, 1):
+        of_other = learn_lexicon(rows.where(F.col("fold") != k))
+        part = _packed(rows.where(F.col("fold") == k).select("text", "y", "u"), "text")
+        got += featured(part, of_other).select("doc.y", "doc.u", "x").limit(2 * sample).collect()
+    lexicon = learn_lexicon(rows)
     got.sort(key=lambda r: (r.u, r.y))
     x = np.array([r.x for r in got], float).reshape(-1, len(FEATURES))
     y, u = np.array([r.y for r in got]), np.array([r.u for r in got])
