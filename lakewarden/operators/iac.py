@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .lines import exploded, segments
 
 SECRET_KEY = r"(?i)password|secret|api_key|token|private_key"
@@ -125,6 +126,7 @@ def yaml_findings(files: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["path", "name", "rule_id", "severity"])
 
+    ship(files.sparkSession)
     return files.where(F.col("path").rlike(r"\.ya?ml$")).select("path", "content").mapInArrow(own, "path string, name string, rule_id string, severity string")
 
 

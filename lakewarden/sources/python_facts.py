@@ -12,6 +12,8 @@ import ast
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship
+
 FACTS = "path string, kind string, ord int, line int, col int, fn string, name string, resolved string, n_args int, kwargs map<string,string>, items array<string>, text string"
 LIMIT = 2_000_000
 
@@ -141,6 +143,7 @@ def _rows(files: DataFrame, fn, schema: str, arrow: pa.Schema) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [()] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array([list(x.items()) for x in c] if pa.types.is_map(f.type) else c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInArrow(own, schema)
 
 

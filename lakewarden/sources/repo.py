@@ -11,6 +11,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import ship
+
 SCHEMA = "path string, size long, ext string, is_python boolean, is_hidden boolean, truncated boolean, content string"
 IGNORED = (".git", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache")
 CATEGORIES = {
@@ -85,6 +87,7 @@ class RepoSource(DataSource):
 
 
 def read_repo(spark: SparkSession, path: str, **options):
+    ship(spark)
     spark.dataSource.register(RepoSource)
     return spark.read.format("repo").options(path=path, **options).load()
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 MAX_BYTES = 5_000_000
 
 
@@ -41,6 +43,7 @@ def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str = "1
 
 def attempts(jobs: DataFrame, handler, retries: int = 3) -> DataFrame:
     """status DONE or DEAD and the number of attempts of each job row; ``handler(row dict)`` may raise."""
+    ship(jobs.sparkSession)
     cols = jobs.columns
 
     def run(batches):
