@@ -35,7 +35,8 @@ from .common import Workspace
 #: Texts of these characters only are cut by Python's re; all others by the library's own pre-tokeniser.
 _ODD = re.compile(r"[^\x01-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 _RUN = re.compile(r"\s\s")
-_CUT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_CUT = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 HEAD_BYTES = 64
 
 
@@ -44,7 +45,7 @@ class PreTokens:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if not path.endswith(".json"):
             raise ValueError("only tokenizer .json files are served")
@@ -57,6 +58,9 @@ class PreTokens:
         added = self.lib.get_added_tokens_decoder().values()
         if any(t.lstrip or t.rstrip or t.single_word for t in added):
             raise ValueError("added tokens that take in their surroundings are not served")
+        # of strings that are pre-tokens already, the pattern would find nothing to cut
+        self.whole = Tokenizer.from_str(self.lib.to_str())
+        self.whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = re.compile("|".join(sorted((re.escape(t.content) for t in added), key=len, reverse=True)) or r"(?!)")
 
     def cut(self, text: str) -> list[str]:
@@ -65,19 +69,27 @@ class PreTokens:
             return [text[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(text)]
         return _CUT.findall(text)
 
+    def parts(self, text: str, cut) -> list[str]:
+        """``cut`` of the stretches between special strings, which stand alone."""
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += cut(text[at : m.start()])
+            out.append(m.group())
+            at = m.end()
+        return out + cut(text[at:]) if at else cut(text)
+
+    def tokens(self, text: str) -> list[str]:
+        return self.parts(text, self.cut)
+
     def chunks(self, text: str) -> list[str]:
         """Strings whose pre-tokens, one after another, are the text's; special strings stand alone.
 
         Where no two white-space characters meet, a text falls apart before each space: cheaper than
         the pattern, and most chunks repeat.
         """
-        if self.special.search(text):
-            out, at = [], 0
-            for m in self.special.finditer(text):
-                out += self.chunks(text[at : m.start()])
-                out.append(m.group())
-                at = m.end()
-            return out + self.chunks(text[at:])
+        return self.parts(text, self._chunks)
+
+    def _chunks(self, text: str) -> list[str]:
         if not text:
             return []
         if _ODD.search(text) or _RUN.search(text):
@@ -88,11 +100,12 @@ class PreTokens:
     def pieces(self, chunk: str) -> list[str]:
         return [chunk] if self.special.fullmatch(chunk) else self.cut(chunk)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, tokens: list[str]) -> list[list[int]]:
+        """Ids of pre-tokens."""
+        return [e.ids for e in self.whole.encode_batch_fast(tokens, add_special_tokens=False)]
 
-    def counts(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+    def counts(self, tokens: list[str]) -> list[int]:
+        return [len(e) for e in self.whole.encode_batch_fast(tokens, add_special_tokens=False)]
 
 
 @functools.lru_cache(maxsize=4)
@@ -202,35 +215,33 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, head: int = 400_
 
 
 class IdCache:
-    """Little-endian 32-bit ids of chunks and of pre-tokens; both caches start anew when full.
+    """Little-endian 32-bit ids of pre-tokens; starts anew beyond ``limit`` of them.
 
-    The library sees a pre-token once as long as it stays cached, whatever marks stand around the word.
+    The library sees a pre-token once as long as it stays cached.
     """
 
-    def __init__(self, path: str, chunks: int = 300_000, tokens: int = 1_000_000):
-        self.cut, self.most_chunks, self.most_tokens = pre_tokens(path), chunks, tokens
+    def __init__(self, path: str, limit: int = 1_000_000):
+        self.cut, self.limit = pre_tokens(path), limit
         self.known: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> None:
+    def encode(self, texts: list[str]) -> list[bytes]:
         from array import array
 
-        pieces = list(map(self.cut.pieces, chunks))
-        if len(self.tokens) > self.most_tokens:
-            self.tokens.clear()
-        new = list(set(itertools.chain.from_iterable(pieces)) - self.tokens.keys())
+        if len(self.known) > self.limit:
+            self.known.clear()
+        get, cut, found, missing = self.known.get, [], [], set()
+        for t in texts:
+            tokens = self.cut.tokens(t)
+            ids = list(map(get, tokens))
+            if None in ids:
+                missing.update(c for c, i in zip(tokens, ids, strict=True) if i is None)
+            cut.append(tokens)
+            found.append(ids)
+        new = list(missing)
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
-            self.tokens.update(zip(some, (array("I", ids).tobytes() for ids in self.cut.encode(some)), strict=True))
-        ids = self.tokens.__getitem__
-        self.known.update(zip(chunks, (ids(p[0]) if len(p) == 1 else b"".join(map(ids, p)) for p in pieces), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut.chunks(t) for t in texts]
-        if len(self.known) > self.most_chunks:
-            self.known.clear()
-        self._learn(list(set(itertools.chain.from_iterable(cut)) - self.known.keys()))
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+            self.known.update(zip(some, (array("I", ids).tobytes() for ids in self.cut.encode(some)), strict=True))
+        return [b"".join(map(get, c) if None in i else i) for c, i in zip(cut, found, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
