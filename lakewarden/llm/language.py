@@ -32,20 +32,49 @@ from .common import held_out, ship
 from .labelled import share
 
 WORD = re.compile(r"[^\W\d_]+")
+#: The same over texts that hold no other letters than these.
+_LATIN_WORD = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
+_OTHER = re.compile(r"[^\x00-\x7f\xdf-\xf6\xf8-\xff]")
 UND = "und"
 BUCKETS = 1 << 16
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return (WORD if _OTHER.search(text) else _LATIN_WORD).findall(text)
 
 
-def features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
-    """Hashed affixes and n-grams, then lexicon rows (kept above the buckets)."""
-    w = f"<{word[:40]}>"
-    found = {f"p{word[:k]}" for k in (1, 2, 3, 4) if len(word) >= k} | {f"s{word[-k:]}" for k in (1, 2, 3, 4) if len(word) >= k}
-    found |= {w[i : i + 2] for i in range(len(w) - 1)} | {w[i : i + 3] for i in range(len(w) - 2)}
-    return [zlib.crc32(f.encode()) % BUCKETS for f in sorted(found)] + [BUCKETS + k for k in lexicon.get(word, ())]
+def features(found: list[str], lexicon: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Weight rows of many words at once, and the word that each row is of.
+
+    Affixes and n-grams are hashed from code points; lexicon rows stand above the buckets.
+    """
+    marked = [f"<{w[:40]}>" for w in found]
+    n = np.fromiter(map(len, marked), np.int64, len(marked))
+    c = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    rows, owner = [], []
+
+    def add(start: np.ndarray, k: int, tag: int) -> None:
+        h = np.full(len(start), tag, np.uint64)
+        for i in range(k):
+            h = (h ^ c[start + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        rows.append((h % np.uint64(BUCKETS)).astype(np.int64))
+        owner.append(word[start])
+
+    for k in (2, 3):
+        at = np.arange(max(0, len(c) - k + 1))
+        add(at[word[at] == word[at + k - 1]], k, k)
+    for k in (1, 2, 3, 4):
+        long = n - 2 >= k
+        add(first[long] + 1, k, 10 + k)
+        add((first + n)[long] - 1 - k, k, 20 + k)
+    listed = [(BUCKETS + k, i) for i, w in enumerate(found) for k in lexicon.get(w, ())]
+    extra = np.array(listed, np.int64).reshape(-1, 2)
+    return np.concatenate([*rows, extra[:, 0]]), np.concatenate([*owner, extra[:, 1]])
 
 
 @dataclass
@@ -56,14 +85,15 @@ class Crf:
     moves: np.ndarray  # languages x languages
     start: np.ndarray
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.weights[features(word, self.lexicon)].sum(axis=0)
+    def emissions(self, found: list[str]) -> np.ndarray:
+        rows, owner = features(found, self.lexicon)
+        return np.stack([np.bincount(owner, self.weights[rows, k], len(found)) for k in range(len(self.langs))], axis=1)
 
 
 class Emissions:
     """Rows of exp(emission) of words, made once a word; starts anew beyond ``limit`` words."""
 
-    def __init__(self, model: Crf, limit: int = 200_000):
+    def __init__(self, model: Crf, limit: int = 500_000):
         self.model, self.limit, self.ids = model, limit, {}
         self.table = np.empty((1024, len(model.langs)), np.float32)
 
@@ -71,18 +101,84 @@ class Emissions:
         """Row numbers of all words, one document after another."""
         if len(self.ids) > self.limit:
             self.ids.clear()
-        for w in set(itertools.chain.from_iterable(docs)) - self.ids.keys():
-            k = self.ids[w] = len(self.ids)
-            if k == len(self.table):
+        new = list(set(itertools.chain.from_iterable(docs)) - self.ids.keys())
+        for at in range(0, len(new), 4000):
+            some = new[at : at + 4000]
+            k = len(self.ids)
+            while k + len(some) > len(self.table):
                 self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            e = self.model.emission(w)
-            self.table[k] = np.exp(np.maximum(e - e.max(), -30))
+            e = self.model.emissions(some)
+            self.table[k : k + len(some)] = np.exp(np.maximum(e - e.max(axis=1, keepdims=True), -30))
+            self.ids.update(zip(some, range(k, k + len(some)), strict=True))
         return np.fromiter(map(self.ids.__getitem__, itertools.chain.from_iterable(docs)), np.int64)
 
 
-def posteriors(model: Crf, table: np.ndarray, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+def posteriors(model: Crf, table: np.ndarray, rows: np.ndarray, n: np.ndarray, block: int = 32) -> np.ndarray:
     """Mean word posteriors of documents with n words each (n > 0), by forward-backward.
 
+    Documents are cut into blocks. The product of a block's steps is a matrix; messages pass from block to
+    block by these, and then all blocks run at once from the messages that enter them. The result is that
+    of running word by word, which many languages (whose matrices would be large) do instead.
+    """
+    k = len(model.langs)
+    if k > 12:
+        return posteriors_by_word(model, table, rows, n)
+    number = -(-n // block)
+    order = np.argsort(-number, kind="stable")
+    size = number[order]
+    steps = int(size[0])
+    active = len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")
+    at = np.concatenate([[0], np.cumsum(active)])  # block j of all documents stands at at[j]..at[j + 1]
+    rank = np.empty(len(n), np.int64)
+    rank[order] = np.arange(len(n))
+    t = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+    slot, col = at[t // block] + np.repeat(rank, n), t % block
+    e = np.ones((block, at[-1], k))
+    valid = np.zeros((block, at[-1], 1), bool)
+    e[col, slot], valid[col, slot] = table[rows], True
+    moves = np.exp(model.moves)
+    heads = at[1]  # first blocks: their first word has no step before it
+
+    def stepped(x: np.ndarray, c: int) -> np.ndarray:
+        y = x @ moves
+        if c == 0:
+            y[:heads] = x[:heads]
+        return y
+
+    m = np.broadcast_to(np.eye(k), (at[-1], k, k)).copy()
+    for c in range(block):
+        m = np.where(valid[c][:, :, None], stepped(m, c) * e[c][:, None, :], m)
+        if c % 4 == 3:
+            m /= m.max(axis=(1, 2), keepdims=True)
+    into, after = np.empty((at[-1], k)), np.ones((at[-1], k))
+    into[:heads] = np.exp(model.start)
+    for s in range(1, steps):
+        a, b, q = at[s - 1], at[s], active[s]
+        x = np.einsum("ni,nij->nj", into[a : a + q], m[a : a + q])
+        into[b : b + q] = x / x.sum(axis=1, keepdims=True)
+    for s in range(steps - 2, -1, -1):
+        a, b, q = at[s], at[s + 1], active[s + 1]
+        x = np.einsum("nij,nj->ni", m[b : b + q], after[b : b + q])
+        after[a : a + q] = x / x.sum(axis=1, keepdims=True)
+    alpha = np.empty_like(e)
+    for c in range(block):
+        x = stepped(into, c) * e[c]
+        into = alpha[c] = np.where(valid[c], x / x.sum(axis=1, keepdims=True), into)
+    total = np.zeros((at[-1], k))
+    for c in range(block - 1, -1, -1):
+        g = alpha[c] * after
+        total += np.where(valid[c], g / g.sum(axis=1, keepdims=True), 0)
+        if c:
+            x = (after * e[c]) @ moves.T
+            after = np.where(valid[c], x / x.sum(axis=1, keepdims=True), after)
+    doc = np.concatenate([np.arange(q) for q in active])
+    sums = np.stack([np.bincount(doc, total[:, i], len(n)) for i in range(k)], axis=1)
+    return sums[rank] / n[:, None]
+
+
+def posteriors_by_word(model: Crf, table: np.ndarray, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """As ``posteriors``, word by word.
+
     Documents advance together, longest first, so that step t works on the leading ones that have a word t.
     """
     order = np.argsort(-n, kind="stable")
@@ -125,24 +221,17 @@ def fit(sequences: list[tuple[list[str], list[int]]], langs: list[str], lexicon:
     g = np.random.default_rng(seed)
     weights, moves, start = np.zeros((BUCKETS + k, k)), np.zeros((k, k)), np.zeros(k)
     square = [np.full_like(x, 1e-8) for x in (weights, moves, start)]
-    known: dict[str, list[int]] = {}
     for _ in range(epochs):
         for at in range(0, len(sequences), batch):
             if at == 0:
                 order = g.permutation(len(sequences))
             some = [sequences[i] for i in order[at : at + batch]]
             b, steps = len(some), max(len(w) for w, _ in some)
-            feats, owner = [], []
             gold, mask = np.zeros((b, steps), np.int64), np.zeros((b, steps), bool)
             for i, (w, y) in enumerate(some):
                 mask[i, : len(w)], gold[i, : len(w)] = True, y
-                for t, x in enumerate(w):
-                    f = known.get(x)
-                    if f is None:
-                        f = known[x] = features(x, lexicon)
-                    feats += f
-                    owner += [i * steps + t] * len(f)
-            feats, owner = np.array(feats), np.array(owner)
+            feats, word = features([x for w, _ in some for x in w], lexicon)
+            owner = np.flatnonzero(mask.ravel())[word]
             e = np.stack([np.bincount(owner, weights[feats, c], b * steps) for c in range(k)], axis=1).reshape(b, steps, k)
             e = np.exp(np.maximum(e - e.max(axis=2, keepdims=True), -30))
             m, s0 = np.exp(moves), np.exp(start)
@@ -222,7 +311,7 @@ def train(spans: list[tuple[list[str], str]], langs: list[str], seed: int = 13)
     return fit(sequences, langs, lexicon) if sequences else Crf([], {}, np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
 
 
-def groups(found: list[list[str]], most: int = 400_000):
+def groups(found: list[list[str]], most: int = 150_000):
     """Runs of documents with at most ``most`` words together (or a single longer document)."""
     a = total = 0
     for i, w in enumerate(found):

@@ -100,7 +100,9 @@ def test_posteriors_equal_enumeration():
     model = L.Crf(["a", "b", "c"], {}, np.zeros((1, 3), np.float32), g.normal(size=(3, 3)), g.normal(size=3))
     emit = np.exp(g.normal(size=(7, 3))).astype(np.float32)
     docs = [[0, 1, 2, 3], [4], [5, 6, 5]]
-    got = L.posteriors(model, emit, np.concatenate(docs), np.array([4, 1, 3]))
+    got = L.posteriors_by_word(model, emit, np.concatenate(docs), np.array([4, 1, 3]))
+    for block in (1, 2, 3, 32):
+        assert np.allclose(got, L.posteriors(model, emit, np.concatenate(docs), np.array([4, 1, 3]), block), atol=1e-5)
     for d, p in zip(docs, got, strict=True):
         want = np.zeros(3)
         total = 0
