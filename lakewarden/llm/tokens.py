@@ -59,14 +59,14 @@ class PreTokens:
         if any(t.lstrip or t.rstrip or t.single_word for t in added):
             raise ValueError("added tokens that take in their surroundings are not served")
         # of strings that are pre-tokens already, the pattern would find nothing to cut
-        self.whole = Tokenizer.from_str(self.lib.to_str())
-        self.whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pre = self.lib.pre_tokenizer
+        self.lib.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = re.compile("|".join(sorted((re.escape(t.content) for t in added), key=len, reverse=True)) or r"(?!)")
 
     def cut(self, text: str) -> list[str]:
         """Pre-tokens of a text without special strings."""
         if _ODD.search(text):
-            return [text[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(text)]
+            return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
         return _CUT.findall(text)
 
     def parts(self, text: str, cut) -> list[str]:
@@ -102,10 +102,10 @@ class PreTokens:
 
     def encode(self, tokens: list[str]) -> list[list[int]]:
         """Ids of pre-tokens."""
-        return [e.ids for e in self.whole.encode_batch_fast(tokens, add_special_tokens=False)]
+        return [e.ids for e in self.lib.encode_batch_fast(tokens, add_special_tokens=False)]
 
     def counts(self, tokens: list[str]) -> list[int]:
-        return [len(e) for e in self.whole.encode_batch_fast(tokens, add_special_tokens=False)]
+        return [len(e) for e in self.lib.encode_batch_fast(tokens, add_special_tokens=False)]
 
 
 @functools.lru_cache(maxsize=4)
@@ -220,7 +220,7 @@ class IdCache:
     The library sees a pre-token once as long as it stays cached.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         self.cut, self.limit = pre_tokens(path), limit
         self.known: dict[str, bytes] = {}
 

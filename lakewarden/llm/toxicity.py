@@ -56,7 +56,7 @@ class Spelling(dict):
 
     WORD, STEM, HIDDEN, YOU, ODD, UPPER = 1, 2, 4, 8, 16, 32
 
-    def __init__(self, lexicon: dict[str, float], limit: int = 300_000):
+    def __init__(self, lexicon: dict[str, float], limit: int = 150_000):
         self.lexicon, self.limit = lexicon, limit
 
     def __missing__(self, word: str) -> tuple[float, int]:
