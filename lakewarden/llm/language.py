@@ -1,7 +1,8 @@
 """Language identification of code-switched text by a linear-chain conditional random field.
 
 Each word is a position; its features are the word's affixes (first and last one to four letters), its
-letter n-grams (two and three, with word ends) and the lexicons that list it. Features are hashed to rows
+letter n-grams (two and three, with word ends) and the lexicons that list it, all of the whole word,
+however long: a text in a script without spaces has few, long words. Features are hashed to rows
 of a weight table; a table of learned transitions ties neighbouring words. Forward-backward gives each
 word's distribution over languages, and a document's languages are the means over its words: the largest
 is the prediction, its mean the score.
@@ -21,6 +22,7 @@ import itertools
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +39,8 @@ _LATIN_WORD = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
 _OTHER = re.compile(r"[^\x00-\x7f\xdf-\xf6\xf8-\xff]")
 UND = "und"
 BUCKETS = 1 << 16
+#: Letters whose features are made at once.
+LETTERS = 1 << 18
 
 
 def words(text: str | None) -> list[str]:
@@ -46,35 +50,52 @@ def words(text: str | None) -> list[str]:
     return (WORD if _OTHER.search(text) else _LATIN_WORD).findall(text)
 
 
-def features(found: list[str], lexicon: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Weight rows of many words at once, and the word that each row is of.
+def features(found: list[str], lexicon: dict[str, list[int]], most: int = LETTERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Weight rows of many words, and the word that each row is of; in parts of about ``most`` letters.
 
-    Affixes and n-grams are hashed from code points; lexicon rows stand above the buckets.
+    Affixes and n-grams are hashed from code points of the whole word; lexicon rows stand above the buckets.
+    A word of more letters than a part has goes over several parts.
     """
-    marked = [f"<{w[:40]}>" for w in found]
-    n = np.fromiter(map(len, marked), np.int64, len(marked))
-    c = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    word, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
-    rows, owner = [], []
-
-    def add(start: np.ndarray, k: int, tag: int) -> None:
-        h = np.full(len(start), tag, np.uint64)
-        for i in range(k):
-            h = (h ^ c[start + i]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        rows.append((h % np.uint64(BUCKETS)).astype(np.int64))
-        owner.append(word[start])
-
-    for k in (2, 3):
-        at = np.arange(max(0, len(c) - k + 1))
-        add(at[word[at] == word[at + k - 1]], k, k)
-    for k in (1, 2, 3, 4):
-        long = n - 2 >= k
-        add(first[long] + 1, k, 10 + k)
-        add((first + n)[long] - 1 - k, k, 20 + k)
-    listed = [(BUCKETS + k, i) for i, w in enumerate(found) for k in lexicon.get(w, ())]
-    extra = np.array(listed, np.int64).reshape(-1, 2)
-    return np.concatenate([*rows, extra[:, 0]]), np.concatenate([*owner, extra[:, 1]])
+    for lo, hi in groups(found, most):
+        marked = [f"<{w}>" for w in found[lo:hi]]
+        n = np.fromiter(map(len, marked), np.int64, len(marked))
+        c = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+        word, first = np.repeat(np.arange(lo, hi), n), np.cumsum(n) - n
+        rows, owner = [], []
+
+        def add(start: np.ndarray, k: int, tag: int, c=c, word=word, rows=rows, owner=owner) -> None:
+            h = np.full(len(start), tag, np.uint64)
+            for i in range(k):
+                h = (h ^ c[start + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            rows.append((h % np.uint64(BUCKETS)).astype(np.int64))
+            owner.append(word[start])
+
+        size = len(c) if len(c) <= 4 * most else most
+        for at in range(0, len(c), size):
+            for k in (2, 3):
+                start = np.arange(at, min(at + size, len(c) - k + 1))
+                add(start[word[start] == word[start + k - 1]], k, k)
+            if at + size < len(c):
+                yield np.concatenate(rows), np.concatenate(owner)
+                rows.clear()
+                owner.clear()
+        for k in (1, 2, 3, 4):
+            long = n - 2 >= k
+            add(first[long] + 1, k, 10 + k)
+            add((first + n)[long] - 1 - k, k, 20 + k)
+        listed = [(BUCKETS + k, i) for i in range(lo, hi) for k in lexicon.get(found[i], ())]
+        extra = np.array(listed, np.int64).reshape(-1, 2)
+        yield np.concatenate([*rows, extra[:, 0]]), np.concatenate([*owner, extra[:, 1]])
+
+
+def summed(parts: Iterable[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the weight rows of n words."""
+    out = np.zeros((n, weights.shape[1]))
+    for rows, owner in parts:
+        for k in range(weights.shape[1]):
+            out[:, k] += np.bincount(owner, weights[rows, k], n)
+    return out
 
 
 @dataclass
@@ -86,21 +107,21 @@ class Crf:
     start: np.ndarray
 
     def emissions(self, found: list[str]) -> np.ndarray:
-        rows, owner = features(found, self.lexicon)
-        return np.stack([np.bincount(owner, self.weights[rows, k], len(found)) for k in range(len(self.langs))], axis=1)
+        return summed(features(found, self.lexicon), self.weights, len(found))
 
 
 class Emissions:
-    """Rows of exp(emission) of words, made once a word; starts anew beyond ``limit`` words."""
+    """Rows of exp(emission) of words, made once a word; starts anew beyond ``limit`` words or ``letters`` letters."""
 
-    def __init__(self, model: Crf, limit: int = 500_000):
-        self.model, self.limit, self.ids = model, limit, {}
+    def __init__(self, model: Crf, limit: int = 500_000, letters: int = 20_000_000):
+        self.model, self.limit, self.letters, self.ids, self.held = model, limit, letters, {}, 0
         self.table = np.empty((1024, len(model.langs)), np.float32)
 
     def rows(self, docs: list[list[str]]) -> np.ndarray:
         """Row numbers of all words, one document after another."""
-        if len(self.ids) > self.limit:
+        if len(self.ids) > self.limit or self.held > self.letters:
             self.ids.clear()
+            self.held = 0
         new = list(set(itertools.chain.from_iterable(docs)) - self.ids.keys())
         for at in range(0, len(new), 4000):
             some = new[at : at + 4000]
@@ -110,6 +131,7 @@ class Emissions:
             e = self.model.emissions(some)
             self.table[k : k + len(some)] = np.exp(np.maximum(e - e.max(axis=1, keepdims=True), -30))
             self.ids.update(zip(some, range(k, k + len(some)), strict=True))
+            self.held += sum(map(len, some))
         return np.fromiter(map(self.ids.__getitem__, itertools.chain.from_iterable(docs)), np.int64)
 
 
@@ -230,9 +252,11 @@ def fit(sequences: list[tuple[list[str], list[int]]], langs: list[str], lexicon:
             gold, mask = np.zeros((b, steps), np.int64), np.zeros((b, steps), bool)
             for i, (w, y) in enumerate(some):
                 mask[i, : len(w)], gold[i, : len(w)] = True, y
-            feats, word = features([x for w, _ in some for x in w], lexicon)
-            owner = np.flatnonzero(mask.ravel())[word]
-            e = np.stack([np.bincount(owner, weights[feats, c], b * steps) for c in range(k)], axis=1).reshape(b, steps, k)
+            flat, place = [x for w, _ in some for x in w], np.flatnonzero(mask.ravel())
+            parts = list(features(flat, lexicon)) if sum(map(len, flat)) <= 8 * LETTERS else None
+            e = np.zeros((b * steps, k))
+            e[place] = summed(parts or features(flat, lexicon), weights, len(flat))
+            e = e.reshape(b, steps, k)
             e = np.exp(np.maximum(e - e.max(axis=2, keepdims=True), -30))
             m, s0 = np.exp(moves), np.exp(start)
             alpha, beta = np.empty_like(e), np.ones_like(e)
@@ -251,8 +275,14 @@ def fit(sequences: list[tuple[list[str], list[int]]], langs: list[str], lexicon:
             pairs /= pairs.sum(axis=(2, 3), keepdims=True)
             both = mask[:, 1:]
             d_moves = pairs[both].sum(axis=0) - np.einsum("ni,nj->ij", y[:, :-1][both], y[:, 1:][both])
-            rows, inverse = np.unique(feats, return_inverse=True)
-            d_rows = np.stack([np.bincount(inverse, diff[owner, c], len(rows)) for c in range(k)], axis=1) / b + l2 * weights[rows]
+            rows, d_rows = np.zeros(0, np.int64), np.zeros((0, k))
+            for feats, word in parts or features(flat, lexicon):
+                new, inverse = np.unique(feats, return_inverse=True)
+                d_new = np.stack([np.bincount(inverse, diff[place[word], c], len(new)) for c in range(k)], axis=1)
+                rows, inverse = np.unique(np.concatenate([rows, new]), return_inverse=True)
+                d_all = np.concatenate([d_rows, d_new])
+                d_rows = np.stack([np.bincount(inverse, d_all[:, c], len(rows)) for c in range(k)], axis=1)
+            d_rows = d_rows / b + l2 * weights[rows]
             square[0][rows] += d_rows**2
             weights[rows] -= rate * d_rows / np.sqrt(square[0][rows])
             for x, d, q in ((moves, d_moves / b, square[1]), (start, (p - y)[:, 0].sum(axis=0) / b, square[2])):

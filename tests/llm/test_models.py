@@ -128,3 +128,21 @@ def test_switching_text(spark):
     assert L.identify(df.limit(0), model).collect() == []
     nothing = L.learn(df.limit(0))
     assert {r.lang_pred for r in L.identify(df, nothing).collect()} == {"und"}
+
+
+def test_long_runs_count_whole(spark):
+    """Words without an end: the language of a run shows only after its fortieth letter."""
+    g = random.Random(4)
+    word = {"x": lambda n: "".join(g.choice("abc") for _ in range(n)), "y": lambda n: "".join(g.choice("def") for _ in range(n))}
+    model = L.train([([word[k](5) for _ in range(30)], k) for k in "xy" for _ in range(60)], ["x", "y"])
+    texts = [word[a](40) + word[b](n) for a, b, n in (("x", "y", 400), ("y", "x", 400), ("x", "y", 1_500_000))]
+    got = L.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["y", "x", "y"]
+    late = L.train([(["a" * 40 + word[k](60) for _ in range(30)], k) for k in "xy" for _ in range(60)], ["x", "y"])
+    assert [late.emissions(["a" * 40 + word[k](60)]).argmax() for k in "xy"] == [0, 1]
+
+
+def test_features_are_the_same_in_parts():
+    found = ["a", "", "of", "日本語" * 50, "word" * 30, "end"]
+    of = lambda most: Counter((int(r), int(w)) for rows, owner in L.features(found, {"of": [1]}, most) for r, w in zip(rows, owner, strict=True))
+    assert of(1) == of(7) == of(40) == of(L.LETTERS) and sum(of(7).values()) > 2 * sum(map(len, found))
