@@ -16,14 +16,22 @@ from lakewarden.llm.packing import pack
 from lakewarden.llm.queries import byte_bpe
 from lakewarden.llm.simhash import near_duplicates
 
-#: Up to so many ids (16 bytes each) are broadcast; more are joined by a shuffle.
+#: Up to so many row numbers (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't among the distinct ``ids(doc_id)``; null ids stay."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(docs.columns)
+def keyed(ws: Workspace, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, written once so that it holds, and the number's column."""
+    key = "row_key"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    return ws.stage(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def without(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key isn't among the distinct ``keys(key)``, without that column."""
+    small = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(keys) if small else keys, key, "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns if c != key))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,28 +47,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays.
+    """Of each group of near-duplicate rows the one with the smallest id stays, as one row.
 
-    Rows of one id are one document: it stays if any of them is first in its group, as one row. A row
-    without an id can't be told from others and stays.
+    Rows are told apart by number, not by id: each text of a repeated id is decided for itself. A row without
+    an id comes after all that have one; of equal ids (or none) the first row stays.
     """
     ws = Workspace(spark)
-    ids = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id")
-    ids = ws.stage(ids.agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")), "ids")
-    kept = without(docs, ids.where("not first").select("doc_id"))
-    again = ids.where("first and n > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    cols = F.struct(*docs.columns)
-    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(cols, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
-    return without(kept, again).unionByName(one)
+    rows, key = keyed(ws, docs)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col(key).alias("row"))
+    near = near_duplicates(rows.select(place.alias("place"), "text"), id_col="place")
+    copies = ws.stage(near.where("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias(key)), "copies")
+    return without(rows, key, copies)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item (or a whole shorter item)."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), width=10)
-    ids = Workspace(spark).stage(found.where("contaminated and doc_id is not null").select("doc_id").distinct(), "leaks")
-    return without(docs, ids)
+    """Drops rows that hold ten consecutive words of a benchmark item (or a whole shorter item), whatever their id."""
+    ws = Workspace(spark)
+    rows, key = keyed(ws, docs)
+    found = decontaminate(rows.select(F.col(key).alias("row_key"), "text"), table(spark, sf_dir, "benchmark"), width=10, id_col="row_key")
+    leaks = ws.stage(found.where("contaminated").select(F.col("doc_id").alias(key)), "leaks")
+    return without(rows, key, leaks)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

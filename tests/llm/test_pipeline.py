@@ -59,3 +59,19 @@ def test_odd_rows(spark, odd_docs, no_docs):
     for _, stage in P.STAGES:
         assert stage(spark, no_docs, SF).collect() == []
         assert stage(spark, extra, SF).count() > 0
+
+
+def test_copies_and_leaks_are_decided_by_row(spark, tmp_path):
+    """Null and repeated ids: each row by its own text."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    rows = [(1, "a"), (1, "b"), (2, "b"), (None, "b"), (None, "c"), (None, "c"), (None, "d"), (3, "e"), (3, "f")]
+    docs = spark.createDataFrame([(i, text[k], k, "s") for i, k in rows], "doc_id long, text string, lang string, row_key string")
+    of = lambda df: sorted(((r.doc_id, r.lang) for r in df.collect()), key=str)
+    kept = P.drop_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert of(kept) == sorted([(1, "a"), (1, "b"), (None, "c"), (None, "d"), (3, "e"), (3, "f")], key=str)
+    items = [(0, " ".join(text["d"].split()[5:30])), (1, text["e"])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = P.drop_leaks(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert of(clean) == sorted([(i, k) for i, k in rows if k not in "de"], key=str)
