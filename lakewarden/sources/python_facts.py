@@ -2,7 +2,8 @@
 
 One row per fact: kind (import, function, class, call, assign, constant, decorator, lock, error), its place,
 the enclosing function, a name as written and with import aliases resolved, and details. Nothing is
-executed; a file that can't be parsed gives an ``error`` row.
+executed; a file that can't be parsed gives an ``error`` row, as does one over ``LIMIT`` characters. Texts of
+calls, functions and constants are whole.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from ..session import ship
 
 FACTS = "path string, kind string, ord int, line int, col int, fn string, name string, resolved string, n_args int, kwargs map<string,string>, items array<string>, text string"
 LIMIT = 2_000_000
+#: A batch of rows is sent when its texts have so many characters.
+BATCH = 16_000_000
 
 
 def dotted(node: ast.AST) -> str:
@@ -60,7 +63,7 @@ class Facts(ast.NodeVisitor):
 
     def _function(self, node):
         args = [a.arg for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs)]
-        self.add("function", node, node.name, len(args), items=args, text=ast.unparse(node)[:20_000], kwargs={"async": str(isinstance(node, ast.AsyncFunctionDef))})
+        self.add("function", node, node.name, len(args), items=args, text=ast.unparse(node), kwargs={"async": str(isinstance(node, ast.AsyncFunctionDef))})
         self._decorators(node)
         self.stack.append(node.name)
         held, self.locks = self.locks, []
@@ -86,7 +89,7 @@ class Facts(ast.NodeVisitor):
             self.generic_visit(d)
 
     def visit_Call(self, node):
-        self.add("call", node, dotted(node.func), len(node.args), {k.arg: shown(k.value) for k in node.keywords if k.arg}, [shown(a) for a in node.args], ast.unparse(node)[:2000])
+        self.add("call", node, dotted(node.func), len(node.args), {k.arg: shown(k.value) for k in node.keywords if k.arg}, [shown(a) for a in node.args], ast.unparse(node))
         self.generic_visit(node)
 
     def visit_Assign(self, node):
@@ -97,7 +100,7 @@ class Facts(ast.NodeVisitor):
 
     def visit_Constant(self, node):
         if isinstance(node.value, str):
-            self.add("constant", node, "str", text=node.value[:2000])
+            self.add("constant", node, "str", text=node.value)
 
     def _with(self, node):
         names = [dotted(i.context_expr.func if isinstance(i.context_expr, ast.Call) else i.context_expr) for i in node.items]
@@ -135,13 +138,21 @@ def facts_of(path: str, content: str | None) -> list[tuple]:
 
 
 def _rows(files: DataFrame, fn, schema: str, arrow: pa.Schema) -> DataFrame:
+    def batch(rows):
+        cols = list(zip(*rows, strict=True)) or [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array([list(x.items()) for x in c] if pa.types.is_map(f.type) else c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
     def own(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                rows = [r for p, c in zip(part["path"].to_pylist(), part["content"].to_pylist(), strict=True) for r in fn(p or "", c)]
-                cols = list(zip(*rows, strict=True)) or [()] * len(arrow)
-                yield pa.RecordBatch.from_arrays([pa.array([list(x.items()) for x in c] if pa.types.is_map(f.type) else c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+            rows, size = [], 0
+            for p, c in zip(b["path"], b["content"], strict=True):
+                for r in fn(p.as_py() or "", c.as_py()):
+                    rows.append(r)
+                    size += 200 + sum(len(x) for x in r if isinstance(x, str))
+                    if size > BATCH:
+                        yield batch(rows)
+                        rows, size = [], 0
+            yield batch(rows)
 
     ship(files.sparkSession)
     return files.select("path", "content").mapInArrow(own, schema)

@@ -120,3 +120,17 @@ def test_repo_reads_hidden_files(spark, tmp_path):
     assert set(got) == {"a.py", ".env", "pkg/__init__.py", ".github/w.yml", "pkg/deep/b.md"}
     assert got[".env"].is_hidden and got["a.py"].is_python and got["a.py"].content == "x"
     assert [r.path for r in read_repo(spark, str(tmp_path / "a.py")).collect()] == ["a.py"]
+
+
+def test_long_calls_and_bodies_count_whole(spark):
+    from lakewarden.operators import code_rules
+    from lakewarden.sources.python_facts import python_facts
+
+    fill = "".join(f"    x{i} = {i}\n" for i in range(2500))
+    web = f"@app.get('/a')\ndef a(item_id):\n{fill}    check_owner(item_id)\n\n@app.get('/b')\ndef b(q):\n{fill}    requests.get(q, verify=False)\n"
+    files = [("web.py", web), ("run.py", f"exec(bytes.fromhex('{'61' * 3000}'.strip()) + b64decode(x))\nwrite('{'y' * 3000} /etc/cron.d/x')\nexec('{'z' * 3000}' + rot13(s))\n")]
+    facts = python_facts(spark.createDataFrame(files, "path string, content string"))
+    assert {(r.handler, r.rule_id) for r in code_rules.web_findings(code_rules.routes(facts)).collect()} == {("b", "WEB-004"), ("b", "WEB-008")}
+    got = {(r.line, r.event) for r in code_rules.install_events(facts).collect()}
+    assert {(1, "OBFUSCATED_EXECUTION"), (2, "PERSISTENCE"), (3, "OBFUSCATED_EXECUTION")} <= got
+    assert max(len(r.text) for r in facts.where("kind = 'constant'").collect()) == 6000
