@@ -73,29 +73,50 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, dept
     return hit.select("start", "node", (F.size("path") - 1).alias("hops"), "path").where("hops > 0")
 
 
-def strong_components(edges: DataFrame, depth: int = 60) -> DataFrame:
-    """(node, component): nodes that reach each other share the smallest of them; lone nodes with a loop too.
-
-    Repeated trimming drops nodes without predecessors or successors (they are on no cycle), so the
-    closure is taken over what cycles are made of.
-    """
-    e = _cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+def _trimmed(e: DataFrame) -> tuple[DataFrame, int]:
+    """Edges less those of nodes without predecessors or successors, repeatedly: they are on no cycle."""
     n = e.count()
     while n:
         core = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        core = _cut(core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        m = core.count()
-        e = core
-        if m == n:
+        e = _cut(core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if n == (n := e.count()):
             break
-        n = m
-    nodes = e.select(F.col("src").alias("node")).distinct()
-    reach = levels(e, nodes, depth).where("level > 0").select("start", "node")
-    loops = e.where("src = dst").select(F.col("src").alias("start"), F.col("dst").alias("node"))
-    reach = _cut(reach.union(loops).distinct())
-    back = reach.select(F.col("node").alias("start"), F.col("start").alias("node"))
-    both = reach.join(back, ["start", "node"], "left_semi")
-    return both.groupBy(F.col("start").alias("node")).agg(F.least(F.min("node"), F.col("start")).alias("component"))
+    return e, n
+
+
+def strong_components(edges: DataFrame, steps: int = 8) -> DataFrame:
+    """(node, component): nodes that reach each other share the smallest of them; lone nodes with a loop too.
+
+    Each node takes the smallest node that reaches it as its colour. Those that reach a colour's own node within
+    the colour are its component; they are taken out and the rest is coloured anew. There is no limit on a
+    cycle's length; lineage is cut every ``steps`` steps, and a step's tables have at most a row an edge.
+    """
+    e, n = _trimmed(_cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct()))
+    loops = _cut(e.where("src = dst").select(F.col("src").alias("node")))
+    out = None
+    while n:
+        colours, old = _cut(e.select(F.col("src").alias("node"), F.col("src").alias("colour")).distinct()), None
+        still = _cut(e.union(e.select("src", F.col("src").alias("dst"))).distinct())  # a node keeps what it has
+        while old is None or not colours.join(old, ["node", "colour"], "left_anti").isEmpty():
+            old = now = colours
+            for _ in range(steps):
+                now = still.join(now.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("colour"))
+            colours = _cut(now)
+        own = e.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(colours.select(F.col("node").alias("dst"), "colour"), "dst")
+        own = own.where("c = colour").select("src", "dst", "colour")
+        own = _cut(own.union(colours.select("node", "node", "colour")).distinct())
+        found, m = _cut(colours.where("node = colour")), 0
+        while m != (m := found.count()):
+            for _ in range(steps):
+                found = own.join(found.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            found = _cut(found)
+        out = found if out is None else out.union(found)
+        e, n = _trimmed(_cut(without_nodes(e, found)))
+    if out is None:
+        return e.select(F.col("src").alias("node"), F.col("src").alias("component"))
+    many = out.groupBy("colour").count().where("count > 1").select("colour")
+    alone = out.join(many, "colour", "left_anti").join(loops, "node", "left_semi")
+    return out.join(many, "colour", "left_semi").select("node", "colour").union(alone.select("node", "colour")).withColumnRenamed("colour", "component")
 
 
 def without_nodes(edges: DataFrame, removed: DataFrame) -> DataFrame:

@@ -65,6 +65,15 @@ def test_graphs(spark):
     assert {r.node for r in graph.levels(left, start, 5).collect()} == {"e", "a"}
 
 
+def test_long_cycles_are_whole(spark):
+    """A cycle of 130 nodes with a short one after it, a node between them, and a tail."""
+    e = [(i, (i + 1) % 130) for i in range(130)] + [(7, 200), (200, 150), (150, 151), (151, 150), (151, 300), (300, 301), (160, 160)]
+    df = spark.createDataFrame(e, "src long, dst long")
+    want = {i: 0 for i in range(130)} | {150: 150, 151: 150, 160: 160}
+    got = graph.strong_components(df).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
 def test_reports(spark, sf, tmp_path):
     f = findings(spark, sf)
     log = json.loads(sarif(f.where("project = 3")).first().sarif)
