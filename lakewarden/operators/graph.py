@@ -38,18 +38,13 @@ def levels(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return known
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, depth: int, per_pair: int | None = None) -> DataFrame:
-    """(start, node, path) of all simple paths of 1 to ``depth`` steps.
-
-    ``per_pair`` keeps the first so many of a (start, node) at each length, as a top-k feature.
-    """
+def simple_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(start, node, path) of all simple paths of 1 to ``depth`` steps."""
     e = edges.select("src", "dst").distinct()
     at = starts.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct()
     out = None
     for _ in range(depth):
         at = at.join(e, at.node == e.src).where("not array_contains(path, dst)").select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        if per_pair:
-            at = at.groupBy("start", "node").agg(F.slice(F.array_sort(F.collect_list("path")), 1, per_pair).alias("p")).select("start", "node", F.explode("p").alias("path"))
         at = _cut(at)
         if at.isEmpty():
             break

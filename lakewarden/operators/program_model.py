@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import simple_paths
+from .graph import _cut
 from .lines import carried
 
 #: Name and category.
@@ -74,15 +74,23 @@ def marks(fn_lines: DataFrame) -> DataFrame:
 def flows(lines: DataFrame, depth: int = 8, per_pair: int = 10) -> DataFrame:
     """start, sink function, sink, category, path, severity of unsanitised flows.
 
-    CRITICAL where an endpoint is on the path, else HIGH.
+    CRITICAL where an endpoint is on the path, else HIGH. What a path makes safe and whether it holds an endpoint
+    is carried from call to call for every start, so no flow of at most ``depth`` calls is lost. A call path may
+    pass a function again (recursion). Each distinct state has its first shortest path; of a flow and severity
+    the ``per_pair`` shortest of these are shown.
     """
     fn = functions(lines)
-    m = marks(fn)
-    starts = m.where("endpoint or size(sources) > 0").select("node")
-    paths = simple_paths(call_edges(fn), starts, depth, per_pair)
-    paths = paths.select("start", "node", "path").union(starts.select("node", "node", F.array("node")))
-    hop = paths.withColumn("id", F.xxhash64(F.to_json("path"))).select("*", F.explode("path").alias("step"))
-    hop = hop.join(m.select(F.col("node").alias("step"), "safe", "endpoint"), "step")
-    safe = hop.groupBy("id").agg(F.first("start").alias("start"), F.first("node").alias("node"), F.first("path").alias("path"), F.array_distinct(F.flatten(F.collect_list("safe"))).alias("safe"), F.max("endpoint").alias("endpoint"))
-    out = safe.join(m.select("node", "sinks"), "node").select("*", F.explode("sinks").alias("sink")).where("not array_contains(safe, sink.category)")
-    return out.select("start", "node", F.col("sink.name").alias("sink"), F.col("sink.category").alias("category"), "path", F.when(F.col("endpoint"), "CRITICAL").otherwise("HIGH").alias("severity"))
+    m = _cut(marks(fn).select("node", F.coalesce("endpoint", F.lit(False)).alias("endpoint"), "sources", "sinks", F.array_sort("safe").alias("safe")))
+    e = _cut(call_edges(fn).join(m.select(F.col("node").alias("dst"), F.col("safe").alias("more"), F.col("endpoint").alias("serves")), "dst"))
+    key = ["start", "node", "safe", "endpoint"]
+    at = known = m.where("endpoint or size(sources) > 0").select(F.col("node").alias("start"), "node", "safe", "endpoint", F.array("node").alias("path"))
+    for _ in range(depth):
+        step = at.join(e, at.node == e.src).select("start", F.col("dst").alias("node"), F.array_sort(F.array_union("safe", "more")).alias("safe"), (F.col("endpoint") | F.col("serves")).alias("endpoint"), F.concat("path", F.array("dst")).alias("path"))
+        at = _cut(step.groupBy(key).agg(F.min("path").alias("path")).join(known.select(key), key, "left_anti"))
+        if at.isEmpty():
+            break
+        known = known.union(at)
+    out = known.join(m.select("node", "sinks"), "node").select("*", F.explode("sinks").alias("sink")).where("not array_contains(safe, sink.category)")
+    out = out.select("start", "node", F.col("sink.name").alias("sink"), F.col("sink.category").alias("category"), "path", F.when(F.col("endpoint"), "CRITICAL").otherwise("HIGH").alias("severity"))
+    w = Window.partitionBy("start", "node", "sink", "category", "severity").orderBy(F.size("path"), "path")
+    return out.distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_pair).drop("n")

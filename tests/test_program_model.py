@@ -14,3 +14,13 @@ def test_flows(spark):
     assert edges == {("a.go:getUser", "a.go:load"), ("a.go:load", "a.go:run"), ("b.py:handler_a", "b.py:helper")}
     got = {(r.start, r.node, r.category, r.severity) for r in P.flows(lines).collect()}
     assert got == {("a.go:getUser", "a.go:run", "SQL", "CRITICAL"), ("c.php:show", "c.php:show", "HTML_OUTPUT", "HIGH")}
+
+
+def test_no_flow_is_lost_among_many_paths(spark):
+    """Eleven sanitised ways come first, the twelfth isn't sanitised; it stands before a further call."""
+    ways = "".join(f"def m{i:02}(v):\n{'' if i == 11 else '    v = shlex.quote(v)' + chr(10)}    last(v)\n\n" for i in range(12))
+    calls = "".join(f"    m{i:02}(v)\n" for i in range(12))
+    body = f"def start(r):\n    v = request.args\n{calls}\n{ways}def last(v):\n    run(v)\n\ndef run(v):\n    os.system(v)\n    start(v)\n"
+    lines = exploded(spark.createDataFrame([("a.py", body)], "path string, content string"), ["path"], "content")
+    got = {(r.start, r.node, r.category, r.severity, tuple(r.path)) for r in P.flows(lines).collect()}
+    assert got == {("a.py:start", "a.py:run", "SHELL_EXEC", "HIGH", ("a.py:start", "a.py:m11", "a.py:last", "a.py:run"))}
