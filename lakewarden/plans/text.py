@@ -27,6 +27,15 @@ def entropy_tokens(spark, sf):
     return d.select("doc_id", S.entropy(F.left(F.coalesce("source", F.lit("")), F.lit(64))).alias("source_entropy"), S.entropy(F.split_part("text", F.lit(" "), F.lit(1))).alias("first_entropy"))
 
 
+def token_entropy(spark, sf):
+    """Of each row the entropy of the whole source, the number of distinct tokens of the whole text and their highest entropy."""
+    d = table(spark, sf, "documents")
+    tokens = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\r\n]+"), lambda t: t != ""))
+    d = d.select("doc_id", S.entropy(F.coalesce("source", F.lit(""))).alias("source_entropy"), tokens.alias("tokens"))
+    top = F.coalesce(F.array_max(F.transform("tokens", S.entropy)), F.lit(0.0))
+    return d.select("doc_id", "source_entropy", F.size("tokens").cast("long").alias("n_tokens"), top.alias("max_entropy"))
+
+
 def placeholder_values(spark, sf):
     v = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b\w+ = (\"[^\"\s]+\")"), 1))).alias("v"))
     return v.select("doc_id", S.is_placeholder(F.col("v")).alias("placeholder"), S.redacted(S.unquoted(F.col("v"))).alias("shown"))
@@ -111,7 +120,7 @@ def workspace_hash(spark, sf):
     return g.select("source", F.sha2(F.array_join(F.transform("a", lambda x: x["h"]), ""), 256).alias("workspace_hash"))
 
 
-QUERIES = {f.__name__: f for f in (secret_scan_documents, secret_context_severity, entropy_tokens, placeholder_values, license_policy, line_pattern_rules, line_counts, ssrf_host_policy, json_props_extract, function_carry_forward, line_segments, webhook_latest_wins, lifecycle_exposure, workspace_hash)}
+QUERIES = {f.__name__: f for f in (secret_scan_documents, secret_context_severity, entropy_tokens, token_entropy, placeholder_values, license_policy, line_pattern_rules, line_counts, ssrf_host_policy, json_props_extract, function_carry_forward, line_segments, webhook_latest_wins, lifecycle_exposure, workspace_hash)}
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 
