@@ -64,7 +64,7 @@ def statistics(text: str | None) -> list[float]:
             run = 1
     letters = sum(map(len, words))
     upper = size - len(raw.translate(None, _UPPER))
-    windows = np.array([_window(words[i : i + 50]) for i in range(0, n if n < 50 else n - 24, 50)])
+    windows = np.array([_window(words[i : i + 50]) for i in {*range(0, n - 49, 50), max(0, n - 50)}])  # the last ends at the last word
     alike = Counter(w[-2:] for w in words).most_common(1)[0][1]
     return [
         float(np.log1p(n)), letters / n, len(c) / n, c.most_common(1)[0][1] / n, repeated / n, len(set(zip(words, words[1:], strict=False))) / max(1, n - 1), best / n,
@@ -95,12 +95,12 @@ class RuleModel:
         return 1 / (1 + F.exp(-z))
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, u: np.ndarray, rounds: int = 40, depth: int = 3, most_rules: int = 500) -> RuleModel:
+def fit_rules(x: np.ndarray, y: np.ndarray, u: np.ndarray, rounds: int = 40, depth: int = 3) -> RuleModel:
     """Trees on all rows; the lasso's penalty is the best of a few on rows it didn't see."""
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 1.0, 1e-6, 1 - 1e-6))
         return RuleModel(float(np.log(p / (1 - p))), [], [])
-    rules = T.rules_of(T.boost(x, y, rounds, depth)[1])[:most_rules]
+    rules = T.rules_of(T.boost(x, y, rounds, depth)[1])
     r = T.applies(rules, x)
     fit = u < 0.75
     best = (np.inf, 1e-3)

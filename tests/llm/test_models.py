@@ -66,6 +66,25 @@ def test_compiled_rules_equal_the_matrix(spark):
     assert np.allclose(got, want, atol=1e-5) and ((got > 0.5) == (y > 0)).mean() > 0.97
 
 
+def test_windows_reach_the_last_word():
+    plain = [f"word{i}" for i in range(50)]
+    at = lambda tail: dict(zip(QU.STATISTICS, QU.statistics(" ".join(plain + tail)), strict=True))
+    for n in (5, 24, 25, 60, 99):
+        assert at(["@@##"] * n)["worst_symbols"] >= min(n, 50) / 50 * 0.4 and at(["JUNK"] * n)["worst_capitals"] == min(n, 50) / 50
+    assert at([])["worst_symbols"] == 0 and QU._window(plain[:1]) == (0.0, 0.0, 0.0)
+
+
+def test_lasso_sees_all_tree_paths(monkeypatch):
+    g = np.random.default_rng(0)
+    x = g.random((4000, len(QU.STATISTICS)))
+    y = (g.random(4000) < 0.3 + 0.4 * (x[:, 0] > x[:, 1])).astype(float)
+    seen, applies = [], T.applies
+    monkeypatch.setattr(T, "applies", lambda rules, x: seen.append(len(rules)) or applies(rules, x))
+    monkeypatch.setattr(T, "lasso_logistic", lambda r, *a, **k: (0.0, np.zeros(r.shape[1])))
+    QU.fit_rules(x, y, g.random(4000))
+    assert seen == [len(T.rules_of(T.boost(x, y, 40, 3)[1]))] and seen[0] > 500
+
+
 def test_trees_and_isotonic():
     g = np.random.default_rng(1)
     x = g.random((2000, 5))
