@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import findings as O
@@ -96,3 +96,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES = """
 edges AS (SELECT DISTINCT (l_suppkey % 40)::BIGINT AS src, (((l_suppkey % 40) * 3 + 1 + l_linenumber % 2) % 37)::BIGINT AS dst FROM lineitem)
 """
+
+
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part leads to the part of the next line of an order: real keys, none merged."""
+    nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("src"), nxt.cast("long").alias("dst")).where("dst is not null").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.versions import is_typosquat, normalised, satisfies
 from ..operators import diff, graph, sca
-from .base import EDGES, dependencies, edges, table
+from .base import EDGES, dependencies, edges, part_edges, table
 
 #: Advisory events: id, package, position, kind, version.
 ADVISORIES = (
@@ -107,7 +107,45 @@ def what_if(spark, sf):
     return graph.levels(left, _start(spark), 6).select("start", "node", F.col("level").cast("long").alias("level"))
 
 
-QUERIES = {f.__name__: f for f in (name_normalise, semver_satisfies, semver_range_join, advisory_status, version_conflicts, fix_recommendation, typosquat, dep_diff, lockfile_sync, call_reachability, attack_paths, dep_depth, dep_spof, scc_cycles, what_if)}
+# The same over real keys; the queries above are tied to their SQL, which folds the keys. Recursive SQL is too slow
+# on these graphs, so there is none; a test holds them against brute force.
+
+
+def part_reachability(spark, sf):
+    """The first shortest path of each start to every part within four steps."""
+    e = part_edges(spark, sf)
+    return graph.shortest_paths(e, _start_parts(spark), e.select(F.col("dst").alias("node")), 4).select("start", "node", "hops", F.array_join("path", ">").alias("path"))
+
+
+def part_paths(spark, sf):
+    """All simple paths of up to three steps."""
+    p = graph.simple_paths(part_edges(spark, sf), _start_parts(spark), 3)
+    return p.select("start", "node", F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("long").alias("hops"))
+
+
+def part_depth(spark, sf):
+    return graph.levels(part_edges(spark, sf), _start_parts(spark), 10).select("start", "node", F.col("level").cast("long").alias("level"))
+
+
+def part_spof(spark, sf):
+    return sca.shared_parents(part_edges(spark, sf))
+
+
+def part_cycles(spark, sf):
+    return graph.strong_components(part_edges(spark, sf))
+
+
+def part_what_if(spark, sf):
+    """Parts that the starts still reach when two parts are removed."""
+    left = graph.without_nodes(part_edges(spark, sf), spark.createDataFrame([(2,), (3,)], "node long"))
+    return graph.levels(left, _start_parts(spark), 6).select("start", "node", F.col("level").cast("long").alias("level"))
+
+
+def _start_parts(spark):
+    return spark.createDataFrame([(1,), (5,)], "node long")
+
+
+QUERIES = {f.__name__: f for f in (name_normalise, semver_satisfies, semver_range_join, advisory_status, version_conflicts, fix_recommendation, typosquat, dep_diff, lockfile_sync, call_reachability, attack_paths, dep_depth, dep_spof, scc_cycles, what_if, part_reachability, part_paths, part_depth, part_spof, part_cycles, part_what_if)}
 
 _VALUES = lambda rows: ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
 _KEY = lambda v: f"[split_part(split_part({v}, '-', 1), '.', 1)::INT, split_part(split_part({v}, '-', 1), '.', 2)::INT, split_part(split_part({v}, '-', 1), '.', 3)::INT, CASE WHEN contains({v}, '-') THEN 0 ELSE 1 END]"
