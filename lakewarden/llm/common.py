@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -25,6 +28,9 @@ def ship(spark: SparkSession) -> None:
     have = (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH") or "").split(os.pathsep)
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
+    # rows go to Python in batches of so many bytes (or one longer row), not of 10,000 texts of any length
+    if int(re.sub(r"\D", "", spark.conf.get(BATCH_CONF)) or 0) > BATCH_BYTES or not spark.conf.get(BATCH_CONF).endswith("b"):
+        spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
 
 
 class Workspace:
@@ -79,6 +85,34 @@ def small_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def raws(col: pa.Array) -> list[bytes | None]:
+    """The bytes of a string column, whatever they encode."""
+    return col.cast(pa.binary()).to_pylist()
+
+
+def strings(col: pa.Array) -> list[str | None]:
+    """The texts of a string column; bytes that are no UTF-8 become the replacement character."""
+    try:
+        return col.to_pylist()
+    except UnicodeDecodeError:
+        return [None if t is None else t.decode("utf-8", "replace") for t in raws(col)]
+
+
+def scored(of, kind: str):
+    """A function of a text column from ``of()``, made once a partition, which maps a list of texts to an Arrow array.
+
+    Only the text goes to Python and only the result comes back; the other columns wait in the JVM.
+    Optimiser rules neither repeat nor move it.
+    """
+
+    def own(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        f = of()
+        for c in columns:
+            yield f(strings(c))
+
+    return F.arrow_udf(own, kind).asNondeterministic()
+
+
 def ragged(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Row lengths and flat values of a list column (null rows: length 0)."""
     n = np.asarray(col.value_lengths().fill_null(0))
@@ -110,24 +144,25 @@ def unite(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
 def components(ws: Workspace, edges: DataFrame, rounds: int = 40) -> DataFrame:
     """node -> root (smallest node) of every node of ``edges(a long, b long)``.
 
-    Alternating large-star and small-star rounds: each is one aggregation and one join on edges, so
-    a hub's neighbours are never gathered in one task. Every round is written to the shared folder.
+    Alternating large-star and small-star rounds: each is one aggregation and one join on edges. The
+    aggregate is written before the join, so that neither side of the join is fixed to one task a key and
+    Spark splits a hub's neighbours (or broadcasts the aggregate where it is small). Every round is written
+    to the shared folder. It ends when the edges are stars: each node has one edge up, to a node without.
     Nodes without an edge don't appear.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, seen = ws.stage(e, "edges"), None
+    e = ws.stage(e, "edges")
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = ws.stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = large.distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = ws.stage(large.distinct(), "large")
+        low = ws.stage(e.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = ws.stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "star")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
-        if now == seen:
+        heads = e.select(F.col("v").alias("u"), F.lit(True).alias("head")).distinct()
+        if e.groupBy("u").agg(F.count("*").alias("n")).join(heads, "u", "left").where("n > 1 or head").isEmpty():
             break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
