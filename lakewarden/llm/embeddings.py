@@ -7,9 +7,10 @@ range-joined under its share, and the union of what the blocks find is verified
 
 The range join of a block lays a grid over its first coordinates (as many as keep a cell's share of the
 largest label near ``cell_rows``). A vector is a native of its cell and a visitor of each later cell that
-its ball reaches; natives meet natives and visitors. Vectors carry their coordinates, so candidates are
-verified where they are found. A pair that several blocks find counts in the first of them, which every
-task can tell on its own: nothing is made distinct.
+its ball reaches; natives meet natives and visitors. What is joined are ids with the block's own few
+coordinates; who has a partner within the block's share survives, and only survivors fetch their vectors, to
+be verified in the same cells. A pair that several blocks find counts in the first of them, which every task
+can tell on its own: nothing is made distinct.
 
 Equal vectors of a label are one class. A task returns, for its cell, each class's number of linked
 vectors and a spanning forest of its links, never the pairs. Cells with more than ``group_rows`` vectors
@@ -76,7 +77,7 @@ def reached(y: np.ndarray, width: float, radius: float) -> tuple[np.ndarray, np.
 
 
 def placed(classes: DataFrame, cosine: float, blocks: int, grid: int) -> DataFrame:
-    """classes(cid, label, dim, n, embedding) with block, cell and visitor, a row for each cell reached."""
+    """cid, label, dim, block, cell, visitor and the block's coordinates, a row for each cell that a class reaches."""
     r2 = (2 - 2 * cosine) * (1 + 1e-9) + 1e-12
 
     def own(batches):
@@ -93,12 +94,32 @@ def placed(classes: DataFrame, cosine: float, blocks: int, grid: int) -> DataFra
                     rows, cells = reached(z, 2 * radius, radius)
                     at = pa.array(np.concatenate([np.arange(b.num_rows), rows]))
                     cell = np.concatenate([home, cells]).astype(np.int32)
-                    out = b.take(at)
                     names = [c.tobytes() for c in cell] if cell.shape[1] else [b""] * len(at)
-                    out = out.append_column("block", pa.array(np.full(len(at), k, np.int32))).append_column("cell", pa.array(names, pa.binary()))
-                    yield out.append_column("visitor", pa.array(np.arange(len(at)) >= b.num_rows))
+                    part = y[:, cuts[k] : cuts[k + 1]].astype(np.float32)[at.to_numpy()]
+                    coords = pa.FixedSizeListArray.from_arrays(pa.array(part.ravel()), part.shape[1]).cast(pa.list_(pa.float32()))
+                    out = b.select(["cid", "label", "dim"]).take(at).append_column("block", pa.array(np.full(len(at), k, np.int32)))
+                    yield out.append_column("cell", pa.array(names, pa.binary())).append_column("visitor", pa.array(np.arange(len(at)) >= b.num_rows)).append_column("coords", coords)
 
-    return classes.mapInArrow(own, "cid long, label string, dim int, n long, embedding array<float>, block int, cell binary, visitor boolean")
+    return classes.mapInArrow(own, "cid long, label string, dim int, block int, cell binary, visitor boolean, coords array<float>")
+
+
+def partnered(z: np.ndarray, most: float, visitor: np.ndarray, chunk: np.ndarray, one_chunk: bool, tile: int = 1024) -> np.ndarray:
+    """Which rows have another row within ``most`` (squared) that this task may compare them with.
+
+    Coordinates are rounded to single precision; the slack keeps every true pair.
+    """
+    n, found, sq = len(z), np.zeros(len(z), bool), (z * z).sum(axis=1)
+    for a in range(0, n, tile):
+        for c in range(a, n, tile):
+            near = sq[a : a + tile, None] + sq[None, c : c + tile] - 2 * (z[a : a + tile] @ z[c : c + tile].T) <= most + 1e-5
+            near &= ~(visitor[a : a + tile, None] & visitor[None, c : c + tile])
+            if not one_chunk:
+                near &= chunk[a : a + tile, None] != chunk[None, c : c + tile]
+            if a == c:
+                np.fill_diagonal(near, False)
+            found[a : a + tile] |= near.any(axis=1)
+            found[c : c + tile] |= near.any(axis=0)
+    return found
 
 
 def verified(cid: np.ndarray, size: np.ndarray, x: np.ndarray, block: int, visitor: np.ndarray, chunk: np.ndarray, one_chunk: bool, cosine: float, blocks: int, tile: int = 512):
@@ -149,7 +170,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, blocks: int = 8, cell
     spark = vectors.sparkSession
     ws = Workspace(spark)
     e = F.col("embedding")
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<float>").alias("embedding"))
+    kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast(kind).alias("embedding"))
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = rows.withColumn("valid", F.coalesce(F.col("label").isNotNull() & finite, F.lit(False)))
     valid = rows.where("valid")
@@ -158,7 +180,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, blocks: int = 8, cell
     most = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     grid = max(0, math.ceil(math.log(max(1, most / cell_rows)) / math.log(4)))  # a coordinate parts some four cells
 
-    cells = ws.stage(placed(classes.select("cid", "label", "dim", "n", "embedding"), cosine, blocks, grid), "cells")
+    cells = ws.stage(placed(classes.select("cid", "label", "dim", "embedding"), cosine, blocks, grid), "cells")
     keys = ["label", "dim", "block", "cell"]
     limit = max(group_rows, cells.count() // 20_000)
     large = cells.groupBy(keys).count().where(F.col("count") > limit).collect()  # at most 20,000 rows
@@ -166,7 +188,20 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, blocks: int = 8, cell
     dealt = cells.join(parts, keys, "left").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     dealt = dealt.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other"))
-    dealt = dealt.select(*keys, "c1", "c2", "chunk", "visitor", "cid", "n", "embedding")
+    keys += ["c1", "c2"]
+    dealt = dealt.select(*keys, "chunk", "visitor", "cid", "coords")
+    r2 = (2 - 2 * cosine) * (1 + 1e-9) + 1e-12
+
+    def surviving(key: tuple, t: pa.Table) -> pa.Table:
+        dim, block, c1, c2 = (key[i].as_py() for i in (1, 2, 4, 5))
+        cuts = block_cuts(dim, blocks)
+        b = t.combine_chunks().to_batches()[0]
+        z = b["coords"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+        share = r2 * (cuts[block + 1] - cuts[block]) / dim
+        return t.drop_columns(["coords"]).filter(pa.array(partnered(z, share, b["visitor"].to_numpy(zero_copy_only=False), b["chunk"].to_numpy(), c1 == c2)))
+
+    survivors = dealt.groupBy(*keys).applyInArrow(surviving, dealt.drop("coords").schema)
+    survivors = ws.stage(survivors, "survivors").join(classes.select("cid", "n", "embedding"), "cid")
 
     def compared(key: tuple, t: pa.Table) -> pa.Table:
         block, c1, c2 = (key[i].as_py() for i in (2, 4, 5))
@@ -177,12 +212,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, blocks: int = 8, cell
         some = np.flatnonzero(found)
         return pa.table({"cid": cid[some], "links": found[some], "root": cid[label[some]]}, pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
 
-    found = ws.stage(dealt.groupBy(*keys, "c1", "c2").applyInArrow(compared, "cid long, links long, root long"), "found")
+    found = ws.stage(survivors.groupBy(*keys).applyInArrow(compared, "cid long, links long, root long"), "found")
     roots = components(ws, found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     named = classes.select("cid", "label", "embedding", "n", "low").join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     named = ws.stage(named.select("label", "embedding", "low", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "cid").alias("root")), "named")
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    lows = ws.stage(named.groupBy("root").agg(F.min("low").alias("component_id")), "lows")  # written: a large component's join is then split
     of = ws.stage(named.join(lows, "root").select("label", "embedding", "n_links", "component_id"), "of")
     linked = valid.join(of, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
