@@ -4,11 +4,12 @@ A byte-level BPE never merges across the pre-tokens of its own pattern, so a pre
 same wherever it stands. ``count_tokens`` counts the pieces of each distinct pre-token once and sums
 over a document's pre-token frequencies; no ids are made.
 
- 1. Every partition counts its pre-tokens; a shuffle sums them to the vocabulary; one library call per
-    distinct pre-token gives its pieces. The vocabulary is a written table.
- 2. Every document counts its pre-tokens. The ``head`` most frequent ones of at most 64 bytes go to the
-    workers (so at most head * 64 bytes, whatever the corpus); the frequencies of all others are joined
-    with the vocabulary by a shuffle. Those are rare by construction, so that join has no hot key.
+ 1. Every text is cut once. A partition's documents form segments; a segment is one row of a written table:
+    its distinct pre-tokens, and for each document the numbers of its pre-tokens there, with frequencies.
+ 2. The distinct pre-tokens of all segments are the vocabulary; one library call each gives the pieces.
+ 3. Each segment's pre-tokens are joined with the vocabulary by a shuffle. A pre-token has at most one row
+    a segment, however often it occurs, so the hottest have as many as there are segments, and Spark splits
+    a join's large partitions. A document's count is the sum of frequency times pieces.
 
 Only tokenizers with ByteLevel pre-tokenisation and plain added tokens are served; others raise.
 
@@ -23,22 +24,23 @@ import functools
 import itertools
 import os
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, strings
 
 #: Texts of these characters only are cut by Python's re; all others by the library's own pre-tokeniser.
 _ODD = re.compile(r"[^\x01-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 _RUN = re.compile(r"\s\s")
 _LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _CUT = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
-HEAD_BYTES = 64
-
 
 class PreTokens:
     """The pre-tokens of one tokenizer file."""
@@ -53,7 +55,7 @@ class PreTokens:
         self.lib.no_truncation()
         self.lib.no_padding()
         kind = self.lib.pre_tokenizer.__getstate__() if self.lib.pre_tokenizer else b""
-        if b'"ByteLevel"' not in kind or b'"add_prefix_space":true' in kind or self.lib.normalizer is not None:
+        if not re.match(rb'{"type":"ByteLevel"', kind) or b'"add_prefix_space":true' in kind or self.lib.normalizer is not None:
             raise ValueError("only plain ByteLevel tokenizers are served")
         added = self.lib.get_added_tokens_decoder().values()
         if any(t.lstrip or t.rstrip or t.single_word for t in added):
@@ -118,117 +120,130 @@ def texts_of(batches: Iterable[pa.RecordBatch], rows: int = 500):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             part = b.slice(at, rows)
-            yield part, [t or "" for t in part["text"].to_pylist()]
+            yield part, [t or "" for t in strings(part["text"])]
 
 
-def vocabulary(texts: DataFrame, path: str, ws: Workspace, flush: int = 200_000) -> DataFrame:
-    """token, freq, pieces of every distinct pre-token of ``texts(text)``."""
+#: A segment ends beyond so many distinct pre-tokens, pairs of document and chunk, or bytes of text.
+SEGMENT = (60_000, 1_000_000, 32 << 20)
 
-    def flushed(cut: PreTokens, chunks: Counter) -> pa.RecordBatch:
-        total: Counter = Counter()
-        for chunk, n in chunks.items():
-            for p in cut.pieces(chunk):
-                total[p] += n
-        chunks.clear()
-        return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["token", "freq"])
 
-    def own(batches):
-        cut, chunks = pre_tokens(path), Counter()
-        for _, texts in texts_of(batches):
-            for t in texts:
-                chunks.update(cut.chunks(t))
-                if len(chunks) > flush:
-                    yield flushed(cut, chunks)
-        if chunks:
-            yield flushed(cut, chunks)
+class Segment:
+    """Pre-token frequencies of some documents, by numbers of the segment's own list of pre-tokens.
 
-    def counted(batches):
-        cut = pre_tokens(path)
+    While documents come, chunks are counted (most repeat); their pre-tokens are laid out at the end.
+    """
+
+    def __init__(self, cut: PreTokens):
+        self.cut, self.doc_id, self.n_bytes, self.size = cut, [], [], 0
+        self.chunk: defaultdict = defaultdict(itertools.count().__next__)
+        self.n, self.chunks, self.times = [], [], []
+
+    def add(self, doc_id, n_bytes: int, text: str) -> bool:
+        """Whether the segment is full."""
+        counts = Counter(self.cut.chunks(text))
+        self.doc_id.append(doc_id)
+        self.n_bytes.append(n_bytes)
+        self.n.append(len(counts))
+        self.chunks += map(self.chunk.__getitem__, counts)
+        self.times += counts.values()
+        self.size += n_bytes
+        return len(self.chunk) > SEGMENT[0] or len(self.chunks) > SEGMENT[1] or self.size > SEGMENT[2] or len(self.n) >= 100_000
+
+    def row(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
+        token: defaultdict = defaultdict(itertools.count().__next__)
+        parts = [list(map(token.__getitem__, self.cut.pieces(c))) for c in self.chunk]
+        width = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter(itertools.chain.from_iterable(parts), np.int64, int(width.sum()))
+        chunk, times = np.array(self.chunks, np.int64), np.array(self.times, np.int64)
+        doc, w = np.repeat(np.arange(len(self.n)), self.n), width[chunk]
+        at = np.arange(w.sum()) + np.repeat((np.cumsum(width) - width)[chunk] - (np.cumsum(w) - w), w)
+        pair, inverse = np.unique(np.repeat(doc, w) * max(1, len(token)) + flat[at], return_inverse=True)
+        freq = np.bincount(inverse, np.repeat(times, w), len(pair)).astype(np.int64)
+        doc, which = pair // max(1, len(token)), pair % max(1, len(token))
+        small = lambda x: x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+        which, freq = small(which), small(freq)
+        each = np.bincount(doc, minlength=len(self.n))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([number], pa.int64()), pa.array([list(token)], pa.list_(pa.string())), pa.array([self.doc_id], pa.list_(kind)), pa.array([self.n_bytes], pa.list_(pa.int64())),
+                pa.array([each.tolist()], pa.list_(pa.int64())), pa.array([which.itemsize], pa.int32()), pa.array([which.tobytes()], pa.binary()), pa.array([freq.itemsize], pa.int32()), pa.array([freq.tobytes()], pa.binary()),
+            ],
+            ["segment", "tokens", "doc_id", "n_bytes", "n_pairs", "wide", "which", "high", "freq"],
+        )
+
+
+def frequencies(docs: DataFrame, path: str, ws: Workspace, id_col: str, text_col: str) -> DataFrame:
+    """The per-document pre-token frequencies, a row for each segment; every text is cut once."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def own(batches):
+        cut, part, arrow, numbers = pre_tokens(path), None, None, itertools.count(TaskContext.get().partitionId() << 32)
         for b in batches:
-            yield b.append_column("pieces", pa.array(cut.counts(b["token"].to_pylist()), pa.int64()))
+            arrow = b.schema.field("doc_id").type
+            for doc_id, n, text in zip(b["doc_id"].to_pylist(), pc.binary_length(b["text"]).fill_null(0).to_pylist(), strings(b["text"]), strict=True):
+                part = part or Segment(cut)
+                if part.add(doc_id, n, text or ""):
+                    yield part.row(next(numbers), arrow)
+                    part = None
+        if part:
+            yield part.row(next(numbers), arrow)
 
-    own_counts = texts.select("text").mapInArrow(own, "token string, freq long")
-    total = own_counts.groupBy("token").agg(F.sum("freq").alias("freq"))
-    return ws.stage(total.mapInArrow(counted, "token string, freq long, pieces long"), "vocabulary")
+    schema = f"segment long, tokens array<string>, doc_id array<{kind}>, n_bytes array<long>, n_pairs array<long>, wide int, which binary, high int, freq binary"
+    return ws.stage(rows.mapInArrow(own, schema), "frequencies")
 
 
-class _Known(dict):
-    """chunk -> pieces of its head pre-tokens, plus 2**40 for each other pre-token, which ``rest`` has."""
+def vocabulary(segments: DataFrame, path: str, ws: Workspace) -> DataFrame:
+    """token, pieces: one library call for each distinct pre-token."""
 
-    def __init__(self, cut: PreTokens, head: dict[str, int], limit: int = 300_000):
-        self.cut, self.head, self.limit, self.rest = cut, head, limit, {}
+    def counted(batches):
+        cut = pre_tokens(path)
+        for b in batches:
+            yield b.append_column("pieces", pa.array(cut.counts(b["token"].to_pylist()), pa.int64()))
 
-    def __missing__(self, chunk: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-            self.rest.clear()
-        tokens = self.cut.pieces(chunk)
-        rest = [t for t in tokens if t not in self.head]
-        n = sum(self.head.get(t, 0) for t in tokens) + (len(rest) << 40)
-        self[chunk] = n
-        if rest:
-            self.rest[chunk] = rest
-        return n
+    distinct = segments.select(F.explode("tokens").alias("token")).distinct()
+    return ws.stage(distinct.mapInArrow(counted, "token string, pieces long"), "vocabulary")
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 1024, head: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs``."""
-    spark = docs.sparkSession
-    ws = Workspace(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    vocab = vocabulary(rows, path, ws)
-    top = vocab.where(F.octet_length("token") <= HEAD_BYTES).orderBy(F.desc("freq"), "token").limit(head)
-    sent = spark.sparkContext.broadcast({r.token: r.pieces for r in top.select("token", "pieces").toLocalIterator()})
+    ws = Workspace(docs.sparkSession)
+    segments = frequencies(docs, path, ws, id_col, text_col)
+    vocab = vocabulary(segments, path, ws)
+    pairs = segments.select("segment", F.posexplode("tokens").alias("at", "token")).join(vocab, "token").select("segment", F.struct("at", "pieces").alias("p"))
+    pieces = pairs.groupBy("segment").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.pieces).alias("pieces"))
 
-    def own(batches):
-        cut = pre_tokens(path)
-        known = _Known(cut, sent.value)
-        for part, texts in texts_of(batches):
-            sure, rest = [], []
-            for t in texts:
-                chunks = cut.chunks(t)
-                n = sum(map(known.__getitem__, chunks))
-                sure.append(n & ((1 << 40) - 1))
-                if n >> 40:
-                    c: Counter = Counter()
-                    for ch in chunks:
-                        if known[ch] >> 40:  # also refills what the limit has dropped meanwhile
-                            c.update(known.rest[ch])
-                    rest.append([{"token": k, "freq": v} for k, v in c.items()])
-                else:
-                    rest.append([])
-            size = [len(t.encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [part["row"], part["doc_id"], pa.array(size, pa.int64()), pa.array(sure, pa.int64()), pa.array(rest, pa.list_(pa.struct([("token", pa.string()), ("freq", pa.int64())])))],
-                ["row", "doc_id", "n_bytes", "sure", "rest"],
-            )
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    per_doc = rows.mapInArrow(own, f"row long, doc_id {kind}, n_bytes long, sure long, rest array<struct<token:string,freq:long>>")
-    # a document without rare pre-tokens passes the join under a key that nothing else has
-    alone = F.array(F.struct(F.concat(F.lit("\0"), F.col("row").cast("string")).alias("token"), F.lit(0).cast("long").alias("freq")))
-    pairs = per_doc.select("row", "doc_id", "n_bytes", "sure", F.explode(F.when(F.size("rest") == 0, alone).otherwise(F.col("rest"))).alias("r"))
-    pairs = pairs.select("row", "doc_id", "n_bytes", "sure", F.col("r.token").alias("token"), F.col("r.freq").alias("freq"))
-    joined = pairs.join(vocab.select("token", "pieces"), "token", "left")
-    out = joined.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), (F.first("sure") + F.sum(F.coalesce("pieces", F.lit(0)) * F.col("freq"))).alias("n_tokens"))
+    def summed(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                pieces = np.array(b["pieces"][i].values if b["pieces"][i].is_valid else [], np.int64)
+                which = np.frombuffer(b["which"][i].as_py(), f"u{b['wide'][i].as_py()}")
+                freq = np.frombuffer(b["freq"][i].as_py(), f"u{b['high'][i].as_py()}").astype(np.int64)
+                n = np.array(b["n_pairs"][i].values, np.int64)
+                total = np.bincount(np.repeat(np.arange(len(n)), n), pieces[which] * freq, len(n)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b["doc_id"][i].values, b["n_bytes"][i].values, pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = segments.drop("tokens").join(pieces, "segment", "left").drop("segment").mapInArrow(summed, f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 class IdCache:
-    """Little-endian 32-bit ids of pre-tokens; starts anew beyond ``limit`` of them.
+    """Little-endian 32-bit ids of pre-tokens; starts anew beyond ``limit`` of them or ``room`` bytes of theirs.
 
-    The library sees a pre-token once as long as it stays cached.
+    The library sees a pre-token once as long as it stays cached; those over 256 characters are not kept.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
-        self.cut, self.limit = pre_tokens(path), limit
+    def __init__(self, path: str, limit: int = 250_000, room: int = 16 << 20):
+        self.cut, self.limit, self.room, self.held = pre_tokens(path), limit, room, 0
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         from array import array
 
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.held > self.room:
             self.known.clear()
+            self.held = 0
         get, cut, found, missing = self.known.get, [], [], set()
         for t in texts:
             tokens = self.cut.tokens(t)
@@ -240,8 +255,14 @@ class IdCache:
         new = list(missing)
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
-            self.known.update(zip(some, (array("I", ids).tobytes() for ids in self.cut.encode(some)), strict=True))
-        return [b"".join(map(get, c) if None in i else i) for c, i in zip(cut, found, strict=True)]
+            ids = [array("I", x).tobytes() for x in self.cut.encode(some)]
+            self.known.update(zip(some, ids, strict=True))
+            self.held += sum(map(len, some)) + sum(map(len, ids))
+        out = [b"".join(map(get, c) if None in i else i) for c, i in zip(cut, found, strict=True)]
+        for c in new:
+            if len(c) > 256:
+                self.held -= len(c) + len(self.known.pop(c))
+        return out
 
 
 @functools.lru_cache(maxsize=2)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lakewarden.llm import queries as Q
+from lakewarden.llm import tokens as T
 from lakewarden.llm.common import table
 from lakewarden.llm.packing import best_fit, exact_complements, pack, slots
 from lakewarden.llm.tokens import count_tokens, pre_tokens
@@ -22,13 +23,14 @@ def counted(rows, lib):
     return Counter((d, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 1024) for d, t in rows)
 
 
-def test_counts_equal_the_library(spark, sf, lib, odd_docs, no_docs):
+def test_counts_equal_the_library(spark, sf, lib, odd_docs, no_docs, monkeypatch):
     docs = table(spark, sf, "documents")
     want = counted([(r.doc_id, r.text) for r in docs.collect()], lib)
     assert Counter(map(tuple, Q.op2_token_counts(spark, sf).collect())) == want
     want = counted([(r.doc_id, r.text) for r in odd_docs.collect()], lib)
-    for head in (0, 3, 1000):
-        assert Counter(map(tuple, count_tokens(odd_docs, Q.byte_bpe(), head=head).collect())) == want
+    for most in ((60_000, 1_000_000, 1 << 25), (3, 5, 1 << 25), (60_000, 1_000_000, 10)):
+        monkeypatch.setattr(T, "SEGMENT", most)
+        assert Counter(map(tuple, count_tokens(odd_docs, Q.byte_bpe()).collect())) == want
     assert count_tokens(no_docs, Q.byte_bpe()).collect() == []
 
 
