@@ -44,8 +44,11 @@ def _is_literal(i: int) -> Column:
     return F.coalesce(F.get(F.col("items"), F.lit(i)), F.lit("<expression>")).rlike(r"^(b?['\"]|-?\d|True$|False$|None$)")
 
 
-def dynamic_events(facts: DataFrame) -> DataFrame:
-    """Reflection, dynamic imports and code, deserialisation, metaclasses, patches, registrations."""
+def dynamic_events(facts: DataFrame, conservative: bool = False) -> DataFrame:
+    """Reflection, dynamic imports and code, deserialisation, metaclasses, patches, dispatch, registrations.
+
+    ``conservative`` keeps what is certain: states EXACT and HIGH_CONFIDENCE.
+    """
     c = facts.where("kind = 'call'").withColumn("short", _short(F.col("resolved")))
     has = lambda *n: F.col("short").isin(*n)
     exact = lambda i: F.when(_is_literal(i), "EXACT").otherwise("UNKNOWN")
@@ -65,11 +68,14 @@ def dynamic_events(facts: DataFrame) -> DataFrame:
         "path", "line", "fn",
         F.when((F.col("kind") == "class") & F.col("kwargs")["metaclass"].isNotNull(), "METACLASS")
         .when((F.col("kind") == "assign") & F.contains("name", F.lit(".")) & ~F.col("name").rlike(r"^(self|cls|<dynamic>)\."), "MONKEY_PATCH")
-        .when(F.col("kind") == "decorator", "DECORATOR").alias("event"),
-        F.when(F.col("kind") == "assign", "HIGH_CONFIDENCE").otherwise("EXACT").alias("state"),
+        .when(F.col("kind") == "decorator", "DECORATOR")
+        .when(F.col("kind") == "dispatch", "DYNAMIC_DISPATCH")
+        .when((F.col("kind") == "function") & (F.col("name") == "__reduce__"), "DESERIALIZATION").alias("event"),
+        F.when(F.col("kind") == "assign", "HIGH_CONFIDENCE").when((F.col("kind") == "dispatch") & (F.col("text") == "table"), "PARTIAL").when(F.col("kind") == "dispatch", "UNKNOWN").otherwise("EXACT").alias("state"),
         F.col("name").alias("target"),
     ).where("event is not null")
-    return calls.unionByName(rest)
+    out = calls.unionByName(rest)
+    return out.where(F.col("state").isin("EXACT", "HIGH_CONFIDENCE")) if conservative else out
 
 
 CHECKS = ("exists", "access", "isfile", "isdir", "check_permission", "has_perm")
@@ -88,11 +94,27 @@ def lock_edges(facts: DataFrame) -> DataFrame:
     return facts.where("kind = 'lock'").select("path", F.col("items")[0].alias("src"), F.col("items")[1].alias("dst")).distinct()
 
 
+def lock_cycles(edges: DataFrame, depth: int = 10) -> DataFrame:
+    """(path, cycle): simple cycles of each file's lock order of up to ``depth`` locks, from their least lock on."""
+    e = edges.select("path", "src", "dst").distinct()
+    at = e.where("src <= dst").select("path", "src", F.col("dst").alias("node"), F.array("src", "dst").alias("cycle"))
+    found = at.where("src = node").select("path", F.array("src").alias("cycle"))
+    at = at.where("src < node")
+    for _ in range(depth - 1):
+        step = at.join(e.withColumnsRenamed({"src": "node", "dst": "next"}), ["path", "node"])
+        found = found.union(step.where("next = src").select("path", "cycle"))
+        at = step.where("next > src and not array_contains(cycle, next)").select("path", "src", F.col("next").alias("node"), F.concat("cycle", F.array("next")).alias("cycle"))
+    return found.distinct()
+
+
 VERBS = ("route", "get", "post", "put", "delete", "patch", "api_route")
 
 
 def routes(facts: DataFrame) -> DataFrame:
-    """Routes from decorators, with keyword evidence from the handler's body."""
+    """Routes from decorators, with keyword evidence from the handler's body.
+
+    A route that changes nothing (GET) needs no protection against forged requests.
+    """
     d = facts.where("kind = 'decorator'").where(_short(F.col("name")).isin(*VERBS)).select("path", "line", F.col("items")[0].alias("handler"), F.regexp_replace(F.get(F.col("items"), F.lit(1)), "^['\"]|['\"]$", "").alias("route"), _short(F.col("name")).alias("verb"))
     body = facts.where("kind = 'function'").select("path", F.col("name").alias("handler"), F.lower("text").alias("body"), "items")
     j = d.join(body, ["path", "handler"])
@@ -104,6 +126,9 @@ def routes(facts: DataFrame) -> DataFrame:
         F.exists("items", lambda a: a.rlike("(^|_)id$")).alias("takes_id"),
         text.rlike(r"(requests|httpx)\.(get|post|request)\(|urlopen\(").alias("fetches_url"),
         text.rlike("verify_signature['\"]?: false|verify=false").alias("skips_signature"),
+        text.rlike("role|is_admin|permission|has_perm").alias("checks_role"),
+        (~F.col("verb").isin("post", "put", "delete", "patch")).alias("csrf_safe"),
+        (text.rlike("allow_origins?=?.*['\"]\\*['\"]") & text.contains("credentials")).alias("open_cors"),
     )
 
 
@@ -143,12 +168,41 @@ def frameworks(facts: DataFrame) -> DataFrame:
 
 
 def call_edges(facts: DataFrame) -> DataFrame:
-    """caller -> callee within and across files, by tiers: own file, import, unique short name."""
-    fns = facts.where("kind = 'function'").select(F.col("path").alias("to_path"), F.concat_ws(".", F.when(F.col("fn") != "", F.col("fn")), F.col("name")).alias("to_fn"), F.col("name").alias("short"))
+    """caller -> callee within and across files, by tiers: own file (plain names, self and cls), import, short name.
+
+    Each tier takes only what the ones before left. A short name that several files define, and that nothing
+    else resolves, leads to the one node ``*:name`` (tier 4) instead of to each of them; ``name_members`` tells
+    which functions that is. So a name like ``get`` never joins all its calls with all its definitions.
+    """
+    fns = _defined(facts)
+    plain = ~F.contains("name", F.lit(".")) | F.col("name").rlike(r"^(self|cls)\.\w+$")
+    calls = facts.where("kind = 'call'").select("path", F.when(F.col("fn") == "", "<module>").otherwise(F.col("fn")).alias("fn"), "resolved", _short(F.col("name")).alias("short"), F.split_part("name", F.lit("."), F.lit(1)).alias("head"), plain.alias("plain")).distinct()
+    heads = facts.where("kind = 'import'").select("path", F.explode("items").alias("head"), F.lit(True).alias("imported")).distinct()
+    calls = calls.join(heads, ["path", "head"], "left").select("path", "fn", "resolved", "short", "plain", F.coalesce("imported", F.lit(False)).alias("imported"))
+    own = calls.where("plain and not imported").join(fns.select(F.col("to_path").alias("path"), "to_fn", "short"), ["path", "short"]).withColumn("to_path", F.col("path")).withColumn("tier", F.lit(1))
+    left = calls.join(own.select("path", "fn", "resolved").distinct(), ["path", "fn", "resolved"], "left_anti")
+    # whole dotted names meet: a call's name is one of the tails of a function's full name
+    tails = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.array_join(F.slice("parts", i, F.size("parts") - i + 1), "."))
+    dotted = fns.withColumn("parts", F.split(F.concat_ws(".", "module", "to_fn"), r"\.")).select("to_path", "to_fn", F.explode(tails).alias("resolved"))
+    by_import = left.where(F.contains("resolved", F.lit("."))).join(dotted, "resolved").withColumn("tier", F.lit(2))
+    left = left.join(by_import.select("path", "fn", "resolved").distinct(), ["path", "fn", "resolved"], "left_anti")
+    names = fns.groupBy("short").agg(F.count("*").alias("n"), F.min("to_path").alias("to_path"), F.min("to_fn").alias("to_fn"))
+    # what an imported module holds is not ours by its short name alone
+    last = left.where("not imported").join(names, "short").withColumn("tier", F.when(F.col("n") == 1, 3).otherwise(4))
+    one = F.concat_ws(":", "to_path", "to_fn")
+    cols = lambda d, dst: d.select(F.concat_ws(":", "path", "fn").alias("src"), dst.alias("dst"), "tier")
+    return cols(own, one).union(cols(by_import, one)).union(cols(last, F.when(F.col("n") == 1, one).otherwise(F.concat(F.lit("*:"), "short")))).distinct()
+
+
+def _defined(facts: DataFrame) -> DataFrame:
+    """to_path, to_fn, short, module of every function."""
     module = F.regexp_replace(F.regexp_replace("to_path", r"\.py$", ""), "/", ".")
-    calls = facts.where("kind = 'call'").select("path", F.when(F.col("fn") == "", "<module>").otherwise(F.col("fn")).alias("fn"), "resolved", _short(F.col("name")).alias("short")).distinct()
-    pairs = calls.join(fns.withColumn("dotted", F.concat(module, F.lit("."), "short")), "short")
-    tier = F.when(F.col("path") == F.col("to_path"), 1).when(F.endswith("dotted", "resolved") | F.endswith("resolved", "dotted"), 2).otherwise(3)
-    pairs = pairs.withColumn("tier", tier)
-    best = pairs.groupBy("path", "fn", "resolved").agg(F.min("tier").alias("tier"))
-    return pairs.join(best, ["path", "fn", "resolved", "tier"]).select(F.concat_ws(":", "path", "fn").alias("src"), F.concat_ws(":", "to_path", "to_fn").alias("dst"), "tier").distinct()
+    fns = facts.where("kind = 'function'").select(F.col("path").alias("to_path"), F.concat_ws(".", F.when(F.col("fn") != "", F.col("fn")), F.col("name")).alias("to_fn"), F.col("name").alias("short"))
+    return fns.distinct().withColumn("module", module)
+
+
+def name_members(facts: DataFrame) -> DataFrame:
+    """The functions that a node ``*:name`` of ``call_edges`` stands for."""
+    fns = _defined(facts)
+    many = fns.groupBy("short").count().where("count > 1").select("short")
+    return fns.join(many, "short").select(F.concat(F.lit("*:"), "short").alias("node"), F.concat_ws(":", "to_path", "to_fn").alias("member"))

@@ -25,8 +25,9 @@ def dockerfile_findings(files: DataFrame) -> DataFrame:
     stage = d.where("op = 'FROM'").select("path", F.lower(F.regexp_extract("arg", r"(?i)\sas\s+(\S+)", 1)).alias("image")).where("image <> ''").distinct()
     loose = d.where("op = 'FROM'").withColumn("image", image).where(~F.contains("image", F.lit("@")) & (F.endswith("image", F.lit(":latest")) | ~F.element_at(F.split("image", "/"), -1).contains(":")) & (F.col("image") != "scratch"))
     loose = loose.join(stage, (loose.path == stage.path) & (F.lower(loose.image) == stage.image), "left_anti").select("path", "line_no", F.lit("IAC-002").alias("rule_id"), F.lit("MEDIUM").alias("severity"))
-    key = F.split(F.col("arg"), r"[=\s]")[0]
-    secret = d.where(F.col("op").isin("ENV", "ARG") & key.rlike(SECRET_KEY)).select("path", "line_no", F.lit("IAC-003").alias("rule_id"), F.lit("CRITICAL").alias("severity"))
+    # ENV A=1 B=2 sets several keys, ENV A 1 one
+    keys = F.when(F.contains("arg", F.lit("=")), F.regexp_extract_all("arg", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)="), 1)).otherwise(F.slice(F.split("arg", r"\s"), 1, 1))
+    secret = d.where(F.col("op").isin("ENV", "ARG") & F.exists(keys, lambda k: k.rlike(SECRET_KEY))).select("path", "line_no", F.lit("IAC-003").alias("rule_id"), F.lit("CRITICAL").alias("severity"))
     return root.unionByName(loose).unionByName(secret)
 
 
@@ -65,6 +66,12 @@ def _documents(content: str) -> list:
         return []
 
 
+def _ports(text: str) -> range:
+    """The ports of one side of a mapping, a number or a range."""
+    low, _, high = text.partition("-")
+    return range(int(low), int(high or low) + 1) if low.isdigit() and (high.isdigit() or not high) else range(0)
+
+
 def _compose(doc: dict):
     for name, s in (doc.get("services") or {}).items():
         if not isinstance(s, dict):
@@ -76,7 +83,7 @@ def _compose(doc: dict):
         for p in s.get("ports") or ():
             parts = str(p).split("/")[0].split(":")
             host = parts[0] if len(parts) == 3 else ""
-            if host in ("", "0.0.0.0", "*") and any(x.isdigit() and int(x) in ADMIN_PORTS for x in parts[-2:]):
+            if host in ("", "0.0.0.0", "*") and any(p in ADMIN_PORTS for x in parts[-2:] for p in _ports(x)):
                 yield name, "IAC-006", "HIGH"
 
 
@@ -86,13 +93,18 @@ def _kubernetes(doc: dict):
         if any("*" in (r.get("verbs") or ()) and "*" in (r.get("resources") or ()) for r in doc.get("rules") or ()):
             yield name, "IAC-010", "CRITICAL"
     spec = doc.get("spec") or {}
-    pod = spec if kind == "Pod" else (spec.get("template") or {}).get("spec") if kind in ("Deployment", "StatefulSet", "DaemonSet", "Job") else None
+    if kind == "CronJob":
+        spec = ((spec.get("jobTemplate") or {}).get("spec")) or {}
+    pod = spec if kind == "Pod" else (spec.get("template") or {}).get("spec") if kind in ("Deployment", "StatefulSet", "DaemonSet", "Job", "CronJob", "ReplicaSet") else None
     if not isinstance(pod, dict):
         return
-    contexts = [pod.get("securityContext") or {}, *((c.get("securityContext") or {}) for c in pod.get("containers") or ())]
-    if any(c.get("privileged") for c in contexts):
+    whole = pod.get("securityContext") or {}
+    each = [c.get("securityContext") or {} for k in ("initContainers", "containers", "ephemeralContainers") for c in pod.get(k) or ()]
+    if any(c.get("privileged") for c in (whole, *each)):
         yield name, "IAC-007", "CRITICAL"
-    if not any(c.get("runAsNonRoot") or (c.get("runAsUser") or 0) > 0 for c in contexts):
+    # a container's own setting stands before the pod's; each container must be safe
+    safe = lambda c: bool(c.get("runAsNonRoot", whole.get("runAsNonRoot"))) or (c.get("runAsUser", whole.get("runAsUser")) or 0) > 0
+    if not all(map(safe, each or [whole])):
         yield name, "IAC-008", "HIGH"
     if pod.get("hostNetwork"):
         yield name, "IAC-009", "HIGH"

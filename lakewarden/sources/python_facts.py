@@ -1,7 +1,8 @@
 """Python source files to fact rows: parse once, then everything else is relational.
 
-One row per fact: kind (import, function, class, call, assign, constant, decorator, lock, error), its place,
-the enclosing function, a name as written and with import aliases resolved, and details. Nothing is
+One row per fact: kind (import, function, class, call, assign, constant, decorator, lock, global, await, dispatch,
+error), its place, the enclosing function, a name as written and with import aliases resolved, details, and the
+conditions of the enclosing ``if`` branches. Nothing is
 executed; a file that can't be parsed gives an ``error`` row, as does one over ``LIMIT`` characters. Texts of
 calls, functions and constants are whole.
 """
@@ -15,12 +16,16 @@ from pyspark.sql import DataFrame
 
 from ..session import ship
 
-FACTS = "path string, kind string, ord int, line int, col int, fn string, name string, resolved string, n_args int, kwargs map<string,string>, items array<string>, text string"
+FACTS = "path string, kind string, ord int, line int, col int, fn string, name string, resolved string, n_args int, kwargs map<string,string>, items array<string>, text string, guards array<string>"
 LIMIT = 2_000_000
 #: A batch of rows is sent when its texts have so many characters.
 BATCH = 16_000_000
 
 
+#: Names of tables of functions.
+DISPATCH = ("handlers", "dispatch", "routes", "callbacks", "commands", "actions")
+
+
 def dotted(node: ast.AST) -> str:
     """The written chain of names; ``<dynamic>`` where its base isn't a name."""
     parts = []
@@ -40,14 +45,14 @@ def shown(node: ast.AST) -> str:
 
 class Facts(ast.NodeVisitor):
     def __init__(self, path: str):
-        self.path, self.rows, self.stack, self.alias, self.locks = path, [], [], {}, []
+        self.path, self.rows, self.stack, self.alias, self.locks, self.guards, self.scope = path, [], [], {}, [], [], "module"
 
     def resolved(self, name: str) -> str:
         head, dot, rest = name.partition(".")
         return self.alias.get(head, head) + dot + rest
 
     def add(self, kind: str, node: ast.AST, name: str, n_args: int = 0, kwargs=None, items=(), text=None) -> None:
-        self.rows.append((self.path, kind, len(self.rows), getattr(node, "lineno", 0), getattr(node, "col_offset", 0), ".".join(self.stack), name, self.resolved(name), n_args, kwargs or {}, list(items), text))
+        self.rows.append((self.path, kind, len(self.rows), getattr(node, "lineno", 0), getattr(node, "col_offset", 0), ".".join(self.stack), name, self.resolved(name), n_args, kwargs or {}, list(items), text, list(self.guards)))
 
     def visit_Import(self, node):
         for a in node.names:
@@ -66,10 +71,10 @@ class Facts(ast.NodeVisitor):
         self.add("function", node, node.name, len(args), items=args, text=ast.unparse(node), kwargs={"async": str(isinstance(node, ast.AsyncFunctionDef))})
         self._decorators(node)
         self.stack.append(node.name)
-        held, self.locks = self.locks, []
+        outer, self.locks, self.guards, self.scope = (self.locks, self.guards, self.scope), [], [], "function"
         for x in node.body:
             self.visit(x)
-        self.locks = held
+        self.locks, self.guards, self.scope = outer
         self.stack.pop()
 
     visit_FunctionDef = visit_AsyncFunctionDef = _function
@@ -78,10 +83,36 @@ class Facts(ast.NodeVisitor):
         self.add("class", node, node.name, items=[dotted(b) for b in node.bases], kwargs={k.arg: shown(k.value) for k in node.keywords if k.arg})
         self._decorators(node)
         self.stack.append(node.name)
+        outer, self.scope = self.scope, "class"
         for x in node.body:
             self.visit(x)
+        self.scope = outer
         self.stack.pop()
 
+    def visit_If(self, node):
+        self.visit(node.test)
+        test = ast.unparse(node.test)
+        for body, guard in ((node.body, test), (node.orelse, f"not ({test})")):
+            self.guards.append(guard)
+            for x in body:
+                self.visit(x)
+            self.guards.pop()
+
+    def visit_Global(self, node):
+        for name in node.names:
+            self.add("global", node, name)
+
+    visit_Nonlocal = visit_Global
+
+    def visit_Await(self, node):
+        self.add("await", node, dotted(node.value.func if isinstance(node.value, ast.Call) else node.value))
+        self.generic_visit(node)
+
+    def visit_Subscript(self, node):
+        if isinstance(node.ctx, ast.Load) and any(w in (name := dotted(node.value)) for w in DISPATCH):
+            self.add("dispatch", node, name, text="table")
+        self.generic_visit(node)
+
     def _decorators(self, node):
         for d in node.decorator_list:
             call = d if isinstance(d, ast.Call) else None
@@ -90,12 +121,14 @@ class Facts(ast.NodeVisitor):
 
     def visit_Call(self, node):
         self.add("call", node, dotted(node.func), len(node.args), {k.arg: shown(k.value) for k in node.keywords if k.arg}, [shown(a) for a in node.args], ast.unparse(node))
+        if isinstance(node.func, ast.Call) and (name := dotted(node.func.func)) in ("getattr", "globals", "locals"):
+            self.add("dispatch", node, name, text="call")
         self.generic_visit(node)
 
     def visit_Assign(self, node):
         for t in node.targets:
             if isinstance(t, (ast.Name, ast.Attribute, ast.Subscript)):
-                self.add("assign", node, dotted(t), items=[type(node.value).__name__, shown(node.value)])
+                self.add("assign", node, dotted(t), items=[type(node.value).__name__, shown(node.value)], kwargs={"scope": self.scope})
         self.generic_visit(node)
 
     def visit_Constant(self, node):
@@ -119,7 +152,7 @@ class Facts(ast.NodeVisitor):
 
 def facts_of(path: str, content: str | None) -> list[tuple]:
     def error(kind, e):
-        return [(path, "error", 0, getattr(e, "lineno", None) or 0, 0, "", kind, kind, 0, {}, [], str(e)[:500])]
+        return [(path, "error", 0, getattr(e, "lineno", None) or 0, 0, "", kind, kind, 0, {}, [], str(e)[:500], [])]
 
     if content is None or len(content) > LIMIT:
         return error("LOAD_ERROR", "no content" if content is None else "too long")
@@ -159,7 +192,7 @@ def _rows(files: DataFrame, fn, schema: str, arrow: pa.Schema) -> DataFrame:
 
 
 _S, _I = pa.string(), pa.int32()
-_FACTS = pa.schema([("path", _S), ("kind", _S), ("ord", _I), ("line", _I), ("col", _I), ("fn", _S), ("name", _S), ("resolved", _S), ("n_args", _I), ("kwargs", pa.map_(_S, _S)), ("items", pa.list_(_S)), ("text", _S)])
+_FACTS = pa.schema([("path", _S), ("kind", _S), ("ord", _I), ("line", _I), ("col", _I), ("fn", _S), ("name", _S), ("resolved", _S), ("n_args", _I), ("kwargs", pa.map_(_S, _S)), ("items", pa.list_(_S)), ("text", _S), ("guards", pa.list_(_S))])
 
 
 def python_facts(files: DataFrame) -> DataFrame:

@@ -66,15 +66,15 @@ class Flow:
         self.reach: dict[str, list[tuple[int, str, str, int, frozenset]]] = {}  # fn -> (param, sink, kind, line, safe)
 
     def run(self) -> list[tuple]:
-        for _ in range(min(3, len(self.functions))):  # parameters reach sinks through helpers of helpers
-            before = {k: len(v) for k, v in self.reach.items()}
+        while True:  # until nothing new: parameters reach sinks through helpers of helpers, in any order
+            before = dict(self.reach)
             for name, fn in self.functions.items():
                 args = [a.arg for a in (*fn.args.posonlyargs, *fn.args.args)]
                 env = {a: Values([(f"<param {i}>", "PARAMETER", fn.lineno, frozenset())]) for i, a in enumerate(args)}
                 got: list = []
                 self.block(fn.body, env, name, got)
                 self.reach[name] = sorted({(int(o[0][7:-1]), sink, kind, line, o[3]) for o, sink, kind, line in got if o[1] == "PARAMETER"}, key=str)
-            if before == {k: len(v) for k, v in self.reach.items()}:
+            if before == self.reach:
                 break
         out = {}
         for name, body in [("<module>", [s for s in self.tree.body if not isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]), *((n, f.body) for n, f in self.functions.items())]:

@@ -3,19 +3,19 @@
 import os
 
 import pytest
+import small_corpus as small
 
 from lakewarden.operators import code_rules as C
 from lakewarden.operators import iac
 from lakewarden.operators.sca import intervals
-from lakewarden.plans import code
 from lakewarden.sources.manifests import rows_of
 from lakewarden.sources.python_facts import facts_of, python_facts
 from lakewarden.sources.repo import read_repo
-from lakewarden.sources.taint import flows_of
+from lakewarden.sources.taint import flows_of, taint_flows
 
 
 def test_flows_of_the_application(spark):
-    got = {(r.fn, r.sink, r.sink_line) for r in code.py_taint_flows(spark, None).collect()}
+    got = {(r.fn, r.sink, r.sink_line) for r in taint_flows(small.files(spark).where("path like '%.py'")).collect()}
     assert got == {("run", "os.system", 11), ("run", "os.system", 17), ("run", "subprocess.run", 19), ("item", "open", 25), ("query", "cursor.execute", 31), ("safe", "os.system", 37)}
 
 
@@ -48,12 +48,12 @@ def test_facts_never_raise():
 
 
 def test_call_rules(spark):
-    got = sorted((r.rule_id, r.line) for r in code.py_call_rules(spark, None).where("path = 'svc/app.py'").collect())
+    got = sorted((r.rule_id, r.line) for r in C.call_findings(python_facts(small.files(spark).where("path like '%.py'"))).where("path = 'svc/app.py'").collect())
     assert got == [("AST-001", 38), ("AST-001", 54), ("AST-004", 11), ("AST-004", 17), ("AST-004", 36), ("AST-004", 37), ("AST-005", 19), ("AST-006", 26), ("AST-007", 53), ("AST-008", 51)]
 
 
 def test_events(spark):
-    f = python_facts(code.files(spark).where("path like '%.py'")).cache()
+    f = python_facts(small.files(spark).where("path like '%.py'")).cache()
     assert {r.event for r in C.dynamic_events(f).collect()} >= {"REFLECTION", "DYNAMIC_IMPORT", "DYNAMIC_EXECUTION", "DESERIALIZATION", "METACLASS", "MONKEY_PATCH", "DECORATOR"}
     assert [(r.line, r.check_line) for r in C.toctou(f).collect()] == [(25, 24)]
     assert {(r.src, r.dst) for r in C.lock_edges(f).collect()} == {("lock_a", "lock_b"), ("lock_b", "lock_a")}
@@ -63,14 +63,14 @@ def test_events(spark):
 
 
 def test_dockerfiles_and_terraform(spark):
-    got = {(r.path, r.line_no, r.rule_id) for r in iac.dockerfile_findings(code.files(spark)).collect()}
+    got = {(r.path, r.line_no, r.rule_id) for r in iac.dockerfile_findings(small.files(spark)).collect()}
     assert got == {("Dockerfile", 1, "IAC-002"), ("Dockerfile", 2, "IAC-003"), ("api/Dockerfile.dev", 1, "IAC-001"), ("api/Dockerfile.dev", 1, "IAC-002"), ("api/Dockerfile.dev", 2, "IAC-003")}
-    assert {(r.name, r.rule_id) for r in iac.terraform_findings(code.files(spark)).collect()} == {("logs", "IAC-011"), ("db", "IAC-012"), ("db", "IAC-013"), ("p", "IAC-014")}
+    assert {(r.name, r.rule_id) for r in iac.terraform_findings(small.files(spark)).collect()} == {("logs", "IAC-011"), ("db", "IAC-012"), ("db", "IAC-013"), ("p", "IAC-014")}
 
 
 def test_yaml_files(spark):
     pytest.importorskip("yaml")
-    assert {(r.name, r.rule_id) for r in code.yaml_rules(spark, None).collect()} == {
+    assert {(r.name, r.rule_id) for r in iac.yaml_findings(small.files(spark)).collect()} == {
         ("db", "IAC-004"), ("db", "IAC-006"), ("web", "IAC-005"), ("on", "IAC-016"), ("a", "IAC-015"), ("a", "IAC-017"), ("p", "IAC-007"), ("p", "IAC-008"), ("p", "IAC-009"), ("r", "IAC-010")
     }
 
