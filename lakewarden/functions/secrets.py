@@ -22,6 +22,7 @@ STRUCTURES = {
     "SLACK_WEBHOOK": r"^https://hooks\.slack\.com/services/T[a-zA-Z0-9_]+/B[a-zA-Z0-9_]+/[a-zA-Z0-9_]+$",
     "PRIVATE_KEY": r"-----BEGIN[^-]*PRIVATE KEY-----",
 }
+#: Fixed value: the least that any other credential looks like.
 GENERIC_STRUCTURE = r"^[ -~]{12,}$"
 #: The environment ladder, in order.
 ENVIRONMENTS = (
@@ -30,16 +31,23 @@ ENVIRONMENTS = (
     ("DEVELOPMENT", ("dev", "local")),
     ("TESTING", ("test", "mock", "dummy", "fake", "example", "sample", "sandbox", "placeholder", "demo")),
 )
+#: What a path of tests looks like.
 TEST_PATH = r"(?i)[/\\]tests?[/\\]|[/\\]fixtures?[/\\]|[/\\]mocks?[/\\]|test_[a-z0-9_-]+\.|[a-z0-9_-]+\.(spec|test)\."
 
 
 def entropy(v: Column) -> Column:
-    """Shannon entropy of the characters in bits, to four places; 0 for null or empty."""
-    chars = F.filter(F.split(v, ""), lambda c: c != "")
-    n = F.size(chars)
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    total = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
-    return F.when(n > 0, F.round(total, 4)).otherwise(F.lit(0.0))
+    """Shannon entropy of the characters in bits, to four places; 0 for null or empty.
+
+    The value and its characters are bound once, as variables of one-element transforms; only they are read inside.
+    """
+
+    def of(chars: Column) -> Column:
+        share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
+        bits = F.transform(F.transform(F.array_distinct(chars), share), lambda p: -p * F.log2(p))
+        return F.aggregate(bits, F.lit(0.0), lambda a, x: a + x)
+
+    split = F.transform(F.array(v), lambda s: F.filter(F.split(s, ""), lambda c: c != ""))
+    return F.coalesce(F.round(F.element_at(F.transform(split, of), 1), 4), F.lit(0.0))
 
 
 def unquoted(v: Column) -> Column:

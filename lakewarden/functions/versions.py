@@ -18,11 +18,15 @@ def normalised(name: Column) -> Column:
 
 
 def version_key(v: Column) -> Column:
-    """(major, minor, patch, release?, pre-release): compares as versions do; missing parts are 0."""
+    """(major, minor, patch, release?, pre-release): compares as versions do; missing parts are 0.
+
+    A pre-release is its runs of digits and letters: numbers by value, before letters.
+    """
     core = F.split(F.regexp_replace(F.split_part(F.split_part(v, F.lit("-"), F.lit(1)), F.lit("+"), F.lit(1)), "^[vV=]+", ""), r"\.")
     part = lambda i: F.coalesce(F.try_element_at(core, F.lit(i)).try_cast("int"), F.lit(0))
     pre = F.regexp_extract(v, r"^[^-]*-([^+]*)", 1)
-    return F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), (pre == "").alias("release"), pre.alias("pre"))
+    run = lambda p: F.struct(p.try_cast("decimal(38,0)").isNull().alias("text"), p.try_cast("decimal(38,0)").alias("number"), p.alias("name"))
+    return F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), (pre == "").alias("release"), F.transform(F.regexp_extract_all(pre, F.lit("([0-9]+|[A-Za-z]+)"), 1), run).alias("pre"))
 
 
 def satisfies(v: Column, constraint: Column) -> Column:

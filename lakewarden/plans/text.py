@@ -23,8 +23,9 @@ def secret_context_severity(spark, sf):
 
 
 def entropy_tokens(spark, sf):
+    """Entropy of the whole source, and the highest of all words of the whole text."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", S.entropy(F.left(F.coalesce("source", F.lit("")), F.lit(64))).alias("source_entropy"), S.entropy(F.split_part("text", F.lit(" "), F.lit(1))).alias("first_entropy"))
+    return d.select("doc_id", S.entropy(F.coalesce("source", F.lit(""))).alias("source_entropy"), F.coalesce(F.array_max(F.transform(F.array_distinct(F.split("text", " ")), S.entropy)), F.lit(0.0)).alias("max_entropy"))
 
 
 def token_entropy(spark, sf):
@@ -114,10 +115,16 @@ def lifecycle_exposure(spark, sf):
 
 
 def workspace_hash(spark, sf):
-    """A source's hash over its documents' hashes, in order of id."""
+    """A source's hash: a tree of hashes over runs of a thousand ids, so that no task holds all of a source."""
     d = table(spark, sf, "documents").select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    g = d.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "h"))).alias("a"))
-    return g.select("source", F.sha2(F.array_join(F.transform("a", lambda x: x["h"]), ""), 256).alias("workspace_hash"))
+
+    def level(rows, order, *keys):
+        g = rows.groupBy("source", *keys).agg(F.array_sort(F.collect_list(F.struct(order, "h"))).alias("a"))
+        return g.select("source", *keys, F.sha2(F.array_join(F.transform("a", lambda x: x["h"]), ""), 256).alias("h"))
+
+    low = level(d.withColumn("run", F.floor(F.col("doc_id") / 1000)), "doc_id", "run")
+    mid = level(low.withColumn("wide", F.floor(F.col("run") / 1000)), "run", "wide")
+    return level(mid, "wide").withColumnRenamed("h", "workspace_hash")
 
 
 QUERIES = {f.__name__: f for f in (secret_scan_documents, secret_context_severity, entropy_tokens, token_entropy, placeholder_values, license_policy, line_pattern_rules, line_counts, ssrf_host_policy, json_props_extract, function_carry_forward, line_segments, webhook_latest_wins, lifecycle_exposure, workspace_hash)}
@@ -162,7 +169,7 @@ _ENV = " ".join(f"WHEN regexp_matches(lower(path), {_q('|'.join(w))}) THEN {_q(n
 SQL = {
     "secret_scan_documents": f"{_SECRETS} SELECT doc_id, fingerprint, detector, kind, severity, redacted, entropy FROM best",
     "secret_context_severity": f"{_SECRETS}, p AS (SELECT *, '/srv/' || CASE WHEN lang = 'en' THEN 'tests/' ELSE 'src/' END || source || '.py' AS path FROM best) SELECT doc_id, path, detector, CASE WHEN NOT regexp_matches(path, {_q(S.TEST_PATH)}) THEN severity WHEN severity IN ('CRITICAL', 'HIGH') THEN 'MEDIUM' ELSE 'LOW' END AS severity, CASE {_ENV} ELSE 'UNKNOWN' END AS environment FROM p",
-    "entropy_tokens": f"WITH t AS (SELECT doc_id, left(coalesce(source, ''), 64) AS a, coalesce(split_part(text, ' ', 1), '') AS b FROM documents) SELECT doc_id, {_entropy('a')} AS source_entropy, {_entropy('b')} AS first_entropy FROM t",
+    "entropy_tokens": f"WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS b FROM documents), e AS (SELECT b, {_entropy('b')} AS x FROM w), m AS (SELECT doc_id, max(x) AS x FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS b FROM documents) JOIN e USING (b) GROUP BY doc_id) SELECT doc_id, {_entropy('d.source')} AS source_entropy, coalesce(m.x, 0.0) AS max_entropy FROM documents d LEFT JOIN m USING (doc_id)",
     "placeholder_values": f"WITH h AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b\\w+ = (\"[^\"\\s]+\")', 1))) AS value FROM documents), c AS (SELECT doc_id, {_UNQUOTED.format('value')} AS v FROM h) SELECT doc_id, {_is_placeholder('v')} AS placeholder, CASE WHEN length(v) > 8 THEN left(v, 4) || repeat('*', length(v) - 8) || right(v, 4) ELSE '[REDACTED]' END AS shown FROM c",
     "license_policy": f"WITH l AS ({_LINES.format(key='doc_id', text='text', table='documents')}), n AS (SELECT doc_id, line_no::INT AS line_no, CASE WHEN contains(lower(line), 'apache license') THEN 'Apache-2.0' WHEN contains(lower(line), 'mit license') THEN 'MIT' WHEN contains(lower(line), 'general public license') THEN 'GPL-3.0' WHEN contains(lower(line), 'cc by-nc') THEN 'CC-BY-NC-4.0' ELSE 'UNKNOWN' END AS license FROM l WHERE regexp_matches(line, {_q(LICENSE_LINE)})) SELECT *, CASE license WHEN 'GPL-3.0' THEN 'DENY' WHEN 'MIT' THEN 'ALLOW' WHEN 'Apache-2.0' THEN 'ALLOW' ELSE 'REVIEW_REQUIRED' END AS action FROM n",
     "line_pattern_rules": f"WITH l AS ({_LINES.format(key='page_id', text='html', table='pages')}) " + " UNION ALL ".join(f"SELECT page_id, line_no, {_q(r[0])} AS rule_id, {_q(r[2])} AS severity FROM l WHERE {_fires(r)}" for r in HTML_RULES),
@@ -173,5 +180,5 @@ SQL = {
     "line_segments": "WITH b AS (SELECT conv_id, turn, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM conversations) SELECT conv_id, block::BIGINT AS block, arg_min(role, turn) AS header, string_agg(role, chr(10) ORDER BY turn) AS body FROM b WHERE block > 0 GROUP BY conv_id, block",
     "webhook_latest_wins": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS latest, count(*) - 1 AS obsolete FROM events GROUP BY ALL",
     "lifecycle_exposure": "SELECT user_id, min(event_id) AS introduced, max(event_id) AS last_seen, date_diff('day', min(ts), max(ts)) AS exposure_days FROM events WHERE event_type = 'error' GROUP BY user_id",
-    "workspace_hash": "SELECT source, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY doc_id)) AS workspace_hash FROM documents GROUP BY source",
+    "workspace_hash": "WITH l AS (SELECT source, doc_id // 1000 AS run, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY doc_id)) AS h FROM documents GROUP BY ALL), m AS (SELECT source, run // 1000 AS wide, sha256(string_agg(h, '' ORDER BY run)) AS h FROM l GROUP BY ALL) SELECT source, sha256(string_agg(h, '' ORDER BY wide)) AS workspace_hash FROM m GROUP BY source",
 }

@@ -123,3 +123,34 @@ def test_streams(spark, tmp_path):
 
     done = webhooks.attempts(kept.select("delivery", "pr"), handler)
     assert sorted((r.delivery, r.status, r.attempts) for r in done.collect()) == [("d1", "DONE", 1), ("d2", "DONE", 1), ("d3", "DEAD", 3)]
+
+
+def test_package_versions_compare_as_the_packaging_library_says(spark):
+    packaging = pytest.importorskip("packaging.specifiers")
+    from itertools import product
+
+    from packaging.version import Version
+
+    from lakewarden.functions import pep440
+
+    versions = ["1", "1.0", "1.0.0", "1.0.1", "1.1", "2.0", "2.0.1", "1.0a1", "1.0.dev1", "1.0a1.dev2", "1.0rc10", "1.0rc9", "1.0.post1", "1.0-1", "1!0.5", "v2.0", "2.0+local.1", "1.10", "0.9", "10.0b2", "1.0.0.0.1"]
+    specs = ["", "==1.0", "==1.*", "!=1.*", ">=1.0", ">=1.0,<2", "~=1.0", "~=1.0.0", "<1.0", "<=1.0", ">1.0", ">1", "===1.0", ">=1.0a1", "==1.0rc9", "!=1.0.1,>=0.9", "<2.0", "==2.0+local.1", ">=1!0", "~=1.0rc1"]
+    df = spark.createDataFrame(list(product(versions, specs)), "v string, s string")
+    got = {(r.v, r.s): r.fits for r in df.select("v", "s", pep440.matches(F.col("v"), F.col("s")).alias("fits")).collect()}
+    # a pre-release counts only if the specifier names one
+    want = {(v, s): (x := packaging.SpecifierSet(s)).contains(v, prereleases=bool(x.prereleases)) for v, s in product(versions, specs)}
+    wrong = {k: (got[k], want[k]) for k in got if got[k] != want[k]}
+    assert not wrong
+    order = [r.v for r in spark.createDataFrame([(v,) for v in versions], "v string").orderBy(pep440.version_key(F.col("v")), "v").collect()]
+    keys = [Version(v.partition("+")[0]) for v in order]
+    assert keys == sorted(keys)
+    assert spark.createDataFrame([("x.y",), ("",)], "v string").where(pep440.version_key(F.col("v")).isNotNull()).count() == 0
+    two = spark.createDataFrame([(">=1,<2", ">=2"), (">=1", "<3"), ("==1.5", "<1.5"), ("", "==9")], "a string, b string")
+    assert [r.c for r in two.select(pep440.conflicting(F.col("a"), F.col("b")).alias("c")).collect()] == [True, False, True, False]
+
+
+def test_prereleases_by_number(spark):
+    from lakewarden.functions.versions import version_key
+
+    got = [r.v for r in spark.createDataFrame([(v,) for v in ("1.0.0", "1.0.0-rc10", "1.0.0-rc9", "1.0.0-10", "1.0.0-9", "1.0.0-alpha")], "v string").orderBy(version_key(F.col("v"))).collect()]
+    assert got == ["1.0.0-9", "1.0.0-10", "1.0.0-alpha", "1.0.0-rc9", "1.0.0-rc10", "1.0.0"]
