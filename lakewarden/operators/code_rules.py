@@ -194,6 +194,15 @@ def call_edges(facts: DataFrame) -> DataFrame:
     return cols(own, one).union(cols(by_import, one)).union(cols(last, F.when(F.col("n") == 1, one).otherwise(F.concat(F.lit("*:"), "short")))).distinct()
 
 
+def callback_edges(facts: DataFrame) -> DataFrame:
+    """caller -> function that is handed over by name: arguments and ``target=`` of calls, and what tasks start."""
+    own = facts.where("kind = 'function'").select("path", F.col("name").alias("handed"), F.concat_ws(".", F.when(F.col("fn") != "", F.col("fn")), F.col("name")).alias("to_fn")).distinct()
+    c = facts.where("kind = 'call'")
+    handed = F.concat("items", F.filter(F.map_values("kwargs"), lambda v: v != "<expression>"))
+    at = c.select("path", F.when(F.col("fn") == "", "<module>").otherwise(F.col("fn")).alias("fn"), F.explode(F.array_distinct(handed)).alias("handed"))
+    return at.join(own, ["path", "handed"]).select(F.concat_ws(":", "path", "fn").alias("src"), F.concat_ws(":", "path", "to_fn").alias("dst")).distinct()
+
+
 def _defined(facts: DataFrame) -> DataFrame:
     """to_path, to_fn, short, module of every function."""
     module = F.regexp_replace(F.regexp_replace("to_path", r"\.py$", ""), "/", ".")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,18 @@ def simple_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return out if out is not None else at
 
 
+def ranked_paths(paths: DataFrame, risk: DataFrame, per_pair: int = 10, most: int = 50) -> DataFrame:
+    """A report's attack paths: riskiest first, at most ``per_pair`` of each start and target and ``most`` in all.
+
+    ``risk(node, risk)``; a path's risk is that of its riskiest node. Ties go to the shorter, then the smaller path.
+    """
+    on = paths.withColumn("at", F.explode("path")).join(risk.select(F.col("node").alias("at"), "risk"), "at", "left")
+    g = on.groupBy("start", "node", "path").agg(F.coalesce(F.max("risk"), F.lit(0.0)).alias("risk"))
+    w = Window.partitionBy("start", "node").orderBy(F.desc("risk"), F.size("path"), "path")
+    top = g.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_pair).drop("n")
+    return top.orderBy(F.desc("risk"), F.size("path"), "path").limit(most)
+
+
 def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
     """(start, node, hops, path) of the first shortest path to each target that a start reaches."""
     e = edges.select("src", "dst").distinct()

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.versions import is_typosquat
+from .secrets import scan
+
 #: Fixed values.
 SENSITIVE_NAMES = (".env", ".env.local", ".env.production", ".env.staging", ".env.dev", "credentials.json", "secrets.json", "id_rsa", "id_ed25519", "id_dsa")
 SENSITIVE_ENDINGS = (".pem", ".key", ".p12", ".pfx", ".asc")
+#: Fixed values.
 PIPE_TO_SHELL = r"curl\s+.*\|\s*(bash|sh)|wget\s+.*\|\s*(bash|sh)|\beval\s+\$"
+#: Fixed values.
 RISKY_LINES = r"^\+\s*(DEBUG\s*=\s*True|verify\s*=\s*False|ssl_verify\s*=\s*False|CORS_ALLOW_ALL_ORIGINS\s*=\s*True|allow_origins\s*=\s*\[\s*[\"']\*[\"']\s*\])"
+#: Fixed values.
 HOOK_WORDS = ("curl", "wget", "eval", "nc ", "netcat", "/dev/tcp", "python -c", "bash -i")
+#: Fixed values.
 NPM_PATTERNS = (
     ("NETWORK", r"curl\s+|wget\s+|fetch\(|http\.request\(|axios\("),
     ("PROCESS", r"child_process|exec\(|execSync\(|spawn\(|bash\s+|sh\s+"),
@@ -98,3 +105,34 @@ def javascript_calls(lines: DataFrame) -> DataFrame:
     fn = F.coalesce(F.nullif(F.regexp_extract("line", r"function\s+([A-Za-z_$][\w$]*)\s*\(", 1), F.lit("")), F.nullif(F.regexp_extract("line", r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function|\([^)]*\)\s*=>|[A-Za-z_$][\w$]*\s*=>)", 1), F.lit(""))).alias("fn")
     calls = F.filter(F.regexp_extract_all("line", F.lit(r"([A-Za-z_$][\w$.]*)\s*\("), 1), lambda c: ~c.isin("if", "for", "while", "switch", "catch", "function", "return", "typeof"))
     return lines.select("path", "line_no", fn, calls.alias("calls"))
+
+
+#: Names that hostile packages imitate.
+POPULAR = ("react", "lodash", "express", "axios", "chalk", "commander", "moment", "webpack", "typescript")
+
+
+def npm_typosquats(packages: DataFrame) -> DataFrame:
+    """Package names one letter off a popular one; the popular names are nine."""
+    known = packages.sparkSession.createDataFrame([(n,) for n in POPULAR], "known string")
+    return packages.select("name").distinct().join(F.broadcast(known), is_typosquat(F.col("name"), F.col("known"))).select("name", "known")
+
+
+def history_secrets(added: DataFrame, salt: str = "lakewarden") -> DataFrame:
+    """Secrets of added lines(commit, ord, path, line): each with the oldest commit that brought it.
+
+    ``ord`` counts from the newest commit, so the oldest has the greatest.
+    """
+    found = scan(added.select("commit", F.col("ord").alias("age"), "path", F.expr("substr(line, 2)").alias("text")), ["commit", "age", "path"], path="path", salt=salt)
+    first = found.groupBy("fingerprint").agg(F.max_by(F.struct("commit", "path", "detector", "severity", "redacted"), F.struct("age", "path")).alias("f"), F.countDistinct("commit").alias("commits"))
+    return first.select("fingerprint", F.col("f.commit").alias("first_seen"), "f.path", "f.detector", "f.severity", "f.redacted", "commits")
+
+
+def pull_request_secrets(base: DataFrame, head: DataFrame) -> DataFrame:
+    """Secrets of the head with whether the base has them already."""
+    b = base.select("fingerprint").distinct().withColumn("_b", F.lit(True))
+    return head.join(b, "fingerprint", "left").withColumn("change", F.when(F.col("_b"), "EXISTING").otherwise("INTRODUCED")).drop("_b")
+
+
+def external_validation(secrets: DataFrame) -> DataFrame:
+    """What a check with the provider would say: it is switched off, so nothing is sent and nothing known."""
+    return secrets.withColumn("validated", F.lit(False)).withColumn("validation", F.lit("DISABLED"))

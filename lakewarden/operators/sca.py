@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.versions import version_key
+from .relations import call_reachability
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -60,3 +61,16 @@ def undeclared(declared: DataFrame, locked: DataFrame) -> DataFrame:
 def shared_parents(edges: DataFrame) -> DataFrame:
     """Packages that two or more parents need: single points of failure."""
     return edges.groupBy(F.col("dst").alias("name")).agg(F.countDistinct("src").alias("parents")).where("parents >= 2")
+
+
+def scan(deps: DataFrame, ranges: DataFrame, fixes: DataFrame, vulnerable: DataFrame, calls: DataFrame) -> DataFrame:
+    """Dependencies to findings: affected versions, reachability through calls, remediation.
+
+    ``deps(path, name, version)``, ``ranges`` as of ``intervals``, ``fixes(name, fix)``, ``vulnerable(name, id,
+    functions)``, ``calls(fn, callee, endpoint)``. Reachability is a property of package and advisory, found once.
+    """
+    hit = affected(deps.where("version is not null").select("path", "name", "version").distinct(), ranges).select("path", "name", "version", "id").distinct()
+    reach = call_reachability(vulnerable, calls).select("name", "id", "reachable", "confidence", "callers")
+    fix = recommended_fix(hit.select("name", "version").distinct(), fixes, []).select("name", "version", "fix", "impact")
+    out = hit.join(reach, ["name", "id"], "left").join(fix, ["name", "version"], "left")
+    return out.select("path", "name", "version", "id", F.coalesce("reachable", F.lit(False)).alias("reachable"), F.coalesce("confidence", F.lit("UNKNOWN")).alias("confidence"), F.coalesce("callers", F.lit(0)).alias("callers"), F.when(F.col("fix").isNull(), "MITIGATE").otherwise("UPGRADE").alias("action"), "fix", "impact")

@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import pep440
 from ..functions import redaction as R
+from ..operators import code_rules as C
 from ..operators import gates as G
+from ..operators import graph, sca
 from ..operators import relations as L
+from ..operators import structure as ST
 from ..operators.lines import exploded
+from ..sources import constants as CS
+from ..sources.manifests import manifest_dependencies
 from ..sources.python_facts import python_facts
+from ..sources.taint import labelled_flows
 from . import corpus as K
-from .base import FINDINGS, dependencies, findings, pick, table
-from .deps import _DEPS
+from .base import EDGES, FINDINGS, dependencies, edges, findings, pick, table
+from .code import FLOWS
+from .deps import _DEPS, _WALK
 
 _q = K.literal
 
@@ -204,6 +211,53 @@ def _service_files(spark, sf):
     return table(spark, sf, "documents").select(F.concat(folder, name).alias("path"), F.concat(F.lit("# 1\n"), line, F.lit("\n")).alias("content"))
 
 
+ADVISORIES = (("ADV-6", "six", "1.0.0", "1.16.0", False), ("ADV-7", "idna", "0.0.0", "3.8.0", False), ("ADV-8", "left", "2.0.0", None, None))
+
+
+def sca_scan(spark, sf):
+    """Manifests of the corpus against advisories, with calls of its modules."""
+    deps = manifest_dependencies(K.other_files(spark, sf, "requirements", "npm"))
+    ranges = spark.createDataFrame(ADVISORIES, "id string, package string, introduced string, until string, inclusive boolean")
+    fixes = spark.createDataFrame([("six", "1.16.0"), ("idna", "3.8.0")], "name string, fix string")
+    vulnerable = spark.createDataFrame([("six", "ADV-6", ["six.moves"]), ("idna", "ADV-7", ["jwt.decode"])], "name string, id string, functions array<string>")
+    calls = python_facts(K.modules(spark, sf)).where("kind = 'call'").select(F.concat_ws(":", "path", "fn").alias("fn"), F.col("resolved").alias("callee"), F.lit(False).alias("endpoint"))
+    return sca.scan(deps, ranges, fixes, vulnerable, calls)
+
+
+def exploit_labels(spark, sf):
+    """All flows with their label, those that were made safe among them."""
+    return labelled_flows(K.modules(spark, sf)).select("path", "fn", "sink", "sink_line", "label")
+
+
+def callback_edges(spark, sf):
+    return C.callback_edges(python_facts(K.modules(spark, sf)))
+
+
+def constant_sets(spark, sf):
+    """What names reflection may reach."""
+    return CS.constant_sets(K.modules(spark, sf)).select("path", "line", "call", F.array_join("values", ",").alias("values"), "state")
+
+
+def module_outline(spark, sf):
+    """Functions of the modules by their lines alone, after the line with the text."""
+    lines = exploded(K.modules(spark, sf), ["path"], "content").where("line_no > 1")
+    return ST.outline(lines).where("node = 'FUNCTION'").select("path", "name")
+
+
+def line_routes(spark, sf):
+    lines = exploded(K.modules(spark, sf), ["path"], "content").where("line_no > 1")
+    return ST.line_routes(lines).select("path", "framework", "method", "route", "guarded")
+
+
+def ranked_attack_paths(spark, sf):
+    """Paths of three steps between suppliers' classes, riskiest first, fifty at most."""
+    e = edges(spark, sf)
+    starts = spark.createDataFrame([(0,), (5,), (7,)], "node long")
+    risk = e.select(F.col("src").alias("node")).distinct().select("node", (F.col("node") % 7).cast("double").alias("risk"))
+    top = graph.ranked_paths(graph.simple_paths(e, starts, 4).where("node in (11, 23, 36, 2, 8)"), risk, per_pair=3)
+    return top.select("start", "node", F.array_join("path", ">").alias("path"), "risk")
+
+
 def service_discovery(spark, sf):
     return L.services(_service_files(spark, sf))
 
@@ -217,7 +271,7 @@ def cross_service_paths(spark, sf):
     return L.cross_service_paths(L.services(f), L.api_calls(exploded(f, ["path"], "content")))
 
 
-QUERIES = {f.__name__: f for f in (redactions, masked_values, path_predicates, secret_privilege, identifier_types, pep440_matches, constraint_conflicts, constraint_overlap, tamper_warnings, npm_reachability, locked_versions, dependency_reachability, duplicate_relations, cluster_keys, policy_profile, threshold_gate, category_view, invariant_violations, merged_flows, queue_status, finding_page, layer_edges, knowledge_nodes, knowledge_edges, public_edges, service_discovery, service_api_calls, cross_service_paths)}
+QUERIES = {f.__name__: f for f in (redactions, masked_values, path_predicates, secret_privilege, identifier_types, pep440_matches, constraint_conflicts, constraint_overlap, tamper_warnings, npm_reachability, locked_versions, dependency_reachability, duplicate_relations, cluster_keys, policy_profile, threshold_gate, category_view, invariant_violations, merged_flows, queue_status, finding_page, layer_edges, knowledge_nodes, knowledge_edges, public_edges, sca_scan, exploit_labels, callback_edges, constant_sets, module_outline, line_routes, ranked_attack_paths, service_discovery, service_api_calls, cross_service_paths)}
 
 
 def _replaced(text: str, patterns) -> str:
@@ -273,6 +327,13 @@ SQL = {
     "knowledge_nodes": f"WITH fns AS ({_FN}), {_NODES} SELECT * FROM nodes",
     "knowledge_edges": f"WITH fns AS ({_FN}) SELECT 'project' AS src, 'module:' || {K.PATH} AS dst, 'CONTAINS' AS relation FROM documents UNION ALL SELECT 'module:' || path, 'fn:' || path || ':' || name, 'CONTAINS' FROM fns UNION ALL SELECT 'fn:' || path || ':' || name, 'sink:' || path || ':' || name, 'FLOWS_TO' FROM fns WHERE danger",
     "public_edges": f"WITH fns AS ({_FN}) SELECT name AS source, 'Sink in ' || name AS target, 'FLOWS_TO' AS relation, 85.0::DOUBLE AS risk FROM fns WHERE danger AND name IN ('run', 'item', 'fetch', 'query')",
+    "sca_scan": f"WITH d AS ({K.found(['name', 'version'], {'requirements': [[('six', '1.16.0'), ('idna', '3.7')], [('six', '1.15.0')]]})}), n AS (SELECT count(*) AS callers FROM documents WHERE doc_id % 12 = 0) SELECT path, name, version, CASE name WHEN 'six' THEN 'ADV-6' ELSE 'ADV-7' END AS id, name = 'idna' AND callers > 0 AS reachable, CASE WHEN name = 'idna' AND callers > 0 THEN 'HIGH' ELSE 'LOW' END AS confidence, CASE name WHEN 'idna' THEN callers ELSE 0 END AS callers, 'UPGRADE' AS action, CASE name WHEN 'six' THEN '1.16.0' ELSE '3.8.0' END AS fix, 'LOW' AS impact FROM d, n WHERE version <> '1.16.0'",
+    "exploit_labels": K.placed(["fn", "sink", "sink_line", "label"], {k: [(r[0], r[5], r[7], "HIGHLY_LIKELY") for r in rows] + ([("safe", "os.system", 4, "NOT_EXPLOITABLE"), ("safe", "eval", 6, "NOT_EXPLOITABLE")] if k == "safe" else []) for k, rows in FLOWS.items()}, ("sink_line",)),
+    "callback_edges": f"SELECT path || ':begin' AS src, path || ':work' AS dst FROM ({K.placed(['x'], {'tasks': [(1,)]})})",
+    "constant_sets": K.placed(["line", "call", "values", "state"], {"odd": [(2, "getattr", "", "UNKNOWN"), (3, "getattr", "known", "EXACT")]}),
+    "module_outline": f"SELECT path, name FROM ({_FN})",
+    "line_routes": K.placed(["framework", "method", "route", "guarded"], {"shell": [("Flask", "ROUTE", "/run", False)], "files": [("FastAPI", "GET", "/file/<id>", False)], "fetch": [("FastAPI", "POST", "/fetch", False)]}),
+    "ranked_attack_paths": f"WITH RECURSIVE {EDGES}, starts AS (SELECT unnest([0, 5, 7])::BIGINT AS node){_WALK(4)}, w AS (SELECT start, node, path, unnest(path) AS x FROM walk WHERE node IN (11, 23, 36, 2, 8) AND len(path) > 1), p AS (SELECT start, node, path, coalesce(max(CASE WHEN src IS NOT NULL THEN x % 7 END), 0)::DOUBLE AS risk FROM w LEFT JOIN (SELECT DISTINCT src FROM edges) ON x = src GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY risk DESC, len(path), path) AS n FROM p) SELECT start, node, array_to_string(path, '>') AS path, risk FROM r WHERE n <= 3 ORDER BY risk DESC, len(r.path), r.path LIMIT 50",
     "service_discovery": f"WITH {_SERVICES} SELECT * FROM v",
     "service_api_calls": f"WITH {_SERVICE_FILES}, {_API} SELECT * FROM a",
     "cross_service_paths": f"WITH {_SERVICES}, {_API} SELECT DISTINCT a.service, method, url, i.service AS target, 8.5::DOUBLE AS risk FROM a JOIN v p ON a.service = p.service AND p.boundary = 'PUBLIC_API' JOIN v i ON i.boundary = 'INTERNAL_SERVICE' AND contains(lower(url), lower(i.service))",

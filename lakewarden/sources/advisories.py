@@ -34,8 +34,8 @@ def parse_records(raw: DataFrame, column: str = "json") -> DataFrame:
 def interval_events(records: DataFrame) -> DataFrame:
     """id, package, ord, kind, version: the ordered events of every range, ready for ``sca.intervals``."""
     a = records.select("id", F.explode("affected").alias("a")).select("id", F.col("a.package.name").alias("package"), F.posexplode("a.ranges").alias("i", "r"))
-    e = a.select("id", "package", "i", F.posexplode("r.events").alias("j", "e")).select("id", "package", (F.col("i") * 10_000 + F.col("j") * 10).alias("o"), F.posexplode(F.map_entries("e")).alias("k", "x"))
-    return e.select("id", "package", (F.col("o") + F.col("k")).alias("ord"), F.col("x.key").alias("kind"), F.col("x.value").alias("version"))
+    e = a.select("id", "package", "i", F.posexplode("r.events").alias("j", "e")).select("id", "package", F.struct("i", "j").alias("o"), F.posexplode(F.map_entries("e")).alias("k", "x"))
+    return e.select("id", "package", F.struct("o.i", "o.j", "k").alias("ord"), F.col("x.key").alias("kind"), F.col("x.value").alias("version"))
 
 
 def fixed_versions(records: DataFrame) -> DataFrame:
@@ -68,3 +68,19 @@ def rollback(spark: SparkSession, folder: str) -> str:
 
 def is_stale(modified, now):
     return F.datediff(now, modified) > STALE_DAYS
+
+
+def answered(keys: DataFrame, cache: DataFrame, now, ttl_days: int = 7) -> DataFrame:
+    """Each asked key with its newest cached answer: HIT, STALE (older than the time to live) or MISS.
+
+    ``keys(key)``, ``cache(key, fetched, json)``. What is a miss offline has no answer; nothing is fetched here.
+    """
+    newest = cache.groupBy("key").agg(F.max_by("json", "fetched").alias("json"), F.max("fetched").alias("fetched"))
+    state = F.when(F.col("fetched").isNull(), "MISS").when(F.datediff(F.lit(now).cast("timestamp"), "fetched") > ttl_days, "STALE").otherwise("HIT")
+    return keys.select("key").distinct().join(newest, "key", "left").select("key", state.alias("state"), F.when(state == "HIT", F.col("json")).alias("json"))
+
+
+def yanked(deps: DataFrame, metadata: DataFrame) -> DataFrame:
+    """deps(name, version) with ``yanked`` and ``why`` of ``metadata(name, version, yanked, reason)``; unknown releases aren't."""
+    m = metadata.groupBy("name", "version").agg(F.max("yanked").alias("_y"), F.max("reason").alias("_r"))
+    return deps.join(m, ["name", "version"], "left").withColumn("yanked", F.coalesce("_y", F.lit(False))).withColumn("why", F.when(F.col("yanked"), F.col("_r"))).drop("_y", "_r")

@@ -35,6 +35,9 @@ SANITIZERS = {
     "float": "GENERAL_SAFE", "bool": "GENERAL_SAFE", "os.path.basename": "PATH_SAFE",
 }
 NEEDS = {"SQL_INJECTION": "SQL_SAFE", "COMMAND_INJECTION": "SHELL_SAFE", "PATH_TRAVERSAL": "PATH_SAFE", "SSRF": "SSRF_SAFE"}
+#: Calls in a condition that check a value without changing it.
+VALIDATORS = ("isinstance", "type", "isdigit", "isalnum", "isnumeric", "re.fullmatch", "re.match")
+VALIDATED = "VALIDATED"
 RULES = {"SQL_INJECTION": "TAINT-SQL", "COMMAND_INJECTION": "TAINT-CMD", "CODE_EXECUTION": "TAINT-CODE", "PATH_TRAVERSAL": "TAINT-PATH", "SSRF": "TAINT-SSRF", "TEMPLATE_INJECTION": "TAINT-TEMPLATE"}
 _SINK_OF = {name: kind for kind, names in SINKS.items() for name in names}
 
@@ -54,6 +57,17 @@ def source_kind(name: str, call: bool) -> str | None:
     return None
 
 
+#: From the safest on.
+_LABELS = ("NOT_EXPLOITABLE", "UNLIKELY", "LIKELY", "HIGHLY_LIKELY")
+
+
+def label(o: Origin, kind: str) -> str:
+    """How likely a flow can be used: not at all if made safe for its sink, hardly if it was checked on the way."""
+    if NEEDS.get(kind, "GENERAL_SAFE") in o[3] or "GENERAL_SAFE" in o[3]:
+        return "NOT_EXPLOITABLE"
+    return "UNLIKELY" if VALIDATED in o[3] else "HIGHLY_LIKELY" if o[1] == "HTTP_REQUEST" else "LIKELY"
+
+
 class Flow:
     def __init__(self, path: str, tree: ast.Module):
         self.path, self.tree, self.found, self.order = path, tree, {}, []
@@ -76,13 +90,16 @@ class Flow:
                 self.reach[name] = sorted({(int(o[0][7:-1]), sink, kind, line, o[3]) for o, sink, kind, line in got if o[1] == "PARAMETER"}, key=str)
             if before == self.reach:
                 break
-        out = {}
+        found: dict[tuple, tuple] = {}
         for name, body in [("<module>", [s for s in self.tree.body if not isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]), *((n, f.body) for n, f in self.functions.items())]:
             got = []
             self.block(body, {}, name, got)
             for o, sink, kind, line in got:
-                out.setdefault((name, o[0], o[2], sink, line), (self.path, name, RULES[kind], o[0], o[1], o[2], sink, kind, line))
-        return list(out.values())
+                if o[1] != "PARAMETER":
+                    key, row = (name, o[0], o[2], sink, line), (self.path, name, RULES[kind], o[0], o[1], o[2], sink, kind, line, label(o, kind))
+                    if key not in found or _LABELS.index(row[9]) > _LABELS.index(found[key][9]):  # the least safe way counts
+                        found[key] = row
+        return list(found.values())
 
     def block(self, body, env, fn, got) -> None:
         for s in body:
@@ -99,6 +116,8 @@ class Flow:
         elif isinstance(s, ast.If):
             self.value(s.test, env, got)
             other = dict(env)
+            for x in self.checked(s.test):
+                env[x] = Values((o[0], o[1], o[2], o[3] | {VALIDATED}) for o in env.get(x, Values()))
             self.block(s.body, env, fn, got)
             self.block(s.orelse, other, fn, got)
             for k in env.keys() | other.keys():
@@ -127,6 +146,11 @@ class Flow:
                 if isinstance(x, ast.expr):
                     self.value(x, env, got)
 
+    def checked(self, test) -> set[str]:
+        """Names that calls of validators in a condition read."""
+        calls = [n for n in ast.walk(test) if isinstance(n, ast.Call) and ((name := self.resolve(dotted(n.func))) in VALIDATORS or name.rpartition(".")[2] in VALIDATORS[:5])]
+        return {x.id for c in calls for part in (*c.args, c.func) for x in ast.walk(part) if isinstance(x, ast.Name) and x.id not in VALIDATORS}
+
     def value(self, e, env, got) -> Values:
         if isinstance(e, ast.Name):
             kind = source_kind(self.resolve(e.id), False) if e.id not in env and "." in self.resolve(e.id) else None
@@ -152,12 +176,10 @@ class Flow:
         kind = sink_kind(name)
         if kind and args and not self._harmless(kind, e):
             for o in args[0] if kind == "SQL_INJECTION" else every:
-                if NEEDS.get(kind, "GENERAL_SAFE") not in o[3] and "GENERAL_SAFE" not in o[3]:
-                    got.append((o, name, kind, e.lineno))
+                got.append((o, name, kind, e.lineno))
         for i, sink, k, line, safe in self.reach.get(name, ()):
             for o in args[i] if i < len(args) else ():
-                if NEEDS.get(k, "GENERAL_SAFE") not in o[3] | safe and "GENERAL_SAFE" not in o[3] | safe:
-                    got.append((o, sink, k, line))
+                got.append(((o[0], o[1], o[2], o[3] | safe), sink, k, line))
         if safe := SANITIZERS.get(name):
             return Values((o[0], o[1], o[2], o[3] | {safe}) for o in every)
         if source := source_kind(name, True):
@@ -175,6 +197,11 @@ class Flow:
 
 
 def flows_of(path: str, content: str | None) -> list[tuple]:
+    """Flows that weren't made safe for their sink."""
+    return [r[:9] for r in labelled_of(path, content) if r[9] != "NOT_EXPLOITABLE"]
+
+
+def labelled_of(path: str, content: str | None) -> list[tuple]:
     if content is None or len(content) > LIMIT:
         return []
     try:
@@ -190,3 +217,8 @@ _FLOWS = pa.schema([("path", _S), ("fn", _S), ("rule_id", _S), ("source", _S), (
 def taint_flows(files: DataFrame) -> DataFrame:
     """Flows of ``files(path, content)``."""
     return _rows(files, flows_of, "path string, fn string, rule_id string, source string, source_kind string, source_line int, sink string, sink_kind string, sink_line int", _FLOWS)
+
+
+def labelled_flows(files: DataFrame) -> DataFrame:
+    """All flows, those made safe among them, with a label of how likely each can be used."""
+    return _rows(files, labelled_of, "path string, fn string, rule_id string, source string, source_kind string, source_line int, sink string, sink_kind string, sink_line int, label string", _FLOWS.append(pa.field("label", _S)))
