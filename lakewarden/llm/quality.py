@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees as T
-from .common import held_out, ship
+from .common import Workspace, held_out, scored, ship
 from .labelled import labelled_sample
 
 STATISTICS = (
@@ -115,26 +115,22 @@ def fit_rules(x: np.ndarray, y: np.ndarray, u: np.ndarray, rounds: int = 40, dep
     return RuleModel(b, [rules[i] for i in kept], [float(w[i]) for i in kept])
 
 
+def _statistics(texts: list[str | None]) -> pa.Array:
+    cols = list(zip(*map(statistics, texts), strict=True)) or [()] * len(STATISTICS)
+    return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in cols], names=list(STATISTICS))
+
+
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc (all columns as one struct, so that names can't clash) and s (the statistics)."""
     ship(docs.sparkSession)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text_col).alias("text"))
-    stats = "struct<" + ",".join(f"{n}:double" for n in STATISTICS) + ">"
-    of = pa.struct([(n, pa.float64()) for n in STATISTICS])
-
-    def own(batches):
-        for b in batches:
-            cols = list(zip(*(statistics(t.as_py()) for t in b["text"]), strict=True)) or [()] * len(STATISTICS)
-            s = pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in cols], fields=list(of))
-            yield pa.RecordBatch.from_arrays([b["doc"], s], ["doc", "s"])
-
-    return rows.mapInArrow(own, f"doc {rows.schema['doc'].dataType.simpleString()}, s {stats}")
+    of = scored(lambda: _statistics, "struct<" + ",".join(f"{n}:double" for n in STATISTICS) + ">")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    return rows.select("doc", of(F.col("doc")[text_col]).alias("s"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 12_000, seed: int = 5, mod: int = 5, rest: int = 0, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
-    rows = labelled_sample(docs, labels, label, sample, seed, mod, rest, id_col, text_col)
-    s = with_statistics(rows).select("s.*", "doc.y", "doc.u").limit(2 * sample).toPandas()
-    s = s.sort_values(["u", "y"])  # the same model whatever the order of arrival
+    rows = labelled_sample(Workspace(docs.sparkSession), docs, labels, label, sample, seed, mod, rest, id_col, text_col)
+    s = with_statistics(rows).select("s.*", "doc.y", "doc.u").orderBy("u", *STATISTICS).limit(2 * sample).toPandas()  # the same model whatever the order of arrival
     return fit_rules(s[list(STATISTICS)].to_numpy(float).reshape(-1, len(STATISTICS)), s["y"].to_numpy(float), s["u"].to_numpy(float))
 
 
