@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import trees as T
-from .common import held_out, ship
+from .common import Workspace, held_out, scored, ship, strings
 from .labelled import labelled_sample
 
 FEATURES = (
@@ -52,11 +52,11 @@ def stems(w: str) -> list[str]:
 
 
 class Spelling(dict):
-    """word as written -> (weight of its lexicon entry or 0, kind bits); kept for at most ``limit`` words."""
+    """word as written -> (weight of its lexicon entry or 0, kind bits); kept for at most ``limit`` words of 64 characters."""
 
     WORD, STEM, HIDDEN, YOU, ODD, UPPER = 1, 2, 4, 8, 16, 32
 
-    def __init__(self, lexicon: dict[str, float], limit: int = 150_000):
+    def __init__(self, lexicon: dict[str, float], limit: int = 100_000):
         self.lexicon, self.limit = lexicon, limit
 
     def __missing__(self, word: str) -> tuple[float, int]:
@@ -72,7 +72,8 @@ class Spelling(dict):
             kind |= self.STEM if weight else 0
         if weight and odd:
             kind |= self.HIDDEN
-        self[word] = (weight, kind)
+        if len(word) <= 64:
+            self[word] = (weight, kind)
         return weight, kind
 
 
@@ -125,8 +126,8 @@ def learn_lexicon(rows: DataFrame, entries: int = 4000, share: float = 0.01) ->
     def own(batches):
         pos, neg = Counter(), Counter()
         for b in batches:
-            for t, y in zip(b["text"], b["y"].to_pylist(), strict=True):
-                seen = {plain(w)[0] for w in (t.as_py() or "").split()}
+            for t, y in zip(strings(b["text"]), b["y"].to_pylist(), strict=True):
+                seen = {plain(w)[0] for w in (t or "").split()}
                 (pos if y > 0 else neg).update(seen | {s for w in seen for s in stems(w)} | {"\0"})
         keys = list(pos.keys() | neg.keys())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([neg[k] for k in keys], pa.int64())], ["w", "p", "n"])
@@ -147,32 +148,25 @@ def learn_lexicon(rows: DataFrame, entries: int = 4000, share: float = 0.01) ->
 
 
 def featured(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """``rows`` (doc struct, text) with x, the feature vector; text is dropped."""
-    ship(rows.sparkSession)
+    """``rows`` with x, the feature vector of the column text."""
     sent = rows.sparkSession.sparkContext.broadcast(lexicon)
 
-    def own(batches):
+    def of():
         known = Spelling(sent.value)
-        for b in batches:
-            x = pa.array([features(t.as_py(), known) for t in b["text"]], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b["doc"], x], ["doc", "x"])
-
-    return rows.mapInArrow(own, f"doc {rows.schema['doc'].dataType.simpleString()}, x array<double>")
+        return lambda texts: pa.array([features(t, known) for t in texts], pa.list_(pa.float64()))
 
-
-def _packed(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(text_col).alias("text"))
+    return rows.withColumn("x", scored(of, "array<double>")("text"))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 24_000, seed: int = 9, mod: int = 5, rest: int = 0, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
-    rows = labelled_sample(docs, labels, label, sample, seed, mod, rest, id_col, text_col)
+    rows = labelled_sample(Workspace(docs.sparkSession), docs, labels, label, sample, seed, mod, rest, id_col, text_col)
     got = []
     for k in (0, 1):
         of_other = learn_lexicon(rows.where(F.col("fold") != k))
-        part = _packed(rows.where(F.col("fold") == k).select("text", "y", "u"), "text")
-        got += featured(part, of_other).select("doc.y", "doc.u", "x").limit(2 * sample).collect()
+        part = rows.where(F.col("fold") == k).select("text", "y", "u")
+        got += featured(part, of_other).select("y", "u", "x").orderBy("u", "x").limit(2 * sample).collect()
     lexicon = learn_lexicon(rows)
-    got.sort(key=lambda r: (r.u, r.y))
+    got.sort(key=lambda r: (r.u, r.x))
     x = np.array([r.x for r in got], float).reshape(-1, len(FEATURES))
     y, u = np.array([r.y for r in got]), np.array([r.u for r in got])
     if not len(y) or y.min() == y.max():
@@ -190,17 +184,15 @@ def with_scores(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> D
     """doc (all columns) and score."""
     spark = docs.sparkSession
     ship(spark)
-    rows = _packed(docs, text_col)
     sent = spark.sparkContext.broadcast(model)
 
-    def own(batches):
+    def of():
         model = sent.value
         known = Spelling(model.lexicon)
-        for b in batches:
-            x = np.array([features(t.as_py(), known) for t in b["text"]], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b["doc"], pa.array(model.scores(x))], ["doc", "score"])
+        return lambda texts: pa.array(model.scores(np.array([features(t, known) for t in texts], float).reshape(-1, len(FEATURES))))
 
-    return rows.mapInArrow(own, f"doc {rows.schema['doc'].dataType.simpleString()}, score double")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    return rows.select("doc", scored(of, "double")(F.col("doc")[text_col]).alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
