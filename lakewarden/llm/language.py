@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, ship
+from .common import held_out, ship, strings
 from .labelled import share
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -47,7 +47,9 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     text = text.lower()
-    return (WORD if _OTHER.search(text) else _LATIN_WORD).findall(text)
+    if not _OTHER.search(text):
+        return _LATIN_WORD.findall(text)
+    return [w for w in WORD.findall(text) if w.isalpha() or any(map(str.isalpha, w))]  # a fraction or a Roman numeral is no letter
 
 
 def features(found: list[str], lexicon: dict[str, list[int]], most: int = LETTERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -113,7 +115,7 @@ class Crf:
 class Emissions:
     """Rows of exp(emission) of words, made once a word; starts anew beyond ``limit`` words or ``letters`` letters."""
 
-    def __init__(self, model: Crf, limit: int = 500_000, letters: int = 20_000_000):
+    def __init__(self, model: Crf, limit: int = 200_000, letters: int = 4_000_000):
         self.model, self.limit, self.letters, self.ids, self.held = model, limit, letters, {}, 0
         self.table = np.empty((1024, len(model.langs)), np.float32)
 
@@ -291,12 +293,12 @@ def fit(sequences: list[tuple[list[str], list[int]]], langs: list[str], lexicon:
     return Crf(langs, lexicon, weights.astype(np.float32), moves, start)
 
 
-def learn(docs: DataFrame, per_lang: int = 800, span: int = 60, spans: int = 2, max_langs: int = 200, seed: int = 13, mod: int = 4, rest: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
-    """The model of a bounded sample: at most 1.2 * per_lang * max_langs documents, spans * span words each."""
+def learn(docs: DataFrame, per_lang: int = 800, span: int = 60, spans: int = 2, seed: int = 13, mod: int = 4, rest: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
+    """The model of a bounded sample: of every language some ``per_lang`` documents, spans * span words each."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(F.col(id_col), mod, rest).alias("out"))
     rows = rows.where("id is not null and lang is not null and text is not null and not out").drop("out")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").count().collect()  # as many rows as languages; all of them are learned
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return Crf([], {}, np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
@@ -306,8 +308,8 @@ def learn(docs: DataFrame, per_lang: int = 800, span: int = 60, spans: int = 2,
     def cut(batches):
         for b in batches:
             out: list = []
-            for i, t, lang in zip(b["id"].to_pylist(), b["text"], b["lang"].to_pylist(), strict=True):
-                w = words(t.as_py())
+            for i, t, lang in zip(b["id"].to_pylist(), strings(b["text"]), b["lang"].to_pylist(), strict=True):
+                w = words(t)
                 for s in range(spans if w else 0):
                     h = zlib.crc32(f"{seed}:{s}:{i}".encode())
                     a = h % max(1, len(w) - span + 1)
@@ -315,7 +317,7 @@ def learn(docs: DataFrame, per_lang: int = 800, span: int = 60, spans: int = 2,
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string()))], ["h", "lang", "words"])
 
-    got = some.mapInArrow(cut, "h long, lang string, words array<string>").limit(int(1.2 * per_lang * len(langs) * spans) + 1).collect()
+    got = some.mapInArrow(cut, "h long, lang string, words array<string>").orderBy("h", "lang", "words").limit(int(1.2 * per_lang * len(langs) * spans) + 1).collect()
     got.sort(key=lambda r: (r.h, r.lang, r.words))
     return train([(r.words, r.lang) for r in got], langs, seed)
 
@@ -366,7 +368,7 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                found = [words(t.as_py()) if model.langs else [] for t in part["text"]]
+                found = [words(t) if model.langs else [] for t in strings(part["text"])]
                 pred, score = [UND] * len(found), np.zeros(len(found))
                 shares: list = [[] for _ in found]
                 for lo, hi in groups(found):
