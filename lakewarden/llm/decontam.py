@@ -18,6 +18,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections import defaultdict
 
@@ -26,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, raws
 
 #: Upper case to lower case; all but letters, digits and bytes of other characters to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode().translate(_FOLD).split() if text else []
+def words(text: str | bytes | None) -> list[bytes]:
+    return (text.encode() if isinstance(text, str) else text).translate(_FOLD).split() if text else []
 
 
 def _segment(rows: list[tuple], found: list[list[bytes]], kind: pa.DataType) -> pa.RecordBatch:
@@ -63,8 +64,8 @@ def build_index(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col
         ids, found, n, arrow = [], [], 0, None
         for b in batches:
             arrow = b.schema.field("doc_id").type
-            for row, doc, text in zip(b["row"].to_pylist(), b["doc_id"].to_pylist(), b["text"], strict=True):
-                w = words(text.as_py())
+            for row, doc, text in zip(b["row"].to_pylist(), b["doc_id"].to_pylist(), raws(b["text"]), strict=True):
+                w = words(text)
                 ids.append((row, doc))
                 found.append(w)
                 n += len(w)
@@ -104,13 +105,13 @@ class Block:
 
 def blocks(items: DataFrame, width: int, block_words: int, id_col: str, text_col: str):
     """Items stream through the driver; at most ``block_words`` windows and one item are held."""
-    b = Block(width)
+    b, some = Block(width), False
     for r in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         b.add(r.i, r.t)
         if len(b.rows) >= block_words:
             yield b.packed()
-            b = Block(width)
-    if b.rows or not b.terms:
+            b, some = Block(width), True
+    if b.rows or not some:
         yield b.packed()
 
 
@@ -149,12 +150,12 @@ def _starts(block: dict, terms: list[bytes], counts: np.ndarray, postings: np.nd
 def matches(index: DataFrame, items: DataFrame, width: int = 10, slop: int = 0, block_words: int = 1_000_000, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, n_words, spans of hit words (start, end) and occurring items of every document.
 
-    A document may have a row for each block of the benchmark; ``decontaminate`` merges them.
+    The benchmark passes in blocks; what they find in a document is one row in the end.
     """
     spark = index.sparkSession
     kind = index.schema["doc_id"].dataType.elementType.simpleString()
     schema = f"row long, doc_id {kind}, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
-    out = None
+    parts = []
     for block in blocks(items, width, block_words, id_col, text_col):
         sent = spark.sparkContext.broadcast(block)
 
@@ -187,11 +188,13 @@ def matches(index: DataFrame, items: DataFrame, width: int = 10, slop: int = 0,
                         ["row", "doc_id", "n_words", "spans", "items"],
                     )
 
-        part = index.mapInArrow(own, schema)
-        out = part if out is None else out.union(part).groupBy("row").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
-        )
-    return out
+        parts.append(index.mapInArrow(own, schema))
+    if len(parts) == 1:
+        return parts[0]
+    # a document's rows, one for each block, are summed once; those without a hit are light
+    return functools.reduce(DataFrame.union, parts).groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, small_frame, unite
+from .common import Workspace, components, raws, small_frame, unite
 
 BITS = 64
 
 
-def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
+def shingle_hashes(text: bytes | None, width: int, seed: int) -> np.ndarray:
     """XXH64 of all word shingles; A-Z lower-cased, words parted by ASCII white space."""
-    words = text.encode().lower().split() if text else []
+    words = text.lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int, seed: int, id_col: str, text_col:
 
     def own(batches):
         for b in batches:
-            fp = [fingerprint(shingle_hashes(t.as_py(), width, seed)) for t in b["text"]]
+            fp = [fingerprint(shingle_hashes(t, width, seed)) for t in raws(b["text"])]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -208,6 +208,6 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
     roots = components(ws, near_edges(fps.select("fp"), fps.count(), radius))
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = ws.stage(named, "named")
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    lows = ws.stage(named.groupBy("root").agg(F.min("low").alias("component_id")), "lows")  # written: a large component's join is then split
     of = ws.stage(named.join(lows, "root").select("fp", "component_id"), "components")
     return own.join(of, "fp").select("doc_id", "fp", "component_id")
