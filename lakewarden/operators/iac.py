@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,13 +56,16 @@ def _documents(content: str) -> list:
     """YAML documents, or one JSON document; unreadable files give none. PyYAML reads ``on`` as true."""
     try:
         import yaml
+
+        # templates of charts: lines that only steer go, values in braces become a word
+        plain = re.sub(r"\{\{[^{}]*\}\}", "value", re.sub(r"(?m)^\s*\{\{[-#/]?\s*(?:if|else|end|with|range|define|include|template|-)[^\n]*\}\}\s*$", "", content)) if re.search(r"\{\{\s*[-.]|\.Values", content) and "jobs:" not in content else content
     except ImportError:
         try:
             return [json.loads(content)]
         except ValueError:
             return []
     try:
-        return [d for d in yaml.safe_load_all(content) if isinstance(d, dict)]
+        return [d for d in yaml.safe_load_all(plain) if isinstance(d, dict)]
     except yaml.YAMLError:
         return []
 
@@ -148,3 +152,40 @@ def infra_paths(edges: DataFrame, resources: DataFrame) -> DataFrame:
     e = edges.select("src", "dst").distinct()
     first = e.join(r("src", "public"), "src").join(r("dst", "privileged or runs_as_root"), "dst").select(F.col("src").alias("entry"), F.col("dst").alias("via"))
     return first.join(e.withColumnRenamed("src", "via"), "via").join(r("dst", "kind in ('database', 'storage', 'iam')"), "dst").select("entry", "via", F.col("dst").alias("asset"))
+
+
+def _resource(doc: dict):
+    """(kind, name, public, privileged) of what a YAML document declares."""
+    kind, meta = str(doc.get("kind") or ""), doc.get("metadata") or {}
+    if "services" in doc and not kind:
+        for name, s in (doc["services"] or {}).items():
+            if isinstance(s, dict):
+                open_ = any((str(p).split(":")[0] if str(p).count(":") == 2 else "") in ("", "0.0.0.0", "*") for p in s.get("ports") or ())
+                yield "DOCKER_COMPOSE", str(name), open_, bool(s.get("privileged"))
+    elif "jobs" in doc and not kind:
+        yield "CICD_WORKFLOW", str(doc.get("name") or "workflow"), False, False
+    elif kind:
+        public = kind == "Ingress" or kind == "Service" and (doc.get("spec") or {}).get("type") in ("LoadBalancer", "NodePort")
+        group = "KUBERNETES_RBAC" if "Role" in kind else "KUBERNETES_SERVICE" if kind == "Service" else "KUBERNETES_INGRESS" if kind == "Ingress" else "KUBERNETES_WORKLOAD"
+        yield group, str(meta.get("name") or ""), public, any(r == "IAC-007" for _, r, _ in _kubernetes(doc))
+
+
+def resources(files: DataFrame) -> DataFrame:
+    """path, kind, name, is_public, is_privileged of YAML documents, Dockerfiles and Terraform blocks."""
+
+    def own(batches):
+        for b in batches:
+            rows = [(path, *r) for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True) for doc in _documents(content or "") for r in _resource(doc)]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.string()] * 3 + [pa.bool_()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "kind", "name", "is_public", "is_privileged"])
+
+    ship(files.sparkSession)
+    schema = "path string, kind string, name string, is_public boolean, is_privileged boolean"
+    yaml_rows = files.where(F.col("path").rlike(r"\.ya?ml$")).select("path", "content").mapInArrow(own, schema)
+    root = dockerfile_findings(files).where("rule_id = 'IAC-001'").select("path", F.lit(True).alias("_root")).distinct()
+    docker = files.where(F.col("path").rlike(r"(^|/)Dockerfile[^/]*$")).select("path").join(root, "path", "left").select("path", F.lit("DOCKERFILE").alias("kind"), F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(False).alias("is_public"), F.coalesce("_root", F.lit(False)).alias("is_privileged"))
+    group = F.when(F.col("kind").rlike("iam"), "CLOUD_IAM").when(F.col("kind").rlike("db_instance|rds|database|sql"), "CLOUD_DATABASE").when(F.col("kind").rlike("s3_bucket|storage"), "CLOUD_STORAGE").otherwise("CLOUD_NETWORK")
+    public = F.col("body").rlike(r"public-read|0\.0\.0\.0/0|publicly_accessible\s*=\s*true")
+    cloud = terraform_resources(files).select("path", group.alias("kind"), "name", public.alias("is_public"), F.lit(False).alias("is_privileged"))
+    return yaml_rows.unionByName(docker).unionByName(cloud)

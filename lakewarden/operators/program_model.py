@@ -46,14 +46,26 @@ def functions(lines: DataFrame) -> DataFrame:
 
 
 def call_edges(fn_lines: DataFrame) -> DataFrame:
-    """src -> dst between functions, by short name; a call goes to its own file's function if there is one."""
+    """src -> dst between functions, by short name; a call goes to its own file's function if there is one.
+
+    A name that several other files define is one node ``*:name``, which ``members`` leads on to each of them: as
+    many rows as there are calls and definitions, not their product.
+    """
     calls = fn_lines.where("fn is not null and opens is null")
     calls = calls.select("path", "fn", F.explode(F.regexp_extract_all("line", F.lit(r"([A-Za-z_]\w*)\s*\("), 1)).alias("callee")).where(~F.col("callee").isin(*KEYWORDS)).distinct()
     targets = fn_lines.where("opens is not null").select(F.col("path").alias("to_path"), F.col("opens").alias("callee")).distinct()
-    j = calls.join(targets, "callee")
-    own = j.groupBy("path", "fn", "callee").agg(F.max(F.col("path") == F.col("to_path")).alias("own"))
-    j = j.join(own, ["path", "fn", "callee"]).where("not own or path = to_path")
-    return j.select(F.concat_ws(":", "path", "fn").alias("src"), F.concat_ws(":", "to_path", "callee").alias("dst")).distinct()
+    here = targets.select(F.col("to_path").alias("path"), "callee")
+    own = calls.join(here, ["path", "callee"]).select(F.concat_ws(":", "path", "fn").alias("src"), F.concat_ws(":", "path", "callee").alias("dst"))
+    names = targets.groupBy("callee").agg(F.count("*").alias("n"), F.min("to_path").alias("to_path"))
+    far = calls.join(here, ["path", "callee"], "left_anti").join(names, "callee")
+    far = far.select(F.concat_ws(":", "path", "fn").alias("src"), F.when(F.col("n") == 1, F.concat_ws(":", "to_path", "callee")).otherwise(F.concat(F.lit("*:"), "callee")).alias("dst"))
+    return own.union(far).distinct()
+
+
+def members(fn_lines: DataFrame) -> DataFrame:
+    """hub, member: the functions that a node ``*:name`` stands for."""
+    targets = fn_lines.where("opens is not null").select(F.concat(F.lit("*:"), "opens").alias("hub"), F.concat_ws(":", "path", "opens").alias("member")).distinct()
+    return targets.join(targets.groupBy("hub").count().where("count > 1").select("hub"), "hub")
 
 
 def marks(fn_lines: DataFrame) -> DataFrame:
@@ -81,11 +93,16 @@ def flows(lines: DataFrame, depth: int = 8, per_pair: int = 10) -> DataFrame:
     """
     fn = functions(lines)
     m = _cut(marks(fn).select("node", F.coalesce("endpoint", F.lit(False)).alias("endpoint"), "sources", "sinks", F.array_sort("safe").alias("safe")))
-    e = _cut(call_edges(fn).join(m.select(F.col("node").alias("dst"), F.col("safe").alias("more"), F.col("endpoint").alias("serves")), "dst"))
+    e, hubs = _cut(call_edges(fn)), _cut(members(fn))
+    held = m.select(F.col("node").alias("dst"), F.col("safe").alias("more"), F.col("endpoint").alias("serves"))
     key = ["start", "node", "safe", "endpoint"]
     at = known = m.where("endpoint or size(sources) > 0").select(F.col("node").alias("start"), "node", "safe", "endpoint", F.array("node").alias("path"))
     for _ in range(depth):
-        step = at.join(e, at.node == e.src).select("start", F.col("dst").alias("node"), F.array_sort(F.array_union("safe", "more")).alias("safe"), (F.col("endpoint") | F.col("serves")).alias("endpoint"), F.concat("path", F.array("dst")).alias("path"))
+        # what reaches a hub is made one row a state before it goes on to the hub's members
+        out = at.join(e, at.node == e.src).groupBy("start", "dst", "safe", "endpoint").agg(F.min("path").alias("path"))
+        on = out.join(hubs, out.dst == hubs.hub).select("start", F.col("member").alias("dst"), "safe", "endpoint", "path")
+        step = out.where("not startswith(dst, '*:')").unionByName(on).join(held, "dst")
+        step = step.select("start", F.col("dst").alias("node"), F.array_sort(F.array_union("safe", "more")).alias("safe"), (F.col("endpoint") | F.col("serves")).alias("endpoint"), F.concat("path", F.array("dst")).alias("path"))
         at = _cut(step.groupBy(key).agg(F.min("path").alias("path")).join(known.select(key), key, "left_anti"))
         if at.isEmpty():
             break

@@ -14,19 +14,34 @@ MANIFESTS = (("pyproject.toml", "PYTHON"), ("requirements.txt", "PYTHON"), ("set
 DEPENDENCY_FILES = r"(^|/)(requirements[^/]*\.txt|pyproject\.toml|poetry\.lock|uv\.lock|Pipfile(\.lock)?|setup\.(py|cfg)|package(-lock)?\.json|go\.mod|Cargo\.(toml|lock)|Gemfile|composer\.json|pom\.xml|build\.gradle)$"
 
 
-def ignored(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Files that no ignore pattern fits, with the first tier's reason dropped.
+#: Tiers of ignore rules, in the order that they are asked.
+TIERS = ("DEFAULT", "GITIGNORE", "CONFIG", "CLI")
+
+
+def gitignore_patterns(content: str | None) -> list[tuple[str, str]]:
+    """(glob, tier) of a .gitignore file: without comments, negations and slashes at the ends."""
+    lines = [x.strip() for x in (content or "").splitlines()]
+    return [(x.strip("/"), "GITIGNORE") for x in lines if x and x[0] not in "#!" and x.strip("/")]
+
+
+def ignore_reasons(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """files with ``ignored_by`` (tier) and ``reason`` (glob) of the first rule that fits, null for none.
 
     ``patterns(glob, tier)`` is as long as hand-written lists; globs become one pattern each at plan time.
     """
     import fnmatch
 
-    rules = [r.glob for r in patterns.orderBy("tier").collect()]
-    hit = F.lit(False)
-    for g in rules:
-        p = fnmatch.translate(g).replace("(?s:", "(?s)(?:", 1).replace(r"\z", "").replace(r"\Z", "")
-        hit = hit | F.col("path").rlike(f"(^|/){p}($|/)")
-    return files.where(~hit)
+    rules = sorted(patterns.select("tier", "glob").distinct().collect(), key=lambda r: (TIERS.index(r.tier) if r.tier in TIERS else len(TIERS), r.glob))
+    hit = F.lit(None).cast("struct<tier:string,glob:string>")
+    for r in reversed(rules):
+        p = fnmatch.translate(r.glob).replace("(?s:", "(?s)(?:", 1).replace(r"\z", "").replace(r"\Z", "")
+        hit = F.when(F.col("path").rlike(f"(^|/){p}($|/)"), F.struct(F.lit(str(r.tier)).alias("tier"), F.lit(r.glob).alias("glob"))).otherwise(hit)
+    return files.withColumn("_hit", hit).select("*", F.col("_hit.tier").alias("ignored_by"), F.col("_hit.glob").alias("reason")).drop("_hit")
+
+
+def ignored(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Files that no ignore pattern fits."""
+    return ignore_reasons(files, patterns).where("ignored_by is null").drop("ignored_by", "reason")
 
 
 def project_stats(files: DataFrame) -> DataFrame:

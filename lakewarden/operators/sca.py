@@ -63,6 +63,16 @@ def shared_parents(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("name")).agg(F.countDistinct("src").alias("parents")).where("parents >= 2")
 
 
+def graph_summary(edges: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:
+    """One row: direct and transitive packages, their ratio, largest and mean depth, packages with two parents or more."""
+    from .graph import levels
+
+    at = levels(edges, roots, depth).groupBy("node").agg(F.min("level").alias("level")).where("level > 0")
+    shape = at.agg(F.count_if(F.col("level") == 1).alias("direct"), F.count_if(F.col("level") > 1).alias("transitive"), F.max("level").alias("max_depth"), F.round(F.avg("level"), 4).alias("avg_depth"))
+    shared = shared_parents(edges).agg(F.count("*").alias("shared"))
+    return shape.crossJoin(shared).withColumn("bloat", F.round(F.col("transitive") / F.greatest("direct", F.lit(1)), 4))  # one row each
+
+
 def scan(deps: DataFrame, ranges: DataFrame, fixes: DataFrame, vulnerable: DataFrame, calls: DataFrame) -> DataFrame:
     """Dependencies to findings: affected versions, reachability through calls, remediation.
 

@@ -63,6 +63,11 @@ YAML = {
     "compose": [[("db", "IAC-004", "CRITICAL"), ("db", "IAC-006", "HIGH"), ("web", "IAC-005", "HIGH")], [("api", "IAC-006", "HIGH")]], "workflow": [[("on", "IAC-016", "HIGH"), ("a", "IAC-015", "MEDIUM"), ("a", "IAC-017", "CRITICAL")]],
     "k8s": [[("p", "IAC-007", "CRITICAL"), ("p", "IAC-008", "HIGH"), ("p", "IAC-009", "HIGH"), ("r", "IAC-010", "CRITICAL")], [("c", "IAC-008", "HIGH")]],
 }
+RESOURCES = {
+    "docker": [[("DOCKERFILE", "Dockerfile", False, False)], [("DOCKERFILE", "Dockerfile", False, True)], [("DOCKERFILE", "Dockerfile", False, False)]], "workflow": [[("CICD_WORKFLOW", "workflow", False, False)]] * 2,
+    "terraform": [[("CLOUD_STORAGE", "logs", True, False), ("CLOUD_DATABASE", "db", True, False)], [("CLOUD_IAM", "p", False, False)]], "compose": [[("DOCKER_COMPOSE", "db", True, True), ("DOCKER_COMPOSE", "web", False, False)], [("DOCKER_COMPOSE", "api", True, False)]],
+    "k8s": [[("KUBERNETES_WORKLOAD", "p", False, True), ("KUBERNETES_RBAC", "r", False, False)], [("KUBERNETES_WORKLOAD", "c", False, False)]],
+}
 _dep = lambda eco, name, version=None, spec="", direct=True, dev=False, source="registry", ref=None, hashes=0: (eco, name, version, spec, direct, dev, source, ref, hashes)
 DEPS = {
     "requirements": [
@@ -89,6 +94,9 @@ def _deps(spark, sf):
     return manifest_dependencies(K.other_files(spark, sf, "requirements", "npm", "go"))
 
 
+_SARIF = "runs array<struct<results:array<struct<ruleId:string,level:string,ruleIndex:int,partialFingerprints:struct<primary:string>>>>>"
+
+
 def py_ast_facts(spark, sf):
     """Facts of each file by kind, and the characters of its string constants (whole texts among them)."""
     return _facts(spark, sf).groupBy("path", "kind").agg(F.count("*").alias("n"), F.sum(F.when(F.col("kind") == "constant", F.length("text")).otherwise(0)).alias("chars"))
@@ -213,10 +221,23 @@ def json_report(spark, sf):
 
 
 def sarif_report(spark, sf):
-    """Each project's SARIF log, as its number of results and rules read back from the JSON."""
+    """Each project's SARIF log read back from the JSON: results, rules, errors, the first result's rule, place and fingerprint, and all fingerprints' checksum."""
     s = report.sarif(findings(spark, sf)).withColumn("v", F.parse_json("sarif"))
     n = lambda p: F.size(F.try_variant_get("v", p, "array<variant>")).cast("long")
-    return s.select("project", n("$.runs[0].results").alias("results"), n("$.runs[0].tool.driver.rules").alias("rules"), F.try_variant_get("v", "$.runs[0].results[0].ruleId", "string").alias("first_rule"))
+    return s.select("project", n("$.runs[0].results").alias("results"), n("$.runs[0].tool.driver.rules").alias("rules"), F.try_variant_get("v", "$.runs[0].results[0].ruleId", "string").alias("first_rule"),
+        F.size(F.filter(F.from_json("sarif", _SARIF)["runs"][0]["results"], lambda r: r["level"] == "error")).cast("long").alias("errors"), F.try_variant_get("v", "$.runs[0].results[0].locations[0].physicalLocation.artifactLocation.uri", "string").alias("first_file"),
+        F.try_variant_get("v", "$.runs[0].results[0].locations[0].physicalLocation.region.startLine", "long").alias("first_line"), F.md5(F.array_join(F.transform(F.from_json("sarif", _SARIF)["runs"][0]["results"], lambda r: r["partialFingerprints"]["primary"]), ",")).alias("prints"),
+        F.try_variant_get("v", "$.version", "string").alias("version"), F.size(F.filter(F.from_json("sarif", _SARIF)["runs"][0]["results"], lambda r: r["ruleIndex"].isNull() | (r["ruleIndex"] < 0))).cast("long").alias("unplaced"))
+
+
+def iac_resources(spark, sf):
+    """What infrastructure files declare, and whether it is public or privileged."""
+    return iac.resources(K.other_files(spark, sf, "docker", "terraform", "compose", "workflow", "k8s"))
+
+
+def json_findings(spark, sf):
+    """Findings as JSON lines: the report's array, a row each, so that it has no bound."""
+    return findings(spark, sf).select("ordinal", F.to_json(F.struct("rule_id", "severity", "confidence", "file_path", "line", "title", "risk_score", "state")).alias("finding"))
 
 
 def windowed_event_counts(spark, sf):
@@ -224,7 +245,7 @@ def windowed_event_counts(spark, sf):
     return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (py_ast_facts, py_call_rules, py_taint_flows, dynamic_events, dynamic_summary, toctou_races, lock_cycles, concurrency_events, concurrency_summary, web_rules, web_summary, install_events, malware_summary, framework_evidence, framework_routes, framework_uses, framework_findings, exploitability, call_edges, dockerfile_rules, terraform_rules, yaml_rules, manifest_deps, supply_rules, package_shadowing, dependency_inventory, sbom_components, check_annotations, json_report, sarif_report, windowed_event_counts)}
+QUERIES = {f.__name__: f for f in (py_ast_facts, py_call_rules, py_taint_flows, dynamic_events, dynamic_summary, toctou_races, lock_cycles, concurrency_events, concurrency_summary, web_rules, web_summary, install_events, malware_summary, framework_evidence, framework_routes, framework_uses, framework_findings, exploitability, call_edges, dockerfile_rules, terraform_rules, yaml_rules, manifest_deps, supply_rules, package_shadowing, dependency_inventory, sbom_components, check_annotations, json_report, sarif_report, iac_resources, json_findings, windowed_event_counts)}
 _DEP_COLS = ["ecosystem", "name", "version", "spec", "is_direct", "is_dev", "source_type", "vcs_ref", "hashes"]
 _DEPS_SQL = K.found(_DEP_COLS, DEPS)
 _EVENTS = K.placed(["line", "fn", "event", "state", "target"], DYNAMIC)
@@ -232,9 +253,11 @@ _CONCURRENT = K.placed(["line", "fn", "event", "target"], CONCURRENCY)
 _INSTALLED = K.placed(["line", "fn", "resolved", "event"], INSTALL)
 SQL = {
     "check_annotations": f"{FINDINGS} SELECT ordinal, file_path, line, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'failure' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'notice' END AS level, left(title, 1000) AS message FROM findings ORDER BY risk_score DESC, ordinal LIMIT 50",
-    "sarif_report": f"{FINDINGS} SELECT project, count(*) AS results, count(DISTINCT rule_id) AS rules, arg_min(rule_id, ordinal) AS first_rule FROM findings GROUP BY project",
+    "sarif_report": f"{FINDINGS} SELECT project, count(*) AS results, count(DISTINCT rule_id) AS rules, arg_min(rule_id, ordinal) AS first_rule, count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) AS errors, arg_min(file_path, ordinal) AS first_file, greatest(arg_min(line, ordinal), 1) AS first_line, md5(string_agg(fingerprint, ',' ORDER BY ordinal)) AS prints, '2.1.0' AS version, 0 AS unplaced FROM findings GROUP BY project",
     "json_report": f"""{FINDINGS} SELECT project, '{{"schema_version":"1.0","total":' || count(*) || ',"severity":{{"critical":' || count(*) FILTER (severity = 'CRITICAL') || ',"high":' || count(*) FILTER (severity = 'HIGH') || ',"medium":' || count(*) FILTER (severity = 'MEDIUM') || ',"low":' || count(*) FILTER (severity = 'LOW') || ',"info":' || count(*) FILTER (severity = 'INFO') || '}},"max_risk":' || max(risk_score) || '}}' AS report FROM findings GROUP BY project""",
     "windowed_event_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "iac_resources": K.found(["kind", "name", "is_public", "is_privileged"], RESOURCES),
+    "json_findings": f"{FINDINGS} SELECT ordinal, '{{\"rule_id\":\"' || rule_id || '\",\"severity\":\"' || severity || '\",\"confidence\":\"' || confidence || '\",\"file_path\":\"' || file_path || '\",\"line\":' || line || ',\"title\":\"' || title || '\",\"risk_score\":' || risk_score || ',\"state\":\"' || state || '\"}}' AS finding FROM findings",
     "py_ast_facts": f"WITH c AS ({K.placed(['kind', 'n', 'chars'], FACT_COUNTS, ())} UNION ALL SELECT {K.PATH}, 'constant', 0, length(coalesce(text, '')) FROM documents) SELECT path, kind, sum(n)::BIGINT AS n, sum(chars)::BIGINT AS chars FROM c GROUP BY ALL",
     "py_call_rules": K.placed(["line", "fn", "resolved", "rule_id", "severity", "confidence", "category"], CALLS),
     "py_taint_flows": K.placed(["fn", "rule_id", "source", "source_kind", "source_line", "sink", "sink_kind", "sink_line"], FLOWS, ("source_line", "sink_line")),

@@ -10,6 +10,7 @@ from ..functions import redaction as R
 from ..operators import code_rules as C
 from ..operators import gates as G
 from ..operators import graph, sca
+from ..operators import program_model as PM
 from ..operators import relations as L
 from ..operators import structure as ST
 from ..operators.lines import exploded
@@ -224,6 +225,17 @@ def sca_scan(spark, sf):
     return sca.scan(deps, ranges, fixes, vulnerable, calls)
 
 
+GO = 'func getUser(c *Context) {\n  id := c.Query("id")\n  load(id)\n}\nfunc load(id string) {\n  runIt(id)\n}\nfunc runIt(q string) {\n  db.Query(q)\n}\n'
+CALLER = "def handler_a(request):\n    v = request.args\n    shared(v)\n\ndef offline(x):\n    os.system(x)\n"
+
+
+def polyglot_flows(spark, sf):
+    """Flows over files of two languages; the only function ``shared`` is called from many files."""
+    i = F.col("doc_id")
+    files = table(spark, sf, "documents").select(F.concat(F.lit("f"), i.cast("string"), pick(i, ".go", ".py")).alias("path"), F.when(i == 3, "def shared(v):\n    os.system(v)\n").otherwise(pick(i, GO, CALLER)).alias("content"))
+    return PM.flows(exploded(files, ["path"], "content")).select("start", "node", "sink", "category", "severity")
+
+
 def exploit_labels(spark, sf):
     """All flows with their label, those that were made safe among them."""
     return labelled_flows(K.modules(spark, sf)).select("path", "fn", "sink", "sink_line", "label")
@@ -271,7 +283,7 @@ def cross_service_paths(spark, sf):
     return L.cross_service_paths(L.services(f), L.api_calls(exploded(f, ["path"], "content")))
 
 
-QUERIES = {f.__name__: f for f in (redactions, masked_values, path_predicates, secret_privilege, identifier_types, pep440_matches, constraint_conflicts, constraint_overlap, tamper_warnings, npm_reachability, locked_versions, dependency_reachability, duplicate_relations, cluster_keys, policy_profile, threshold_gate, category_view, invariant_violations, merged_flows, queue_status, finding_page, layer_edges, knowledge_nodes, knowledge_edges, public_edges, sca_scan, exploit_labels, callback_edges, constant_sets, module_outline, line_routes, ranked_attack_paths, service_discovery, service_api_calls, cross_service_paths)}
+QUERIES = {f.__name__: f for f in (redactions, masked_values, path_predicates, secret_privilege, identifier_types, pep440_matches, constraint_conflicts, constraint_overlap, tamper_warnings, npm_reachability, locked_versions, dependency_reachability, duplicate_relations, cluster_keys, policy_profile, threshold_gate, category_view, invariant_violations, merged_flows, queue_status, finding_page, layer_edges, knowledge_nodes, knowledge_edges, public_edges, sca_scan, polyglot_flows, exploit_labels, callback_edges, constant_sets, module_outline, line_routes, ranked_attack_paths, service_discovery, service_api_calls, cross_service_paths)}
 
 
 def _replaced(text: str, patterns) -> str:
@@ -328,6 +340,7 @@ SQL = {
     "knowledge_edges": f"WITH fns AS ({_FN}) SELECT 'project' AS src, 'module:' || {K.PATH} AS dst, 'CONTAINS' AS relation FROM documents UNION ALL SELECT 'module:' || path, 'fn:' || path || ':' || name, 'CONTAINS' FROM fns UNION ALL SELECT 'fn:' || path || ':' || name, 'sink:' || path || ':' || name, 'FLOWS_TO' FROM fns WHERE danger",
     "public_edges": f"WITH fns AS ({_FN}) SELECT name AS source, 'Sink in ' || name AS target, 'FLOWS_TO' AS relation, 85.0::DOUBLE AS risk FROM fns WHERE danger AND name IN ('run', 'item', 'fetch', 'query')",
     "sca_scan": f"WITH d AS ({K.found(['name', 'version'], {'requirements': [[('six', '1.16.0'), ('idna', '3.7')], [('six', '1.15.0')]]})}), n AS (SELECT count(*) AS callers FROM documents WHERE doc_id % 12 = 0) SELECT path, name, version, CASE name WHEN 'six' THEN 'ADV-6' ELSE 'ADV-7' END AS id, name = 'idna' AND callers > 0 AS reachable, CASE WHEN name = 'idna' AND callers > 0 THEN 'HIGH' ELSE 'LOW' END AS confidence, CASE name WHEN 'idna' THEN callers ELSE 0 END AS callers, 'UPGRADE' AS action, CASE name WHEN 'six' THEN '1.16.0' ELSE '3.8.0' END AS fix, 'LOW' AS impact FROM d, n WHERE version <> '1.16.0'",
+    "polyglot_flows": "SELECT 'f' || doc_id || '.go:getUser' AS start, 'f' || doc_id || '.go:runIt' AS node, 'db.Query' AS sink, 'SQL' AS category, 'CRITICAL' AS severity FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'f' || doc_id || '.py:handler_a', 'f3.py:shared', 'os.system', 'SHELL_EXEC', 'CRITICAL' FROM documents WHERE doc_id % 2 = 1 AND doc_id <> 3 AND EXISTS (SELECT 1 FROM documents WHERE doc_id = 3)",
     "exploit_labels": K.placed(["fn", "sink", "sink_line", "label"], {k: [(r[0], r[5], r[7], "HIGHLY_LIKELY") for r in rows] + ([("safe", "os.system", 4, "NOT_EXPLOITABLE"), ("safe", "eval", 6, "NOT_EXPLOITABLE")] if k == "safe" else []) for k, rows in FLOWS.items()}, ("sink_line",)),
     "callback_edges": f"SELECT path || ':begin' AS src, path || ':work' AS dst FROM ({K.placed(['x'], {'tasks': [(1,)]})})",
     "constant_sets": K.placed(["line", "call", "values", "state"], {"odd": [(2, "getattr", "", "UNKNOWN"), (3, "getattr", "known", "EXACT")]}),

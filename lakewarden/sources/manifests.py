@@ -96,6 +96,10 @@ def _setup_cfg(path, content):
     for line in c.get("options", "install_requires", fallback="").splitlines():
         if r := requirement(line.strip()):
             yield r
+    for group, text in c.items("options.extras_require") if c.has_section("options.extras_require") else ():
+        for line in text.splitlines():
+            if r := requirement(line.strip(), group in ("dev", "test", "tests")):
+                yield r
 
 
 def _setup_py(path, content):
@@ -106,6 +110,10 @@ def _setup_py(path, content):
             for k in node.keywords:
                 if k.arg == "install_requires" and isinstance(k.value, (ast.List, ast.Tuple)):
                     yield from filter(None, (requirement(e.value) for e in k.value.elts if isinstance(e, ast.Constant)))
+                if k.arg == "extras_require" and isinstance(k.value, ast.Dict):
+                    for g, v in zip(k.value.keys, k.value.values, strict=True):
+                        if isinstance(g, ast.Constant) and isinstance(v, (ast.List, ast.Tuple)):
+                            yield from filter(None, (requirement(e.value, g.value in ("dev", "test", "tests")) for e in v.elts if isinstance(e, ast.Constant)))
 
 
 def _npm(path, content):
@@ -125,6 +133,28 @@ def _npm_lock(path, content):
             yield _row("npm", name, v.get("version"), direct=False, dev=bool(v.get("dev")), hashes=int("integrity" in v))
 
 
+def _go_sum(path, content):
+    seen = set()
+    for m in re.finditer(r"(?m)^(\S+)\s+v([\w.+-]+?)(?:/go\.mod)?\s+h1:", content):
+        if m[0] and (m[1], m[2]) not in seen:
+            seen.add((m[1], m[2]))
+            yield _row("go", m[1], m[2], direct=False, hashes=1)
+
+
+def _gemfile_lock(path, content):
+    specs, _, rest = content.partition("DEPENDENCIES")
+    direct = set(re.findall(r"(?m)^  ([\w.-]+)", rest.partition("\n\n")[0]))
+    for m in re.finditer(r"(?m)^    ([\w.-]+) \(([\w.-]+)\)$", specs):
+        yield _row("rubygems", m[1], m[2], direct=m[1] in direct)
+
+
+def _composer_lock(path, content):
+    d = json.loads(content)
+    for key, dev in (("packages", False), ("packages-dev", True)):
+        for p in d.get(key) or ():
+            yield _row("packagist", p["name"], str(p.get("version", "")).lstrip("v") or None, direct=False, dev=dev, ref=(p.get("source") or {}).get("reference"), hashes=int(bool((p.get("dist") or {}).get("shasum"))))
+
+
 def _go_mod(path, content):
     for m in re.finditer(r"(?m)^\s*(?:require\s+)?([\w.-]+\.[\w./-]+)\s+v([\w.+-]+)(\s*// indirect)?", content):
         yield _row("go", m[1], m[2], direct=not m[3])
@@ -164,7 +194,7 @@ def _gradle(path, content):
 PARSERS = (
     (r"(^|/)[^/]*requirements[^/]*\.txt$|\.req$", _requirements), (r"(^|/)pyproject\.toml$", _pyproject), (r"(^|/)(poetry|uv|Cargo)\.lock$", _toml_lock), (r"(^|/)Pipfile$", _pipfile), (r"(^|/)Pipfile\.lock$", _pipfile_lock),
     (r"(^|/)setup\.cfg$", _setup_cfg), (r"(^|/)setup\.py$", _setup_py), (r"(^|/)package\.json$", _npm), (r"(^|/)(package-lock|npm-shrinkwrap)\.json$", _npm_lock), (r"(^|/)go\.mod$", _go_mod),
-    (r"(^|/)Cargo\.toml$", _cargo), (r"(^|/)Gemfile$", _gemfile), (r"(^|/)composer\.json$", _composer), (r"(^|/)pom\.xml$", _pom), (r"(^|/)build\.gradle(\.kts)?$", _gradle),
+    (r"(^|/)Cargo\.toml$", _cargo), (r"(^|/)Gemfile$", _gemfile), (r"(^|/)go\.sum$", _go_sum), (r"(^|/)Gemfile\.lock$", _gemfile_lock), (r"(^|/)composer\.lock$", _composer_lock), (r"(^|/)composer\.json$", _composer), (r"(^|/)pom\.xml$", _pom), (r"(^|/)build\.gradle(\.kts)?$", _gradle),
 )
 
 
@@ -186,3 +216,23 @@ def manifest_dependencies(files: DataFrame) -> DataFrame:
     from .python_facts import _rows
 
     return _rows(files, rows_of, SCHEMA, _ARROW)
+
+
+def lock_edges(files: DataFrame) -> DataFrame:
+    """path, src, dst: which package needs which, of poetry.lock, uv.lock, Cargo.lock and package-lock.json files."""
+    from .python_facts import _rows
+
+    return _rows(files, edges_of, "path string, src string, dst string", pa.schema([("path", _S), ("src", _S), ("dst", _S)]))
+
+
+def edges_of(path: str, content: str | None) -> list[tuple]:
+    try:
+        if re.search(r"(^|/)(poetry|uv|Cargo)\.lock$", path):
+            names = lambda d: d.keys() if isinstance(d, dict) else (x["name"] if isinstance(x, dict) else str(x).split()[0] for x in d)
+            return [(path, p["name"], n) for p in tomllib.loads(content or "").get("package", ()) for n in names(p.get("dependencies", ()))]
+        if re.search(r"(^|/)(package-lock|npm-shrinkwrap)\.json$", path):
+            packages = json.loads(content or "").get("packages") or {}
+            return [(path, k.rpartition("node_modules/")[2] or ".", n) for k, v in packages.items() for n in v.get("dependencies") or ()]
+    except (ValueError, KeyError, AttributeError, TypeError):
+        pass
+    return []

@@ -1,4 +1,8 @@
-"""Source trees as rows: a Python data source that also reads hidden files, one partition per top folder."""
+"""Source trees as rows: a Python data source that also reads hidden files.
+
+Folders are dealt to partitions level by level until there are ``partitions`` of them (or no deeper folders), so
+a single large top folder is many tasks.
+"""
 
 from __future__ import annotations
 
@@ -34,13 +38,22 @@ class _Reader(DataSourceReader):
         self.root = os.path.realpath(options["path"])
         self.depth = int(options.get("maxDepth", 20))
         self.limit = int(options.get("maxBytes", 1_000_000))
+        self.most = int(options.get("partitions", 64))
         self.ignored = [*IGNORED, *filter(None, options.get("ignore", "").split(","))]
 
     def partitions(self):
         if os.path.isfile(self.root):
             return [_Folder(self.root, False)]
-        tops = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and not self._skip(e.name))
-        return [_Folder(self.root, False), *(_Folder(t, True) for t in tops)]
+        shallow, deep = [self.root], self._below(self.root)
+        for _ in range(self.depth - 2):
+            if not deep or len(deep) >= self.most:
+                break
+            shallow += deep
+            deep = [d for top in deep for d in self._below(top)]
+        return [*(_Folder(t, False) for t in shallow), *(_Folder(t, True) for t in deep)]
+
+    def _below(self, top: str) -> list[str]:
+        return sorted(e.path for e in os.scandir(top) if e.is_dir(follow_symlinks=False) and not self._skip(os.path.relpath(e.path, self.root)))
 
     def _skip(self, rel: str) -> bool:
         return any(fnmatch.fnmatch(part, p) for part in rel.split(os.sep) for p in self.ignored) or any(fnmatch.fnmatch(rel, p) for p in self.ignored)

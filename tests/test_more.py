@@ -195,3 +195,58 @@ def test_frameworks(spark):
     assert {(r.framework, r.route) for r in behaviour.framework_routes(facts).collect()} == {("Django", "cart/"), ("Celery", "/work"), ("FastAPI", "/admin/users"), ("FastAPI", "/admin/safe")}
     flow = spark.createDataFrame([("api.py", "users", "eval", 6, "HTTP_REQUEST")], "path string, fn string, sink string, sink_line int, source_kind string")
     assert behaviour.exploitability(facts, flow).first().verdict == "UNREACHABLE"
+
+
+def test_more_lock_files():
+    from lakewarden.sources.manifests import edges_of, rows_of
+
+    names = lambda p, c: [(r[2], r[3], r[5]) for r in rows_of(p, c)]
+    assert names("go.sum", "github.com/a/b v1.2.3 h1:x=\ngithub.com/a/b v1.2.3/go.mod h1:y=\n") == [("github.com/a/b", "1.2.3", False)]
+    assert names("Gemfile.lock", "GEM\n  specs:\n    rack (2.0.1)\n    rails (6.0)\n      rack (>= 1)\n\nDEPENDENCIES\n  rails\n\n") == [("rack", "2.0.1", False), ("rails", "6.0", True)]
+    assert names("composer.lock", '{"packages": [{"name": "x/a", "version": "v1.0"}], "packages-dev": null}') == [("x/a", "1.0", False)]
+    assert [r[2] for r in rows_of("setup.cfg", "[options]\ninstall_requires =\n  a\n[options.extras_require]\ntest =\n  b\n")] == ["a", "b"]
+    assert [(r[2], r[6]) for r in rows_of("setup.py", "setup(install_requires=['a'], extras_require={'dev': ['b'], 'x': ['c']})")] == [("a", False), ("b", True), ("c", False)]
+    assert edges_of("poetry.lock", '[[package]]\nname = "a"\nversion = "1"\n[package.dependencies]\nb = ">=1"\n') == [("poetry.lock", "a", "b")]
+    assert edges_of("Cargo.lock", '[[package]]\nname = "a"\nversion = "1"\ndependencies = ["b 1.0", "c"]\n') == [("Cargo.lock", "a", "b"), ("Cargo.lock", "a", "c")]
+    assert edges_of("package-lock.json", '{"packages": {"": {"dependencies": {"a": "1"}}, "node_modules/a": {"dependencies": {"b": "1"}}}}') == [("package-lock.json", ".", "a"), ("package-lock.json", "a", "b")]
+    assert edges_of("poetry.lock", "=") == [] == edges_of("x", "y")
+
+
+def test_ignore_rules_give_their_reason(spark):
+    from lakewarden.operators.project import gitignore_patterns, ignore_reasons, ignored
+
+    files = spark.createDataFrame([("a.py",), ("build/x.py",), ("b.log",), ("keep/b.txt",)], "path string")
+    rules = [("build", "DEFAULT"), ("*.py", "CLI"), *gitignore_patterns("# note\n*.log\n!keep\n/build/\n")]
+    p = spark.createDataFrame(rules, "glob string, tier string")
+    assert {(r.path, r.ignored_by, r.reason) for r in ignore_reasons(files, p).collect()} == {("a.py", "CLI", "*.py"), ("build/x.py", "DEFAULT", "build"), ("b.log", "GITIGNORE", "*.log"), ("keep/b.txt", None, None)}
+    assert [r.path for r in ignored(files, p).collect()] == ["keep/b.txt"]
+
+
+def test_one_large_folder_is_many_tasks(spark, tmp_path):
+    from lakewarden.sources.repo import read_repo
+
+    want = set()
+    for i in range(12):
+        os.makedirs(tmp_path / f"src/p{i}/q")
+        (tmp_path / f"src/p{i}/q/a.py").write_text("x")
+        (tmp_path / f"src/p{i}/b.py").write_text("y")
+        want |= {f"src/p{i}/q/a.py", f"src/p{i}/b.py"}
+    (tmp_path / "src/top.py").write_text("z")
+    df = read_repo(spark, str(tmp_path), partitions="8")
+    got = [r.path for r in df.collect()]
+    assert sorted(got) == sorted(want | {"src/top.py"}) and df.rdd.getNumPartitions() >= 12
+
+
+def test_chart_templates(spark):
+    pytest.importorskip("yaml")
+    text = '{{- if .Values.on }}\nkind: Pod\nmetadata:\n  name: {{ .Release.Name }}\nspec:\n  hostNetwork: true\n  containers:\n    - image: "{{ .Values.image }}"\n      securityContext: {privileged: true, runAsNonRoot: true}\n{{- end }}\n'
+    got = iac.yaml_findings(spark.createDataFrame([("chart/templates/pod.yaml", text)], "path string, content string")).collect()
+    assert {r.rule_id for r in got} == {"IAC-007", "IAC-009"}
+
+
+def test_graph_summary(spark):
+    from lakewarden.operators.sca import graph_summary
+
+    e = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4)], "src long, dst long")
+    r = graph_summary(e, spark.createDataFrame([(0,)], "node long")).first()
+    assert (r.direct, r.transitive, r.max_depth, r.avg_depth, r.shared, r.bloat) == (2, 2, 3, 1.75, 1, 1.0)

@@ -24,3 +24,13 @@ def test_no_flow_is_lost_among_many_paths(spark):
     lines = exploded(spark.createDataFrame([("a.py", body)], "path string, content string"), ["path"], "content")
     got = {(r.start, r.node, r.category, r.severity, tuple(r.path)) for r in P.flows(lines).collect()}
     assert got == {("a.py:start", "a.py:run", "SHELL_EXEC", "HIGH", ("a.py:start", "a.py:m11", "a.py:last", "a.py:run"))}
+
+
+def test_names_that_many_files_define_lead_to_all_of_them(spark):
+    """Forty callers and forty definitions are eighty rows, and every flow is found."""
+    files = [(f"a{i}.py", f"def handler{i}(r):\n    v = request.args\n    get(v)\n") for i in range(40)] + [(f"b{i}.py", "def get(v):\n    os.system(v)\n") for i in range(40)]
+    lines = exploded(spark.createDataFrame(files, "path string, content string"), ["path"], "content")
+    fn = P.functions(lines)
+    assert P.call_edges(fn).count() == 40 == P.members(fn).count()
+    got = {(r.start, r.node, tuple(r.path)) for r in P.flows(lines).where("start <> node").collect()}
+    assert {(f"a{i}.py:handler{i}", f"b{j}.py:get", (f"a{i}.py:handler{i}", f"b{j}.py:get")) for i in range(40) for j in range(40)} <= got
