@@ -123,8 +123,8 @@ def texts_of(batches: Iterable[pa.RecordBatch], rows: int = 500):
             yield part, [t or "" for t in strings(part["text"])]
 
 
-#: A segment ends beyond so many distinct pre-tokens, pairs of document and chunk, or bytes of text.
-SEGMENT = (60_000, 1_000_000, 32 << 20)
+#: A segment ends beyond so many distinct chunks, pairs of document and chunk, or bytes of text.
+SEGMENT = (600_000, 2_500_000, 48 << 20)
 
 
 class Segment:
@@ -149,27 +149,53 @@ class Segment:
         self.size += n_bytes
         return len(self.chunk) > SEGMENT[0] or len(self.chunks) > SEGMENT[1] or self.size > SEGMENT[2] or len(self.n) >= 100_000
 
-    def row(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
+    def row(self, number: int, kind: pa.DataType, block: int = 200_000) -> pa.RecordBatch:
         token: defaultdict = defaultdict(itertools.count().__next__)
         parts = [list(map(token.__getitem__, self.cut.pieces(c))) for c in self.chunk]
         width = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = np.fromiter(itertools.chain.from_iterable(parts), np.int64, int(width.sum()))
-        chunk, times = np.array(self.chunks, np.int64), np.array(self.times, np.int64)
-        doc, w = np.repeat(np.arange(len(self.n)), self.n), width[chunk]
-        at = np.arange(w.sum()) + np.repeat((np.cumsum(width) - width)[chunk] - (np.cumsum(w) - w), w)
-        pair, inverse = np.unique(np.repeat(doc, w) * max(1, len(token)) + flat[at], return_inverse=True)
-        freq = np.bincount(inverse, np.repeat(times, w), len(pair)).astype(np.int64)
-        doc, which = pair // max(1, len(token)), pair % max(1, len(token))
-        small = lambda x: x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
-        which, freq = small(which), small(freq)
-        each = np.bincount(doc, minlength=len(self.n))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([number], pa.int64()), pa.array([list(token)], pa.list_(pa.string())), pa.array([self.doc_id], pa.list_(kind)), pa.array([self.n_bytes], pa.list_(pa.int64())),
-                pa.array([each.tolist()], pa.list_(pa.int64())), pa.array([which.itemsize], pa.int32()), pa.array([which.tobytes()], pa.binary()), pa.array([freq.itemsize], pa.int32()), pa.array([freq.tobytes()], pa.binary()),
-            ],
-            ["segment", "tokens", "doc_id", "n_bytes", "n_pairs", "wide", "which", "high", "freq"],
-        )
+        first = np.cumsum(width) - width
+        # frequent pre-tokens get small numbers, which pack well
+        chunk, times = np.array(self.chunks, np.int32), np.array(self.times, np.int64)
+        use = np.bincount(chunk, minlength=len(width))
+        rank = np.empty(len(token), np.int64)
+        rank[np.argsort(-np.bincount(flat, np.repeat(use, width), len(token)), kind="stable")] = np.arange(len(token))
+        flat, names = rank[flat], np.array(list(token), object)
+        names[rank] = names.copy()
+        n = np.array(self.n, np.int64)
+        ends = np.cumsum(n)
+        which, freq, each, lo = [], [], [], 0
+        while lo < len(n):  # some documents at once, so that memory is that of a block
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + block)))
+            a, z = int(ends[lo - 1] if lo else 0), int(ends[hi - 1])
+            c, w = chunk[a:z], width[chunk[a:z]]
+            at = np.arange(w.sum()) + np.repeat(first[c] - (np.cumsum(w) - w), w)
+            doc = np.repeat(np.repeat(np.arange(hi - lo), n[lo:hi]), w)
+            pair, inverse = np.unique(doc * max(1, len(token)) + flat[at], return_inverse=True)
+            doc, ids = pair // max(1, len(token)), pair % max(1, len(token))
+            step = np.diff(ids, prepend=0)
+            new = np.flatnonzero(np.diff(doc, prepend=-1))
+            step[new] = ids[new]
+            which.append(step.astype(np.uint32))
+            freq.append(np.bincount(inverse, np.repeat(times[a:z], w), len(pair)).astype(np.uint32))
+            each.append(np.bincount(doc, minlength=hi - lo))
+            lo = hi
+        cols = [number, names.tolist(), self.doc_id, self.n_bytes, np.concatenate(each).tolist() if each else [], packed(which), packed(freq)]
+        types = [pa.int64(), pa.list_(pa.string()), pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, types, strict=True)], ["segment", "tokens", "doc_id", "n_bytes", "n_pairs", "which", "freq"])
+
+
+def packed(parts: list[np.ndarray]) -> bytes:
+    """Numbers of 32 bits as four planes of bytes, compressed; most numbers are small."""
+    x = np.concatenate(parts).astype("<u4") if parts else np.empty(0, "<u4")
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, np.int64)
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def frequencies(docs: DataFrame, path: str, ws: Workspace, id_col: str, text_col: str) -> DataFrame:
@@ -189,7 +215,7 @@ def frequencies(docs: DataFrame, path: str, ws: Workspace, id_col: str, text_col
         if part:
             yield part.row(next(numbers), arrow)
 
-    schema = f"segment long, tokens array<string>, doc_id array<{kind}>, n_bytes array<long>, n_pairs array<long>, wide int, which binary, high int, freq binary"
+    schema = f"segment long, tokens array<string>, doc_id array<{kind}>, n_bytes array<long>, n_pairs array<long>, which binary, freq binary"
     return ws.stage(rows.mapInArrow(own, schema), "frequencies")
 
 
@@ -217,9 +243,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         for b in batches:
             for i in range(b.num_rows):
                 pieces = np.array(b["pieces"][i].values if b["pieces"][i].is_valid else [], np.int64)
-                which = np.frombuffer(b["which"][i].as_py(), f"u{b['wide'][i].as_py()}")
-                freq = np.frombuffer(b["freq"][i].as_py(), f"u{b['high'][i].as_py()}").astype(np.int64)
                 n = np.array(b["n_pairs"][i].values, np.int64)
+                step, freq = (unpacked(b[c][i].as_py(), int(n.sum())) for c in ("which", "freq"))
+                before = np.concatenate([[0], np.cumsum(step)])  # steps up, begun anew with each document
+                which = before[1:] - np.repeat(before[np.cumsum(n) - n], n)
                 total = np.bincount(np.repeat(np.arange(len(n)), n), pieces[which] * freq, len(n)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([b["doc_id"][i].values, b["n_bytes"][i].values, pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])
 
@@ -232,6 +259,7 @@ class IdCache:
     """Little-endian 32-bit ids of pre-tokens; starts anew beyond ``limit`` of them or ``room`` bytes of theirs.
 
     The library sees a pre-token once as long as it stays cached; those over 256 characters are not kept.
+    A partition makes its own, so that nothing of it stays in a worker that goes on to other work.
     """
 
     def __init__(self, path: str, limit: int = 250_000, room: int = 16 << 20):
@@ -263,8 +291,3 @@ class IdCache:
             if len(c) > 256:
                 self.held -= len(c) + len(self.known.pop(c))
         return out
-
-
-@functools.lru_cache(maxsize=2)
-def id_cache(path: str) -> IdCache:
-    return IdCache(path)
