@@ -58,7 +58,7 @@ class Workspace:
         """Write ``df`` once and read it back."""
         self._n += 1
         path = f"{self.path}/{self._n}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
