@@ -253,7 +253,7 @@ _CONCURRENT = K.placed(["line", "fn", "event", "target"], CONCURRENCY)
 _INSTALLED = K.placed(["line", "fn", "resolved", "event"], INSTALL)
 SQL = {
     "check_annotations": f"{FINDINGS} SELECT ordinal, file_path, line, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'failure' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'notice' END AS level, left(title, 1000) AS message FROM findings ORDER BY risk_score DESC, ordinal LIMIT 50",
-    "sarif_report": f"{FINDINGS} SELECT project, count(*) AS results, count(DISTINCT rule_id) AS rules, arg_min(rule_id, ordinal) AS first_rule, count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) AS errors, arg_min(file_path, ordinal) AS first_file, greatest(arg_min(line, ordinal), 1) AS first_line, md5(string_agg(fingerprint, ',' ORDER BY ordinal)) AS prints, '2.1.0' AS version, 0 AS unplaced FROM findings GROUP BY project",
+    "sarif_report": f"{FINDINGS} SELECT project, count(*) AS results, count(DISTINCT rule_id) AS rules, arg_min(rule_id, ordinal) AS first_rule, count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) AS errors, arg_min(file_path, ordinal) AS first_file, greatest(arg_min(line, ordinal), 1) AS first_line, md5(string_agg(fingerprint, ',' ORDER BY ordinal)) AS prints, '2.1.0' AS version, 0::BIGINT AS unplaced FROM findings GROUP BY project",
     "json_report": f"""{FINDINGS} SELECT project, '{{"schema_version":"1.0","total":' || count(*) || ',"severity":{{"critical":' || count(*) FILTER (severity = 'CRITICAL') || ',"high":' || count(*) FILTER (severity = 'HIGH') || ',"medium":' || count(*) FILTER (severity = 'MEDIUM') || ',"low":' || count(*) FILTER (severity = 'LOW') || ',"info":' || count(*) FILTER (severity = 'INFO') || '}},"max_risk":' || max(risk_score) || '}}' AS report FROM findings GROUP BY project""",
     "windowed_event_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "iac_resources": K.found(["kind", "name", "is_public", "is_privileged"], RESOURCES),
@@ -271,7 +271,7 @@ SQL = {
     "web_summary": f"SELECT path, count(*) AS routes, count(*) AS open, count(*) FILTER (verb <> 'post') AS csrf_safe FROM ({K.placed(['line', 'framework', 'handler', 'route', 'verb'], ROUTES)}) GROUP BY path",
     "install_events": _INSTALLED,
     "malware_summary": f"SELECT path, count(*) FILTER (event = 'INSTALL_EXECUTION') AS install_execution, count(*) FILTER (event = 'OBFUSCATED_EXECUTION') AS obfuscated_execution, count(*) FILTER (event = 'PERSISTENCE') AS persistence, 90 AS risk FROM ({_INSTALLED}) GROUP BY path",
-    "framework_evidence": K.placed(["framework", "imports"], {"head": [("Flask", 2), ("HTTP", 1), ("Auth", 1)]}),
+    "framework_evidence": f"SELECT path, framework, imports::BIGINT AS imports FROM ({K.placed(['framework', 'imports'], {'head': [('Flask', 2), ('HTTP', 1), ('Auth', 1)]})})",
     "framework_routes": K.placed(["line", "framework", "handler", "route", "verb"], ROUTES),
     "framework_uses": K.placed(["line", "framework", "role", "name"], USES),
     "framework_findings": K.placed(["line", "rule_id"], FRAMEWORK_RULES),
