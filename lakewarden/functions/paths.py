@@ -74,6 +74,11 @@ def context_confidence(value: Column, key: Column, path: Column) -> Column:
     return F.struct(level.alias("confidence"), (mock | is_test(path)).alias("is_test"))
 
 
+def host_verdict(host: Column, deny: tuple[str, ...], allow: tuple[str, ...]) -> Column:
+    """DENY by the first list, else ALLOW by the second, else REVIEW; both are patterns."""
+    return F.when(host.rlike("|".join(deny)), "DENY").when(host.rlike("|".join(allow)), "ALLOW").otherwise("REVIEW")
+
+
 def identifier_type(raw: Column) -> Column:
     """The scheme of a vulnerability's identifier, by its prefix."""
     text, out = F.upper(F.trim(raw)), None

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.versions import is_typosquat
 from .secrets import scan
+from .supply import lookalikes
 
 #: Fixed values.
 SENSITIVE_NAMES = (".env", ".env.local", ".env.production", ".env.staging", ".env.dev", "credentials.json", "secrets.json", "id_rsa", "id_ed25519", "id_dsa")
@@ -113,8 +113,7 @@ POPULAR = ("react", "lodash", "express", "axios", "chalk", "commander", "moment"
 
 def npm_typosquats(packages: DataFrame) -> DataFrame:
     """Package names one letter off a popular one; the popular names are nine."""
-    known = packages.sparkSession.createDataFrame([(n,) for n in POPULAR], "known string")
-    return packages.select("name").distinct().join(F.broadcast(known), is_typosquat(F.col("name"), F.col("known"))).select("name", "known")
+    return lookalikes(packages, packages.sparkSession.createDataFrame([(n,) for n in POPULAR], "known string"))
 
 
 def history_secrets(added: DataFrame, salt: str = "lakewarden") -> DataFrame:

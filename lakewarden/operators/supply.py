@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.versions import normalised
+from ..functions.versions import is_typosquat, normalised
 
 
 def supply_findings(deps: DataFrame) -> DataFrame:
@@ -35,3 +35,20 @@ def inventory(deps: DataFrame) -> DataFrame:
     return deps.groupBy("ecosystem").agg(
         F.count("*").alias("total"), F.count_if("is_direct").alias("direct"), F.count_if(~F.col("is_direct")).alias("transitive"), F.count_if("is_dev").alias("dev"), F.count_if(F.col("version").isNull()).alias("unpinned")
     )
+
+
+def lookalikes(names: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of a name and a known one that ``is_typosquat`` takes for each other; ``names(name)``, ``known(known)``.
+
+    Both sides spell out their beginnings with one place left open and meet on these, so neither must be small.
+    """
+
+    def opened(c):
+        lengths = F.filter(F.array(F.length(c), F.length(c) - 1), lambda n: n > 0)
+        each = F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.lit("\0"), F.substr(c, i + 1, n - i))))
+        return F.explode(F.array_distinct(F.flatten(each)))
+
+    n = names.select("name").where("name <> ''").distinct()
+    k = known.select("known").where("known <> ''").distinct()
+    pairs = n.select("name", opened(F.col("name")).alias("_k")).join(k.select("known", opened(F.col("known")).alias("_k")), "_k")
+    return pairs.select("name", "known").distinct().where(is_typosquat(F.col("name"), F.col("known")))

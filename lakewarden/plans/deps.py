@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.versions import is_typosquat, normalised, satisfies
+from ..functions.versions import normalised, satisfies
 from ..operators import diff, graph, sca
+from ..operators.supply import lookalikes
 from .base import EDGES, dependencies, edges, part_edges, table
 
 #: Advisory events: id, package, position, kind, version.
@@ -56,9 +57,9 @@ def fix_recommendation(spark, sf):
 
 def typosquat(spark, sf):
     """Package names one letter off a well-known brand word."""
-    names = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    names = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("name"))
     known = spark.createDataFrame([("widgat",), ("bolx",), ("rung",), ("greem",), ("gear",)], "known string")
-    return names.join(F.broadcast(known), is_typosquat(F.col("word"), F.col("known"))).select("word", "known")
+    return lookalikes(names, known).withColumnRenamed("name", "word")
 
 
 def dep_diff(spark, sf):

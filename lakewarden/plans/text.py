@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import secrets as S
+from ..functions.paths import host_verdict
 from ..functions.versions import license_action
 from ..operators import lines as L
 from ..operators import secrets as scan_op
@@ -79,8 +80,7 @@ def ssrf_host_policy(spark, sf):
     """Deny patterns first, then the allow list."""
     p = table(spark, sf, "pages")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z]+://([^/?#:]+)", 1))
-    verdict = F.when(F.col("host").rlike("|".join(DENY_HOSTS)), "DENY").when(F.col("host").rlike("|".join(ALLOW_HOSTS)), "ALLOW").otherwise("REVIEW")
-    return p.select("page_id", host.alias("host")).withColumn("verdict", verdict)
+    return p.select("page_id", host.alias("host")).withColumn("verdict", host_verdict(F.col("host"), DENY_HOSTS, ALLOW_HOSTS))
 
 
 def json_props_extract(spark, sf):

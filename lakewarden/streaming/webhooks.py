@@ -25,6 +25,21 @@ def signed(deliveries: DataFrame, secret: str) -> DataFrame:
     return deliveries.where(F.octet_length("body") <= MAX_BYTES).where(fits("body", "signature"))
 
 
+def parsed(deliveries: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
+    """Deliveries with ``repo``, ``pr``, ``action`` and ``url`` of their JSON body; others than such bodies give none.
+
+    The url must be https and its host one of ``hosts`` or below one; batch and stream alike.
+    """
+    j = lambda p: F.get_json_object("body", p)
+    url = F.coalesce(j("$.repository.clone_url"), j("$.repository.html_url"))
+    host = F.lower(F.regexp_extract(url, r"^https://(?:[^/@]*@)?([^/:?#]+)", 1))
+    fits = F.lit(False)
+    for h in hosts:
+        fits = fits | (host == h) | F.endswith(host, F.lit(f".{h}"))
+    out = deliveries.where(F.octet_length("body") <= MAX_BYTES).where(fits)
+    return out.select("*", j("$.repository.full_name").alias("repo"), j("$.pull_request.number").cast("long").alias("pr"), j("$.action").alias("action"), url.alias("url")).where("repo is not null")
+
+
 def once(deliveries: DataFrame, key: str, ts: str, within: str = "10 minutes") -> DataFrame:
     """Each delivery id once; state is dropped behind the watermark."""
     return deliveries.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])

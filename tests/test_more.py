@@ -250,3 +250,43 @@ def test_graph_summary(spark):
     e = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4)], "src long, dst long")
     r = graph_summary(e, spark.createDataFrame([(0,)], "node long")).first()
     assert (r.direct, r.transitive, r.max_depth, r.avg_depth, r.shared, r.bloat) == (2, 2, 3, 1.75, 1, 1.0)
+
+
+def test_a_broken_rule_takes_nothing_along(spark, tmp_path):
+    from lakewarden.operators.engine import Catalog
+
+    c = Catalog()
+    c.rule("A")(lambda f: f["x"].select(F.lit("A").alias("rule_id"), "id"))
+    c.rule("B")(lambda f: f["x"].select(F.raise_error(F.lit("late")).alias("rule_id"), "id"))
+    c.rule("C")(lambda f: f["nothing"])
+    c.rule("D", language="GO")(lambda f: f["x"])
+    with pytest.raises(ValueError):
+        c.rule("A")(lambda f: f["x"])
+    found, told = c.evaluate(spark, {"x": spark.range(3)}, str(tmp_path), language="PYTHON")
+    assert found.count() == 3
+    rows = {r.rule_id: r for r in told.collect()}
+    assert set(rows) == {"A", "B", "C"} and rows["A"].findings == 3 and rows["A"].error is None and "late" in rows["B"].error and "KeyError" in rows["C"].error
+
+
+def test_lookalikes_equal_brute_force(spark):
+    from lakewarden.operators.supply import lookalikes
+
+    g = random.Random(6)
+    word = lambda: "".join(g.choice("ab") for _ in range(g.randint(0, 5)))
+    a, b = {word() for _ in range(40)}, {word() for _ in range(25)}
+
+    def alike(x, y):
+        n = min(len(x), len(y))
+        return x != y and abs(len(x) - len(y)) <= 1 and sum(x[i] != y[i] for i in range(n)) == 1
+
+    got = lookalikes(spark.createDataFrame([(x,) for x in a], "name string"), spark.createDataFrame([(x,) for x in b], "known string")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, y) for x in a for y in b if alike(x, y))
+
+
+def test_webhook_bodies(spark):
+    from lakewarden.streaming.webhooks import parsed
+
+    body = lambda url: json.dumps({"action": "opened", "repository": {"full_name": "o/r", "clone_url": url}, "pull_request": {"number": 7}})
+    rows = [(1, body("https://git.example.com/o/r.git")), (2, body("http://git.example.com/o/r")), (3, body("https://evil.com/x?git.example.com")), (4, "{"), (5, None), (6, body("https://user@example.com/o/r"))]
+    got = parsed(spark.createDataFrame(rows, "id int, body string"), ("example.com",)).collect()
+    assert [(r.id, r.repo, r.pr, r.action) for r in got] == [(1, "o/r", 7, "opened"), (6, "o/r", 7, "opened")]
