@@ -29,7 +29,8 @@ def ship(spark: SparkSession) -> None:
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
     # rows go to Python in batches of so many bytes (or one longer row), not of 10,000 texts of any length
-    if int(re.sub(r"\D", "", spark.conf.get(BATCH_CONF)) or 0) > BATCH_BYTES or not spark.conf.get(BATCH_CONF).endswith("b"):
+    now = spark.conf.get(BATCH_CONF)
+    if not re.fullmatch(r"\d+b", now) or int(now[:-1]) > BATCH_BYTES:
         spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
 
 
