@@ -236,8 +236,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     ws = Workspace(docs.sparkSession)
     segments = frequencies(docs, path, ws, id_col, text_col)
     vocab = vocabulary(segments, path, ws)
-    pairs = segments.select("segment", F.posexplode("tokens").alias("at", "token")).join(vocab, "token").select("segment", F.struct("at", "pieces").alias("p"))
-    pieces = pairs.groupBy("segment").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.pieces).alias("pieces"))
+    pairs = segments.select("segment", F.posexplode("tokens").alias("at", "token")).join(vocab, "token")
+    pairs = pairs.select("segment", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("pieces")).alias("p"))  # both in one number, in the order of ``at``
+    pieces = pairs.groupBy("segment").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.bitwiseAND(F.lit((1 << 32) - 1))).alias("pieces"))
 
     def summed(batches):
         for b in batches:
