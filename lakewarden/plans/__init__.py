@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import code, deps, findings, more, text
+from . import code, deps, findings, more, repos, text
 
-_MODULES = (findings, text, deps, code, more)
+_MODULES = (findings, text, deps, code, more, repos)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
