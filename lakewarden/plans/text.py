@@ -170,6 +170,7 @@ SQL = {
     "secret_scan_documents": f"{_SECRETS} SELECT doc_id, fingerprint, detector, kind, severity, redacted, entropy FROM best",
     "secret_context_severity": f"{_SECRETS}, p AS (SELECT *, '/srv/' || CASE WHEN lang = 'en' THEN 'tests/' ELSE 'src/' END || source || '.py' AS path FROM best) SELECT doc_id, path, detector, CASE WHEN NOT regexp_matches(path, {_q(S.TEST_PATH)}) THEN severity WHEN severity IN ('CRITICAL', 'HIGH') THEN 'MEDIUM' ELSE 'LOW' END AS severity, CASE {_ENV} ELSE 'UNKNOWN' END AS environment FROM p",
     "entropy_tokens": f"WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS b FROM documents), e AS (SELECT b, {_entropy('b')} AS x FROM w), m AS (SELECT doc_id, max(x) AS x FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS b FROM documents) JOIN e USING (b) GROUP BY doc_id) SELECT doc_id, {_entropy('d.source')} AS source_entropy, coalesce(m.x, 0.0) AS max_entropy FROM documents d LEFT JOIN m USING (doc_id)",
+    "token_entropy": f"WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\r\\n]+'), lambda t: t <> ''))) AS b FROM documents), u AS (SELECT DISTINCT b FROM w), e AS (SELECT b, {_entropy('b')} AS x FROM u), m AS (SELECT doc_id, count(*) AS n, max(x) AS x FROM w JOIN e USING (b) GROUP BY doc_id) SELECT doc_id, {_entropy('d.source')} AS source_entropy, coalesce(n, 0) AS n_tokens, coalesce(x, 0.0) AS max_entropy FROM documents d LEFT JOIN m USING (doc_id)",
     "placeholder_values": f"WITH h AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b\\w+ = (\"[^\"\\s]+\")', 1))) AS value FROM documents), c AS (SELECT doc_id, {_UNQUOTED.format('value')} AS v FROM h) SELECT doc_id, {_is_placeholder('v')} AS placeholder, CASE WHEN length(v) > 8 THEN left(v, 4) || repeat('*', length(v) - 8) || right(v, 4) ELSE '[REDACTED]' END AS shown FROM c",
     "license_policy": f"WITH l AS ({_LINES.format(key='doc_id', text='text', table='documents')}), n AS (SELECT doc_id, line_no::INT AS line_no, CASE WHEN contains(lower(line), 'apache license') THEN 'Apache-2.0' WHEN contains(lower(line), 'mit license') THEN 'MIT' WHEN contains(lower(line), 'general public license') THEN 'GPL-3.0' WHEN contains(lower(line), 'cc by-nc') THEN 'CC-BY-NC-4.0' ELSE 'UNKNOWN' END AS license FROM l WHERE regexp_matches(line, {_q(LICENSE_LINE)})) SELECT *, CASE license WHEN 'GPL-3.0' THEN 'DENY' WHEN 'MIT' THEN 'ALLOW' WHEN 'Apache-2.0' THEN 'ALLOW' ELSE 'REVIEW_REQUIRED' END AS action FROM n",
     "line_pattern_rules": f"WITH l AS ({_LINES.format(key='page_id', text='html', table='pages')}) " + " UNION ALL ".join(f"SELECT page_id, line_no, {_q(r[0])} AS rule_id, {_q(r[2])} AS severity FROM l WHERE {_fires(r)}" for r in HTML_RULES),
