@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .tokens import id_cache, texts_of
+from .tokens import IdCache, texts_of
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # runs of (length, count), and how many such bins
 
@@ -136,7 +136,7 @@ def cut_documents(docs: DataFrame, path: str, size: int, end_id: int, id_col: st
     tail = np.uint32(end_id).tobytes()
 
     def own(batches):
-        ranks, cache = np.zeros(size + 1, np.int64), id_cache(path)
+        ranks, cache = np.zeros(size + 1, np.int64), IdCache(path)
         for part, texts in texts_of(batches):
             row, piece, start, length, crc, rank = [], [], [], [], [], []
             for i, ids in enumerate(cache.encode(texts)):
@@ -184,6 +184,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, id_col:
             yield pa.RecordBatch.from_arrays([*(b[c] for c in out), pa.array(seq), pa.array(off)], [*out, "sequence_id", "offset"])
 
     out = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = pieces.join(own, ["part", "length"]).select(*out, (F.col("before") + F.col("rank")).alias("rank"))
+    # the counts grow with the corpus, so they are never broadcast
+    ranked = pieces.join(own.hint("merge"), ["part", "length"]).select(*out, (F.col("before") + F.col("rank")).alias("rank"))
     kind = pieces.schema["doc_id"].dataType.simpleString()
     return ranked.mapInArrow(placed, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
