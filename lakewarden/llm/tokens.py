@@ -257,22 +257,23 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
 
 class IdCache:
-    """Little-endian 32-bit ids of pre-tokens; starts anew beyond ``limit`` of them or ``room`` bytes of theirs.
+    """Little-endian 32-bit ids of pre-tokens, in two generations of ``limit`` of them or ``room`` bytes of theirs.
 
-    The library sees a pre-token once as long as it stays cached; those over 256 characters are not kept.
+    A full generation becomes the old one, from which what is met again moves on; the one before it goes. So the
+    library sees a frequent pre-token once; those over 256 characters are not kept.
     A partition makes its own, so that nothing of it stays in a worker that goes on to other work.
     """
 
-    def __init__(self, path: str, limit: int = 250_000, room: int = 16 << 20):
+    def __init__(self, path: str, limit: int = 200_000, room: int = 12 << 20):
         self.cut, self.limit, self.room, self.held = pre_tokens(path), limit, room, 0
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         from array import array
 
         if len(self.known) > self.limit or self.held > self.room:
-            self.known.clear()
-            self.held = 0
+            self.old, self.known, self.held = self.known, {}, 0
         get, cut, found, missing = self.known.get, [], [], set()
         for t in texts:
             tokens = self.cut.tokens(t)
@@ -281,7 +282,10 @@ class IdCache:
                 missing.update(c for c, i in zip(tokens, ids, strict=True) if i is None)
             cut.append(tokens)
             found.append(ids)
-        new = list(missing)
+        again = self.old.keys() & missing
+        self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self.held += sum(map(len, again)) * 2
+        new = list(missing - again)
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
             ids = [array("I", x).tobytes() for x in self.cut.encode(some)]
