@@ -8,8 +8,8 @@ rule has; those keys of all urls are the universe. For each verdict a cascade an
 rule keys exactly: filter 1 holds the rule keys; filter 2 the universe's keys that pass filter 1 though
 they are no rule; filter 3 the rule keys that pass filter 2; and so on until a level has no false
 positive. A key's answer is the parity of the first filter that it doesn't pass. False positives are
-found by passing the universe through the levels so far (no shuffle), and only the survivors are made
-distinct. So urls are judged in one scan, without a join; what is broadcast are the filters, whose size
+found by passing the universe (written once) through the levels so far (no shuffle), and only the survivors
+are made distinct. So urls are judged in one scan, without a join; what is broadcast are the filters, whose size
 is checked against ``max_bytes``. A rule set whose filters would be larger is refused, before any work.
 
 A url without a fitting rule is on no list: it is allowed.
@@ -147,7 +147,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     host, path = host_path(F.col(url_col))
     cols = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     cols = cols.withColumn("keys", candidates(F.col("host"), F.col("path"), shapes) if shapes else F.array().cast("array<struct<key:string,h1:long,h2:long>>"))
-    universe = cols.select(F.explode("keys").alias("k")).select("k.h1", "k.h2")
+    universe = ws.stage(cols.select(F.explode("keys").alias("k")).select("k.h1", "k.h2"), "universe")  # 16 bytes a key, read by every level
     lists = {}
     for v in sorted(set(verdict_of.values())):
         own = small_frame(spark, [(k,) for k, x in verdict_of.items() if x == v], "key string").distinct()
