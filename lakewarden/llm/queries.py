@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators, and their SQL."""
+"""The thin queries of the operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from .common import held_out, table
 from .decontam import decontaminate
 from .embeddings import near_vectors
 from .language import identify, learn
+from .medians import rolling_medians
 from .packing import pack
 from .quality import quality
 from .sharding import interleave
@@ -73,6 +74,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op13_rolling_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_medians(table(spark, sf_dir, "clicks"), minutes=60)
+
+
 OP7_SQL = r"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -85,10 +90,24 @@ SELECT page_id, host, path,
 FROM p
 """
 
+OP13_SQL = r"""
+WITH r AS (
+  SELECT click_id, ts, kind, CAST(floor(value * 100 + 0.5) AS BIGINT) AS cents,
+    row_number() OVER (PARTITION BY click_id ORDER BY ts NULLS LAST, kind NULLS FIRST, floor(value * 100 + 0.5) NULLS FIRST) AS k
+  FROM clicks),
+w AS (
+  SELECT click_id, kind, cents, list_sort(coalesce(list(cents) FILTER (cents IS NOT NULL) OVER (PARTITION BY kind ORDER BY ts RANGE BETWEEN INTERVAL 60 MINUTES PRECEDING AND CURRENT ROW), [])) AS s
+  FROM r WHERE k = 1 AND ts IS NOT NULL),
+m AS (SELECT *, CAST(len(s) AS BIGINT) AS n, CASE WHEN len(s) > 1 THEN s[(len(s) + 1) // 2] + s[len(s) // 2 + 1] END AS median2 FROM w),
+d AS (SELECT *, list_sort(list_transform(s, lambda x: abs(2 * x - median2))) AS a FROM m),
+f AS (SELECT *, CASE WHEN n > 1 THEN a[(n + 1) // 2] + a[n // 2 + 1] END AS mad4 FROM d)
+SELECT click_id, kind, n, median2, mad4, 2 * abs(2 * cents - median2) > 3 * mad4 AS far FROM f
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": OP7_SQL}
+    return {"op7_url_filters": OP7_SQL, "op13_rolling_medians": OP13_SQL}
