@@ -13,12 +13,14 @@ from .embeddings import near_vectors
 from .language import identify, learn
 from .medians import rolling_medians
 from .packing import pack
+from .prefix_trie import borrowed_heads, prefix_trie, turns
 from .quality import quality
 from .sharding import interleave
 from .simhash import near_duplicates
 from .tokens import count_tokens
 from .toxicity import toxicity
 from .urls import judge
+from .windows import pack_online
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -29,6 +31,12 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
@@ -74,6 +82,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_online(table(spark, sf_dir, "documents"), word_bpe(), size=2048, end_id=1)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(borrowed_heads(turns(table(spark, sf_dir, "conversations")), family=20, most=4))
+
+
 def op13_rolling_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_medians(table(spark, sf_dir, "clicks"), minutes=60)
 
@@ -90,6 +106,26 @@ SELECT page_id, host, path,
 FROM p
 """
 
+OP12_SQL = r"""
+WITH o AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+c AS (
+  SELECT conv_id, ts, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, c: list_reduce(list_prepend(xor(a, c), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 4 AS h FROM o),
+b AS (SELECT c.conv_id, list_concat(coalesce(list_slice(o.ts, 1, h), []), list_slice(c.ts, h + 1, len(c.ts))) AS s FROM c LEFT JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, u.d, list_slice(s, 1, u.d) AS k, len(s) AS n FROM b, unnest(range(0, len(s) + 1)) AS u(d)),
+nodes AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(k[d].t, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM p GROUP BY k, d),
+kids AS (SELECT list_slice(k, 1, d - 1) AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.k = nodes.k),
+up AS (SELECT list_slice(k, 1, u.j) AS k, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM full_nodes, unnest(range(0, d + 1)) AS u(j) GROUP BY 1)
+SELECT x.conv_id, x.d AS depth, y.conv_id AS parent_conv_id, x.n_convs, x.n_children, up.n_leaves, CAST(up.saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM full_nodes x JOIN up ON up.k = x.k LEFT JOIN nodes y ON x.d > 0 AND y.k = list_slice(x.k, 1, x.d - 1)
+"""
+
 OP13_SQL = r"""
 WITH r AS (
   SELECT click_id, ts, kind, CAST(floor(value * 100 + 0.5) AS BIGINT) AS cents,
@@ -110,4 +146,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": OP7_SQL, "op13_rolling_medians": OP13_SQL}
+    return {"op7_url_filters": OP7_SQL, "op12_prefix_trie": OP12_SQL, "op13_rolling_medians": OP13_SQL}
