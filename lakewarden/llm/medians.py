@@ -5,7 +5,7 @@ median distance from that median. Values are whole cents.
 
  1. Each click_id is taken once; rows go to a written table.
  2. Every series is cut into chunks of time, dyadic slices that hold at most ``rows`` clicks each: counts of slices of
-    about a second are merged upwards, first within 13 days, then within months. No series and no hour is
+    about a second are merged upwards, first within 38 hours, then within months. No series and no hour is
     one task, however dense.
  3. A chunk gets its own clicks and a halo, the clicks of one window before it. Halo clicks that no window of the
     chunk loses are only counted by cents, with map-side sums; the others keep their time. A second of one series
@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 from .common import Workspace
 
 #: Bits of microseconds of the smallest slice (about a second) and of the largest (101 days); slices are merged in two
-#: steps, at most a million of them in 13 days first. Clicks look up their chunks by keys of about an hour.
-FINE, MIDDLE, COARSE, KEY = 20, 40, 43, 32
+#: steps, at most 131,072 of them in 38 hours first. Clicks look up their chunks by keys of about an hour.
+FINE, MIDDLE, COARSE, KEY = 20, 37, 43, 32
 #: Counts of all lanes of a chunk together.
 CELLS, LANES = 8_000_000, 512
 OWN, COUNTED, ASKED = 0, 1, 2  # a click, counted values of a window, counted clicks of an overfull second
