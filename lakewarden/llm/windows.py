@@ -30,6 +30,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,9 @@ class ChunkIds:
         self.lib.no_truncation()
         self.lib.no_padding()
         self._serves(json.loads(self.lib.to_str()))
+        suffix, vocabulary = json.loads(self.lib.to_str())["model"]["end_of_word_suffix"], self.lib.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.limit, self.room, self.held = limit, room, 0
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -72,6 +76,25 @@ class ChunkIds:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in has["added_tokens"]):
             raise ValueError("added tokens that take in their surroundings are not served")
 
+    def fresh(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that aren't known.
+
+        Plain ones go to the library as one text: each of their words ends with a piece that ends a word, so a chunk's
+        ids end with its last word's. Chunks of other characters go one by one.
+        """
+        plain = [c for c in chunks if not _ODD.search(c)]
+        words = np.fromiter((len(_PART(c.lower())) for c in plain), np.int64, len(plain))
+        ids = np.array(self.lib.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids if plain else [], "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != words.sum():
+            plain, found = [], {}
+        else:
+            raw, at = ids.tobytes(), (4 * np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]).tolist()
+            found = {c: raw[a:b] for c, a, b in zip(plain, at, at[1:], strict=False)}
+        rest = [c for c in chunks if c not in found]
+        found |= {c: array("I", e.ids).tobytes() for c, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
+        return [found[c] for c in chunks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.limit or self.held > self.room:
             self.old, self.known, self.held = self.known, {}, 0
@@ -89,7 +112,7 @@ class ChunkIds:
         new = list(missing - again)
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
-            ids = [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(some, add_special_tokens=False)]
+            ids = self.fresh(some)
             self.known.update(zip(some, ids, strict=True))
             self.held += sum(map(len, some)) + sum(map(len, ids))
         out = [b"".join(map(get, c) if None in i else i) for c, i in zip(cut, found, strict=True)]
@@ -109,6 +132,10 @@ def WORDS(text: str) -> list[str]:  # noqa: N802
 
 
 _CONTROL = re.compile("[\x1c-\x1f]")
+#: What isn't plain here: other characters than ASCII and Latin letters, and what may hold an added token.
+_ODD = re.compile(r"[^\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\|")
+_LETTER = r"a-z\xdf-\xf6\xf8-\xff"
+_PART = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+").findall
 
 
 class Open:
