@@ -48,7 +48,7 @@ class ChunkIds:
     A full generation becomes the old one, from which what is met again moves on. A partition makes its own.
     """
 
-    def __init__(self, path: str, limit: int = 200_000, room: int = 12 << 20):
+    def __init__(self, path: str, limit: int = 400_000, room: int = 24 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,6 +60,7 @@ class ChunkIds:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.limit, self.room, self.held = limit, room, 0
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -79,21 +80,26 @@ class ChunkIds:
     def fresh(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks that aren't known.
 
-        Plain ones go to the library as one text: each of their words ends with a piece that ends a word, so a chunk's
-        ids end with its last word's. Chunks of other characters go one by one.
+        Those of plain characters are put together from their words, known by themselves. New words go to the library as
+        one text: each ends with a piece that ends a word. Chunks of other characters go one by one.
         """
-        plain = [c for c in chunks if not _ODD.search(c)]
-        words = np.fromiter((len(_PART(c.lower())) for c in plain), np.int64, len(plain))
-        ids = np.array(self.lib.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids if plain else [], "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != words.sum():
-            plain, found = [], {}
-        else:
-            raw, at = ids.tobytes(), (4 * np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]).tolist()
-            found = {c: raw[a:b] for c, a, b in zip(plain, at, at[1:], strict=False)}
-        rest = [c for c in chunks if c not in found]
-        found |= {c: array("I", e.ids).tobytes() for c, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
-        return [found[c] for c in chunks]
+        if len(self.words) > self.limit:
+            self.words.clear()
+        parts = [None if _ODD.search(c) else _PART(c.lower()) for c in chunks]
+        new = list(set().union(*filter(None, parts)).difference(self.words))
+        ids = np.array(self.lib.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids if new else [], "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) == len(new):
+            raw = ids.tobytes()
+            self.words.update(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        else:  # not a vocabulary whose words end with pieces of their own
+            self.words.update(zip(new, self.each(new), strict=True))
+        odd = [c for c, p in zip(chunks, parts, strict=True) if p is None]
+        found, get = dict(zip(odd, self.each(odd), strict=True)), self.words.__getitem__
+        return [found[c] if p is None else get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for c, p in zip(chunks, parts, strict=True)]
+
+    def each(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.limit or self.held > self.room:
