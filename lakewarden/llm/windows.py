@@ -22,6 +22,7 @@ token, as is the library's default.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -32,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
-from .tokens import texts_of
+from .common import Workspace, strings
 
 #: Windows that a partition keeps open, and partitions whose leftovers meet in a task.
 KEEP, GROUP = 32, 512
@@ -45,21 +46,24 @@ KEEP, GROUP = 32, 512
 class ChunkIds:
     """Little-endian 32-bit ids of texts, by chunks, in two generations of ``limit`` of them or ``room`` bytes of theirs.
 
-    A full generation becomes the old one, from which what is met again moves on. A partition makes its own.
+    A full generation becomes the old one, from which what is met again moves on. Words, ``words`` of them at most, are
+    known by themselves. A worker keeps one for all its partitions: it is a cache of bounded size and nothing else.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, room: int = 24 << 20):
+    def __init__(self, path: str, limit: int = 300_000, room: int = 18 << 20, words: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self._serves(json.loads(self.lib.to_str()))
-        suffix, vocabulary = json.loads(self.lib.to_str())["model"]["end_of_word_suffix"], self.lib.get_vocab(with_added_tokens=True)
+        with open(path, encoding="utf-8") as f:
+            has = json.load(f)
+        self._serves(has)
+        suffix, vocabulary = has["model"].get("end_of_word_suffix"), self.lib.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        self.limit, self.room, self.held = limit, room, 0
+        self.limit, self.room, self.held, self.most_words = limit, room, 0, words
         self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -83,7 +87,7 @@ class ChunkIds:
         Those of plain characters are put together from their words, known by themselves. New words go to the library as
         one text: each ends with a piece that ends a word. Chunks of other characters go one by one.
         """
-        if len(self.words) > self.limit:
+        if len(self.words) > self.most_words:
             self.words.clear()
         parts = [None if _ODD.search(c) else _PART(c.lower()) for c in chunks]
         new = list(set().union(*filter(None, parts)).difference(self.words))
@@ -101,49 +105,59 @@ class ChunkIds:
     def each(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
         if len(self.known) > self.limit or self.held > self.room:
             self.old, self.known, self.held = self.known, {}, 0
-        get, cut, found, missing = self.known.get, [], [], set()
-        for t in texts:
-            chunks = WORDS(t)
-            ids = list(map(get, chunks))
-            if None in ids:
-                missing.update(c for c, i in zip(chunks, ids, strict=True) if i is None)
-            cut.append(chunks)
-            found.append(ids)
+        found = list(map(self.known.get, chunks))
+        missing = [c for c, i in zip(chunks, found, strict=True) if i is None]
         again = self.old.keys() & missing
         self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        self.held += sum(map(len, again)) * 2
-        new = list(missing - again)
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            ids = self.fresh(some)
-            self.known.update(zip(some, ids, strict=True))
-            self.held += sum(map(len, some)) + sum(map(len, ids))
-        out = [b"".join(map(get, c) if None in i else i) for c, i in zip(cut, found, strict=True)]
+        new = [c for c in missing if c not in again] if again else missing
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            self.known.update(zip(some, self.fresh(some), strict=True))
+        self.held += sum(map(len, missing)) * 2
+        out = [self.known[c] if i is None else i for c, i in zip(chunks, found, strict=True)]
         for c in new:
             if len(c) > 256:
-                self.held -= len(c) + len(self.known.pop(c))
+                self.held -= 2 * len(c)
+                del self.known[c]
         return out
 
+    def encode(self, texts: pa.Array, tail: int | None = None) -> tuple[bytes, np.ndarray]:
+        """All ids of some texts (null: none), each text's followed by ``tail``, and where each text's begin, in tokens.
 
-#: Only these six characters separate chunks here; other white space stays inside, for the library.
-_CHUNK = re.compile(r"[^ \t-\r]+")
-
-
-def WORDS(text: str) -> list[str]:  # noqa: N802
-    """Chunks of a text; ``str.split`` also splits at other characters, so it serves ASCII texts without separators only."""
-    return text.split() if text.isascii() and not _CONTROL.search(text) else _CHUNK.findall(text)
+        Texts are cut and their chunks made distinct by Arrow, so Python sees a chunk once a batch.
+        """
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            texts = pa.array(strings(texts), pa.string())
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        ends, flat = np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64), cut.flatten().dictionary_encode()
+        ids = self.of(flat.dictionary.to_pylist())
+        codes = flat.indices.to_numpy()
+        if tail is not None:
+            codes, ends = np.insert(codes, ends, len(ids)), ends + np.arange(1, len(ends) + 1)
+            ids = [*ids, array("I", [tail]).tobytes()]
+        pool, width = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, n = np.cumsum(width) - width, width[codes]
+        at = np.concatenate([[0], np.cumsum(n)])
+        return pool[np.repeat(first[codes] - at[:-1], n) + np.arange(at[-1])].tobytes(), at[np.concatenate([[0], ends])]
 
 
-_CONTROL = re.compile("[\x1c-\x1f]")
 #: What isn't plain here: other characters than ASCII and Latin letters, and what may hold an added token.
 _ODD = re.compile(r"[^\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\|")
 _LETTER = r"a-z\xdf-\xf6\xf8-\xff"
 _PART = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+").findall
 
 
+@functools.lru_cache(maxsize=1)
+def chunk_ids(path: str) -> ChunkIds:
+    return ChunkIds(path)
+
+
 class Open:
     """Open windows of one partition, by the tokens that they hold."""
 
@@ -249,17 +263,19 @@ def pack_online(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, k
     """
     ws = Workspace(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
-    kind, tail = source.schema["doc_id"].dataType.simpleString(), array("I", [end_id]).tobytes()
+    kind = source.schema["doc_id"].dataType.simpleString()
 
     def own(batches):
-        cache, seen = ChunkIds(path), {}
+        cache, seen = chunk_ids(path), {}
 
         def pieces():
-            for part, texts in texts_of(batches):
-                seen["type"], seen["part"] = part.schema.field("doc_id").type, part["part"][0].as_py()
-                for doc, ids in zip(part["doc_id"].to_pylist(), cache.encode(texts), strict=True):
-                    ids += tail
-                    yield doc, 0, ids, len(ids) // 4
+            for part in batches:
+                if part.num_rows:
+                    seen["type"], seen["part"] = part.schema.field("doc_id").type, part["part"][0].as_py()
+                    ids, at = cache.encode(part["text"], end_id)
+                    at = at.tolist()
+                    for doc, a, b in zip(part["doc_id"].to_pylist(), at, at[1:], strict=False):
+                        yield doc, 0, ids[4 * a : 4 * b], b - a
 
         def batch(windows, ids=None):
             cols = rows(windows, (seen["part"] << 36) + made, seen["type"])

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -70,9 +71,19 @@ def test_other_id_types(spark):
 def test_chunks_give_the_librarys_ids():
     texts = ["", " ", "a\x1cb c", "ÀÉ ́x İstanbul ΣΑΣ", "x\xa0y z", "<|endoftext|> a<|startoftext|>B <|ENDOFTEXT|>", "it's I'LL 'S ''", "①½²", "日本語　テキスト", "\x85a\x0bb", "a\x00b", "🙂👍🏽 test​", "KΩ", "w" * 5000, "a b " * 9]
     cache = ChunkIds(Q.word_bpe(), limit=5)
-    want = [x[:-1].tobytes() for x in ids_of(texts)]
-    assert cache.encode(texts) == want
-    assert cache.encode(texts[::-1]) == want[::-1]  # from the old generation
+    want = [x.tobytes() for x in ids_of(texts)]
+
+    def encoded(texts):
+        raw, at = cache.encode(pa.array(texts, pa.string()), 1)
+        return [raw[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)]
+
+    assert encoded(texts) == want
+    assert encoded(texts[::-1]) == want[::-1]  # from the old generation
+    assert encoded([None, "x"]) == encoded(["", "x"])
+    assert cache.encode(pa.array([], pa.string()), 1)[0] == b""
+    assert cache.encode(pa.array(["a b"]))[0] == want[texts.index("a b " * 9)][:8]
+    bad = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, 3], "<i4").tobytes()), pa.py_buffer(b"a\xff "))
+    assert cache.encode(bad)[0] == cache.encode(pa.array(["a\ufffd "]))[0]
 
 
 def test_other_tokenizers_raise():
