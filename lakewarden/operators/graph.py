@@ -6,22 +6,45 @@ Lineage is cut by a written table every few steps, in the shared folder that the
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def _release(spark, folder: str) -> None:
+    try:
+        sc = spark.sparkContext
+        if sc._jsc is not None:
+            p = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the JVM may already be gone
+        pass
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; the folder is the session's, or a temporary one in local tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
-    return df.checkpoint()
+    """``df`` as a table written once in the session's shared folder (a temporary one in local tests), read again.
+
+    Unlike a checkpoint it is computed once and its size is known to later joins. The folder goes when the driver ends.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.applicationId not in _FOLDERS:
+        top = sc.getConf().get("spark.checkpoint.dir", None)
+        if not top:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            top = f"file://{tempfile.gettempdir()}/checkpoints"
+        _FOLDERS[sc.applicationId] = f"{top}/lakewarden-{uuid.uuid4().hex}"
+        atexit.register(_release, spark, _FOLDERS[sc.applicationId])
+    path = f"{_FOLDERS[sc.applicationId]}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def levels(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import code_rules as C
 from ..operators import iac, report, supply
 from ..sources.manifests import manifest_dependencies
 from ..sources.python_facts import python_facts
-from ..sources.taint import taint_flows
+from ..operators.dataflow import taint_flows
 from . import corpus as K
 from .base import FINDINGS, findings, table
 

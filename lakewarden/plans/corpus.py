@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import spread, table
 
 #: name, modulus, remainder, lines. The first is in every module, after the line with the text.
 SNIPPETS = (
@@ -46,7 +46,7 @@ FILES = (
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content of a Python module for every document."""
-    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    d, i = spread(table(spark, sf_dir, "documents")), F.col("doc_id")
     text = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text")))
     parts = [F.when(i % m == r, F.lit(code)).otherwise("") if m > 1 else F.lit(code) for _, m, r, code in SNIPPETS]
     return d.select(F.concat(F.lit("svc"), (i % 10).cast("string"), F.lit("/mod"), i.cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("META = "), text, F.lit("\n"), *parts).alias("content"))

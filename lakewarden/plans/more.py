@@ -17,7 +17,7 @@ from ..operators.lines import exploded
 from ..sources import constants as CS
 from ..sources.manifests import manifest_dependencies
 from ..sources.python_facts import python_facts
-from ..sources.taint import labelled_flows
+from ..operators.dataflow import labelled_flows
 from . import corpus as K
 from .base import EDGES, FINDINGS, dependencies, edges, findings, pick, table
 from .code import FLOWS

@@ -14,7 +14,6 @@ from lakewarden.plans.base import findings
 from lakewarden.sources import advisories, gitlog, targets
 from lakewarden.sources.constants import sets_of
 from lakewarden.sources.python_facts import python_facts
-from lakewarden.sources.taint import flows_of, labelled_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,21 +112,6 @@ def test_provider_cache(spark):
     assert {tuple(r) for r in advisories.yanked(deps, meta).select("name", "version", "yanked", "why").collect()} == {("p", "1", True, "broken"), ("p", "2", False, None), ("q", "1", False, None)}
 
 
-def test_flows_through_six_helpers_in_any_order():
-    fns = [f"def h{i}(a):\n    h{i + 1}(a)\n" for i in range(6)] + ["def h6(a):\n    eval(a)\n"]
-    for order in (fns, fns[::-1], random.Random(2).sample(fns, 7)):
-        assert [r[6] for r in flows_of("a.py", "".join(order) + "h0(request.args['q'])\n")] == ["eval"]
-
-
-def test_flow_labels():
-    label = lambda body: [(r[6], r[9]) for r in labelled_of("a.py", f"import os, shlex, re\nv = request.args['v']\n{body}")]
-    assert label("os.system(v)") == [("os.system", "HIGHLY_LIKELY")]
-    assert label("os.system(shlex.quote(v))") == [("os.system", "NOT_EXPLOITABLE")]
-    assert label("if re.fullmatch('a', v):\n    os.system(v)") == [("os.system", "UNLIKELY")]
-    assert label("if v.isdigit():\n    pass\nos.system(v)")[0][1] == "HIGHLY_LIKELY"
-    assert labelled_of("a.py", "import os, sys\nos.system(sys.argv[1])")[0][9] == "LIKELY"
-
-
 def test_constant_sets():
     body = "m = 'a'\nif x:\n    m = 'b'\nn = f'p.{m}'\n__import__(n)\n__import__(unknown)\ngetattr(o, 'x' + 'y')\n" + "".join(f"w = '{i}'\n" for i in range(11)) + "__import__(w)\n"
     assert [(r[2], r[3], r[4]) for r in sets_of("a.py", body)] == [("__import__", ["p.a", "p.b"], "PARTIAL"), ("__import__", [], "UNKNOWN"), ("getattr", ["xy"], "EXACT"), ("__import__", [], "UNKNOWN")]
