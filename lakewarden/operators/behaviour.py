@@ -97,11 +97,3 @@ def framework_findings(facts: DataFrame) -> DataFrame:
     body = facts.where("kind = 'function'").select("path", F.col("name").alias("handler"), F.lower("text").alias("body"))
     open_ = framework_routes(facts).where("framework = 'FastAPI'").join(body, ["path", "handler"]).where(F.lower("route").rlike("|".join(SENSITIVE)) & ~F.col("body").rlike("depends|security|oauth|current_user"))
     return found.union(open_.select("path", "line", F.lit("FASTAPI-OPEN-ROUTE").alias("rule_id")))
-
-
-def exploitability(facts: DataFrame, flows: DataFrame) -> DataFrame:
-    """Flows with the conditions at their sink: UNREACHABLE under a literal False or DEBUG, CONDITIONAL under others."""
-    g = facts.where("kind = 'call'").groupBy("path", F.col("line").alias("sink_line"), F.col("resolved").alias("sink")).agg(F.max_by("guards", F.size("guards")).alias("guards"))
-    out = flows.join(g, ["path", "sink_line", "sink"], "left")
-    dead = F.exists("guards", lambda x: x.isin("False", "DEBUG", "0"))
-    return out.withColumn("verdict", F.when(dead, "UNREACHABLE").when(F.size("guards") > 0, "CONDITIONAL").otherwise("EXPLOITABLE")).select("path", "fn", "sink", "sink_line", "source_kind", F.coalesce(F.array_join("guards", " and "), F.lit("")).alias("conditions"), "verdict")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pep440
+from ..functions.versions import version_key
 from ..functions.ranks import confidence_multiplier, is_flow, severity_weight
 
 GRAM = 3
@@ -19,7 +20,7 @@ def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str)
     """
     t = texts.select(F.col(text).alias("_t")).where("_t is not null").distinct()
     n = needles.select(F.col(needle).alias("_n")).where("_n <> ''").distinct()
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1))), lambda i: F.transform(F.array(*map(F.lit, range(1, GRAM + 1))), lambda k: F.substr(F.lower("_t"), i, k)))))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(F.lower("_t")), F.lit(1))), lambda i: F.transform(F.array(*map(F.lit, range(1, GRAM + 1))), lambda k: F.substr(F.lower("_t"), i, k)))))
     pairs = t.select("_t", F.explode(grams).alias("_g")).join(n.select("_n", F.left(F.lower("_n"), F.lit(GRAM)).alias("_g")), "_g")
     pairs = pairs.where(F.contains(F.lower("_t"), F.lower("_n"))).select("_t", "_n").distinct()
     return texts.join(pairs, F.col(text) == F.col("_t")).drop("_t").join(needles, F.col("_n") == F.col(needle)).drop("_n")
@@ -46,18 +47,24 @@ def keyed_clusters(findings: DataFrame) -> DataFrame:
 
 
 def conflicting_constraints(deps: DataFrame) -> DataFrame:
-    """(name, first, second): constraints of one package that no version fits together.
+    """(name, first, second, empty, sampled): constraints of one package that can't hold together.
 
-    Constraints are made distinct before they meet, so a package's copies don't multiply.
+    ``empty``: their ranges have no version in common. ``sampled``: none of some tried versions fits both, as plain scanners
+    judge; it takes narrow ranges for conflicts. Constraints are made distinct and their ranges found before they meet.
     """
-    c = deps.select("name", "spec").where("spec <> ''").distinct()
-    return c.withColumnRenamed("spec", "first").join(c.withColumnRenamed("spec", "second"), "name").where("first < second").where(pep440.conflicting(F.col("first"), F.col("second")))
+    c = deps.select("name", "spec").where("spec <> ''").distinct().withColumn("ranges", pep440.spec_ranges(F.col("spec")))
+    pairs = c.withColumnsRenamed({"spec": "first", "ranges": "r1"}).join(c.withColumnsRenamed({"spec": "second", "ranges": "r2"}), "name").where("first < second")
+    judged = pairs.select("name", "first", "second", (F.size(pep440.intersect(F.col("r1"), F.col("r2"))) == 0).alias("empty"), pep440.conflicting(F.col("first"), F.col("second")).alias("sampled"))
+    return judged.where("empty or sampled")
 
 
 def constraint_overlaps(deps: DataFrame, ranges: DataFrame) -> DataFrame:
-    """deps(name, spec) with the advisories of whose interval the constraint takes an end."""
-    pairs = deps.select("name", "spec").distinct().join(ranges.withColumnRenamed("package", "name"), "name")
-    return pairs.where(pep440.overlaps(F.col("spec"), F.col("introduced"), F.col("until"))).select("name", "spec", "id").distinct()
+    """deps(name, spec) with the advisories whose interval has a version that fits the constraint; ``ends``: an end of it fits."""
+    inclusive = F.col("inclusive") if "inclusive" in ranges.columns else None
+    r = ranges.withColumnRenamed("package", "name").withColumn("hit", pep440.affected_ranges(F.col("introduced"), F.col("until"), inclusive))
+    c = deps.select("name", "spec").distinct().withColumn("fit", pep440.spec_ranges(F.col("spec")))
+    pairs = c.join(r, "name").where(F.size(pep440.intersect(F.col("fit"), F.col("hit"))) > 0)
+    return pairs.groupBy("name", "spec", "id").agg(F.max(pep440.overlaps(F.col("spec"), F.col("introduced"), F.col("until"))).alias("ends"))
 
 
 def call_reachability(vulnerable: DataFrame, calls: DataFrame) -> DataFrame:
@@ -82,8 +89,9 @@ def imported_packages(deps: DataFrame, imports: DataFrame) -> DataFrame:
 
 def locked_versions(direct: DataFrame, locked: DataFrame) -> DataFrame:
     """name, version, is_direct: declared packages take the lock file's version; the others are transitive."""
-    d = direct.groupBy("name").agg(F.max("version").alias("asked"))
-    k = locked.groupBy("name").agg(F.max("version").alias("got"))
+    latest = F.max_by("version", F.struct(version_key(F.col("version")), F.col("version")))  # 10.0 comes after 9.0
+    d = direct.groupBy("name").agg(latest.alias("asked"))
+    k = locked.groupBy("name").agg(latest.alias("got"))
     return d.join(k, "name", "full_outer").select("name", F.coalesce("got", "asked").alias("version"), F.col("asked").isNotNull().alias("is_direct"))
 
 

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from ..operators import behaviour as B
 from ..operators import code_rules as C
 from ..operators import iac, report, supply
+from ..operators.dataflow import labelled_paths, taint_flows
+from ..operators.dominance import feasible_flows
+from ..sources.control_flow import control_flow
+from ..sources.def_use import def_use
 from ..sources.manifests import manifest_dependencies
 from ..sources.python_facts import python_facts
-from ..operators.dataflow import taint_flows
 from . import corpus as K
 from .base import FINDINGS, findings, table
 
@@ -170,7 +173,8 @@ def framework_findings(spark, sf):
 
 def exploitability(spark, sf):
     files = K.modules(spark, sf)
-    return B.exploitability(python_facts(files), taint_flows(files))
+    out = feasible_flows(labelled_paths(def_use(files)), control_flow(files)).where("verdict <> 'NOT_EXPLOITABLE'")
+    return out.select("path", "fn", "sink", "sink_line", "source_kind", F.array_join("conditions", " and ").alias("conditions"), "verdict")
 
 
 def call_edges(spark, sf):

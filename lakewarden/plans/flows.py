@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.dataflow import labelled_paths
+from ..operators.dominance import feasible_flows
 from ..operators.symbols import final_bindings
+from ..sources.control_flow import control_flow
 from ..sources.def_use import def_use
 from . import corpus as K
 from .base import spread, table
@@ -66,6 +68,45 @@ VIEWS = (
 )
 
 
+#: Functions with one sink each, and what holds at it: conditions and verdict. The source is in the function's second line.
+GUARDS = (
+    ("    while False:\n        os.system(v)\n", [], "UNREACHABLE"),
+    ("    if not True or 0:\n        os.system(v)\n", [], "UNREACHABLE"),
+    ("    if v:\n        return\n        os.system(v)\n", [], "UNREACHABLE"),
+    ("    if not allowed(v):\n        return None\n    os.system(v)\n", ["not (not allowed(v))"], "CONDITIONAL"),
+    ("    if v and check():\n        if ready:\n            os.system(v)\n", ["v and check()", "ready"], "CONDITIONAL"),
+    ("    if v:\n        x = 1\n    else:\n        x = 2\n    os.system(v)\n", [], "EXPLOITABLE"),
+    ("    while True:\n        if v:\n            break\n    os.system(v)\n", ["v"], "CONDITIONAL"),
+    ("    while True:\n        step()\n    os.system(v)\n", [], "UNREACHABLE"),
+    ("    for x in v:\n        os.system(x)\n", [], "EXPLOITABLE"),
+    ("    try:\n        step()\n    except E:\n        raise\n    os.system(v)\n", [], "EXPLOITABLE"),
+    ("    assert known\n    os.system(v)\n", ["known"], "CONDITIONAL"),
+    ("    match v:\n        case 'a':\n            os.system(v)\n        case _:\n            pass\n", ["case 'a'"], "CONDITIONAL"),
+    ("    sys.exit(1)\n    os.system(v)\n", [], "UNREACHABLE"),
+    ("    if DEBUG:\n        os.system(v)\n", [], "UNREACHABLE"),
+    ("    try:\n        return 1\n    finally:\n        os.system(v)\n", [], "EXPLOITABLE"),
+)
+_GUARD_HEAD = "import os, sys\nfrom flask import request\ndef run(v):\n"
+_GUARD_TAIL = "def enter():\n    if opened:\n        run(request.args)\n"
+
+
+def guarded(spark, sf):
+    """path, content of a file for each document: a function whose sink is guarded in one of several ways, called under a condition.
+
+    The whole text stands in a string before the function's body.
+    """
+    body = F.element_at(F.array(*(F.lit(code) for code, *_ in GUARDS)), (F.col("doc_id") % len(GUARDS) + 1).cast("int"))
+    text = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text")))
+    return spread(table(spark, sf, "documents")).where("doc_id is not null").select(F.concat(F.lit("guard"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit(_GUARD_HEAD), F.lit("    t = "), text, F.lit("\n"), body, F.lit(_GUARD_TAIL)).alias("content"))
+
+
+def guarded_flows(spark, sf):
+    """Flows with the conditions on their way, and whether they can happen."""
+    files = guarded(spark, sf)
+    out = feasible_flows(labelled_paths(def_use(files)), control_flow(files))
+    return out.select("path", "fn", "source_line", "sink_line", F.array_join("conditions", " and ").alias("conditions"), "verdict")
+
+
 def packages(spark, sf):
     """path, content of the four files of each document's package."""
     i = F.col("doc_id").cast("string")
@@ -99,11 +140,21 @@ def _expected() -> str:
     return f"SELECT {named('path')} AS path, fn, rule_id, source, source_line::INT AS source_line, {named('sink_path')} AS sink_path, sink, sink_line::INT AS sink_line, label, {named('way')} AS way FROM (SELECT doc_id FROM documents) d, {K._values(rows, cols)} WHERE doc_id IS NOT NULL AND doc_id % {len(VIEWS)} = k"
 
 
+def _judged() -> str:
+    rows = []
+    for k, (code, conditions, verdict) in enumerate(GUARDS):
+        lines = code.split("\n")
+        at, end = 5 + next(i for i, x in enumerate(lines) if "os.system" in x), 4 + code.count("\n")
+        rows.append((k, "enter", end + 3, at, " and ".join(["opened", *conditions]), "CONDITIONAL" if verdict == "EXPLOITABLE" else verdict))
+    return f"SELECT 'guard' || doc_id || '.py' AS path, fn, source_line::INT AS source_line, sink_line::INT AS sink_line, conditions, verdict FROM (SELECT doc_id FROM documents) d, {K._values(rows, ['k', 'fn', 'source_line', 'sink_line', 'conditions', 'verdict'])} WHERE doc_id IS NOT NULL AND doc_id % {len(GUARDS)} = k"
+
+
 _BOUND = [("api.serve", "core.handle"), ("api.clean", "core.clean"), ("api.fetch", "core.fetch"), ("api.Task", "core.Runner")]
 _NAMES = [*_BOUND, *((a.removeprefix("api."), b) for a, b in _BOUND), *((f"views.{a.removeprefix('api.')}", b) for a, b in _BOUND), ("api.core", "core")]
-QUERIES = {f.__name__: f for f in (taint_paths, handed_on_names)}
+QUERIES = {f.__name__: f for f in (taint_paths, handed_on_names, guarded_flows)}
 SQL = {
     "taint_paths": _expected(),
+    "guarded_flows": _judged(),
     "handed_on_names": f"SELECT 'pkg' || doc_id || '.' || name AS name, 'pkg' || doc_id || '.' || target AS target FROM documents, {K._values(_NAMES, ['name', 'target'])} WHERE doc_id IS NOT NULL"
     " UNION ALL SELECT 'pkg' || doc_id || m || '.request', 'flask.request' FROM documents, (VALUES ('.views'), ('.core')) t(m) WHERE doc_id IS NOT NULL",
 }

@@ -320,7 +320,7 @@ SQL = {
     "identifier_types": f"SELECT p_partkey, {_picked('p_partkey', 'CVE', 'GHSA', 'PYSEC', 'OSV', 'UNKNOWN')} AS type FROM part",
     "pep440_matches": f"""{_DEPS} SELECT ord, spec, CASE spec WHEN '>=1.0,<3.4.5' THEN k >= [1,0,0,1] AND k < [3,4,5,1] AND k[4] = 1 WHEN '~=4.2' THEN k >= [4,2,0,1] AND k[1] = 4 AND k[4] = 1 WHEN '==5.*' THEN k[1] = 5 AND k[4] = 1
       WHEN '!=2.0.0' THEN k <> [2,0,0,1] AND k[4] = 1 ELSE k >= [3,0,0,0] END AS fits FROM named, (VALUES {', '.join(f'({_q(s)})' for s in SPECS)}) t(spec)""",
-    "constraint_conflicts": f"WITH {_CON} SELECT a.name, a.spec AS first, b.spec AS second FROM c a JOIN c b ON a.name = b.name WHERE (a.spec, b.spec) IN (('<2.19', '>=3'), ('==1.0.0', '>=2,<3'), ('==1.0.0', '>=3'), ('>=2,<3', '>=3'))",
+    "constraint_conflicts": f"WITH {_CON} SELECT a.name, a.spec AS first, b.spec AS second, TRUE AS empty, TRUE AS sampled FROM c a JOIN c b ON a.name = b.name WHERE (a.spec, b.spec) IN (('<2.19', '>=3'), ('==1.0.0', '>=2,<3'), ('==1.0.0', '>=3'), ('>=2,<3', '>=3'))",
     "constraint_overlap": f"WITH {_CON} SELECT name, spec, id FROM c, (VALUES ('ADV-1', 'STANDARD', '>=2,<3'), ('ADV-1', 'STANDARD', '>=3'), ('ADV-1', 'STANDARD', '<2.19'), ('ADV-1', 'STANDARD', ''), ('ADV-2', 'PROMO', '<2.19'), ('ADV-2', 'PROMO', ''), ('ADV-3', 'STANDARD', '==1.0.0'), ('ADV-3', 'STANDARD', '<2.19'), ('ADV-3', 'STANDARD', '')) t(id, package, fits) WHERE name = package AND spec = fits",
     "tamper_warnings": "SELECT p_partkey AS name, 'UNENCRYPTED_SOURCE' AS warning, 'HIGH' AS severity FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 'SUSPICIOUS_INTEGRITY_HASH', 'MEDIUM' FROM part WHERE p_size % 4 = 1",
     "npm_reachability": "SELECT DISTINCT source AS name, source IN (SELECT source FROM documents WHERE doc_id % 3 = 0) AS used FROM documents",

@@ -277,11 +277,15 @@ class DefUse:
         return plain
 
     def block(self, body, env: Env, scope: Scope) -> Env:
+        """What holds at the end. Statements that nothing leads to are walked too: what flows there is told apart by control flow."""
+        before, ended = env, env is None
         for s in body:
-            if env is None:
+            if ended and before is None:
                 break
-            env = self.statement(s, env, scope)
-        return env
+            after = self.statement(s, dict(before) if ended else before, scope)
+            ended = ended or after is None
+            before = after if after is not None else before
+        return None if ended else before
 
     def put(self, env: Env, scope: Scope, name: str, v: Origins) -> None:
         env[name] = v

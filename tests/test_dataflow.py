@@ -21,9 +21,10 @@ RULES = [
     ("import sys\nopen(sys.argv[1])", ["PATH_TRAVERSAL"]),
     ("def broken(:", []),
     ("", []),
-    # of three ways on, breaks and returns end theirs
+    # breaks and returns end their way; what stands after them is looked at by itself
     ("x = request.args['p']\nwhile True:\n    if x:\n        x = 'a'\n        break\n    x = 'b'\neval(x)", ["CODE_EXECUTION"]),
-    ("def f(x):\n    if x:\n        return 1\n        eval(x)\nf(request.args['p'])", []),
+    ("def f(x):\n    if x:\n        return 1\n        eval(x)\nf(request.args['p'])", ["CODE_EXECUTION"]),
+    ("def f(x):\n    while x:\n        x = 'a'\n        break\n        x = request.args\n    return x\neval(f(1))", []),
     ("try:\n    x = request.args['p']\n    x = 'b'\nexcept E:\n    eval(x)", ["CODE_EXECUTION"]),
     ("def f(x):\n    def g():\n        eval(x)\n    g()\nf(request.args['p'])", ["CODE_EXECUTION"]),
     ("x = request.args['p']\ndef g():\n    eval(x)\ng()", ["CODE_EXECUTION"]),
