@@ -193,7 +193,8 @@ def spec_ranges(spec: Column) -> Column:
     """The versions of a comma-joined specifier as disjoint ranges in order; none for what can't be read.
 
     Whether pre-releases count is left to the caller: the ranges hold those that lie inside. Beside a bound that is itself a
-    pre- or post-release, pre-releases of post-releases and post-releases of pre-releases count by their place.
+    pre- or post-release, pre-releases of post-releases and post-releases of pre-releases count by their place. ``===`` counts
+    as ``==``.
     """
     heads = F.transform(F.split(F.coalesce(spec, F.lit("")), ","), _head)
     return F.aggregate(F.transform(heads, _item_ranges), everything(), intersect)

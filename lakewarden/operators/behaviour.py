@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .code_rules import _short
+from .code_rules import _short, decorated
 
 #: Event and the short names of the calls that make it.
 CONCURRENCY = (
@@ -63,12 +63,29 @@ FRAMEWORK_SINKS = (
 SENSITIVE = ("admin", "user", "account", "payment", "delete", "secret", "config")
 
 
+#: What makes an object that routes hang on.
+APPLICATIONS = (("flask.Flask", "Flask"), ("flask.Blueprint", "Flask"), ("fastapi.FastAPI", "FastAPI"), ("fastapi.APIRouter", "FastAPI"))
+
+
+def applications(facts: DataFrame) -> DataFrame:
+    """path, app, made: variables that hold an application or a group of routes, by framework."""
+    made = F.lit(None).cast("string")
+    for name, framework in APPLICATIONS:
+        made = F.when(F.col("resolved") == name, F.lit(framework)).otherwise(made)
+    calls = facts.where("kind = 'call'").select("path", "line", made.alias("made")).where("made is not null")
+    return facts.where("kind = 'assign'").select("path", "line", F.col("name").alias("app")).join(calls, ["path", "line"]).groupBy("path", "app").agg(F.min("made").alias("made"))
+
+
 def framework_routes(facts: DataFrame) -> DataFrame:
     """path, line, framework, handler, route, verb of decorators, Django url tables and Celery tasks."""
     d = facts.where("kind = 'decorator'").withColumn("verb", _short(F.col("name")))
     imports = facts.where("kind = 'import'").select("path", F.split_part("name", F.lit("."), F.lit(1)).alias("top")).where("top in ('flask', 'fastapi', 'celery')").distinct()
-    web = d.where(F.col("verb").isin("route", "get", "post", "put", "delete", "patch", "api_route")).join(imports.where("top in ('flask', 'fastapi')"), "path")
-    web = web.select("path", "line", F.when(F.col("top") == "flask", "Flask").otherwise("FastAPI").alias("framework"), F.col("items")[0].alias("handler"), F.regexp_replace(F.get("items", F.lit(1)), "^['\"]|['\"]$", "").alias("route"), "verb")
+    one = imports.where("top in ('flask', 'fastapi')").groupBy("path").agg(F.collect_set("top").alias("tops"))
+    web = d.where(F.col("verb").isin("route", "get", "post", "put", "delete", "patch", "api_route")).join(one, "path").withColumn("app", F.split_part("name", F.lit("."), F.lit(1)))
+    # of two frameworks in a file the one that made the route's object counts, else the verb that only Flask has
+    guess = F.when(F.size("tops") == 1, F.when(F.col("tops")[0] == "flask", "Flask").otherwise("FastAPI")).otherwise(F.when(F.col("verb") == "route", "Flask").otherwise("FastAPI"))
+    web = web.join(applications(facts), ["path", "app"], "left")
+    web = web.select("path", "line", F.coalesce("made", guess).alias("framework"), F.col("items")[0].alias("handler"), F.regexp_replace(F.get("items", F.lit(1)), "^['\"]|['\"]$", "").alias("route"), "verb")
     jobs = d.where(F.col("verb").isin("task", "shared_task")).join(imports.where("top = 'celery'"), "path").select("path", "line", F.lit("Celery").alias("framework"), F.col("items")[0].alias("handler"), F.concat(F.lit("/"), F.col("items")[0]).alias("route"), "verb")
     urls = facts.where("kind = 'call' and path rlike '(^|/)urls\\.py$'").where(_short(F.col("name")).isin("path", "re_path"))
     urls = urls.select("path", "line", F.lit("Django").alias("framework"), F.get("items", F.lit(1)).alias("handler"), F.regexp_replace(F.get("items", F.lit(0)), "^['\"]|['\"]$", "").alias("route"), _short(F.col("name")).alias("verb"))
@@ -87,13 +104,18 @@ def framework_findings(facts: DataFrame) -> DataFrame:
     """Debug runs, fixed secret keys, exempted views, debug settings, unverified tokens, open sensitive routes."""
     kind, item = F.col("kind"), lambda i: F.get("items", F.lit(i))
     rule = (
-        F.when((kind == "call") & _short(F.col("name")).isin("run") & (F.col("kwargs")["debug"] == "True"), "FLASK-DEBUG")
-        .when((kind == "assign") & F.col("name").rlike(r"(^|\.)(secret_key|SECRET_KEY)$") & (item(0) == "Constant"), "FIXED-SECRET-KEY")
+        F.when((kind == "assign") & F.col("name").rlike(r"(^|\.)(secret_key|SECRET_KEY)$") & (item(0) == "Constant"), "FIXED-SECRET-KEY")
         .when((kind == "decorator") & (_short(F.col("name")) == "csrf_exempt"), "DJANGO-CSRF-EXEMPT")
         .when((kind == "assign") & (F.col("name") == "DEBUG") & (item(1) == "True"), "DJANGO-DEBUG")
         .when((kind == "call") & (F.col("resolved") == "jwt.decode") & ((F.col("kwargs")["verify"] == "False") | F.col("text").rlike(r"verify_signature['\"]: False")), "JWT-UNVERIFIED")
     )
     found = facts.select("path", "line", rule.alias("rule_id")).where("rule_id is not null")
-    body = facts.where("kind = 'function'").select("path", F.col("name").alias("handler"), F.lower("text").alias("body"))
-    open_ = framework_routes(facts).where("framework = 'FastAPI'").join(body, ["path", "handler"]).where(F.lower("route").rlike("|".join(SENSITIVE)) & ~F.col("body").rlike("depends|security|oauth|current_user"))
+    # a run in debug mode counts for a Flask application, or what is called one in a file that imports Flask
+    flask = facts.where("kind = 'import'").where(F.split_part("name", F.lit("."), F.lit(1)) == "flask").select("path").distinct()
+    runs = facts.where("kind = 'call'").where(F.col("name").rlike(r"^[^.]+\.run$") & (F.col("kwargs")["debug"] == "True")).withColumn("app", F.split_part("name", F.lit("."), F.lit(1)))
+    runs = runs.join(flask, "path", "left_semi").join(applications(facts), ["path", "app"], "left").where(F.coalesce(F.col("made") == "Flask", F.col("app").rlike("(?i)(^|_)app(lication)?$")))
+    found = found.union(runs.select("path", "line", F.lit("FLASK-DEBUG").alias("rule_id")))
+    of = decorated(facts).select("path", "line", F.col("items")[0].alias("handler"), "of").distinct()
+    body = facts.where("kind = 'function'").select("path", F.col("ord").alias("of"), F.lower("text").alias("body"))
+    open_ = framework_routes(facts).where("framework = 'FastAPI'").join(of, ["path", "line", "handler"]).join(body, ["path", "of"]).where(F.lower("route").rlike("|".join(SENSITIVE)) & ~F.col("body").rlike("depends|security|oauth|current_user"))
     return found.union(open_.select("path", "line", F.lit("FASTAPI-OPEN-ROUTE").alias("rule_id")))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import _cut, strong_components
+
 #: rule, severity, confidence, category, resolved call names.
 CALL_RULES = (
     ("AST-001", "HIGH", "HIGH", "CODE_INJECTION", ("eval", "builtins.eval")),
@@ -94,30 +96,53 @@ def lock_edges(facts: DataFrame) -> DataFrame:
     return facts.where("kind = 'lock'").select("path", F.col("items")[0].alias("src"), F.col("items")[1].alias("dst")).distinct()
 
 
-def lock_cycles(edges: DataFrame, depth: int = 10) -> DataFrame:
-    """(path, cycle): simple cycles of each file's lock order of up to ``depth`` locks, from their least lock on."""
+def lock_cycles(edges: DataFrame) -> DataFrame:
+    """(path, cycle): for every edge of a file's lock order that lies on a cycle a shortest cycle through it, from its least lock on.
+
+    Only edges inside strong components can; there each is followed back to where it began, however long the way. So every
+    pair of locks in a wrong order is shown, and rows are at most as many as edges.
+    """
     e = edges.select("path", "src", "dst").distinct()
-    at = e.where("src <= dst").select("path", "src", F.col("dst").alias("node"), F.array("src", "dst").alias("cycle"))
-    found = at.where("src = node").select("path", F.array("src").alias("cycle"))
-    at = at.where("src < node")
-    for _ in range(depth - 1):
-        step = at.join(e.withColumnsRenamed({"src": "node", "dst": "next"}), ["path", "node"])
-        found = found.union(step.where("next = src").select("path", "cycle"))
-        at = step.where("next > src and not array_contains(cycle, next)").select("path", "src", F.col("next").alias("node"), F.concat("cycle", F.array("next")).alias("cycle"))
-    return found.distinct()
+    name = lambda c: F.concat("path", F.lit("\0"), F.col(c))
+    part = strong_components(e.select(name("src").alias("src"), name("dst").alias("dst")))
+    inner = e.withColumns({"node": name("src"), "to": name("dst")}).join(part, "node").withColumnRenamed("component", "c")
+    inner = _cut(inner.join(part.select(F.col("node").alias("to"), F.col("component").alias("c")), ["to", "c"]).select("path", "src", "dst"))
+    at = inner.select("path", F.col("src").alias("first"), F.col("dst").alias("second"), F.col("dst").alias("node"), F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst")).alias("cycle"))
+    found, known = at.where("first = node"), None
+    at = at.where("first <> node")
+    key = ["path", "first", "second", "node"]
+    while True:
+        known = at.select(*key) if known is None else _cut(known.union(at.select(*key)))
+        step = at.join(inner.select("path", F.col("src").alias("node"), F.col("dst").alias("next")), ["path", "node"])
+        step = step.select("path", "first", "second", F.col("next").alias("node"), F.when(F.col("next") == F.col("first"), F.col("cycle")).otherwise(F.concat("cycle", F.array("next"))).alias("cycle"))
+        at = _cut(step.groupBy(*key).agg(F.min("cycle").alias("cycle")).join(known, key, "left_anti"))
+        if at.isEmpty():
+            break
+        found = found.union(at.where("first = node"))
+        at = at.join(found.select("path", "first", "second"), ["path", "first", "second"], "left_anti")
+    least = F.array_position("cycle", F.array_min("cycle")).cast("int")
+    turned = F.concat(F.slice("cycle", least, F.size("cycle")), F.slice("cycle", F.lit(1), least - 1))
+    return found.select("path", turned.alias("cycle")).distinct()
 
 
 VERBS = ("route", "get", "post", "put", "delete", "patch", "api_route")
 
 
+def decorated(facts: DataFrame) -> DataFrame:
+    """Decorators with ``of``, the place of the function that each stands at: the last one before it, whatever its name."""
+    w = W.partitionBy("path").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    some = facts.where("kind in ('function', 'class', 'decorator')")
+    return some.withColumn("of", F.max(F.when(F.col("kind") != "decorator", F.col("ord"))).over(w)).where("kind = 'decorator'")
+
+
 def routes(facts: DataFrame) -> DataFrame:
     """Routes from decorators, with keyword evidence from the handler's body.
 
     A route that changes nothing (GET) needs no protection against forged requests.
     """
-    d = facts.where("kind = 'decorator'").where(_short(F.col("name")).isin(*VERBS)).select("path", "line", F.col("items")[0].alias("handler"), F.regexp_replace(F.get(F.col("items"), F.lit(1)), "^['\"]|['\"]$", "").alias("route"), _short(F.col("name")).alias("verb"))
-    body = facts.where("kind = 'function'").select("path", F.col("name").alias("handler"), F.lower("text").alias("body"), "items")
-    j = d.join(body, ["path", "handler"])
+    d = decorated(facts).where(_short(F.col("name")).isin(*VERBS)).select("path", "line", "of", F.col("items")[0].alias("handler"), F.regexp_replace(F.get(F.col("items"), F.lit(1)), "^['\"]|['\"]$", "").alias("route"), _short(F.col("name")).alias("verb"))
+    body = facts.where("kind = 'function'").select("path", F.col("ord").alias("of"), F.lower("text").alias("body"), "items")
+    j = d.join(body, ["path", "of"])
     text = F.col("body")
     return j.select(
         "path", "line", "handler", "route", "verb",

@@ -7,6 +7,7 @@ Lineage is cut by a written table every few steps, in the shared folder that the
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 
@@ -47,12 +48,14 @@ def _cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def levels(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, node, level): the least number of steps from each start, up to ``depth``."""
+def levels(edges: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
+    """(start, node, level): the least number of steps from each start, up to ``depth``, or as far as it goes (None)."""
     e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     known = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("level")).distinct()
     frontier = known
-    for n in range(1, depth + 1):
+    for n in itertools.count(1) if depth is None else range(1, depth + 1):
+        if n % 8 == 0:
+            known = _cut(known)
         new = frontier.join(e, frontier.node == e.src).select("start", F.col("dst").alias("node")).distinct()
         frontier = _cut(new.join(known, ["start", "node"], "left_anti").withColumn("level", F.lit(n)))
         if frontier.isEmpty():

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pep440
-from ..functions.versions import version_key
 from ..functions.ranks import confidence_multiplier, is_flow, severity_weight
+from ..functions.versions import version_key
 
 GRAM = 3
 
@@ -136,7 +136,9 @@ SINK_TEXT = ("execute(", "system(", "eval(", "requests.post(", "call(", "subproc
 def knowledge_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a project: modules, their functions, and the dangerous calls that functions hold."""
     modules = facts.select("path").distinct()
-    fns = facts.where("kind = 'function'").select("path", "name", F.concat_ws(":", F.lit("fn"), "path", "name").alias("id"), "text").dropDuplicates(["id"])
+    fns = facts.where("kind = 'function'").select("path", "name", F.concat_ws(":", F.lit("fn"), F.col("path"), F.concat_ws(".", F.nullif("fn", F.lit("")), "name")).alias("id"), "text")
+    # a function that is defined again is one node with all its texts
+    fns = fns.groupBy("path", "name", "id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
     hit = fns.where(F.expr(" or ".join(f"contains(text, '{w}')" for w in SINK_TEXT)))
     sink = F.concat_ws(":", F.lit("sink"), "path", "name")
     module = F.concat_ws(":", F.lit("module"), "path")

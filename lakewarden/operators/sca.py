@@ -63,8 +63,8 @@ def shared_parents(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("name")).agg(F.countDistinct("src").alias("parents")).where("parents >= 2")
 
 
-def graph_summary(edges: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:
-    """One row: direct and transitive packages, their ratio, largest and mean depth, packages with two parents or more."""
+def graph_summary(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """One row, over all that the roots reach, or up to ``depth``: direct and transitive packages, their ratio, largest and mean depth, packages with two parents or more."""
     from .graph import levels
 
     at = levels(edges, roots, depth).groupBy("node").agg(F.min("level").alias("level")).where("level > 0")

@@ -95,6 +95,46 @@ def constraint_overlap(spark, sf):
     return L.constraint_overlaps(_constrained(spark, sf), r)
 
 
+def _specs(n, w):
+    """A specifier in one of seven forms about the version n (of tens and ones), up to w further on."""
+    v = lambda x: F.concat(F.floor(x / 10).cast("string"), F.lit("."), (x % 10).cast("string"))
+    whole = F.floor(n / 10).cast("string")
+    forms = (F.concat(F.lit(">="), v(n), F.lit(",<"), v(n + w)), F.concat(F.lit("=="), v(n)), F.concat(F.lit("=="), whole, F.lit(".*")), F.concat(F.lit("~="), v(n)), F.concat(F.lit(">"), v(n), F.lit(", <="), v(n + w)), F.concat(F.lit("<"), v(n)), F.concat(F.lit(">="), v(n)))
+    out = forms[-1]
+    for i, f in enumerate(forms[:-1]):
+        out = F.when((n + w) % len(forms) == i, f).otherwise(out)
+    return out
+
+
+def constraint_algebra(spark, sf):
+    """Of each part two constraints and an advisory's interval: whether the first two conflict, and what lies in the interval."""
+    p = table(spark, sf, "part")
+    n, w = (F.col("p_partkey") % 89).cast("int"), (F.col("p_size") % 13 + 1).cast("int")
+    m = (F.floor(F.col("p_retailprice")) % 83).cast("int")
+    a, b = _specs(n, w), _specs(m, w + 1)
+    hit = pep440.affected_ranges(F.concat(F.floor(m / 10).cast("string"), F.lit("."), (m % 10).cast("string")), F.concat(F.floor((m + w) / 10).cast("string"), F.lit("."), ((m + w) % 10).cast("string")))
+    p = p.select("p_partkey", a.alias("first"), b.alias("second"), hit.alias("hit")).withColumns({"r1": pep440.spec_ranges(F.col("first")), "r2": pep440.spec_ranges(F.col("second"))})
+    meet = lambda x, y: F.size(pep440.intersect(x, y))
+    return p.select("p_partkey", "first", "second", (meet(F.col("r1"), F.col("r2")) == 0).alias("conflict"), (meet(F.col("r1"), F.col("hit")) > 0).alias("exposed"), meet(F.col("r1"), pep440.complement(F.col("hit"))).alias("safe_ranges"))
+
+
+def _spec_sql(n: str, w: str) -> tuple[str, str, str]:
+    """SQL of a specifier's text and of its two cuts, as numbers: four to a version, from its earliest pre-release to beyond its post-releases."""
+    v = lambda x: f"(({x}) // 10) || '.' || (({x}) % 10)"
+    pick_ = lambda *forms: f"CASE ({n} + {w}) % 7 " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms)) + " END"
+    text = pick_(f"'>=' || {v(n)} || ',<' || {v(f'{n} + {w}')}", f"'==' || {v(n)}", f"'==' || ({n} // 10) || '.*'", f"'~=' || {v(n)}", f"'>' || {v(n)} || ', <=' || {v(f'{n} + {w}')}", f"'<' || {v(n)}", f"'>=' || {v(n)}")
+    whole, nxt = f"({n} // 10) * 40", f"({n} // 10) * 40 + 40"
+    return text, pick_(f"4 * {n} + 1", f"4 * {n} + 1", whole, f"4 * {n} + 1", f"4 * {n} + 3", "-1", f"4 * {n} + 1"), pick_(f"4 * ({n} + {w})", f"4 * {n} + 2", nxt, nxt, f"4 * ({n} + {w}) + 2", f"4 * {n}", "100000")
+
+
+def _algebra_sql() -> str:
+    (t1, l1, h1), (t2, l2, h2) = _spec_sql("n", "w"), _spec_sql("m", "(w + 1)")
+    return f"""WITH k AS (SELECT p_partkey, (p_partkey % 89)::INT AS n, (p_size % 13 + 1)::INT AS w, (floor(p_retailprice)::BIGINT % 83)::INT AS m FROM part),
+r AS (SELECT p_partkey, {t1} AS first, {t2} AS second, {l1} AS l1, {h1} AS h1, {l2} AS l2, {h2} AS h2, 4 * m + 1 AS l3, 4 * (m + w) + 1 AS h3 FROM k)
+SELECT p_partkey, first, second, l1 >= h1 OR l2 >= h2 OR greatest(l1, l2) >= least(h1, h2) AS conflict, l1 < h1 AND greatest(l1, l3) < least(h1, h3) AS exposed,
+  (CASE WHEN l1 < least(h1, l3) THEN 1 ELSE 0 END + CASE WHEN greatest(l1, h3) < h1 THEN 1 ELSE 0 END)::INT AS safe_ranges FROM r"""
+
+
 def tamper_warnings(spark, sf):
     p = table(spark, sf, "part")
     url = F.when(F.col("p_partkey") % 3 < 2, F.concat(pick(F.col("p_partkey"), "https://a/", "http://b/", ""), "p_name"))
@@ -283,7 +323,7 @@ def cross_service_paths(spark, sf):
     return L.cross_service_paths(L.services(f), L.api_calls(exploded(f, ["path"], "content")))
 
 
-QUERIES = {f.__name__: f for f in (redactions, masked_values, path_predicates, secret_privilege, identifier_types, pep440_matches, constraint_conflicts, constraint_overlap, tamper_warnings, npm_reachability, locked_versions, dependency_reachability, duplicate_relations, cluster_keys, policy_profile, threshold_gate, category_view, invariant_violations, merged_flows, queue_status, finding_page, layer_edges, knowledge_nodes, knowledge_edges, public_edges, sca_scan, polyglot_flows, exploit_labels, callback_edges, constant_sets, module_outline, line_routes, ranked_attack_paths, service_discovery, service_api_calls, cross_service_paths)}
+QUERIES = {f.__name__: f for f in (redactions, masked_values, path_predicates, secret_privilege, identifier_types, pep440_matches, constraint_conflicts, constraint_overlap, constraint_algebra, tamper_warnings, npm_reachability, locked_versions, dependency_reachability, duplicate_relations, cluster_keys, policy_profile, threshold_gate, category_view, invariant_violations, merged_flows, queue_status, finding_page, layer_edges, knowledge_nodes, knowledge_edges, public_edges, sca_scan, polyglot_flows, exploit_labels, callback_edges, constant_sets, module_outline, line_routes, ranked_attack_paths, service_discovery, service_api_calls, cross_service_paths)}
 
 
 def _replaced(text: str, patterns) -> str:
@@ -320,11 +360,12 @@ SQL = {
     "identifier_types": f"SELECT p_partkey, {_picked('p_partkey', 'CVE', 'GHSA', 'PYSEC', 'OSV', 'UNKNOWN')} AS type FROM part",
     "pep440_matches": f"""{_DEPS} SELECT ord, spec, CASE spec WHEN '>=1.0,<3.4.5' THEN k >= [1,0,0,1] AND k < [3,4,5,1] AND k[4] = 1 WHEN '~=4.2' THEN k >= [4,2,0,1] AND k[1] = 4 AND k[4] = 1 WHEN '==5.*' THEN k[1] = 5 AND k[4] = 1
       WHEN '!=2.0.0' THEN k <> [2,0,0,1] AND k[4] = 1 ELSE k >= [3,0,0,0] END AS fits FROM named, (VALUES {', '.join(f'({_q(s)})' for s in SPECS)}) t(spec)""",
+    "constraint_algebra": _algebra_sql(),
     "constraint_conflicts": f"WITH {_CON} SELECT a.name, a.spec AS first, b.spec AS second, TRUE AS empty, TRUE AS sampled FROM c a JOIN c b ON a.name = b.name WHERE (a.spec, b.spec) IN (('<2.19', '>=3'), ('==1.0.0', '>=2,<3'), ('==1.0.0', '>=3'), ('>=2,<3', '>=3'))",
-    "constraint_overlap": f"WITH {_CON} SELECT name, spec, id FROM c, (VALUES ('ADV-1', 'STANDARD', '>=2,<3'), ('ADV-1', 'STANDARD', '>=3'), ('ADV-1', 'STANDARD', '<2.19'), ('ADV-1', 'STANDARD', ''), ('ADV-2', 'PROMO', '<2.19'), ('ADV-2', 'PROMO', ''), ('ADV-3', 'STANDARD', '==1.0.0'), ('ADV-3', 'STANDARD', '<2.19'), ('ADV-3', 'STANDARD', '')) t(id, package, fits) WHERE name = package AND spec = fits",
+    "constraint_overlap": f"WITH {_CON} SELECT name, spec, id, ends FROM c, (VALUES ('ADV-1', 'STANDARD', '>=2,<3', TRUE), ('ADV-1', 'STANDARD', '<2.19', TRUE), ('ADV-1', 'STANDARD', '', TRUE), ('ADV-2', 'PROMO', '<2.19', TRUE), ('ADV-2', 'PROMO', '', TRUE), ('ADV-2', 'PROMO', '>=2,<3', FALSE), ('ADV-2', 'PROMO', '>=3', FALSE), ('ADV-2', 'PROMO', '==1.0.0', FALSE), ('ADV-3', 'STANDARD', '==1.0.0', TRUE), ('ADV-3', 'STANDARD', '<2.19', TRUE), ('ADV-3', 'STANDARD', '', TRUE)) t(id, package, fits, ends) WHERE name = package AND spec = fits",
     "tamper_warnings": "SELECT p_partkey AS name, 'UNENCRYPTED_SOURCE' AS warning, 'HIGH' AS severity FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 'SUSPICIOUS_INTEGRITY_HASH', 'MEDIUM' FROM part WHERE p_size % 4 = 1",
     "npm_reachability": "SELECT DISTINCT source AS name, source IN (SELECT source FROM documents WHERE doc_id % 3 = 0) AS used FROM documents",
-    "locked_versions": f"{_DEPS}, t AS (SELECT n.ord, n.size, n.version, split_part(p_type, ' ', 2) AS name FROM named n JOIN part ON ord = p_partkey), d AS (SELECT name, max(version) AS asked FROM t WHERE size <= 20 GROUP BY name), l AS (SELECT name, max(version) AS got FROM t WHERE size >= 15 AND name <> 'TIN' GROUP BY name) SELECT coalesce(d.name, l.name) AS name, coalesce(got, asked) AS version, asked IS NOT NULL AS is_direct FROM d FULL JOIN l ON d.name = l.name",
+    "locked_versions": f"{_DEPS}, t AS (SELECT n.ord, n.size, n.version, n.k, split_part(p_type, ' ', 2) AS name FROM named n JOIN part ON ord = p_partkey), d AS (SELECT name, arg_max(version, (k, version)) AS asked FROM t WHERE size <= 20 GROUP BY name), l AS (SELECT name, arg_max(version, (k, version)) AS got FROM t WHERE size >= 15 AND name <> 'TIN' GROUP BY name) SELECT coalesce(d.name, l.name) AS name, coalesce(got, asked) AS version, asked IS NOT NULL AS is_direct FROM d FULL JOIN l ON d.name = l.name",
     "dependency_reachability": f"WITH v AS (SELECT * FROM {_VULN}), n AS (SELECT name, id, unnest(list_append(functions, name)) AS needle FROM v), c AS (SELECT 'f' || p_partkey AS fn, replace(lower(p_name), ' ', '.') AS callee, p_size % 7 = 0 AS endpoint FROM part), h AS (SELECT n.name, n.id, bool_or(endpoint) AS endpoint, count(DISTINCT fn) AS callers, arg_min(fn, (NOT endpoint, fn)) AS entry FROM n JOIN c ON contains(callee, lower(needle)) GROUP BY ALL) SELECT v.name, v.id, callers IS NOT NULL AS reachable, CASE WHEN endpoint THEN 'CONFIRMED' WHEN callers > 0 THEN 'HIGH' ELSE 'LOW' END AS confidence, coalesce(callers, 0) AS callers, entry FROM v LEFT JOIN h USING (name, id)",
     "duplicate_relations": f"{FINDINGS}, r AS (SELECT ordinal, first_value(ordinal) OVER (PARTITION BY file_path, line, rule_id ORDER BY flow DESC, weight DESC, mult DESC, ordinal) AS duplicate_of FROM findings) SELECT *, 'DUPLICATE' AS relation FROM r WHERE ordinal <> duplicate_of",
     "cluster_keys": f"{FINDINGS} SELECT CASE WHEN ordinal % 4 = 0 THEN rule_id || ':' || title ELSE file_path || ':' || line || ':' || rule_id END AS cluster, count(*) AS members FROM findings GROUP BY 1",
