@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dataflow import labelled_paths
 from ..operators.dominance import feasible_flows
+from ..operators.nesting import outline
 from ..operators.symbols import final_bindings
 from ..sources.control_flow import control_flow
 from ..sources.def_use import def_use
@@ -151,10 +152,38 @@ def _judged() -> str:
 
 _BOUND = [("api.serve", "core.handle"), ("api.clean", "core.clean"), ("api.fetch", "core.fetch"), ("api.Task", "core.Runner")]
 _NAMES = [*_BOUND, *((a.removeprefix("api."), b) for a, b in _BOUND), *((f"views.{a.removeprefix('api.')}", b) for a, b in _BOUND), ("api.core", "core")]
-QUERIES = {f.__name__: f for f in (taint_paths, handed_on_names, guarded_flows)}
+#: Code after a comment that holds the whole text, after a template that holds it, and after a string that does; what is in each.
+_BEFORE = "function outer(a,\n  b) {\n  if (a) { // }\n    const inner = (x) => {\n      return '}';\n    };\n  }\n}\n"
+_AFTER = (
+    ("class K extends B {\n  run(v) { return v }\n  async stop() {\n    for (const x of y) {\n      go(x);\n    }\n  }\n}\n", [("K", "class", 1, 8, None, 0), ("run", "method", 2, 2, "K", 1), ("stop", "method", 3, 7, "K", 1)]),
+    ("const api = {\n  get: function(q) {\n    return q.map(r => r + 1);\n  },\n};\n", [("get", "function", 2, 4, None, 0)]),
+    ("async function main() {\n  /* function no() { */ const f = async (z) => {\n    class L {\n      m() {\n      }\n    }\n  }\n}\nfunction open() {\n", [("main", "function", 1, 8, None, 0), ("f", "function", 2, 7, "main", 1), ("L", "class", 3, 6, "f", 2), ("m", "method", 4, 5, "L", 3), ("open", "function", 9, None, None, 0)]),
+)
+_OUTER = [("outer", "function", 1, 8, None, 0), ("inner", "function", 4, 6, "outer", 1)]
+
+
+def nested_outline(spark, sf):
+    """Definitions of script files that hold a document's whole text in a comment, in a template and in a string."""
+    text = F.coalesce("text", F.lit(""))
+    after = F.element_at(F.array(*(F.lit(c) for c, _ in _AFTER)), (F.col("doc_id") % len(_AFTER) + 1).cast("int"))
+    parts = (F.lit("/* "), F.regexp_replace(text, r"\*/", "*  "), F.lit("*/\n" + _BEFORE + "const t = `"), F.translate(text, "`\\", ""), F.lit("`;\nconst s = "), F.to_json(F.struct(text.alias("text"))), F.lit(";\n"), after)
+    d = table(spark, sf, "documents").where("doc_id is not null").select(F.concat(F.lit("web"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), F.concat(*parts).alias("content"))
+    return outline(d.select("path", F.posexplode(F.split("content", "\n")).alias("i", "text")).select("path", (F.col("i") + 1).alias("line_no"), "text"))
+
+
+def _outlined() -> str:
+    cols = ["name", "kind", "line", "last", "parent", "level", "k"]
+    rows = [(*r, -1) for r in _OUTER] + [(*r, k) for k, (_, found) in enumerate(_AFTER) for r in found]
+    nl = "length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))"
+    moved = lambda c: f"({c} + CASE WHEN k < 0 THEN n + 1 ELSE 2 * n + {_BEFORE.count(chr(10)) + 3} END)::INT AS {c}"
+    return f"SELECT 'web' || doc_id || '.js' AS path, name, kind, {moved('line')}, {moved('last')}, parent, level FROM (SELECT doc_id, {nl} AS n FROM documents) d, {K._values(rows, cols)} WHERE doc_id IS NOT NULL AND (k < 0 OR doc_id % {len(_AFTER)} = k)"
+
+
+QUERIES = {f.__name__: f for f in (taint_paths, handed_on_names, guarded_flows, nested_outline)}
 SQL = {
     "taint_paths": _expected(),
     "guarded_flows": _judged(),
+    "nested_outline": _outlined(),
     "handed_on_names": f"SELECT 'pkg' || doc_id || '.' || name AS name, 'pkg' || doc_id || '.' || target AS target FROM documents, {K._values(_NAMES, ['name', 'target'])} WHERE doc_id IS NOT NULL"
     " UNION ALL SELECT 'pkg' || doc_id || m || '.request', 'flask.request' FROM documents, (VALUES ('.views'), ('.core')) t(m) WHERE doc_id IS NOT NULL",
 }
