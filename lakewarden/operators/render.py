@@ -39,10 +39,14 @@ def _summary(findings: DataFrame, k: int = 20) -> tuple[dict[str, int], list]:
     return counts, findings.orderBy(F.desc("risk_score"), "ordinal").limit(k).collect()
 
 
+def _shown(counts: dict[str, int], top: list) -> str:
+    return f"{len(top)} of {sum(counts.values())} findings, the riskiest first (write_report writes all)"
+
+
 @reporter("terminal")
 def terminal(findings: DataFrame) -> str:
     counts, top = _summary(findings)
-    lines = ["  ".join(f"{s} {counts.get(s, 0)}" for s in SEVERITIES), ""]
+    lines = ["  ".join(f"{s} {counts.get(s, 0)}" for s in SEVERITIES), _shown(counts, top)]
     return "\n".join([*lines, *(f"{r.risk_score:5.1f}  {r.severity:<8}  {r.rule_id:<12}  {r.file_path}:{r.line}  {r.title}" for r in top)]) + "\n"
 
 
@@ -52,7 +56,7 @@ def page(findings: DataFrame) -> str:
     cell = lambda v: f"<td>{html.escape(str(v))}</td>"
     head = "".join(f"<tr>{cell(s)}{cell(counts.get(s, 0))}</tr>" for s in SEVERITIES)
     rows = "".join(f"<tr>{cell(r.risk_score)}{cell(r.severity)}{cell(r.rule_id)}{cell(f'{r.file_path}:{r.line}')}{cell(r.title)}</tr>" for r in top)
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>Findings</title></head><body><h1>Findings</h1><table>{head}</table><table>{rows}</table></body></html>\n"
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>Findings</title></head><body><h1>Findings</h1><table>{head}</table><p>{_shown(counts, top)}</p><table>{rows}</table></body></html>\n"
 
 
 @reporter("markdown")
@@ -63,7 +67,7 @@ def _markdown(findings: DataFrame) -> str:
 @reporter("json")
 def as_json(findings: DataFrame) -> str:
     counts, top = _summary(findings)
-    return json.dumps({"schema_version": "1.0", "severity": {s.lower(): counts.get(s, 0) for s in SEVERITIES}, "top": [{"rule": r.rule_id, "severity": r.severity, "file": r.file_path, "line": r.line, "risk": r.risk_score} for r in top]}, sort_keys=True)
+    return json.dumps({"schema_version": "1.0", "severity": {s.lower(): counts.get(s, 0) for s in SEVERITIES}, "total": sum(counts.values()), "shown": len(top), "top": [{"rule": r.rule_id, "severity": r.severity, "file": r.file_path, "line": r.line, "risk": r.risk_score} for r in top]}, sort_keys=True)
 
 
 def exit_code(findings: DataFrame, fail_on: str = "HIGH", failed: bool = False) -> int:

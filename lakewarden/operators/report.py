@@ -36,7 +36,7 @@ def markdown(findings: DataFrame, k: int = 10) -> str:
     """A short summary; only the counts of severities and the k riskiest rows reach the driver."""
     counts = {r.severity: r["count"] for r in findings.groupBy("severity").count().collect()}
     top = findings.orderBy(F.desc("risk_score"), "ordinal").limit(k).collect()
-    lines = ["# Findings", "", "| severity | count |", "|-|-|", *(f"| {s} | {counts.get(s, 0)} |" for s in SEVERITIES), "", "| risk | rule | place |", "|-|-|-|"]
+    lines = ["# Findings", "", f"{len(top)} of {sum(counts.values())} findings, the riskiest first.", "", "| severity | count |", "|-|-|", *(f"| {s} | {counts.get(s, 0)} |" for s in SEVERITIES), "", "| risk | rule | place |", "|-|-|-|"]
     return "\n".join([*lines, *(f"| {r.risk_score} | {r.rule_id} | {r.file_path}:{r.line} |" for r in top)]) + "\n"
 
 

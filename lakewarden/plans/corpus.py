@@ -33,7 +33,7 @@ SNIPPETS = (
 NAMES = tuple(s[0] for s in SNIPPETS)
 #: variants of other files: kind, path before and after the id, modulus, contents by quotient.
 FILES = (
-    ("docker", "img", "/Dockerfile", 5, ("FROM python:latest AS build\nARG API_TOKEN=x\nFROM build\nFROM alpine:3.20\nENV PATH=/bin\nUSER app\n", "FROM debian\nENV MODE=1 DB_PASSWORD=hunter\n", "FROM scratch\nUSER 1000\n")),
+    ("docker", "img", "/Dockerfile", 5, ("FROM python:latest AS build\nARG API_TOKEN=x\nFROM build\nFROM alpine:3.20\nENV PATH=/bin\nUSER app\n", "FROM debian\nENV MODE=1 DB_PASSWORD=swordfish\n", "FROM scratch\nUSER 1000\n")),
     ("terraform", "tf", "/main.tf", 6, ('resource "aws_s3_bucket" "logs" {\n  acl = "public-read"\n}\nresource "aws_db_instance" "db" {\n  publicly_accessible = true\n  encrypted = false\n}\n', 'variable "x" {\n  default = "*"\n}\nresource "aws_iam_policy" "p" {\n  action = "*"\n}\n')),
     ("compose", "svc", "/compose.yaml", 7, ("services:\n  db:\n    privileged: true\n    ports: ['5432:5432']\n  web:\n    network_mode: host\n", "services:\n  api:\n    ports: ['127.0.0.1:22:22', '5430-5440:80']\n")),
     ("workflow", "ci", "/.github/workflows/ci.yml", 8, ("on: pull_request_target\njobs:\n  a:\n    steps:\n      - uses: a/b@v1\n      - run: echo ${{ github.event.issue.title }}\n", "on: push\njobs:\n  b:\n    steps:\n      - uses: ./local\n")),

@@ -68,7 +68,7 @@ FILES = (
     ("setup.py", "import os, base64\nfrom setuptools import setup\nos.system('id')\nexec(base64.b64decode('cHJpbnQoMSk='))\nopen('.git/hooks/post-commit', 'w')\nsetup(name='x', install_requires=['six==1.16.0', 'idna'])\n"),
     ("bad.py", "def broken(:\n"),
     ("Dockerfile", "FROM python:latest AS build\nARG API_TOKEN=x\nFROM build\nFROM alpine:3.20\nENV PATH=/bin\nUSER app\n"),
-    ("api/Dockerfile.dev", "FROM debian\nENV DB_PASSWORD hunter\n"),
+    ("api/Dockerfile.dev", "FROM debian\nENV DB_PASSWORD swordfish\n"),
     ("main.tf", 'resource "aws_s3_bucket" "logs" {\n  acl = "public-read"\n}\nresource "aws_db_instance" "db" {\n  publicly_accessible = true\n  encrypted = false\n}\nvariable "x" {\n  default = "*"\n}\nresource "aws_iam_policy" "p" {\n  action = "*"\n}\n'),
     ("requirements.txt", "six==1.16.0\nflask>=2.0\nrequests\n# note\ngit+https://host/org/tool.git@main#egg=tool\nhttps://host/pkg-1.0.tar.gz\nidna==3.7 \\\n  --hash=sha256:aa\n-r other.txt\n"),
     ("web/package.json", '{"dependencies": {"left": "1.2.3", "right": "^2.0.0"}, "devDependencies": {"lint": "*"}}'),
