@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import _cut
+
 #: Lines that are composed at once.
 BLOCK = 256
 CODE, COMMENT, TEMPLATE = 0, 1, 2
 #: What isn't code, from where it begins: strings (they end with their line), comments, templates; the open ones reach to the line's end.
 _TOKEN = r"""(?s)(?:"(?:\\.|[^"\\])*+"?|'(?:\\.|[^'\\])*+'?|//.*\z|/\*.*?\*/|/\*.*\z|`(?:\\.|[^`\\])*+`?)"""
+_MARK = r"""["'`/*\\\\]"""
 #: Words that look like methods.
 _WORDS = "if|for|while|switch|catch|function|return|with|do|else|new|typeof|await"
 DEFINITIONS = (
@@ -50,8 +53,10 @@ def code_lines(lines: DataFrame) -> DataFrame:
     after_comment = F.when(closed > 0, F.substring(text, closed + 2, F.length(text)))
     shut = F.regexp_extract(text, r"(?s)^((?:\\.|[^`\\])*+`)", 1)
     after_template = F.when(shut != "", F.substring(text, F.length(shut) + 1, F.length(text)))
-    ends = F.array(_end(text), F.when(after_comment.isNull(), COMMENT).otherwise(_end(after_comment)), F.when(after_template.isNull(), TEMPLATE).otherwise(_end(after_template)))
-    codes = F.array(_bare(text), F.coalesce(_bare(after_comment), F.lit("")), F.coalesce(_bare(after_template), F.lit("")))
+    # most lines have no mark at all: they change no state, and are code as they stand or not at all
+    plain = ~text.rlike(_MARK)
+    ends = F.when(plain, F.array(*map(F.lit, (CODE, COMMENT, TEMPLATE)))).otherwise(F.array(_end(text), F.when(after_comment.isNull(), COMMENT).otherwise(_end(after_comment)), F.when(after_template.isNull(), TEMPLATE).otherwise(_end(after_template))))
+    codes = F.when(plain, F.array(text, F.lit(""), F.lit(""))).otherwise(F.array(_bare(text), F.coalesce(_bare(after_comment), F.lit("")), F.coalesce(_bare(after_template), F.lit(""))))
     rows = lines.select("path", "line_no", ends.alias("ends"), codes.alias("codes"), F.floor(F.col("line_no") / BLOCK).alias("block"))
     at = lambda a, i: F.element_at(a, i + 1)
     # a block's own function, then what all blocks before it make of the first state
@@ -89,7 +94,7 @@ def outline(lines: DataFrame) -> DataFrame:
 
     ``parent`` is the innermost definition around it (null: none), ``level`` how many there are. A body that never closes has no last line.
     """
-    t = tokens(code_lines(lines))
+    t = _cut(tokens(code_lines(lines)))  # few and short; all that follows reads them several times
     here = W.partitionBy("path").orderBy("pos")
     back = here.rowsBetween(W.unboundedPreceding, -1)
     step = F.when(F.col("token") == "open", 1).when(F.col("token") == "close", -1).otherwise(0)
@@ -99,11 +104,11 @@ def outline(lines: DataFrame) -> DataFrame:
     level = W.partitionBy("path", "depth").orderBy("pos")
     b = t.where("token <> 'def'").withColumn("named", opens)
     b = b.withColumn("end", F.when((F.col("token") == "open") & (F.lead("token").over(level) == "close"), F.struct(F.lead("pos").over(level).alias("pos"), F.lead("line_no").over(level).alias("line_no"))))
-    made = b.where("named").select("path", F.col("d.pos").alias("pos"), "d.name", "d.kind", F.col("d.line_no").alias("line"), F.col("pos").alias("from"), F.col("end.pos").alias("to"), F.col("end.line_no").alias("last"))
+    made = _cut(b.where("named").select("path", F.col("d.pos").alias("pos"), "d.name", "d.kind", F.col("d.line_no").alias("line"), F.col("pos").alias("from"), F.col("end.pos").alias("to"), F.col("end.line_no").alias("last")))
     # definitions without braces of their own: one line, nothing inside
     plain = t.where("token = 'def'").join(made.select("path", "pos"), ["path", "pos"], "left_anti").where("kind = 'function'")
     plain = plain.select("path", "pos", "name", "kind", F.col("line_no").alias("line"), F.col("pos").alias("from"), F.col("pos").alias("to"), F.col("line_no").alias("last"))
-    every = made.union(plain).withColumn("leaf", F.col("from") == F.col("to"))
+    every = _cut(made.union(plain).withColumn("leaf", F.col("from") == F.col("to")))
     # levels by the braces of definitions only
     steps = made.select("path", F.col("from").alias("at"), F.lit(1).alias("n")).union(made.where("to is not null").select("path", F.col("to"), F.lit(-1)))
     marks = steps.select("path", "at", "n", F.lit(None).cast("long").alias("own")).union(every.select("path", F.col("pos"), F.lit(0), F.col("pos")))
