@@ -90,6 +90,63 @@ def ranked_paths(paths: DataFrame, risk: DataFrame, per_pair: int = 10, most: in
     return top.orderBy(F.desc("risk"), F.size("path"), "path").limit(most)
 
 
+def best_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, risk: DataFrame, depth: int, k: int = 10, width: int = 4) -> DataFrame:
+    """(start, node, path, risk): the ``k`` best simple paths of 1 to ``depth`` steps of each start and target, without listing all.
+
+    Better is riskier (a path's risk is that of its riskiest node, 0 where ``risk(node, risk)`` has none), then shorter, then the
+    smaller path, as in ``ranked_paths``. Going back from the targets finds, for each node, target and number of steps left, the
+    highest risk that any walk meets; so a beginning of a path has a bound that no end of it can beat. Each round goes on with the
+    ``width * k`` beginnings of each pair that have the best bounds and keeps the others; a beginning is dropped only when ``k``
+    whole paths beat its bound. The result is therefore that of listing all, and a pair's rows grow with its rounds, not with its
+    paths. A node never comes twice; a start that is also a target has no path to itself. Nulls and repeated rows don't count.
+    """
+    e = _cut(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
+    r = _cut(risk.groupBy("node").agg(F.coalesce(F.max("risk"), F.lit(0.0)).cast("double").alias("r")))
+    first = starts.select(F.col("node").alias("start")).where("start is not null").distinct()
+    near = _cut(levels(e, first.withColumnRenamed("start", "node"), depth - 1).groupBy("node").agg(F.min("level").alias("near")))
+    # walks back from the targets: ``steps`` to go, ``most`` the highest risk after the node itself
+    back = targets.select(F.col("node").alias("target")).where("target is not null").distinct().join(r.withColumnRenamed("node", "target"), "target", "left")
+    at = back.select("target", F.col("target").alias("node"), F.coalesce("r", F.lit(0.0)).alias("through"))
+    ways = None
+    for n in range(1, depth + 1):
+        step = at.withColumnRenamed("node", "dst").join(e, "dst").where("src <> target").groupBy("target", F.col("src").alias("node")).agg(F.max("through").alias("most"))
+        step = _cut(step.join(near, "node").where(F.col("near") + n <= depth).select("target", "node", F.lit(n).alias("steps"), "most"))
+        if step.isEmpty():
+            break
+        ways = step if ways is None else ways.union(step)
+        at = step.join(r, "node", "left").select("target", "node", F.greatest("most", F.coalesce("r", F.lit(0.0))).alias("through"))
+    if ways is None:
+        return _cut(back.select(F.col("target").alias("start"), F.col("target").alias("node"), F.array("target").alias("path"), F.lit(0.0).alias("risk")).limit(0))
+    ways = _cut(ways.groupBy("target", "node").agg(F.collect_list(F.struct("steps", "most")).alias("ways")))  # at most ``depth`` of them
+
+    def bounded(begun: DataFrame) -> DataFrame:
+        """Beginnings with the least (-risk, steps) that an end of theirs can give; those without an end go."""
+        gone = F.size("path") - 1
+        open_ = F.filter("ways", lambda w: w["steps"] + gone <= depth)
+        bound = F.array_min(F.transform(open_, lambda w: F.struct((-F.greatest(F.col("risk"), w["most"])).alias("less"), (w["steps"] + gone).alias("steps"))))
+        return begun.join(ways, ["target", "node"]).withColumn("bound", bound).where("bound is not null").select("start", "target", "node", "path", "risk", "bound")
+
+    rank = Window.partitionBy("start", "target").orderBy("bound", "path")
+    begun = first.join(r.withColumnRenamed("node", "start"), "start", "left").select("start", F.col("start").alias("node"), F.array("start").alias("path"), F.coalesce("r", F.lit(0.0)).alias("risk"))
+    begun = _cut(bounded(begun.join(ways.select("node", "target"), "node").where("start <> target")))
+    found = None
+    while not begun.isEmpty():
+        now = _cut(begun.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= width * k).drop("n"))
+        later = begun.join(now.select("start", "target", "path"), ["start", "target", "path"], "left_anti").select(*begun.columns)
+        on = now.join(e, now.node == e.src).where("not array_contains(path, dst)").join(r.withColumnRenamed("node", "dst"), "dst", "left")
+        on = _cut(on.select("start", "target", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.greatest("risk", F.coalesce("r", F.lit(0.0))).alias("risk")))
+        whole = on.where("node = target").select("start", "target", "path", "risk", F.struct((-F.col("risk")).alias("less"), (F.size("path") - 1).alias("steps")).alias("bound"))
+        whole = whole if found is None else found.union(whole)
+        found = _cut(whole.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= k).drop("n"))
+        last = found.groupBy("start", "target").agg(F.count("*").alias("n"), F.max(F.struct("bound", "path")).alias("last")).where(F.col("n") == k).select("start", "target", "last")
+        rest = later.union(bounded(on.where("node <> target"))).join(last, ["start", "target"], "left")
+        beats = (F.col("bound") < F.col("last.bound")) | ((F.col("bound") == F.col("last.bound")) & (F.col("path") <= F.slice("last.path", 1, F.size("path"))))
+        begun = _cut(rest.where(F.col("last").isNull() | beats).select(*begun.columns))
+    if found is None:
+        found = begun.select("start", "target", "path", "risk", "bound")
+    return found.select("start", F.col("target").alias("node"), "path", "risk")
+
+
 def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
     """(start, node, hops, path) of the first shortest path to each target that a start reaches."""
     e = edges.select("src", "dst").distinct()
