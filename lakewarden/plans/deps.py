@@ -127,7 +127,7 @@ def part_paths(spark, sf):
 def part_best_paths(spark, sf):
     """The three riskiest ways of up to four steps from each start to each part of a brand; sizes are the risks, so many tie."""
     p = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("node"), F.col("p_size").cast("double").alias("risk"), "p_brand")
-    best = graph.best_paths(part_edges(spark, sf), _start_parts(spark), p.where("p_brand = 'Brand#55'"), p, 4, 3)
+    best = graph.best_paths(part_edges(spark, sf), _start_parts(spark), p.where("p_brand = 'Brand#7'"), p, 4, 3)
     return best.select("start", "node", F.array_join("path", ">").alias("path"), "risk")
 
 
@@ -174,7 +174,7 @@ _PARTS = "WITH RECURSIVE l AS (SELECT l_partkey::BIGINT AS src, lead(l_partkey::
 SQL = {
     "part_reachability": f"{_PARTS}{_WALK(4)} SELECT start, node, (len(path) - 1)::INT AS hops, array_to_string(path, '>') AS path FROM walk WHERE node <> start QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY len(path), path) = 1",
     "part_paths": f"{_PARTS}{_WALK(3)} SELECT start, node, array_to_string(path, '>') AS path, len(path) - 1 AS hops FROM walk WHERE len(path) > 1",
-    "part_best_paths": f"{_PARTS}{_WALK(4)}, w AS (SELECT start, node, path FROM walk JOIN part t ON t.p_partkey = node WHERE t.p_brand = 'Brand#55' AND len(path) > 1), x AS (SELECT *, unnest(path) AS n FROM w), r AS (SELECT start, node, path, coalesce(max(p_size), 0)::DOUBLE AS risk FROM x LEFT JOIN part ON p_partkey = n GROUP BY ALL) SELECT start, node, array_to_string(path, '>') AS path, risk FROM r QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY risk DESC, len(r.path), r.path) <= 3",
+    "part_best_paths": f"{_PARTS}{_WALK(4)}, w AS (SELECT start, node, path FROM walk JOIN part t ON t.p_partkey = node WHERE t.p_brand = 'Brand#7' AND len(path) > 1), x AS (SELECT *, unnest(path) AS n FROM w), r AS (SELECT start, node, path, coalesce(max(p_size), 0)::DOUBLE AS risk FROM x LEFT JOIN part ON p_partkey = n GROUP BY ALL) SELECT start, node, array_to_string(path, '>') AS path, risk FROM r QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY risk DESC, len(r.path), r.path) <= 3",
     "part_depth": f"{_PARTS}{_REACH(10)} SELECT start, node, min(level)::BIGINT AS level FROM reach GROUP BY ALL",
     "part_spof": f"{_PARTS} SELECT dst AS name, count(DISTINCT src) AS parents FROM edges GROUP BY dst HAVING count(DISTINCT src) >= 2",
     "part_what_if": f"{_PARTS}, rest AS (SELECT * FROM edges WHERE src NOT IN (2, 3) AND dst NOT IN (2, 3)){_REACH(6, 'rest')} SELECT start, node, min(level)::BIGINT AS level FROM reach GROUP BY ALL",
