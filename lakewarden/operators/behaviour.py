@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .code_rules import _short, decorated
+from .graph import _cut
 
 #: Event and the short names of the calls that make it.
 CONCURRENCY = (
@@ -77,7 +78,14 @@ def applications(facts: DataFrame) -> DataFrame:
 
 
 def framework_routes(facts: DataFrame) -> DataFrame:
-    """path, line, framework, handler, route, verb of decorators, Django url tables and Celery tasks."""
+    """path, line, framework, handler, route, verb of decorators, Django url tables and Celery tasks.
+
+    The facts are written once, since joins read them several times: files are parsed once.
+    """
+    return _framework_routes(_cut(facts.where("kind in ('assign', 'call', 'decorator', 'import')").select("path", "kind", "line", "name", "resolved", "items")))
+
+
+def _framework_routes(facts: DataFrame) -> DataFrame:
     d = facts.where("kind = 'decorator'").withColumn("verb", _short(F.col("name")))
     imports = facts.where("kind = 'import'").select("path", F.split_part("name", F.lit("."), F.lit(1)).alias("top")).where("top in ('flask', 'fastapi', 'celery')").distinct()
     one = imports.where("top in ('flask', 'fastapi')").groupBy("path").agg(F.collect_set("top").alias("tops"))
@@ -101,7 +109,11 @@ def framework_uses(facts: DataFrame) -> DataFrame:
 
 
 def framework_findings(facts: DataFrame) -> DataFrame:
-    """Debug runs, fixed secret keys, exempted views, debug settings, unverified tokens, open sensitive routes."""
+    """Debug runs, fixed secret keys, exempted views, debug settings, unverified tokens, open sensitive routes.
+
+    As for the routes, the facts are written once.
+    """
+    facts = _cut(facts.where("kind in ('assign', 'call', 'class', 'decorator', 'function', 'import')").select("path", "kind", "ord", "line", "name", "resolved", "kwargs", "items", "text"))
     kind, item = F.col("kind"), lambda i: F.get("items", F.lit(i))
     rule = (
         F.when((kind == "assign") & F.col("name").rlike(r"(^|\.)(secret_key|SECRET_KEY)$") & (item(0) == "Constant"), "FIXED-SECRET-KEY")
@@ -117,5 +129,5 @@ def framework_findings(facts: DataFrame) -> DataFrame:
     found = found.union(runs.select("path", "line", F.lit("FLASK-DEBUG").alias("rule_id")))
     of = decorated(facts).select("path", "line", F.col("items")[0].alias("handler"), "of").distinct()
     body = facts.where("kind = 'function'").select("path", F.col("ord").alias("of"), F.lower("text").alias("body"))
-    open_ = framework_routes(facts).where("framework = 'FastAPI'").join(of, ["path", "line", "handler"]).join(body, ["path", "of"]).where(F.lower("route").rlike("|".join(SENSITIVE)) & ~F.col("body").rlike("depends|security|oauth|current_user"))
+    open_ = _framework_routes(facts).where("framework = 'FastAPI'").join(of, ["path", "line", "handler"]).join(body, ["path", "of"]).where(F.lower("route").rlike("|".join(SENSITIVE)) & ~F.col("body").rlike("depends|security|oauth|current_user"))
     return found.union(open_.select("path", "line", F.lit("FASTAPI-OPEN-ROUTE").alias("rule_id")))

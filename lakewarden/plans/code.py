@@ -89,8 +89,8 @@ SUPPLY = {
 }
 
 
-def _facts(spark, sf):
-    return python_facts(K.modules(spark, sf))
+def _facts(spark, sf, kinds=None, texts=()):
+    return python_facts(K.modules(spark, sf), kinds, texts)
 
 
 def _deps(spark, sf):
@@ -102,73 +102,83 @@ _SARIF = "runs array<struct<results:array<struct<ruleId:string,level:string,rule
 
 def py_ast_facts(spark, sf):
     """Facts of each file by kind, and the characters of its string constants (whole texts among them)."""
-    return _facts(spark, sf).groupBy("path", "kind").agg(F.count("*").alias("n"), F.sum(F.when(F.col("kind") == "constant", F.length("text")).otherwise(0)).alias("chars"))
+    return _facts(spark, sf, None, ("constant",)).groupBy("path", "kind").agg(F.count("*").alias("n"), F.sum(F.when(F.col("kind") == "constant", F.length("text")).otherwise(0)).alias("chars"))
 
 
 def py_call_rules(spark, sf):
-    return C.call_findings(_facts(spark, sf))
+    return C.call_findings(_facts(spark, sf, ("call",)))
 
 
 def py_taint_flows(spark, sf):
     return taint_flows(K.modules(spark, sf))
 
 
+_DYNAMIC = ("assign", "call", "class", "decorator", "dispatch", "function")
+
+
 def dynamic_events(spark, sf):
-    return C.dynamic_events(_facts(spark, sf))
+    return C.dynamic_events(_facts(spark, sf, _DYNAMIC, ("call",)))
 
 
 def dynamic_summary(spark, sf):
     """Certain events of each file by kind."""
-    return B.summary(C.dynamic_events(_facts(spark, sf), conservative=True), "event")
+    return B.summary(C.dynamic_events(_facts(spark, sf, _DYNAMIC, ("call",)), conservative=True), "event")
 
 
 def toctou_races(spark, sf):
-    return C.toctou(_facts(spark, sf))
+    return C.toctou(_facts(spark, sf, ("call",)))
 
 
 def lock_cycles(spark, sf):
-    return C.lock_cycles(C.lock_edges(_facts(spark, sf))).select("path", F.array_join("cycle", ">").alias("cycle"))
+    return C.lock_cycles(C.lock_edges(_facts(spark, sf, ("lock",)))).select("path", F.array_join("cycle", ">").alias("cycle"))
+
+
+_CONCURRENCY = ("assign", "await", "call", "function", "global")
 
 
 def concurrency_events(spark, sf):
-    return B.concurrency_events(_facts(spark, sf))
+    return B.concurrency_events(_facts(spark, sf, _CONCURRENCY))
 
 
 def concurrency_summary(spark, sf):
-    return B.summary(B.concurrency_events(_facts(spark, sf)), "event")
+    return B.summary(B.concurrency_events(_facts(spark, sf, _CONCURRENCY)), "event")
+
+
+def _routes(spark, sf):
+    return C.routes(_facts(spark, sf, ("class", "decorator", "function"), ("function",)))
 
 
 def web_rules(spark, sf):
-    return C.web_findings(C.routes(_facts(spark, sf)))
+    return C.web_findings(_routes(spark, sf))
 
 
 def web_summary(spark, sf):
     """Routes of each file, those without a sign of authentication, and those that a forged request can't harm."""
-    return C.routes(_facts(spark, sf)).groupBy("path").agg(F.count("*").alias("routes"), F.count_if(~F.col("authenticated")).alias("open"), F.count_if("csrf_safe").alias("csrf_safe"))
+    return _routes(spark, sf).groupBy("path").agg(F.count("*").alias("routes"), F.count_if(~F.col("authenticated")).alias("open"), F.count_if("csrf_safe").alias("csrf_safe"))
 
 
 def install_events(spark, sf):
-    return C.install_events(_facts(spark, sf))
+    return C.install_events(_facts(spark, sf, ("call",), ("call",)))
 
 
 def malware_summary(spark, sf):
-    return B.malware_summary(C.install_events(_facts(spark, sf)))
+    return B.malware_summary(C.install_events(_facts(spark, sf, ("call",), ("call",))))
 
 
 def framework_evidence(spark, sf):
-    return C.frameworks(_facts(spark, sf))
+    return C.frameworks(_facts(spark, sf, ("import",)))
 
 
 def framework_routes(spark, sf):
-    return B.framework_routes(_facts(spark, sf))
+    return B.framework_routes(_facts(spark, sf, ("assign", "call", "decorator", "import")))
 
 
 def framework_uses(spark, sf):
-    return B.framework_uses(_facts(spark, sf))
+    return B.framework_uses(_facts(spark, sf, ("call",)))
 
 
 def framework_findings(spark, sf):
-    return B.framework_findings(_facts(spark, sf))
+    return B.framework_findings(_facts(spark, sf, ("assign", "call", "class", "decorator", "function", "import"), ("call", "function")))
 
 
 def exploitability(spark, sf):
@@ -178,7 +188,7 @@ def exploitability(spark, sf):
 
 
 def call_edges(spark, sf):
-    return C.call_edges(_facts(spark, sf))
+    return C.call_edges(_facts(spark, sf, ("call", "function", "import")))
 
 
 def dockerfile_rules(spark, sf):
