@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import pep440
 from ..functions.ranks import confidence_multiplier, is_flow, severity_weight
 from ..functions.versions import version_key
+from .graph import _cut
 
 GRAM = 3
 
@@ -134,12 +135,18 @@ SINK_TEXT = ("execute(", "system(", "eval(", "requests.post(", "call(", "subproc
 
 
 def knowledge_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a project: modules, their functions, and the dangerous calls that functions hold."""
-    modules = facts.select("path").distinct()
-    fns = facts.where("kind = 'function'").select("path", "name", F.concat_ws(":", F.lit("fn"), F.col("path"), F.concat_ws(".", F.nullif("fn", F.lit("")), "name")).alias("id"), "text")
+    """(nodes, edges) of a project: modules, their functions, and the dangerous calls that functions hold.
+
+    Nodes and edges are made of one written table of functions, with a row without a name for other facts of a file, so files are parsed once.
+    """
+    of = lambda c: F.when(F.col("kind") == "function", c)
+    every = facts.select("path", of(F.col("name")).alias("name"), of(F.concat_ws(":", F.lit("fn"), F.col("path"), F.concat_ws(".", F.nullif("fn", F.lit("")), "name"))).alias("id"), of(F.col("text")).alias("text"))
     # a function that is defined again is one node with all its texts
-    fns = fns.groupBy("path", "name", "id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
-    hit = fns.where(F.expr(" or ".join(f"contains(text, '{w}')" for w in SINK_TEXT)))
+    every = every.groupBy("path", "name", "id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+    every = _cut(every.select("path", "name", "id", F.expr(" or ".join(f"contains(text, '{w}')" for w in SINK_TEXT)).alias("dangerous")))
+    modules = every.select("path").distinct()
+    fns = every.where("id is not null")
+    hit = fns.where("dangerous")
     sink = F.concat_ws(":", F.lit("sink"), "path", "name")
     module = F.concat_ws(":", F.lit("module"), "path")
     nodes = modules.select(module.alias("id"), F.lit("MODULE").alias("type"), F.col("path").alias("name"), F.lit(10.0).alias("risk"))

@@ -230,17 +230,21 @@ FUNCTIONS = {
 }
 
 
+def _knowledge(spark, sf):
+    return L.knowledge_graph(python_facts(K.modules(spark, sf), texts=("function",)))
+
+
 def knowledge_nodes(spark, sf):
-    return L.knowledge_graph(python_facts(K.modules(spark, sf)))[0]
+    return _knowledge(spark, sf)[0]
 
 
 def knowledge_edges(spark, sf):
-    return L.knowledge_graph(python_facts(K.modules(spark, sf)))[1]
+    return _knowledge(spark, sf)[1]
 
 
 def public_edges(spark, sf):
     """What flows from route handlers into dangerous calls."""
-    nodes, edges = L.knowledge_graph(python_facts(K.modules(spark, sf)))
+    nodes, edges = _knowledge(spark, sf)
     return L.public_edges(edges, nodes.withColumn("is_entry", F.col("name").isin("run", "item", "fetch", "query")))
 
 
@@ -261,7 +265,7 @@ def sca_scan(spark, sf):
     ranges = spark.createDataFrame(ADVISORIES, "id string, package string, introduced string, until string, inclusive boolean")
     fixes = spark.createDataFrame([("six", "1.16.0"), ("idna", "3.8.0")], "name string, fix string")
     vulnerable = spark.createDataFrame([("six", "ADV-6", ["six.moves"]), ("idna", "ADV-7", ["jwt.decode"])], "name string, id string, functions array<string>")
-    calls = python_facts(K.modules(spark, sf)).where("kind = 'call'").select(F.concat_ws(":", "path", "fn").alias("fn"), F.col("resolved").alias("callee"), F.lit(False).alias("endpoint"))
+    calls = python_facts(K.modules(spark, sf), ("call",), ()).select(F.concat_ws(":", "path", "fn").alias("fn"), F.col("resolved").alias("callee"), F.lit(False).alias("endpoint"))
     return sca.scan(deps, ranges, fixes, vulnerable, calls)
 
 
@@ -282,7 +286,7 @@ def exploit_labels(spark, sf):
 
 
 def callback_edges(spark, sf):
-    return C.callback_edges(python_facts(K.modules(spark, sf)))
+    return C.callback_edges(python_facts(K.modules(spark, sf), ("call", "function"), ()))
 
 
 def constant_sets(spark, sf):

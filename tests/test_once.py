@@ -26,6 +26,7 @@ def _scanned(facts):
 
 ONCE = {
     "framework_findings": B.framework_findings,
+    "public_edges": _public,
 }
 
 
