@@ -27,6 +27,7 @@ def _scanned(facts):
 ONCE = {
     "framework_findings": B.framework_findings,
     "public_edges": _public,
+    "knowledge_edges": lambda f: L.knowledge_graph(f)[1],
 }
 
 
