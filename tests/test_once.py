@@ -28,6 +28,7 @@ ONCE = {
     "framework_findings": B.framework_findings,
     "public_edges": _public,
     "knowledge_edges": lambda f: L.knowledge_graph(f)[1],
+    "knowledge_nodes": lambda f: L.knowledge_graph(f)[0],
 }
 
 
