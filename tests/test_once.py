@@ -29,6 +29,7 @@ ONCE = {
     "public_edges": _public,
     "knowledge_edges": lambda f: L.knowledge_graph(f)[1],
     "knowledge_nodes": lambda f: L.knowledge_graph(f)[0],
+    "framework_routes": B.framework_routes,
 }
 
 
