@@ -51,8 +51,7 @@ def dynamic_events(facts: DataFrame, conservative: bool = False) -> DataFrame:
 
     ``conservative`` keeps what is certain: states EXACT and HIGH_CONFIDENCE.
     """
-    c = facts.where("kind = 'call'").withColumn("short", _short(F.col("resolved")))
-    has = lambda *n: F.col("short").isin(*n)
+    has = lambda *n: _short(F.col("resolved")).isin(*n)
     exact = lambda i: F.when(_is_literal(i), "EXACT").otherwise("UNKNOWN")
     event = (
         F.when(has("getattr", "hasattr", "delattr", "setattr") & (F.col("n_args") >= 2), F.struct(F.lit("REFLECTION").alias("event"), exact(1).alias("state")))
@@ -65,18 +64,18 @@ def dynamic_events(facts: DataFrame, conservative: bool = False) -> DataFrame:
         .when(has("entry_points", "iter_entry_points", "load_entry_point"), F.struct(F.lit("PLUGIN_LOADING").alias("event"), F.lit("PARTIAL").alias("state")))
         .when(has("register", "connect", "add_url_rule", "add_api_route", "register_blueprint"), F.struct(F.lit("RUNTIME_REGISTRATION").alias("event"), exact(0).alias("state")))
     )
-    calls = c.withColumn("e", event).where("e is not null").select("path", "line", "fn", "e.event", "e.state", F.col("resolved").alias("target"))
-    rest = facts.select(
-        "path", "line", "fn",
+    call = F.col("kind") == "call"
+    other = (
         F.when((F.col("kind") == "class") & F.col("kwargs")["metaclass"].isNotNull(), "METACLASS")
         .when((F.col("kind") == "assign") & F.contains("name", F.lit(".")) & ~F.col("name").rlike(r"^(self|cls|<dynamic>)\."), "MONKEY_PATCH")
         .when(F.col("kind") == "decorator", "DECORATOR")
         .when(F.col("kind") == "dispatch", "DYNAMIC_DISPATCH")
-        .when((F.col("kind") == "function") & (F.col("name") == "__reduce__"), "DESERIALIZATION").alias("event"),
-        F.when(F.col("kind") == "assign", "HIGH_CONFIDENCE").when((F.col("kind") == "dispatch") & (F.col("text") == "table"), "PARTIAL").when(F.col("kind") == "dispatch", "UNKNOWN").otherwise("EXACT").alias("state"),
-        F.col("name").alias("target"),
-    ).where("event is not null")
-    out = calls.unionByName(rest)
+        .when((F.col("kind") == "function") & (F.col("name") == "__reduce__"), "DESERIALIZATION")
+    )
+    state = F.when(F.col("kind") == "assign", "HIGH_CONFIDENCE").when((F.col("kind") == "dispatch") & (F.col("text") == "table"), "PARTIAL").when(F.col("kind") == "dispatch", "UNKNOWN").otherwise("EXACT")
+    # calls and the rest in one pass over the facts, so files are parsed once
+    e = F.when(call, event).otherwise(F.when(other.isNotNull(), F.struct(other.alias("event"), state.alias("state"))))
+    out = facts.select("path", "line", "fn", e.alias("e"), F.when(call, F.col("resolved")).otherwise(F.col("name")).alias("target")).where("e is not null").select("path", "line", "fn", "e.event", "e.state", "target")
     return out.where(F.col("state").isin("EXACT", "HIGH_CONFIDENCE")) if conservative else out
 
 
@@ -102,7 +101,7 @@ def lock_cycles(edges: DataFrame) -> DataFrame:
     Only edges inside strong components can; there each is followed back to where it began, however long the way. So every
     pair of locks in a wrong order is shown, and rows are at most as many as edges.
     """
-    e = edges.select("path", "src", "dst").distinct()
+    e = _cut(edges.select("path", "src", "dst").distinct())  # read more than once: files are parsed once
     name = lambda c: F.concat("path", F.lit("\0"), F.col(c))
     part = strong_components(e.select(name("src").alias("src"), name("dst").alias("dst")))
     inner = e.withColumns({"node": name("src"), "to": name("dst")}).join(part, "node").withColumnRenamed("component", "c")
@@ -129,10 +128,11 @@ VERBS = ("route", "get", "post", "put", "delete", "patch", "api_route")
 
 
 def decorated(facts: DataFrame) -> DataFrame:
-    """Decorators with ``of``, the place of the function that each stands at: the last one before it, whatever its name."""
+    """Decorators with ``of``, the place of the function that each stands at (the last one before it, whatever its name), and ``at``, its kind, text and items."""
     w = W.partitionBy("path").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     some = facts.where("kind in ('function', 'class', 'decorator')")
-    return some.withColumn("of", F.max(F.when(F.col("kind") != "decorator", F.col("ord"))).over(w)).where("kind = 'decorator'")
+    stands = F.last(F.when(F.col("kind") != "decorator", F.struct("ord", "kind", "text", "items")), True).over(w)
+    return some.withColumn("at", stands).withColumn("of", F.col("at.ord")).where("kind = 'decorator'")
 
 
 def routes(facts: DataFrame) -> DataFrame:
@@ -140,15 +140,14 @@ def routes(facts: DataFrame) -> DataFrame:
 
     A route that changes nothing (GET) needs no protection against forged requests.
     """
-    d = decorated(facts).where(_short(F.col("name")).isin(*VERBS)).select("path", "line", "of", F.col("items")[0].alias("handler"), F.regexp_replace(F.get(F.col("items"), F.lit(1)), "^['\"]|['\"]$", "").alias("route"), _short(F.col("name")).alias("verb"))
-    body = facts.where("kind = 'function'").select("path", F.col("ord").alias("of"), F.lower("text").alias("body"), "items")
-    j = d.join(body, ["path", "of"])
+    d = decorated(facts).where(_short(F.col("name")).isin(*VERBS) & (F.col("at.kind") == "function"))
+    j = d.select("path", "line", F.lower("at.text").alias("body"), F.col("at.items").alias("params"), F.col("items")[0].alias("handler"), F.regexp_replace(F.get(F.col("items"), F.lit(1)), "^['\"]|['\"]$", "").alias("route"), _short(F.col("name")).alias("verb"))
     text = F.col("body")
     return j.select(
         "path", "line", "handler", "route", "verb",
         text.rlike("login_required|current_user|authenticate|depends|authorization").alias("authenticated"),
         text.rlike("owner|user_id ==|belongs_to|current_user.id").alias("checks_owner"),
-        F.exists("items", lambda a: a.rlike("(^|_)id$")).alias("takes_id"),
+        F.exists("params", lambda a: a.rlike("(^|_)id$")).alias("takes_id"),
         text.rlike(r"(requests|httpx)\.(get|post|request)\(|urlopen\(").alias("fetches_url"),
         text.rlike("verify_signature['\"]?: false|verify=false").alias("skips_signature"),
         text.rlike("role|is_admin|permission|has_perm").alias("checks_role"),
@@ -198,19 +197,24 @@ def call_edges(facts: DataFrame) -> DataFrame:
     Each tier takes only what the ones before left. A short name that several files define, and that nothing
     else resolves, leads to the one node ``*:name`` (tier 4) instead of to each of them; ``name_members`` tells
     which functions that is. So a name like ``get`` never joins all its calls with all its definitions.
+    Facts and what each tier leaves are written once: files are parsed once, and no tier is found again for the next.
     """
+    facts = _cut(facts.where("kind in ('function', 'call', 'import')").select("path", "kind", "fn", "name", "resolved", "items"))
     fns = _defined(facts)
     plain = ~F.contains("name", F.lit(".")) | F.col("name").rlike(r"^(self|cls)\.\w+$")
     calls = facts.where("kind = 'call'").select("path", F.when(F.col("fn") == "", "<module>").otherwise(F.col("fn")).alias("fn"), "resolved", _short(F.col("name")).alias("short"), F.split_part("name", F.lit("."), F.lit(1)).alias("head"), plain.alias("plain")).distinct()
     heads = facts.where("kind = 'import'").select("path", F.explode("items").alias("head"), F.lit(True).alias("imported")).distinct()
-    calls = calls.join(heads, ["path", "head"], "left").select("path", "fn", "resolved", "short", "plain", F.coalesce("imported", F.lit(False)).alias("imported"))
+    calls = _cut(calls.join(heads, ["path", "head"], "left").select("path", "fn", "resolved", "short", "plain", F.coalesce("imported", F.lit(False)).alias("imported")))
     own = calls.where("plain and not imported").join(fns.select(F.col("to_path").alias("path"), "to_fn", "short"), ["path", "short"]).withColumn("to_path", F.col("path")).withColumn("tier", F.lit(1))
-    left = calls.join(own.select("path", "fn", "resolved").distinct(), ["path", "fn", "resolved"], "left_anti")
+    own = _cut(own)
+    left = _cut(calls.join(own.select("path", "fn", "resolved").distinct(), ["path", "fn", "resolved"], "left_anti"))
     # whole dotted names meet: a call's name is one of the tails of a function's full name
     tails = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.array_join(F.slice("parts", i, F.size("parts") - i + 1), "."))
     dotted = fns.withColumn("parts", F.split(F.concat_ws(".", "module", "to_fn"), r"\.")).select("to_path", "to_fn", F.explode(tails).alias("resolved"))
-    by_import = left.where(F.contains("resolved", F.lit("."))).join(dotted, "resolved").withColumn("tier", F.lit(2))
-    left = left.join(by_import.select("path", "fn", "resolved").distinct(), ["path", "fn", "resolved"], "left_anti")
+    # distinct names meet first: a name that is called everywhere is one row there
+    met = _cut(left.select("resolved").where(F.contains("resolved", F.lit("."))).distinct().join(dotted, "resolved"))
+    by_import = left.join(met, "resolved").withColumn("tier", F.lit(2))
+    left = left.join(met.select("resolved").distinct(), "resolved", "left_anti")
     names = fns.groupBy("short").agg(F.count("*").alias("n"), F.min("to_path").alias("to_path"), F.min("to_fn").alias("to_fn"))
     # what an imported module holds is not ours by its short name alone
     last = left.where("not imported").join(names, "short").withColumn("tier", F.when(F.col("n") == 1, 3).otherwise(4))
@@ -221,6 +225,7 @@ def call_edges(facts: DataFrame) -> DataFrame:
 
 def callback_edges(facts: DataFrame) -> DataFrame:
     """caller -> function that is handed over by name: arguments and ``target=`` of calls, and what tasks start."""
+    facts = _cut(facts.where("kind in ('function', 'call')").select("path", "kind", "fn", "name", "kwargs", "items"))  # both sides of the join: files are parsed once
     own = facts.where("kind = 'function'").select("path", F.col("name").alias("handed"), F.concat_ws(".", F.when(F.col("fn") != "", F.col("fn")), F.col("name")).alias("to_fn")).distinct()
     c = facts.where("kind = 'call'")
     handed = F.concat("items", F.filter(F.map_values("kwargs"), lambda v: v != "<expression>"))

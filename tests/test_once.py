@@ -30,6 +30,7 @@ ONCE = {
     "knowledge_edges": lambda f: L.knowledge_graph(f)[1],
     "knowledge_nodes": lambda f: L.knowledge_graph(f)[0],
     "framework_routes": B.framework_routes,
+    "call_edges": C.call_edges,
 }
 
 
