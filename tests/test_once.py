@@ -31,6 +31,7 @@ ONCE = {
     "knowledge_nodes": lambda f: L.knowledge_graph(f)[0],
     "framework_routes": B.framework_routes,
     "call_edges": C.call_edges,
+    "dynamic_events": C.dynamic_events,
 }
 
 
