@@ -32,6 +32,7 @@ ONCE = {
     "framework_routes": B.framework_routes,
     "call_edges": C.call_edges,
     "dynamic_events": C.dynamic_events,
+    "dynamic_summary": lambda f: B.summary(C.dynamic_events(f, conservative=True), "event"),
 }
 
 
