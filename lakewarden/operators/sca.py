@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.versions import version_key
+from .graph import _cut
 from .relations import call_reachability
 
 
@@ -77,8 +78,10 @@ def scan(deps: DataFrame, ranges: DataFrame, fixes: DataFrame, vulnerable: DataF
     """Dependencies to findings: affected versions, reachability through calls, remediation.
 
     ``deps(path, name, version)``, ``ranges`` as of ``intervals``, ``fixes(name, fix)``, ``vulnerable(name, id,
-    functions)``, ``calls(fn, callee, endpoint)``. Reachability is a property of package and advisory, found once.
+    functions)``, ``calls(fn, callee, endpoint)``. Reachability is a property of package and advisory, found once; the calls
+    are written once, since two joins read them.
     """
+    calls = _cut(calls.select("fn", "callee", "endpoint"))
     hit = affected(deps.where("version is not null").select("path", "name", "version").distinct(), ranges).select("path", "name", "version", "id").distinct()
     reach = call_reachability(vulnerable, calls).select("name", "id", "reachable", "confidence", "callers")
     fix = recommended_fix(hit.select("name", "version").distinct(), fixes, []).select("name", "version", "fix", "impact")

@@ -33,6 +33,7 @@ ONCE = {
     "call_edges": C.call_edges,
     "dynamic_events": C.dynamic_events,
     "dynamic_summary": lambda f: B.summary(C.dynamic_events(f, conservative=True), "event"),
+    "sca_scan": _scanned,
 }
 
 
