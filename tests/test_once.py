@@ -35,6 +35,7 @@ ONCE = {
     "dynamic_summary": lambda f: B.summary(C.dynamic_events(f, conservative=True), "event"),
     "sca_scan": _scanned,
     "web_summary": lambda f: C.routes(f).groupBy("path").count(),
+    "callback_edges": C.callback_edges,
 }
 
 
