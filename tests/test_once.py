@@ -36,6 +36,7 @@ ONCE = {
     "sca_scan": _scanned,
     "web_summary": lambda f: C.routes(f).groupBy("path").count(),
     "callback_edges": C.callback_edges,
+    "web_rules": lambda f: C.web_findings(C.routes(f)),
 }
 
 
