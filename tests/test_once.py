@@ -37,6 +37,7 @@ ONCE = {
     "web_summary": lambda f: C.routes(f).groupBy("path").count(),
     "callback_edges": C.callback_edges,
     "web_rules": lambda f: C.web_findings(C.routes(f)),
+    "lock_cycles": lambda f: C.lock_cycles(C.lock_edges(f)),
 }
 
 
