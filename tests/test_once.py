@@ -62,3 +62,17 @@ def test_kinds_and_texts_that_are_asked_for():
         some = facts_of("a.py", code, frozenset(kinds), frozenset(("constant",)))
         assert some == [(*r[:11], r[11] if r[1] == "constant" else None, *r[12:]) for r in whole if r[1] in kinds]
     assert facts_of("a.py", "def (", frozenset(("call",))) == []
+
+
+def test_rows_leave_a_worker_in_small_batches(spark):
+    """A file's facts go on as soon as their texts fill a batch, and few files come at once."""
+    files = spark.range(40, numPartitions=1).selectExpr("concat('f', id, '.py') as path", "concat('x = \"', repeat('a', 500000), '\"') as content")
+
+    def sizes_of(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32())], ["n"])
+
+    sizes = python_facts(files).mapInArrow(sizes_of, "n int").collect()
+    assert sum(r.n for r in sizes) == 80 and len(sizes) >= 10
