@@ -112,10 +112,8 @@ def constraint_algebra(spark, sf):
     n, w = (F.col("p_partkey") % 89).cast("int"), (F.col("p_size") % 13 + 1).cast("int")
     m = (F.floor(F.col("p_retailprice")) % 83).cast("int")
     a, b = _specs(n, w), _specs(m, w + 1)
-    hit = pep440.affected_ranges(F.concat(F.floor(m / 10).cast("string"), F.lit("."), (m % 10).cast("string")), F.concat(F.floor((m + w) / 10).cast("string"), F.lit("."), ((m + w) % 10).cast("string")))
-    p = p.select("p_partkey", a.alias("first"), b.alias("second"), hit.alias("hit")).withColumns({"r1": pep440.spec_ranges(F.col("first")), "r2": pep440.spec_ranges(F.col("second"))})
-    meet = lambda x, y: F.size(pep440.intersect(x, y))
-    return p.select("p_partkey", "first", "second", (meet(F.col("r1"), F.col("r2")) == 0).alias("conflict"), (meet(F.col("r1"), F.col("hit")) > 0).alias("exposed"), meet(F.col("r1"), pep440.complement(F.col("hit"))).alias("safe_ranges"))
+    version = lambda x: F.concat(F.floor(x / 10).cast("string"), F.lit("."), (x % 10).cast("string"))
+    return L.constraint_algebra(p.select("p_partkey", a.alias("first"), b.alias("second"), version(m).alias("introduced"), version(m + w).alias("until"))).drop("introduced", "until")
 
 
 def _spec_sql(n: str, w: str) -> tuple[str, str, str]:
