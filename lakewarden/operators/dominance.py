@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import _cut
+
 
 def dominators(n: int, edges: list[tuple[int, int]]) -> list[int]:
     """Immediate dominator of each of ``n`` blocks; the entry 0 is its own, -1 is out of reach."""
@@ -98,7 +100,9 @@ def feasible_flows(flows: DataFrame, rows: DataFrame) -> DataFrame:
 
     UNREACHABLE if its source, its sink or a call on its way can't run, CONDITIONAL if conditions hold at any of them, else
     EXPLOITABLE; NOT_EXPLOITABLE stays what it was made. Conditions are in the order of the way, each once.
+    Flows and rows are read twice, so both are written once: files are parsed once.
     """
+    flows, rows = _cut(flows), _cut(rows)
     key = ["path", "fn", "source", "source_line", "sink_path", "sink", "sink_line"]
     step = F.transform("via", lambda v, i: F.struct((i + 1).alias("at"), F.regexp_extract(v, r"^(.*?):(\d+) ", 1).alias("p"), F.regexp_extract(v, r"^(.*?):(\d+) ", 2).cast("int").alias("l")))
     ends = lambda at, p, l: F.array(F.struct(at.alias("at"), F.col(p).alias("p"), F.col(l).alias("l")))

@@ -55,6 +55,25 @@ def test_files_are_parsed_once(spark, name):
     assert seen.value == files.count()
 
 
+def test_control_flow_is_found_once(spark):
+    from lakewarden.operators.dataflow import labelled_paths
+    from lakewarden.operators.dominance import feasible_flows
+    from lakewarden.sources.control_flow import control_flow
+    from lakewarden.sources.def_use import def_use
+
+    files = small.files(spark).where("path like '%.py'")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    flows = labelled_paths(def_use(files))
+    assert feasible_flows(flows, control_flow(files.select("path", "content").mapInArrow(counted, "path string, content string"))).count() == flows.count()
+    assert seen.value == files.count()
+
+
 def test_kinds_and_texts_that_are_asked_for():
     code = "import os\ndef f(a):\n    x = 'text'\n    os.system(a)\n    with p:\n        with q:\n            pass\n"
     whole = facts_of("a.py", code)
