@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .tokens import IdCache, texts_of
+from .tokens import id_cache, texts_of
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # runs of (length, count), and how many such bins
 
@@ -136,8 +136,8 @@ def cut_documents(docs: DataFrame, path: str, size: int, end_id: int, id_col: st
     tail = np.uint32(end_id).tobytes()
 
     def own(batches):
-        ranks, cache = np.zeros(size + 1, np.int64), IdCache(path)
-        for part, texts in texts_of(batches):
+        ranks, cache = np.zeros(size + 1, np.int64), id_cache(path)
+        for part, texts in texts_of(batches, 2000):
             row, piece, start, length, crc, rank = [], [], [], [], [], []
             for i, ids in enumerate(cache.encode(texts)):
                 ids += tail

@@ -24,6 +24,7 @@ import functools
 import itertools
 import os
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 
@@ -257,42 +258,75 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
 
 class IdCache:
-    """Little-endian 32-bit ids of pre-tokens, in two generations of ``limit`` of them or ``room`` bytes of theirs.
+    """Little-endian 32-bit ids of texts, by chunks, in two generations of ``limit`` of them or ``room`` bytes of theirs.
 
-    A full generation becomes the old one, from which what is met again moves on; the one before it goes. So the
-    library sees a frequent pre-token once; those over 256 characters are not kept.
-    A partition makes its own, so that nothing of it stays in a worker that goes on to other work.
+    A full generation becomes the old one, from which what is met again moves on; the one before it goes. Pre-tokens,
+    ``words`` of them at most, are known by themselves, since most new chunks are made of known ones; what is over 256
+    characters isn't kept. A worker keeps one for all its partitions: it is a cache of bounded size and nothing else.
     """
 
-    def __init__(self, path: str, limit: int = 200_000, room: int = 12 << 20):
-        self.cut, self.limit, self.room, self.held = pre_tokens(path), limit, room, 0
+    def __init__(self, path: str, limit: int = 300_000, room: int = 18 << 20, words: int = 800_000):
+        self.cut, self.limit, self.room, self.held, self.most_words = pre_tokens(path), limit, room, 0, words
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        from array import array
+    def fresh(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that aren't known, put together from their pre-tokens."""
+        if len(self.words) > self.most_words:
+            self.words.clear()
+        parts = list(map(self.cut.pieces, chunks))
+        new = list(set().union(*parts).difference(self.words))
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            self.words.update(zip(some, (array("I", x).tobytes() for x in self.cut.encode(some)), strict=True))
+        get = self.words.__getitem__
+        out = [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts]
+        for w in new:
+            if len(w) > 256:
+                del self.words[w]
+        return out
 
+    def of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
         if len(self.known) > self.limit or self.held > self.room:
             self.old, self.known, self.held = self.known, {}, 0
-        get, cut, found, missing = self.known.get, [], [], set()
-        for t in texts:
-            tokens = self.cut.tokens(t)
-            ids = list(map(get, tokens))
-            if None in ids:
-                missing.update(c for c, i in zip(tokens, ids, strict=True) if i is None)
-            cut.append(tokens)
-            found.append(ids)
+        found = list(map(self.known.get, chunks))
+        missing = [c for c, i in zip(chunks, found, strict=True) if i is None]
         again = self.old.keys() & missing
         self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        self.held += sum(map(len, again)) * 2
-        new = list(missing - again)
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            ids = [array("I", x).tobytes() for x in self.cut.encode(some)]
-            self.known.update(zip(some, ids, strict=True))
-            self.held += sum(map(len, some)) + sum(map(len, ids))
-        out = [b"".join(map(get, c) if None in i else i) for c, i in zip(cut, found, strict=True)]
+        new = [c for c in missing if c not in again] if again else missing
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            self.known.update(zip(some, self.fresh(some), strict=True))
+        self.held += sum(map(len, missing)) * 2
+        out = [self.known[c] if i is None else i for c, i in zip(chunks, found, strict=True)]
         for c in new:
             if len(c) > 256:
-                self.held -= len(c) + len(self.known.pop(c))
+                self.held -= 2 * len(c)
+                del self.known[c]
         return out
+
+    def joined(self, cut: pa.ListArray) -> list[bytes]:
+        """Ids of texts that are cut to chunks; Arrow makes the chunks distinct, so Python sees one once a batch."""
+        ends, flat = np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64), cut.flatten().dictionary_encode()
+        ids, codes = self.of(flat.dictionary.to_pylist()), flat.indices.to_numpy()
+        pool, width = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, n = np.cumsum(width) - width, width[codes]
+        at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        raw = pool[np.repeat(first[codes] - at[:-1], n) + np.arange(at[-1])].tobytes()
+        ends = (4 * at[ends]).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [not (_ODD.search(t) or _RUN.search(t) or self.cut.special.search(t)) for t in texts]
+        # plain texts fall apart before each space, as in ``chunks``
+        some = pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.string())
+        easy = iter(self.joined(pc.split_pattern(pc.replace_substring(some, " ", "\0 "), "\0")))
+        rest = iter(self.joined(pa.array([self.cut.chunks(t) for t, p in zip(texts, plain, strict=True) if not p], pa.list_(pa.string()))))
+        return [next(easy if p else rest) for p in plain]
+
+
+@functools.lru_cache(maxsize=1)
+def id_cache(path: str) -> IdCache:
+    return IdCache(path)
