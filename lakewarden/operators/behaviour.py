@@ -67,6 +67,9 @@ SENSITIVE = ("admin", "user", "account", "payment", "delete", "secret", "config"
 #: What makes an object that routes hang on.
 APPLICATIONS = (("flask.Flask", "Flask"), ("flask.Blueprint", "Flask"), ("fastapi.FastAPI", "FastAPI"), ("fastapi.APIRouter", "FastAPI"))
 
+#: What decorators and calls that make routes are called.
+WEB_VERBS, TASK_VERBS, URL_CALLS = ("route", "get", "post", "put", "delete", "patch", "api_route"), ("task", "shared_task"), ("path", "re_path")
+
 
 def applications(facts: DataFrame) -> DataFrame:
     """path, app, made: variables that hold an application or a group of routes, by framework."""
@@ -80,22 +83,30 @@ def applications(facts: DataFrame) -> DataFrame:
 def framework_routes(facts: DataFrame) -> DataFrame:
     """path, line, framework, handler, route, verb of decorators, Django url tables and Celery tasks.
 
-    The facts are written once, since joins read them several times: files are parsed once.
+    The facts that can matter are written once, since joins read them several times: files are parsed once.
     """
-    return _framework_routes(_cut(facts.where("kind in ('assign', 'call', 'decorator', 'import')").select("path", "kind", "line", "name", "resolved", "items")))
+    kind, short = F.col("kind"), _short(F.col("name"))
+    some = (
+        (kind == "assign")
+        | ((kind == "decorator") & short.isin(*WEB_VERBS, *TASK_VERBS))
+        | ((kind == "import") & F.split_part("name", F.lit("."), F.lit(1)).isin("flask", "fastapi", "celery"))
+        | ((kind == "call") & (F.col("resolved").isin(*(name for name, _ in APPLICATIONS)) | short.isin(*URL_CALLS)))
+    )
+    items = F.when(kind.isin("decorator", "call"), F.col("items"))
+    return _framework_routes(_cut(facts.where(some).select("path", "kind", "line", "name", "resolved", items.alias("items"))))
 
 
 def _framework_routes(facts: DataFrame) -> DataFrame:
     d = facts.where("kind = 'decorator'").withColumn("verb", _short(F.col("name")))
     imports = facts.where("kind = 'import'").select("path", F.split_part("name", F.lit("."), F.lit(1)).alias("top")).where("top in ('flask', 'fastapi', 'celery')").distinct()
     one = imports.where("top in ('flask', 'fastapi')").groupBy("path").agg(F.collect_set("top").alias("tops"))
-    web = d.where(F.col("verb").isin("route", "get", "post", "put", "delete", "patch", "api_route")).join(one, "path").withColumn("app", F.split_part("name", F.lit("."), F.lit(1)))
+    web = d.where(F.col("verb").isin(*WEB_VERBS)).join(one, "path").withColumn("app", F.split_part("name", F.lit("."), F.lit(1)))
     # of two frameworks in a file the one that made the route's object counts, else the verb that only Flask has
     guess = F.when(F.size("tops") == 1, F.when(F.col("tops")[0] == "flask", "Flask").otherwise("FastAPI")).otherwise(F.when(F.col("verb") == "route", "Flask").otherwise("FastAPI"))
     web = web.join(applications(facts), ["path", "app"], "left")
     web = web.select("path", "line", F.coalesce("made", guess).alias("framework"), F.col("items")[0].alias("handler"), F.regexp_replace(F.get("items", F.lit(1)), "^['\"]|['\"]$", "").alias("route"), "verb")
-    jobs = d.where(F.col("verb").isin("task", "shared_task")).join(imports.where("top = 'celery'"), "path").select("path", "line", F.lit("Celery").alias("framework"), F.col("items")[0].alias("handler"), F.concat(F.lit("/"), F.col("items")[0]).alias("route"), "verb")
-    urls = facts.where("kind = 'call' and path rlike '(^|/)urls\\.py$'").where(_short(F.col("name")).isin("path", "re_path"))
+    jobs = d.where(F.col("verb").isin(*TASK_VERBS)).join(imports.where("top = 'celery'"), "path").select("path", "line", F.lit("Celery").alias("framework"), F.col("items")[0].alias("handler"), F.concat(F.lit("/"), F.col("items")[0]).alias("route"), "verb")
+    urls = facts.where("kind = 'call' and path rlike '(^|/)urls\\.py$'").where(_short(F.col("name")).isin(*URL_CALLS))
     urls = urls.select("path", "line", F.lit("Django").alias("framework"), F.get("items", F.lit(1)).alias("handler"), F.regexp_replace(F.get("items", F.lit(0)), "^['\"]|['\"]$", "").alias("route"), _short(F.col("name")).alias("verb"))
     return web.union(jobs).union(urls)
 
