@@ -156,17 +156,20 @@ def public_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 #: What tells of a dangerous call in a function's text.
 SINK_TEXT = ("execute(", "system(", "eval(", "requests.post(", "call(", "subprocess.")
 
+#: Facts that ``knowledge_graph`` needs: of a file without functions that it has any.
+GRAPH_KINDS = ("error", "function", "module")
+
 
 def knowledge_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a project: modules, their functions, and the dangerous calls that functions hold.
 
     Nodes and edges are made of one written table of functions, with a row without a name for other facts of a file, so files are parsed once.
+    A function's text is judged where its row is made; texts aren't shuffled. ``GRAPH_KINDS`` are the facts that suffice.
     """
     of = lambda c: F.when(F.col("kind") == "function", c)
-    every = facts.select("path", of(F.col("name")).alias("name"), of(F.concat_ws(":", F.lit("fn"), F.col("path"), F.concat_ws(".", F.nullif("fn", F.lit("")), "name"))).alias("id"), of(F.col("text")).alias("text"))
+    every = facts.select("path", of(F.col("name")).alias("name"), of(F.concat_ws(":", F.lit("fn"), F.col("path"), F.concat_ws(".", F.nullif("fn", F.lit("")), "name"))).alias("id"), F.coalesce(of(F.expr(" or ".join(f"contains(text, '{w}')" for w in SINK_TEXT))), F.lit(False)).alias("dangerous"))
     # a function that is defined again is one node with all its texts
-    every = every.groupBy("path", "name", "id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
-    every = _cut(every.select("path", "name", "id", F.expr(" or ".join(f"contains(text, '{w}')" for w in SINK_TEXT)).alias("dangerous")))
+    every = _cut(every.groupBy("path", "name", "id").agg(F.max("dangerous").alias("dangerous")))
     modules = every.select("path").distinct()
     fns = every.where("id is not null")
     hit = fns.where("dangerous")

@@ -229,7 +229,7 @@ FUNCTIONS = {
 
 
 def _knowledge(spark, sf):
-    return L.knowledge_graph(python_facts(K.modules(spark, sf), texts=("function",)))
+    return L.knowledge_graph(python_facts(K.modules(spark, sf), L.GRAPH_KINDS, ("function",)))
 
 
 def knowledge_nodes(spark, sf):
