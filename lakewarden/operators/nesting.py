@@ -24,6 +24,8 @@ CODE, COMMENT, TEMPLATE = 0, 1, 2
 #: What isn't code, from where it begins: strings (they end with their line), comments, templates; the open ones reach to the line's end.
 _TOKEN = r"""(?s)(?:"(?:\\.|[^"\\])*+"?|'(?:\\.|[^'\\])*+'?|//.*\z|/\*.*?\*/|/\*.*\z|`(?:\\.|[^`\\])*+`?)"""
 _MARK = r"""["'`/*\\\\]"""
+#: What a line of code must hold for a token.
+_TOLD = r"[{}]|\bclass\b|\bfunction\b|=>|\("
 #: Words that look like methods.
 _WORDS = "if|for|while|switch|catch|function|return|with|do|else|new|typeof|await"
 DEFINITIONS = (
@@ -34,12 +36,16 @@ DEFINITIONS = (
 )
 
 
-def _end(text: Column) -> Column:
-    """The state in which a line of code ends."""
-    last = F.element_at(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), -1)
+def _last(text: Column) -> Column:
+    """The last of a line's strings, comments and templates, if any."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), F.lit(-1))
+
+
+def _end(last: Column) -> Column:
+    """The state in which a line of code ends, by the last of what isn't code."""
     body = F.regexp_replace(last, r"(?s)^`(?:\\.|[^`\\])*+", "")
     open_ = F.when(F.startswith(last, F.lit("/*")) & ~(F.endswith(last, F.lit("*/")) & (F.length(last) >= 4)), COMMENT).when(F.startswith(last, F.lit("`")) & (body == ""), TEMPLATE)
-    return F.when(F.size(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))) == 0, CODE).otherwise(F.coalesce(open_, F.lit(CODE)))
+    return F.coalesce(open_, F.lit(CODE))
 
 
 def _bare(text: Column) -> Column:
@@ -48,16 +54,18 @@ def _bare(text: Column) -> Column:
 
 def code_lines(lines: DataFrame) -> DataFrame:
     """``lines(path, line_no, text)`` with ``state`` (at the line's start) and ``code``, the text less comments and strings."""
-    text = F.coalesce("text", F.lit(""))
-    closed = F.instr(text, "*/")
-    after_comment = F.when(closed > 0, F.substring(text, closed + 2, F.length(text)))
-    shut = F.regexp_extract(text, r"(?s)^((?:\\.|[^`\\])*+`)", 1)
-    after_template = F.when(shut != "", F.substring(text, F.length(shut) + 1, F.length(text)))
+    # column by column, so that no pattern is matched again for each of its uses
+    rows = lines.select("path", "line_no", F.coalesce("text", F.lit("")).alias("text"))
+    text, comment, template = F.col("text"), F.col("after_comment"), F.col("after_template")
     # most lines have no mark at all: they change no state, and are code as they stand or not at all
-    plain = ~text.rlike(_MARK)
-    ends = F.when(plain, F.array(*map(F.lit, (CODE, COMMENT, TEMPLATE)))).otherwise(F.array(_end(text), F.when(after_comment.isNull(), COMMENT).otherwise(_end(after_comment)), F.when(after_template.isNull(), TEMPLATE).otherwise(_end(after_template))))
-    codes = F.when(plain, F.array(text, F.lit(""), F.lit(""))).otherwise(F.array(_bare(text), F.coalesce(_bare(after_comment), F.lit("")), F.coalesce(_bare(after_template), F.lit(""))))
-    rows = lines.select("path", "line_no", ends.alias("ends"), codes.alias("codes"), F.floor(F.col("line_no") / BLOCK).alias("block"))
+    rows = rows.withColumns({"plain": ~text.rlike(_MARK), "closed": F.instr(text, "*/")})
+    shut = F.when(~F.col("plain"), F.regexp_extract(text, r"(?s)^((?:\\.|[^`\\])*+`)", 1)).otherwise("")
+    rows = rows.withColumn("shut", F.length(shut))
+    rows = rows.withColumns({"after_comment": F.when(F.col("closed") > 0, F.substring(text, F.col("closed") + 2, F.length(text))), "after_template": F.when(F.col("shut") > 0, F.substring(text, F.col("shut") + 1, F.length(text)))})
+    rows = rows.withColumns({"last_code": F.when(~F.col("plain"), _last(text)), "last_comment": _last(comment), "last_template": _last(template)})
+    ends = F.when(F.col("plain"), F.array(*map(F.lit, (CODE, COMMENT, TEMPLATE)))).otherwise(F.array(_end(F.col("last_code")), F.when(comment.isNull(), COMMENT).otherwise(_end(F.col("last_comment"))), F.when(template.isNull(), TEMPLATE).otherwise(_end(F.col("last_template")))))
+    codes = F.when(F.col("plain"), F.array(text, F.lit(""), F.lit(""))).otherwise(F.array(_bare(text), F.coalesce(_bare(comment), F.lit("")), F.coalesce(_bare(template), F.lit(""))))
+    rows = rows.select("path", "line_no", ends.alias("ends"), codes.alias("codes"), F.floor(F.col("line_no") / BLOCK).alias("block"))
     at = lambda a, i: F.element_at(a, i + 1)
     # a block's own function, then what all blocks before it make of the first state
     own = rows.groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct("line_no", "ends", "codes"))).alias("l"))
@@ -83,7 +91,7 @@ def tokens(code: DataFrame) -> DataFrame:
     braces = F.filter(F.transform(letters, lambda c, i: F.struct((i + 1).alias("at"), F.when(c == "{", "open").when(c == "}", "close").alias("token"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind"))), lambda b: b["token"].isNotNull())
     # of several readings of one place (a method that is a function as well) the first definition's counts
     found = F.filter(F.concat(*marks), lambda m: m["name"] != "")
-    some = code.where(F.col("code").rlike(r"[{}]|\bclass\b|\bfunction\b|=>|\("))
+    some = code.where(F.col("code").rlike(_TOLD))
     flat = some.select("path", "line_no", F.explode(F.concat(braces, found)).alias("m")).select("path", "line_no", "m.*")
     flat = flat.dropDuplicates(["path", "line_no", "at", "token", "name"])
     return flat.select("path", (F.col("line_no") * 1_000_000 + F.col("at")).alias("pos"), "line_no", "token", "name", "kind")
@@ -94,6 +102,8 @@ def outline(lines: DataFrame) -> DataFrame:
 
     ``parent`` is the innermost definition around it (null: none), ``level`` how many there are. A body that never closes has no last line.
     """
+    # a line without a mark and without what makes a token changes no state and gives no row: it isn't shuffled
+    lines = lines.where(F.col("text").rlike(_MARK) | F.col("text").rlike(_TOLD))
     t = _cut(tokens(code_lines(lines)))  # few and short; all that follows reads them several times
     here = W.partitionBy("path").orderBy("pos")
     back = here.rowsBetween(W.unboundedPreceding, -1)
