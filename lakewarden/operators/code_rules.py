@@ -46,6 +46,10 @@ def _is_literal(i: int) -> Column:
     return F.coalesce(F.get(F.col("items"), F.lit(i)), F.lit("<expression>")).rlike(r"^(b?['\"]|-?\d|True$|False$|None$)")
 
 
+#: Texts of facts that ``dynamic_events`` looks at.
+DYNAMIC_TEXTS = ("call:yaml.load",)
+
+
 def dynamic_events(facts: DataFrame, conservative: bool = False) -> DataFrame:
     """Reflection, dynamic imports and code, deserialisation, metaclasses, patches, dispatch, registrations.
 
@@ -225,12 +229,14 @@ def call_edges(facts: DataFrame) -> DataFrame:
 
 def callback_edges(facts: DataFrame) -> DataFrame:
     """caller -> function that is handed over by name: arguments and ``target=`` of calls, and what tasks start."""
-    facts = _cut(facts.where("kind in ('function', 'call')").select("path", "kind", "fn", "name", "kwargs", "items"))  # both sides of the join: files are parsed once
-    own = facts.where("kind = 'function'").select("path", F.col("name").alias("handed"), F.concat_ws(".", F.when(F.col("fn") != "", F.col("fn")), F.col("name")).alias("to_fn")).distinct()
-    c = facts.where("kind = 'call'")
-    handed = F.concat("items", F.filter(F.map_values("kwargs"), lambda v: v != "<expression>"))
-    at = c.select("path", F.when(F.col("fn") == "", "<module>").otherwise(F.col("fn")).alias("fn"), F.explode(F.array_distinct(handed)).alias("handed"))
-    return at.join(own, ["path", "handed"]).select(F.concat_ws(":", "path", "fn").alias("src"), F.concat_ws(":", "path", "to_fn").alias("dst")).distinct()
+    call = F.col("kind") == "call"
+    # what is no plain name (a constant, an expression) names no function
+    handed = F.array_distinct(F.filter(F.concat("items", F.map_values("kwargs")), lambda v: ~v.rlike(r"^(b?['\"]|[-<\d])")))
+    inside = F.concat_ws(".", F.when(F.col("fn") != "", F.col("fn")), F.col("name"))
+    rows = facts.where("kind in ('function', 'call')").select("path", F.when(call, F.when(F.col("fn") == "", "<module>").otherwise(F.col("fn"))).alias("caller"), F.when(~call, inside).alias("to_fn"), F.explode(F.when(call, handed).otherwise(F.array("name"))).alias("handed"))
+    # both sides of the join by one shuffle: files are parsed once, and nothing is written
+    met = rows.groupBy("path", "handed").agg(F.collect_set("caller").alias("callers"), F.collect_set("to_fn").alias("fns")).where((F.size("callers") > 0) & (F.size("fns") > 0))
+    return met.select("path", F.explode("callers").alias("fn"), "fns").select(F.concat_ws(":", "path", "fn").alias("src"), "path", F.explode("fns").alias("to_fn")).select("src", F.concat_ws(":", "path", "to_fn").alias("dst")).distinct()
 
 
 def _defined(facts: DataFrame) -> DataFrame:
