@@ -117,12 +117,12 @@ _DYNAMIC = ("assign", "call", "class", "decorator", "dispatch", "function")
 
 
 def dynamic_events(spark, sf):
-    return C.dynamic_events(_facts(spark, sf, _DYNAMIC, ("call",)))
+    return C.dynamic_events(_facts(spark, sf, _DYNAMIC, C.DYNAMIC_TEXTS))
 
 
 def dynamic_summary(spark, sf):
     """Certain events of each file by kind."""
-    return B.summary(C.dynamic_events(_facts(spark, sf, _DYNAMIC, ("call",)), conservative=True), "event")
+    return B.summary(C.dynamic_events(_facts(spark, sf, _DYNAMIC, C.DYNAMIC_TEXTS), conservative=True), "event")
 
 
 def toctou_races(spark, sf):
