@@ -145,7 +145,7 @@ def concurrency_summary(spark, sf):
 
 
 def _routes(spark, sf):
-    return C.routes(_facts(spark, sf, ("class", "decorator", "function"), ("function",)))
+    return C.routes(_facts(spark, sf, ("class", "decorator", "function"), ("decorated",)))
 
 
 def web_rules(spark, sf):
