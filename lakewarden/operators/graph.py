@@ -179,19 +179,25 @@ def strong_components(edges: DataFrame, steps: int = 8) -> DataFrame:
 
     Each node takes the smallest node that reaches it as its colour. Those that reach a colour's own node within
     the colour are its component; they are taken out and the rest is coloured anew. There is no limit on a
-    cycle's length; lineage is cut every ``steps`` steps, and a step's tables have at most a row an edge.
+    cycle's length; lineage is cut every ``steps`` steps (2 while many colours are new), and a step's tables have at most a row
+    an edge.
     """
     e, n = _trimmed(_cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct()))
     loops = _cut(e.where("src = dst").select(F.col("src").alias("node")))
     out = None
     while n:
-        colours, old = _cut(e.select(F.col("src").alias("node"), F.col("src").alias("colour")).distinct()), None
-        still = _cut(e.union(e.select("src", F.col("src").alias("dst"))).distinct())  # a node keeps what it has
-        while old is None or not colours.join(old, ["node", "colour"], "left_anti").isEmpty():
-            old = now = colours
-            for _ in range(steps):
-                now = still.join(now.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("colour"))
-            colours = _cut(now)
+        colours = _cut(e.select(F.col("src").alias("node"), F.col("src").alias("colour")).distinct())
+        fresh = colours
+        while not fresh.isEmpty():
+            # only colours that are new go on; what they reach is compared with what is known once a round
+            at, reached = fresh, None
+            for _ in range(2 if fresh.count() * 16 > n else steps):
+                at = e.join(at.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("colour"))
+                reached = at if reached is None else reached.union(at)
+            reached = reached.groupBy("node").agg(F.min("colour").alias("colour"))
+            old = colours.withColumnRenamed("colour", "old")
+            now = _cut(old.join(reached, "node", "left").select("node", F.least("old", "colour").alias("colour"), (F.col("colour") < F.col("old")).alias("new")))
+            colours, fresh = now.select("node", "colour"), now.where("new").select("node", "colour")
         own = e.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(colours.select(F.col("node").alias("dst"), "colour"), "dst")
         own = own.where("c = colour").select("src", "dst", "colour")
         own = _cut(own.union(colours.select("node", "node", "colour")).distinct())
