@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.dataflow import labelled_paths
+from ..operators.dataflow import shared_paths
 from ..operators.dominance import feasible_flows
 from ..operators.nesting import outline
 from ..operators.symbols import final_bindings
@@ -104,7 +104,7 @@ def guarded(spark, sf):
 def guarded_flows(spark, sf):
     """Flows with the conditions on their way, and whether they can happen."""
     files = guarded(spark, sf)
-    out = feasible_flows(labelled_paths(def_use(files)), control_flow(files))
+    out = feasible_flows(shared_paths(files), control_flow(files))
     return out.select("path", "fn", "source_line", "sink_line", F.array_join("conditions", " and ").alias("conditions"), "verdict")
 
 
@@ -120,7 +120,7 @@ def packages(spark, sf):
 
 def taint_paths(spark, sf):
     """Flows across files with their label and the calls on their way."""
-    out = labelled_paths(def_use(packages(spark, sf)))
+    out = shared_paths(packages(spark, sf))
     return out.select("path", "fn", "rule_id", "source", "source_line", "sink_path", "sink", "sink_line", "label", F.array_join("via", " > ").alias("way"))
 
 
