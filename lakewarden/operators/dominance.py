@@ -100,7 +100,7 @@ def feasible_flows(flows: DataFrame, rows: DataFrame) -> DataFrame:
 
     UNREACHABLE if its source, its sink or a call on its way can't run, CONDITIONAL if conditions hold at any of them, else
     EXPLOITABLE; NOT_EXPLOITABLE stays what it was made. Conditions are in the order of the way, each once.
-    Flows and rows are read twice, so both are written once: files are parsed once.
+    Flows and rows are read twice, so both are written once: files are parsed once. So is the result, as its joins are.
     """
     flows, rows = _cut(flows), _cut(rows)
     key = ["path", "fn", "source", "source_line", "sink_path", "sink", "sink_line"]
@@ -112,4 +112,4 @@ def feasible_flows(flows: DataFrame, rows: DataFrame) -> DataFrame:
     told = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "conditions"))), lambda x: F.coalesce(x["conditions"], F.array().cast("array<string>")))))
     way = met.groupBy(*key).agg(F.min(F.coalesce("reached", F.lit(True))).alias("runs"), told.alias("conditions"))
     verdict = F.when(F.col("label") == "NOT_EXPLOITABLE", F.col("label")).when(~F.col("runs"), "UNREACHABLE").when(F.size("conditions") > 0, "CONDITIONAL").otherwise("EXPLOITABLE")
-    return flows.join(way, key).withColumn("verdict", verdict).drop("runs")
+    return _cut(flows.join(way, key).withColumn("verdict", verdict).drop("runs"))

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,10 +31,44 @@ def _release(spark, folder: str) -> None:
         pass
 
 
+#: Up to which size of files a side of a join is broadcast outright: written tables are packed, rows take up to fifty times as much.
+SMALL = 256 << 10
+_BY_FILES, _BY_ROWS = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+
+def _bytes(size: str) -> int:
+    n, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", size.lower()).groups()
+    return int(n) << 10 * " kmgtp".index(unit or " ")
+
+
+@contextmanager
+def _measured(spark: SparkSession) -> Iterator[None]:
+    """Joins are broadcast by the bytes of their rows, which are known at run time, up to the session's own threshold.
+
+    By the size of files, before anything has run, only tables of at most ``SMALL`` are: a table of some MB of files is
+    hundreds of MB as rows, and all of them would pass through the driver.
+    """
+    conf = spark.conf
+    files, rows = conf.get(_BY_FILES), conf.get(_BY_ROWS, None)
+    if _bytes(files) <= SMALL:
+        yield
+        return
+    try:
+        if rows is None:
+            conf.set(_BY_ROWS, files)
+        conf.set(_BY_FILES, f"{SMALL}b")
+        yield
+    finally:
+        conf.set(_BY_FILES, files)
+        if rows is None:
+            conf.unset(_BY_ROWS)
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """``df`` as a table written once in the session's shared folder (a temporary one in local tests), read again.
 
-    Unlike a checkpoint it is computed once and its size is known to later joins. The folder goes when the driver ends.
+    Unlike a checkpoint it is computed once. What the driver broadcasts for it is bounded (``_measured``), so an operator whose
+    last step joins written tables cuts its result as well. The folder goes when the driver ends.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -44,7 +81,8 @@ def _cut(df: DataFrame) -> DataFrame:
         _FOLDERS[sc.applicationId] = f"{top}/lakewarden-{uuid.uuid4().hex}"
         atexit.register(_release, spark, _FOLDERS[sc.applicationId])
     path = f"{_FOLDERS[sc.applicationId]}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _measured(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
