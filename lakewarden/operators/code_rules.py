@@ -201,7 +201,8 @@ def call_edges(facts: DataFrame) -> DataFrame:
     Each tier takes only what the ones before left. A short name that several files define, and that nothing
     else resolves, leads to the one node ``*:name`` (tier 4) instead of to each of them; ``name_members`` tells
     which functions that is. So a name like ``get`` never joins all its calls with all its definitions.
-    Facts and what each tier leaves are written once: files are parsed once, and no tier is found again for the next.
+    Facts and what each tier leaves are written once: files are parsed once, and no tier is found again for the next. So are
+    the edges, whose joins then broadcast what is small as rows only.
     """
     facts = _cut(facts.where("kind in ('function', 'call', 'import')").select("path", "kind", "fn", "name", "resolved", "items"))
     fns = _defined(facts)
@@ -224,7 +225,7 @@ def call_edges(facts: DataFrame) -> DataFrame:
     last = left.where("not imported").join(names, "short").withColumn("tier", F.when(F.col("n") == 1, 3).otherwise(4))
     one = F.concat_ws(":", "to_path", "to_fn")
     cols = lambda d, dst: d.select(F.concat_ws(":", "path", "fn").alias("src"), dst.alias("dst"), "tier")
-    return cols(own, one).union(cols(by_import, one)).union(cols(last, F.when(F.col("n") == 1, one).otherwise(F.concat(F.lit("*:"), "short")))).distinct()
+    return _cut(cols(own, one).union(cols(by_import, one)).union(cols(last, F.when(F.col("n") == 1, one).otherwise(F.concat(F.lit("*:"), "short")))).distinct())
 
 
 def callback_edges(facts: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lakewarden.operators import code_rules as C
 from lakewarden.operators import graph as G
 from lakewarden.operators.dataflow import labelled_paths
 from lakewarden.operators.dominance import feasible_flows
 from lakewarden.sources.control_flow import control_flow
 from lakewarden.sources.def_use import def_use
+from lakewarden.sources.python_facts import python_facts
 
 
 def last_plan(spark):
@@ -54,3 +56,10 @@ def test_judged_flows_leave_no_join_to_the_caller(spark):
     out = feasible_flows(labelled_paths(def_use(files)), control_flow(files))
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.sink_line, r.conditions, r.verdict) for r in out.collect()] == [(4, ["ok"], "CONDITIONAL")]
+
+
+def test_call_edges_leave_no_join_to_the_caller(spark):
+    files = spark.createDataFrame([("a.py", "from b import g\ndef f():\n    g()\n    h()\n"), ("b.py", "def g():\n    pass\ndef h():\n    g()\n")], "path string, content string")
+    out = C.call_edges(python_facts(files))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [("a.py:f", "b.py:g", 2), ("a.py:f", "b.py:h", 3), ("b.py:h", "b.py:g", 1)]
