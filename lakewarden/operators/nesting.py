@@ -94,13 +94,15 @@ def tokens(code: DataFrame) -> DataFrame:
     some = code.where(F.col("code").rlike(_TOLD))
     flat = some.select("path", "line_no", F.explode(F.concat(braces, found)).alias("m")).select("path", "line_no", "m.*")
     flat = flat.dropDuplicates(["path", "line_no", "at", "token", "name"])
-    return flat.select("path", (F.col("line_no") * 1_000_000 + F.col("at")).alias("pos"), "line_no", "token", "name", "kind")
+    pos = F.shiftleft(F.col("line_no").cast("long"), 31) + F.col("at")  # whatever the number of lines, and the length of each
+    return flat.select("path", pos.alias("pos"), "line_no", "token", "name", "kind")
 
 
 def outline(lines: DataFrame) -> DataFrame:
     """path, name, kind, line, last, parent, level of every class, function and method of ``lines(path, line_no, text)``.
 
     ``parent`` is the innermost definition around it (null: none), ``level`` how many there are. A body that never closes has no last line.
+    Rows are written once, so that the joins that give them broadcast what is small as rows only.
     """
     # a line without a mark and without what makes a token changes no state and gives no row: it isn't shuffled
     lines = lines.where(F.col("text").rlike(_MARK) | F.col("text").rlike(_TOLD))
@@ -127,4 +129,4 @@ def outline(lines: DataFrame) -> DataFrame:
     below = every.where("not leaf").select("path", (F.col("level") + 1).alias("key"), F.col("from").alias("at"), F.struct("name", "to").alias("opened"), F.lit(None).cast("long").alias("child"))
     inside = below.union(every.select("path", F.col("level").alias("key"), F.col("pos").alias("at"), F.lit(None).cast(below.schema["opened"].dataType), F.col("pos").alias("child")))
     parents = inside.withColumn("p", F.last("opened", True).over(W.partitionBy("path", "key").orderBy("at"))).where("child is not null").select("path", F.col("child").alias("pos"), F.col("p.name").alias("parent"))
-    return every.join(parents, ["path", "pos"]).select("path", "name", "kind", "line", "last", F.when(F.col("level") > 0, F.col("parent")).alias("parent"), F.col("level").cast("int").alias("level"))
+    return _cut(every.join(parents, ["path", "pos"]).select("path", "name", "kind", "line", "last", F.when(F.col("level") > 0, F.col("parent")).alias("parent"), F.col("level").cast("int").alias("level")))

@@ -7,6 +7,7 @@ from lakewarden.operators import code_rules as C
 from lakewarden.operators import graph as G
 from lakewarden.operators.dataflow import labelled_paths
 from lakewarden.operators.dominance import feasible_flows
+from lakewarden.operators.nesting import outline
 from lakewarden.sources.control_flow import control_flow
 from lakewarden.sources.def_use import def_use
 from lakewarden.sources.python_facts import python_facts
@@ -63,3 +64,9 @@ def test_call_edges_leave_no_join_to_the_caller(spark):
     out = C.call_edges(python_facts(files))
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [("a.py:f", "b.py:g", 2), ("a.py:f", "b.py:h", 3), ("b.py:h", "b.py:g", 1)]
+
+
+def test_outlines_leave_no_join_to_the_caller(spark):
+    out = outline(spark.createDataFrame([("a.js", 1, "class A {"), ("a.js", 2, "  run() {}"), ("a.js", 3, "}")], "path string, line_no int, text string"))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [("a.js", "A", "class", 1, 3, None, 0), ("a.js", "run", "method", 2, 2, "A", 1)]
