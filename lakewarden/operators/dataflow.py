@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.def_use import facts_again, file_facts
-from .graph import _cut
+from .graph import _count, _cut
 from .symbols import resolve_names
 
 #: Fixed values.
@@ -245,7 +245,7 @@ class Program:
             both = jump.join(n, ["path", "id"], "left")
             jump = _cut(both.select("s_path", "s_id", F.coalesce("n_path", "path").alias("path"), F.coalesce("n_id", "id").alias("id"), F.col("bits").bitwiseOR(F.coalesce("n_bits", F.lit(0))).alias("bits"), F.concat("via", F.coalesce("n_via", F.array().cast("array<string>"))).alias("via")))
             jump = jump.where("s_path <> path or s_id <> id")  # a ring of parameters leads nowhere
-            still = jump.join(jump.select(F.col("s_path").alias("path"), F.col("s_id").alias("id")), ["path", "id"], "left_semi").count()
+            still = _count(jump.join(jump.select(F.col("s_path").alias("path"), F.col("s_id").alias("id")), ["path", "id"], "left_semi"))
             if still == 0 or still == left:
                 break
             left = still

@@ -86,6 +86,12 @@ def _cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _count(df: DataFrame) -> int:
+    """The rows of joins of written tables, with the same bound on what is broadcast."""
+    with _measured(df.sparkSession):
+        return df.count()
+
+
 def levels(edges: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
     """(start, node, level): the least number of steps from each start, up to ``depth``, or as far as it goes (None)."""
     e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()

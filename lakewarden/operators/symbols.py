@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _cut
+from .graph import _count, _cut
 
 
 def final_bindings(bindings: DataFrame, names: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def final_bindings(bindings: DataFrame, names: DataFrame) -> DataFrame:
     while left:
         nxt = links.select(F.col("name").alias("target"), F.col("target").alias("next"))
         links = _cut(links.join(nxt, "target", "left").select("name", F.coalesce("next", "target").alias("target")).where("name <> target"))
-        still = links.join(links.select(F.col("name").alias("target")), "target", "left_semi").count()
+        still = _count(links.join(links.select(F.col("name").alias("target")), "target", "left_semi"))
         if still in (0, left):
             break
         left = still

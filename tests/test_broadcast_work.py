@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.operators import code_rules as C
 from lakewarden.operators import graph as G
+from lakewarden.operators import symbols
 from lakewarden.operators.dataflow import labelled_paths
 from lakewarden.operators.dominance import feasible_flows
 from lakewarden.operators.nesting import outline
@@ -33,6 +34,17 @@ def test_many_rows_in_small_files_are_not_broadcast(spark):
     assert "BroadcastHashJoin" in last_plan(spark)
 
 
+def test_counts_of_names_handed_on_broadcast_no_table_of_size(spark):
+    i = F.col("id").cast("string")
+    bind = G._cut(spark.range(300_000).select(F.concat(F.lit("module"), i, F.lit(".some_name")).alias("name"), F.concat(F.lit("library.part_of_it.target"), i).alias("target")))
+    assert "BroadcastHashJoin" in bind.join(bind.select(F.col("name").alias("target")), "target", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    seen, counted = [], G._count
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(symbols, "_count", lambda df: (counted(df), seen.append(last_plan(spark)))[0])
+        links = symbols.final_bindings(bind, bind.select("name").limit(0))
+    assert links.count() == 300_000 and len(seen) == 1 and "Broadcast" not in seen[0]
+
+
 @pytest.mark.parametrize(("files", "rows"), [(None, None), ("20m", None), ("20m", "1m"), ("-1", None), ("64k", "5m")])
 def test_the_session_keeps_its_thresholds(spark, files, rows):
     old = spark.conf.get(G._BY_FILES)
